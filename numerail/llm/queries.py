@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .mixing import OP7_SQL, op7_mix_sources
+from .mpeg import op5_mpeg_media
+from .orcids import op9_orc_token_ids
+from .sharding import op2_shard
 
 
 def queries():
-    out = {"op7_mix_sources": op7_mix_sources}
-    return out
+    return {"op2_shard": op2_shard, "op5_mpeg_media": op5_mpeg_media, "op7_mix_sources": op7_mix_sources, "op9_orc_token_ids": op9_orc_token_ids}
 
 
 def oracle_sql():
