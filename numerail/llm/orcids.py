@@ -10,7 +10,6 @@ groups whose statistics and filters admit it.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -20,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_path, n_shuffle
+from .pieces import Cutter, special_tokens
 
 END_ID = 0
 STRIPE_BYTES = 16 << 20
@@ -33,18 +33,9 @@ ORC_OPTIONS = {
     "orc.stripe.size": str(STRIPE_BYTES),
     "orc.encoding.strategy": "SPEED",
 }
-#: A space before a non-space always starts a piece of the byte-level pattern, so texts are cut there.
-CUT = re.compile(r" (?=\S)")
-DOUBLE = re.compile(r" (?:\s|\Z)")
 CACHE_LIMIT = 250_000
 
 
-def chunks_of(text: str) -> list[str]:
-    """Parts of a text that the tokenizer encodes each on its own; joined they are the text."""
-    parts = CUT.split(text) if DOUBLE.search(text) else text.split(" ")
-    return [parts[0], *(" " + p for p in parts[1:])]
-
-
 class ChunkEncoder:
     """Ids of texts by the tokenizers library, each distinct chunk encoded once while cached."""
 
@@ -54,11 +45,12 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.cut = Cutter(special_tokens(path))
         self.cache: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        cut = [chunks_of(t) for t in texts]
+        cut = [self.cut(t) for t in texts]
         cache = self.cache
         if len(cache) > CACHE_LIMIT:
             cache.clear()
@@ -68,12 +60,17 @@ class ChunkEncoder:
         return [b"".join(map(cache.__getitem__, parts)) for parts in cut]
 
 
+_LOADED: dict[str, ChunkEncoder] = {}
+
+
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = ChunkEncoder(path)
+        if path not in _LOADED:  # kept for the worker's later tasks
+            _LOADED[path] = ChunkEncoder(path)
+        encoder = _LOADED[path]
         end = np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):

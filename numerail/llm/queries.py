@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .bpe import op6_bpe_automaton
+from .langid import op3_language_id
 from .mixing import OP7_SQL, op7_mix_sources
 from .mpeg import op5_mpeg_media
 from .orcids import op9_orc_token_ids
@@ -9,7 +11,14 @@ from .sharding import op2_shard
 
 
 def queries():
-    return {"op2_shard": op2_shard, "op5_mpeg_media": op5_mpeg_media, "op7_mix_sources": op7_mix_sources, "op9_orc_token_ids": op9_orc_token_ids}
+    return {
+        "op2_shard": op2_shard,
+        "op3_language_id": op3_language_id,
+        "op5_mpeg_media": op5_mpeg_media,
+        "op6_bpe_automaton": op6_bpe_automaton,
+        "op7_mix_sources": op7_mix_sources,
+        "op9_orc_token_ids": op9_orc_token_ids,
+    }
 
 
 def oracle_sql():
