@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op6_bpe_automaton
+from .jaccard import op1_ngram_jaccard
 from .langid import op3_language_id
 from .mixing import OP7_SQL, op7_mix_sources
 from .mpeg import op5_mpeg_media
@@ -12,6 +13,7 @@ from .sharding import op2_shard
 
 def queries():
     return {
+        "op1_ngram_jaccard": op1_ngram_jaccard,
         "op2_shard": op2_shard,
         "op3_language_id": op3_language_id,
         "op5_mpeg_media": op5_mpeg_media,
