@@ -23,21 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import Cutter, special_tokens
+from .pieces import Cutter, PartCache, literal, mark_of, special_tokens
 
-#: Most entries of a worker's caches of parts (words with what surrounds them), words and arcs.
-PARTS, WORDS, ARCS = 300_000, 200_000, 300_000
-
-
-class _Decimal(dict):
-    """The decimal text of each id, made once; there are as many as tokens."""
-
-    def __missing__(self, i: int) -> str:
-        out = self[i] = str(i)
-        return out
-
-
-DECIMAL = _Decimal()
+#: Most entries of a worker's caches of parts (words with what surrounds them) and of arcs.
+PARTS, ARCS = 300_000, 300_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -63,12 +52,13 @@ class TokenAutomaton:
         for at, (a, b) in enumerate(merges):
             self._gadget(at, self.vocab[a], self.vocab[b], self.vocab[a + b])
         self.arcs: dict[int, bool] = {}
-        self.longest: dict[str, int] = {}
+        # each start of a token, with the token that it is or -1
+        self.starts: dict[str, int] = {}
         for t, i in self.vocab.items():
             if i in self.enters:
-                for n in (1, 2, 3):  # of tokens that start with three, two or one letters, and of shorter ones
-                    most = len(t) if n == 3 else min(len(t), n)
-                    self.longest[t[:n]] = max(most, self.longest.get(t[:n], 0))
+                for n in range(1, len(t)):
+                    self.starts.setdefault(t[:n], -1)
+                self.starts[t] = i
 
     def _gadget(self, at: int, u: int, v: int, w: int) -> None:
         if u not in self.enters or v not in self.enters:
@@ -109,7 +99,7 @@ class TokenAutomaton:
                 lost = self._since(last, token)
                 known = lost is None or lost > made
             if len(self.arcs) > ARCS:
-                self.arcs.clear()
+                self.arcs.clear()  # in place: a caller may hold it
             self.arcs[key] = known
         return known
 
@@ -119,23 +109,32 @@ class TokenAutomaton:
         Longer labels are tried first; a place that has no way on is marked
         and left, so the time is linear in the word but for such places.
         """
-        vocab, enters, longest = self.vocab, self.enters, self.longest
-        whole = vocab.get(word)
-        if whole in enters:
+        starts, arcs = self.starts, self.arcs
+        whole = starts.get(word, -1)
+        if whole >= 0:
             return [whole]
         path: list[int] = []
-        at, end, dead = 0, len(word), set()
+        at, end, dead = 0, len(word), None
         while at < end:
-            most = longest.get(word[at : at + 3]) or longest.get(word[at : at + 2], 1)
-            for n in range(min(most, end - at), 0, -1):
-                token = vocab.get(word[at : at + n])
-                if token in enters and not (path and not self.arc(path[-1], token)) and not (dead and (at + n, token) in dead):
-                    path.append(token)
-                    at += n
-                    break
+            fit, n = [], at + 1
+            while n <= end and (token := starts.get(word[at:n])) is not None:
+                if token >= 0:
+                    fit.append((n, token))
+                n += 1
+            for n, token in reversed(fit):
+                if path:
+                    open_ = arcs.get(path[-1] << 32 | token)
+                    if not (self.arc(path[-1], token) if open_ is None else open_):
+                        continue
+                if dead and (n, token) in dead:
+                    continue
+                path.append(token)
+                at = n
+                break
             else:
                 if not path:
                     raise ValueError(f"no path spells {word!r}")
+                dead = dead or set()
                 dead.add((at, path[-1]))
                 at -= len(self.text[path.pop()])
         return path
@@ -154,34 +153,52 @@ class Bpe:
         specials = special_tokens(path)
         self.cut = Cutter(specials)
         back = {c: b for b, c in byte_letters().items()}
-        self.labels = {i: bytes(back[c] for c in t) for i, t in self.automaton.text.items()}
-        self.labels.update({i: t.encode() for t, i in specials.items()})
-        self.specials = {t: np.array([i], dtype="<u4").tobytes() for t, i in specials.items()}
-        self.cache: dict[str, bytes] = dict(self.specials)
-        self.known: dict[str, bytes] = {}
-
-    def _part(self, part: str) -> bytes:
-        if len(self.cache) > PARTS:
-            self.cache = dict(self.specials)
-        if len(self.known) > WORDS:
-            self.known = {}
-        known, out = self.known, b""
-        for word, _ in self.words(part):
-            ids = known.get(word)
-            if ids is None:
-                found = self.automaton.encode_word(word)
-                ids = known[word] = struct.pack(f"<{len(found)}I", *found)
-            out += ids
-        self.cache[part] = out
-        return out
-
-    def encode(self, text: str) -> bytes:
+        labels = {i: bytes(back[c] for c in t) for i, t in self.automaton.text.items()} | {i: t.encode() for t, i in specials.items()}
+        # arc labels end to end, and their places
+        self.label_bytes = np.frombuffer(b"".join(labels.get(i, b"") for i in range(max(labels) + 1)), dtype=np.uint8)
+        self.label_length = np.array([len(labels.get(i, b"")) for i in range(max(labels) + 1)], dtype=np.int64)
+        self.label_start = np.cumsum(self.label_length) - self.label_length
+        self.decimal = np.array([f"{i}," for i in range(max(labels) + 1)], dtype="S")
+        self.letters = byte_letters()
+        self.specials = {" " + t: np.array([i], dtype="<u4").tobytes() for t, i in specials.items()}
+        self.marks = {m: struct.pack("<I", self.automaton.vocab[m]) for m in ",.;:!?"}
+        self.cache = PartCache(PARTS, self._encode_new)
+
+    def _ids(self, key: str) -> bytes:
+        """Ids of a key: of its words, if it is not all Latin letters and so one word."""
+        if key[0] not in " \n" and key.isalpha() and max(key) < "\u0250":
+            words = ["\u0120" + (key if key.isascii() else "".join(map(self.letters.__getitem__, key.encode())))]
+        else:
+            words = [w for w, _ in self.words(literal(key))]
+        found = [i for w in words for i in self.automaton.encode_word(w)]
+        return struct.pack(f"<{len(found)}I", *found)
+
+    def _encode_new(self, new: set[str], cache: dict[str, bytes]) -> None:
+        for key in new:
+            if key in self.specials:
+                cache[key] = self.specials[key]
+                continue
+            mark = mark_of(key)
+            base = key[:-1] if mark else key
+            if base not in cache:
+                cache[base] = self._ids(base)
+            if mark:
+                cache[key] = cache[base] + self.marks[mark]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers."""
-        cache = self.cache
-        return b"".join([cache.get(p) or self._part(p) for p in self.cut(text)])
+        return self.cache.join([self.cut(t) for t in texts])
+
+    def decode(self, ids: np.ndarray) -> str:
+        """The text whose bytes are the labels of the arcs."""
+        length = self.label_length[ids]
+        upto = np.cumsum(length)
+        place = np.repeat(self.label_start[ids] - upto + length, length) + np.arange(upto[-1] if len(ids) else 0)
+        return self.label_bytes[place].tobytes().decode("utf-8", "replace")
 
-    def decode(self, ids) -> str:
-        return b"".join(map(self.labels.__getitem__, ids)).decode("utf-8", "replace")
+    def decimals(self, ids: np.ndarray) -> bytes:
+        """Decimal ids joined by commas."""
+        return self.decimal[ids].tobytes().replace(b"\0", b"")[:-1]
 
 
 _LOADED: dict[str, Bpe] = {}
@@ -200,7 +217,7 @@ def _encode(path: str):
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                ids = [bpe.encode(t or "") for t in part.column("text").to_pylist()]
+                ids = bpe.encode([t or "" for t in part.column("text").to_pylist()])
                 offsets = np.concatenate([[0], np.cumsum([len(i) // 4 for i in ids])]).astype(np.int32)
                 values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(ids))])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), values)], ["doc_id", "ids"])
@@ -214,8 +231,11 @@ def _decode(path: str):
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                lists = part.column("ids").to_pylist()
-                ids_sha = [hashlib.sha256(",".join(map(DECIMAL.__getitem__, i)).encode()).hexdigest() for i in lists]
+                ids = part.column("ids")
+                offsets = ids.offsets.to_numpy()
+                every = ids.values.to_numpy(zero_copy_only=False)
+                lists = [every[x:y] for x, y in zip(offsets[:-1], offsets[1:], strict=True)]
+                ids_sha = [hashlib.sha256(bpe.decimals(i)).hexdigest() for i in lists]
                 texts = [bpe.decode(i) for i in lists]
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -19,13 +19,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_path, n_shuffle
-from .pieces import Cutter, special_tokens
+from .pieces import Cutter, PartCache, literal, mark_of, special_tokens
 
 END_ID = 0
 STRIPE_BYTES = 16 << 20
 #: Settings of the files: an index entry and a Bloom filter for every 1000 documents.
 ORC_OPTIONS = {
-    "compression": "zstd",
+    "compression": "lz4",
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
     "orc.create.index": "true",
@@ -33,7 +33,8 @@ ORC_OPTIONS = {
     "orc.stripe.size": str(STRIPE_BYTES),
     "orc.encoding.strategy": "SPEED",
 }
-CACHE_LIMIT = 250_000
+#: Parts that a worker keeps, and parts in one text for the library.
+CACHE_LIMIT, AT_ONCE = 300_000, 2000
 
 
 class ChunkEncoder:
@@ -46,18 +47,44 @@ class ChunkEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.cut = Cutter(special_tokens(path))
-        self.cache: dict[str, bytes] = {}
+        # of byte-level tokens each letter is a byte; special tokens are plain text
+        self.lengths = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), dtype=np.int64)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            self.lengths[i] = len(token)
+        self.marks = {m: np.array(self.tokenizer.encode(m, add_special_tokens=False).ids, dtype="<u4").tobytes() for m in ",.;:!?"}
+        self.cache = PartCache(CACHE_LIMIT, self._encode_new)
+
+    def _encode_new(self, new: set[str], cache: dict[str, bytes]) -> None:
+        """Encodes many parts in one text: those that encode alike after any
+        other are told apart by the ids' byte lengths; others are texts of their
+        own. A part that ends with a mark has the ids of the rest, and the mark's."""
+        marked = [k for k in new if mark_of(k)]
+        plain = new.difference(marked)
+        plain.update(b for k in marked if (b := k[:-1]) not in cache)
+        joined = [k for k in plain if k[0] != " "]
+        alone = [k for k in plain if k[0] == " "]
+        encode = self.tokenizer.encode_batch_fast
+        groups = [joined[i : i + AT_ONCE] for i in range(0, len(joined), AT_ONCE)]
+        texts = [list(map(literal, g)) for g in groups]
+        for keys, parts, e in zip(groups, texts, encode(["".join(t) for t in texts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype="<u4")
+            ends = np.cumsum([len(t.encode()) for t in parts])
+            upto = np.cumsum(self.lengths[ids])
+            cuts = np.searchsorted(upto, ends) + 1
+            if cuts[-1] != len(ids) or (upto[cuts - 1] != ends).any():
+                alone += keys
+                continue
+            data, at = ids.tobytes(), 0
+            for k, cut in zip(keys, (4 * cuts).tolist(), strict=True):
+                cache[k], at = data[at:cut], cut
+        for k, e in zip(alone, encode(list(map(literal, alone)), add_special_tokens=False), strict=True):
+            cache[k] = np.array(e.ids, dtype="<u4").tobytes()
+        for k in marked:
+            cache[k] = cache[k[:-1]] + self.marks[k[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        cut = [self.cut(t) for t in texts]
-        cache = self.cache
-        if len(cache) > CACHE_LIMIT:
-            cache.clear()
-        new = sorted({c for parts in cut for c in parts if c not in cache})
-        for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            cache[c] = np.array(e.ids, dtype="<u4").tobytes()
-        return [b"".join(map(cache.__getitem__, parts)) for parts in cut]
+        return self.cache.join([self.cut(t) for t in texts])
 
 
 _LOADED: dict[str, ChunkEncoder] = {}

@@ -5,9 +5,10 @@ from __future__ import annotations
 import json
 import re
 
-#: A space before a non-space always starts a piece of the byte-level pattern, so texts may be cut there.
-CUT = re.compile(r" (?=\S)")
-NOT_PLAIN = re.compile(r" (?:\s|\Z)")
+#: A space or newline before a non-space always starts a piece of the byte-level pattern, so texts may be cut there.
+CUT = re.compile(r"(?=[ \n]\S)")
+#: Texts in which this is not found are words parted by single spaces and newlines.
+NOT_PLAIN = re.compile(r"[ \n](?:\s|\Z)")
 
 
 def special_tokens(path: str) -> dict[str, int]:
@@ -17,21 +18,60 @@ def special_tokens(path: str) -> dict[str, int]:
 
 
 class Cutter:
+    """Cuts texts into keys of parts whose ids, joined, are the text's.
+
+    A key that starts with a space stands for what follows it, at the start of
+    a text or a special token. One that starts with a newline stands for
+    itself, any other one for a space and itself; these encode alike after any
+    other part.
+    """
+
     def __init__(self, specials):
         self.specials = set(specials)
         self.split = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.specials, key=len, reverse=True)) + ")").split if self.specials else None
 
     def __call__(self, text: str) -> list[str]:
-        """Parts whose ids, joined, are the text's; a special token is a part of its own."""
-        if not text:
-            return []
         if self.split and any(s in text for s in self.specials):
-            return [c for p in self.split(text) if p for c in ([p] if p in self.specials else _chunks(p))]
-        return _chunks(text)
+            return [c for p in self.split(text) if p for c in ([" " + p] if p in self.specials else _parts(p))]
+        return _parts(text) if text else []
+
+
+def _parts(text: str) -> list[str]:
+    if NOT_PLAIN.search(text):
+        first, *rest = (p for p in CUT.split(text) if p)
+        return [" " + first, *(p[1:] if p[0] == " " else p for p in rest)]
+    parts = text.replace("\n", " \n").split(" ")
+    parts[0] = " " + parts[0]
+    return parts
+
+
+def literal(key: str) -> str:
+    """The text of a key."""
+    return key[1:] if key[0] == " " else key if key[0] == "\n" else " " + key
+
+
+def mark_of(key: str) -> str:
+    """The punctuation mark at the end of a key that is a piece of its own, or ''."""
+    return key[-1] if len(key) > 2 and key[0] != " " and key[-1] in ",.;:!?" and key[-2].isalpha() else ""
+
+
+class PartCache:
+    """Ids of keys; when it is full, those met in more than one batch stay."""
 
+    def __init__(self, limit: int, compute):
+        self.limit, self.compute = limit, compute
+        self.ids: dict[str, bytes] = {}
+        self.again: set[str] = set()
 
-def _chunks(text: str) -> list[str]:
-    parts = CUT.split(text) if NOT_PLAIN.search(text) else text.split(" ")
-    out = [parts[0]] if parts[0] else []
-    out += [" " + p for p in parts[1:]]
-    return out
+    def join(self, cut: list[list[str]]) -> list[bytes]:
+        """The ids of each list of keys."""
+        keys = set().union(*cut)
+        self.again.update(keys & self.ids.keys())
+        if len(self.ids) > self.limit:
+            kept = self.again if len(self.again) < self.limit // 2 else keys & self.again
+            self.ids = {k: self.ids[k] for k in kept if k in self.ids}
+            self.again = set()
+        new = keys - self.ids.keys()
+        if new:
+            self.compute(new, self.ids)
+        return [b"".join(map(self.ids.__getitem__, parts)) for parts in cut]

@@ -8,6 +8,7 @@ from .langid import op3_language_id
 from .mixing import OP7_SQL, op7_mix_sources
 from .mpeg import op5_mpeg_media
 from .orcids import op9_orc_token_ids
+from .phrases import op8_substring_dedup
 from .sharding import op2_shard
 
 
@@ -19,6 +20,7 @@ def queries():
         "op5_mpeg_media": op5_mpeg_media,
         "op6_bpe_automaton": op6_bpe_automaton,
         "op7_mix_sources": op7_mix_sources,
+        "op8_substring_dedup": op8_substring_dedup,
         "op9_orc_token_ids": op9_orc_token_ids,
     }
 
