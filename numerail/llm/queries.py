@@ -10,6 +10,8 @@ from .mpeg import op5_mpeg_media
 from .orcids import op9_orc_token_ids
 from .phrases import op8_substring_dedup
 from .sharding import op2_shard
+from .spotsigs import OP4_SQL, op4_spotsigs
+from .toolcalls import OP10_SQL, op10_tool_calls
 
 
 def queries():
@@ -17,13 +19,15 @@ def queries():
         "op1_ngram_jaccard": op1_ngram_jaccard,
         "op2_shard": op2_shard,
         "op3_language_id": op3_language_id,
+        "op4_spotsigs": op4_spotsigs,
         "op5_mpeg_media": op5_mpeg_media,
         "op6_bpe_automaton": op6_bpe_automaton,
         "op7_mix_sources": op7_mix_sources,
         "op8_substring_dedup": op8_substring_dedup,
         "op9_orc_token_ids": op9_orc_token_ids,
+        "op10_tool_calls": op10_tool_calls,
     }
 
 
 def oracle_sql():
-    return {"op7_mix_sources": OP7_SQL}
+    return {"op4_spotsigs": OP4_SQL, "op7_mix_sources": OP7_SQL, "op10_tool_calls": OP10_SQL}
