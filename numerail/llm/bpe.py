@@ -267,6 +267,23 @@ def decode_ids(ids: DataFrame, tokenizer_path: str) -> DataFrame:
     return ids.select("doc_id", "ids").mapInArrow(_decode(tokenizer_path), schema)
 
 
+def _both(path: str):
+    encode, decode = _encode(path), _decode(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in encode(batches):
+            checked = next(decode(iter([batch])))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), checked.column("n_tokens"), batch.column("ids"), checked.column("ids_sha256"), checked.column("decoded_sha256")], ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
+
+    return run
+
+
+def encode_and_check(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """Rows doc_id, n_tokens, ids, ids_sha256, decoded_sha256: ids with the digest of what they decode to."""
+    flat = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return flat.mapInArrow(_both(tokenizer_path), "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
+
+
 def op6_bpe_automaton(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -437,5 +437,17 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def keep_one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs whose id is the smallest of its component, one for each id.
+
+    Rows with a null id stay as they are.
+    """
+    found = jaccard_components(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
+    found = stored(found, "jaccard-kept")
+    single = docs.join(bounded_broadcast(found.where("_rows = 1").select("doc_id"), BROADCAST_IDS), "doc_id", "left_semi")
+    several = docs.join(found.where("_rows > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return single.unionByName(several).unionByName(docs.where("doc_id is null"))
+
+
 def op1_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -56,8 +56,14 @@ def source_targets(sizes: DataFrame, total_share: float = 1.5, cap: float = 2.0)
     return per.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, total_share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """Rows doc_id, source, size, source_size, target, repeats for each row of docs.
+def source_key(source: Column) -> Column:
+    """A source's name that is never null."""
+    return F.coalesce(F.concat(F.lit("="), source), F.lit("null"))
+
+
+def mix(docs: DataFrame, total_share: float = 1.5, cap: float = 2.0, keep: list[str] | None = None) -> DataFrame:
+    """Rows doc_id, source, size, source_size, target, repeats for each row of
+    docs, and a struct ``row`` of the columns ``keep`` if these are given.
 
     A source's whole passes come first (repeats of all its documents), then one
     partial pass: its documents in the order of a hash of doc_id, as long as
@@ -69,7 +75,7 @@ def mix(docs: DataFrame, total_share: float = 1.5, cap: float = 2.0) -> DataFram
     null or empty texts have size 0 and are taken like others; an empty table
     gives an empty result. Extra columns are ignored.
     """
-    key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
+    key = source_key(F.col("source"))
     base = stored(
         docs.select("doc_id", "source", key.alias("sk"), words_of(F.col("text")).alias("size"), hash60(F.col("doc_id")).alias("h")),
         "mix-sizes",
@@ -95,9 +101,12 @@ def mix(docs: DataFrame, total_share: float = 1.5, cap: float = 2.0) -> DataFram
         )
         front = stored(after, "mix-front")
     cuts = plan.drop("budget").join(front.select("sk", "low"), "sk")
+    if keep is not None:  # the filter needs the id and source only, so it runs on the documents as they are
+        more = F.struct(*keep, F.lit(0).alias("_")).alias("row")
+        base = docs.select("doc_id", "source", key.alias("sk"), words_of(F.col("text")).alias("size"), hash60(F.col("doc_id")).alias("h"), more)
     out = base.join(bounded_broadcast(stored(cuts, "mix-cuts"), MANY_SOURCES), "sk")
     repeats = F.col("whole") + F.when(F.col("h") < F.col("low"), 1).otherwise(0)
-    return out.select("doc_id", "source", "size", "source_size", "target", repeats.alias("repeats"))
+    return out.select("doc_id", "source", "size", "source_size", "target", repeats.alias("repeats"), *(["row"] if keep is not None else []))
 
 
 def op7_mix_sources(spark, sf_dir: str) -> DataFrame:
