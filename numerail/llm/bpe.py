@@ -23,10 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import Cutter, PartCache, literal, mark_of, special_tokens
+from .common import small_batches
+from .pieces import MARKS, Cutter, PartCache, groups_of, literal, mark_of, special_tokens
 
 #: Most entries of a worker's caches of parts (words with what surrounds them) and of arcs.
-PARTS, ARCS = 300_000, 300_000
+PARTS, ARCS = 250_000, 250_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -161,7 +162,7 @@ class Bpe:
         self.decimal = np.array([f"{i}," for i in range(max(labels) + 1)], dtype="S")
         self.letters = byte_letters()
         self.specials = {" " + t: np.array([i], dtype="<u4").tobytes() for t, i in specials.items()}
-        self.marks = {m: struct.pack("<I", self.automaton.vocab[m]) for m in ",.;:!?"}
+        self.marks = {m: struct.pack("<I", self.automaton.vocab[m]) for m in MARKS}
         self.cache = PartCache(PARTS, self._encode_new)
 
     def _ids(self, key: str) -> bytes:
@@ -215,9 +216,10 @@ def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                ids = bpe.encode([t or "" for t in part.column("text").to_pylist()])
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            for at, to in groups_of(texts):
+                part = batch.slice(at, to - at)
+                ids = bpe.encode(texts[at:to])
                 offsets = np.concatenate([[0], np.cumsum([len(i) // 4 for i in ids])]).astype(np.int32)
                 values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(ids))])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), values)], ["doc_id", "ids"])
@@ -257,6 +259,7 @@ def encode_texts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     Repeated rows are kept; extra columns are ignored. Nothing is shuffled, a
     worker holds the automaton and bounded caches.
     """
+    small_batches(docs.sparkSession)
     flat = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return flat.mapInArrow(_encode(tokenizer_path), "doc_id long, ids array<int>")
 
@@ -280,6 +283,7 @@ def _both(path: str):
 
 def encode_and_check(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Rows doc_id, n_tokens, ids, ids_sha256, decoded_sha256: ids with the digest of what they decode to."""
+    small_batches(docs.sparkSession)
     flat = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return flat.mapInArrow(_both(tokenizer_path), "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
 

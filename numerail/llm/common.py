@@ -34,10 +34,22 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Rows of an Arrow batch to Python: texts may be long, and a batch is in memory twice.
+BATCH_ROWS = 2048
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows per Arrow batch where they are above BATCH_ROWS."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Writes a table in the shared folder and reads it back: this cuts the
     lineage, and a lost executor costs no recomputation beyond the write."""
     spark = df.sparkSession
+    small_batches(spark)
     path = fresh_path(spark, name)
     writer = df.write.option("compression", "zstd")
     if partition_by:

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Bounds of the sample of labelled documents that the model is fitted on, and of the model.
 SAMPLE_DOCS = 600  # of each language
 MAX_LANGUAGES = 500
@@ -157,6 +159,7 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame
     0; ties go to the language first in code-point order; without a learned
     language all get 'und'. Repeated rows are kept, other columns dropped.
     """
+    small_batches(docs.sparkSession)
     flat = docs.select(*keep)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in flat.schema] + ["lang_pred string, score double"])
     return flat.mapInArrow(_predict(model, keep), schema)

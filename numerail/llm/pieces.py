@@ -45,6 +45,9 @@ def _parts(text: str) -> list[str]:
     return parts
 
 
+MARKS = ",.;:!?"
+
+
 def literal(key: str) -> str:
     """The text of a key."""
     return key[1:] if key[0] == " " else key if key[0] == "\n" else " " + key
@@ -52,26 +55,35 @@ def literal(key: str) -> str:
 
 def mark_of(key: str) -> str:
     """The punctuation mark at the end of a key that is a piece of its own, or ''."""
-    return key[-1] if len(key) > 2 and key[0] != " " and key[-1] in ",.;:!?" and key[-2].isalpha() else ""
+    return key[-1] if key[-1] in MARKS and len(key) > 2 and key[0] != " " and key[-2].isalpha() else ""
 
 
 class PartCache:
-    """Ids of keys; when it is full, those met in more than one batch stay."""
+    """Ids of keys; when it is full, those that the batch at hand has too stay."""
 
     def __init__(self, limit: int, compute):
         self.limit, self.compute = limit, compute
         self.ids: dict[str, bytes] = {}
-        self.again: set[str] = set()
 
     def join(self, cut: list[list[str]]) -> list[bytes]:
-        """The ids of each list of keys."""
+        """The ids of each list of keys. Large batches keep more of what is frequent."""
         keys = set().union(*cut)
-        self.again.update(keys & self.ids.keys())
         if len(self.ids) > self.limit:
-            kept = self.again if len(self.again) < self.limit // 2 else keys & self.again
-            self.ids = {k: self.ids[k] for k in kept if k in self.ids}
-            self.again = set()
+            self.ids = {k: self.ids[k] for k in keys & self.ids.keys()}
         new = keys - self.ids.keys()
         if new:
             self.compute(new, self.ids)
         return [b"".join(map(self.ids.__getitem__, parts)) for parts in cut]
+
+
+def groups_of(texts: list, chars: int = 3 << 20, rows: int = 1024):
+    """Runs of texts of bounded size (one long text is a run of its own)."""
+    at = size = 0
+    for i, t in enumerate(texts):
+        n = len(t or "")
+        if i > at and (size + n > chars or i - at >= rows):
+            yield at, i
+            at, size = i, 0
+        size += n
+    if at < len(texts):
+        yield at, len(texts)
