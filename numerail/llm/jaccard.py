@@ -200,9 +200,10 @@ def _prefixes(classes: np.ndarray, buckets: int):
 
 
 def _shared_tokens(ranges: int):
-    """Keeps the tokens that two or more sets of a tile have; packs them by band and range."""
-    names = ["tband", "range", "hi", "tokens"]
-    types = [pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+    """Keeps the tokens that two or more sets of a tile have; packs them, with
+    their sets, by band and range: as many rows as there are of these."""
+    names = ["tband", "range", "ids", "tokens"]
+    types = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
 
     def run(table: pa.Table) -> pa.Table:
         k = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in table.column("keys").to_pylist()])
@@ -226,18 +227,32 @@ def _shared_tokens(ranges: int):
             many = np.bincount(tile)[tile] > 1
             token, tb, i = token[many], tb[many], i[many]
         r = (mix64(token) >> np.uint64(17)) % np.uint64(ranges)
-        order = np.lexsort((i, r, tb))
+        order = np.lexsort((r, tb))
         token, tb, i, r = token[order], tb[order], i[order], r[order].astype(np.int64)
         if not len(token):
             return pa.Table.from_arrays([pa.array([], t) for t in types], names)
-        cuts = np.flatnonzero(np.concatenate([[True], (tb[1:] != tb[:-1]) | (r[1:] != r[:-1]) | (i[1:] != i[:-1])]))
+        cuts = np.flatnonzero(np.concatenate([[True], (tb[1:] != tb[:-1]) | (r[1:] != r[:-1])]))
         ends = np.append(cuts[1:], len(token))
-        packed = [token[x:y].tobytes() for x, y in zip(cuts, ends, strict=True)]
-        return pa.Table.from_arrays([pa.array(tb[cuts], types[0]), pa.array(r[cuts], types[1]), pa.array(i[cuts], types[2]), pa.array(packed, types[3])], names)
+        packed = [pa.array([x[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()) for x in (i, token)]
+        return pa.Table.from_arrays([pa.array(tb[cuts], types[0]), pa.array(r[cuts], types[1]), *packed], names)
 
     return run
 
 
+def _by_set(table: pa.Table) -> pa.Table:
+    """One row for each set of a band and range, with its tokens."""
+    i = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in table.column("ids").to_pylist()])
+    token = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in table.column("tokens").to_pylist()])
+    order = np.argsort(i, kind="stable")
+    i, token = i[order], token[order]
+    cuts = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
+    ends = np.append(cuts[1:], len(i))
+    n = len(cuts)
+    band_, range_ = table.column("tband")[0].as_py(), table.column("range")[0].as_py()
+    packed = pa.array([token[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary())
+    return pa.Table.from_arrays([pa.array(np.full(n, band_), pa.int32()), pa.array(np.full(n, range_), pa.int32()), pa.array(i[cuts]), packed], ["tband", "range", "hi", "tokens"])
+
+
 class Forest:
     """Disjoint sets of 0 .. n-1."""
 
@@ -306,10 +321,8 @@ def _tiles(table: pa.Table) -> pa.Table:
         at = sets[r["hi"]]
         n[at] = r["n"]
         maps[at] = maps[at] or folded(r["bits"], size)
-        for t in r["tokens"]:
-            x = np.frombuffer(t, dtype=np.uint64)
-            tokens.append(x)
-            owner.append(np.full(len(x), at, dtype=np.int64))
+        tokens.append(np.frombuffer(r["tokens"], dtype=np.uint64))
+        owner.append(np.full(len(tokens[-1]), at, dtype=np.int64))
     bits = np.frombuffer(b"".join(maps), dtype=np.uint64).reshape(len(sets), -1)
     token, own = np.concatenate(tokens), np.concatenate(owner)
     order = np.lexsort((own, token))
@@ -419,10 +432,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     reps = stored(meta.where("n > 0").groupBy("n", "hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("bits").alias("bits")).where("rep is not null"), "jaccard-classes")
     buckets, ranges = max(4, p // 2), max(1, p // 16)
     packed = flat.mapInArrow(_prefixes(classes, buckets), "bucket int, keys binary, ids binary")
-    shared = packed.groupBy("bucket").applyInArrow(_shared_tokens(ranges), "tband int, range int, hi long, tokens binary")
-    tiles = shared.groupBy("tband", "range", "hi").agg(F.collect_list("tokens").alias("tokens")).join(reps.select("hi", "n", "bits"), "hi")
+    shared = packed.groupBy("bucket").applyInArrow(_shared_tokens(ranges), "tband int, range int, ids binary, tokens binary")
+    by_set = shared.groupBy("tband", "range").applyInArrow(_by_set, "tband int, range int, hi long, tokens binary")
+    tiles = by_set.join(reps.select("hi", "n", "bits"), "hi")
     tiles = stored(tiles, "jaccard-tiles")
-    blocks = in_blocks(tiles, ["tband", "range"], F.length("bits") + 8 * F.size("tokens"), F.col("hi"))
+    blocks = in_blocks(tiles, ["tband", "range"], F.length("bits") + F.length("tokens"), F.col("hi"))
     forest = stored(blocks.groupBy("tband", "range", "bi", "bj").applyInArrow(_tiles, "a long, b long").distinct(), "jaccard-forest")
     clusters = components(forest, "jaccard-clusters")
     wanted = stored(reps.join(clusters, reps["hi"] == clusters["node"]).select(F.col("rep").alias("doc_id"), F.col("label").alias("cluster")).distinct(), "jaccard-wanted")
