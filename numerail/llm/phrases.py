@@ -33,7 +33,7 @@ from .common import WordHashes, bounded_broadcast, drop_stored, mix64, n_shuffle
 WINDOW, PHRASE = 50, 20
 FLUSH_ROWS = 1_000_000
 #: Stretches of one automaton; a shard's rows are taken in portions of whole phrases.
-PORTION = 8_000
+PORTION = 4_000
 #: Up to so many ids, counted at run time, are broadcast to pick texts.
 BROADCAST_IDS = 1_000_000
 _WORDS = WordHashes()
@@ -78,6 +78,15 @@ def selected(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(windows) + view.argmin(axis=1), p
 
 
+def least_in_windows(p: np.ndarray) -> np.ndarray:
+    """The least phrase hash of each window, by doubling."""
+    span, have, m = WINDOW - PHRASE + 1, 1, p
+    while 2 * have <= span:
+        m = np.minimum(m[:-have], m[have:])
+        have *= 2
+    return np.minimum(m[: len(p) - span + 1], m[span - have :][: len(p) - span + 1])
+
+
 def _split(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
@@ -124,8 +133,7 @@ def _phrases(buckets: int):
                     words = _split(text)
                     if doc_id is None or len(words) < WINDOW:
                         continue
-                    place, p = selected(hashes(words))
-                    k = np.unique(p[np.unique(place)])
+                    k = np.unique(least_in_windows(rolling(hashes(words), PHRASE)))
                     keys.append(k)
                     ids.append(np.full(len(k), doc_id, dtype=np.int64))
                     rows += len(k)
@@ -192,12 +200,11 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 # a place is selected by a run of windows
                 starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
                 ends = np.append(starts[1:], len(place))
-                for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+                there = np.minimum(np.searchsorted(keys, p[place[starts]]), len(keys) - 1)
+                recur = np.flatnonzero(keys[there] == p[place[starts]])
+                for a, b in zip(starts[recur].tolist(), ends[recur].tolist(), strict=True):
                     at_phrase = int(place[a])
                     key = p[at_phrase]
-                    j = np.searchsorted(keys, key)
-                    if j == len(keys) or keys[j] != key:
-                        continue
                     known = [earlier.setdefault(x, doc_id) < doc_id for x in w[a:b].tolist()]
                     # runs of settled and of open windows
                     x = a
@@ -213,84 +220,96 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(rows) > 2000:
                 yield out()
                 rows = []
-            if len(earlier) > 400_000:  # only a shorter memory: what is not settled here is settled in the shards
+            if len(earlier) > 250_000:  # only a shorter memory: what is not settled here is settled in the shards
                 earlier.clear()
     if rows:
         yield out()
 
 
 class PhraseAutomaton:
-    """Aho-Corasick over words: each word is a letter, by its hash; hits are confirmed by the words."""
+    """Aho-Corasick over words: a letter stands for a word, by its hash.
+
+    ``hits`` are confirmed by the 64-bit hashes of the phrases' words.
+    """
 
-    def __init__(self, phrases: list[tuple[bytes, ...]]):
+    def __init__(self, phrases: list[str], marks: np.ndarray):
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
-        self.phrases = phrases
-        by_text: dict[str, list[int]] = {}
-        for i, p in enumerate(phrases):
-            by_text.setdefault(letters(list(p)), []).append(i)
-        for text, same in by_text.items():
-            self.automaton.add_word(text, same)
-        self.automaton.make_automaton()
+        self.marks = marks
+        same: dict[str, list[int]] = {}
+        for i, text in enumerate(phrases):
+            same.setdefault(text, []).append(i)
+        for text, ids in same.items():
+            self.automaton.add_word(text, ids)
+        if same:
+            self.automaton.make_automaton()
 
-    def occurrences(self, words: list[bytes]) -> Iterator[tuple[int, int]]:
-        """(start, phrase) of every occurrence in the words."""
-        if not self.phrases:
-            return
-        for end, same in self.automaton.iter(letters(words)):
-            for i in same:
-                start = end + 1 - len(self.phrases[i])
-                if tuple(words[start : end + 1]) == self.phrases[i]:
-                    yield start, i
+    def hits(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(last letter, phrase) of every occurrence."""
+        if not len(self.marks):
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        found = [(end, i) for end, ids in self.automaton.iter(text) for i in ids]
+        pairs = np.array(found, dtype=np.int64).reshape(-1, 2)
+        return pairs[:, 0], pairs[:, 1]
 
 
-def letters(words: list[bytes]) -> str:
-    return ((hashes(words) % np.uint64(LETTERS)).astype(np.uint32) + np.uint32(0x10000)).astype("<u4").tobytes().decode("utf-32-le")
+def letters(h: np.ndarray) -> np.ndarray:
+    """Code points for word hashes: one plane without surrogates."""
+    return (h % np.uint64(LETTERS)).astype("<u4") + np.uint32(LETTERS)
 
 
 def _settle(rows: list[tuple]) -> list[tuple[int, int, int]]:
     """Removed windows (doc_id, first window, windows) of the stretches of some phrases."""
-    split = [r[4].split(b"\n") for r in rows]
-    # confirm: phrases that more than one document has, by their words
-    first: dict[tuple[bytes, ...], int] = {}
-    confirmed: dict[tuple[bytes, ...], None] = {}
-    for r, words in zip(rows, split, strict=True):
-        phrase = tuple(words[r[3] : r[3] + PHRASE])
-        if first.setdefault(phrase, r[0]) != r[0]:
-            confirmed[phrase] = None
-    automaton = PhraseAutomaton(list(confirmed))
-    owner, start, window = [], [], []
-    for n, (r, words) in enumerate(zip(rows, split, strict=True)):
-        hit = [at for at, _ in automaton.occurrences(words)]
-        if not hit:
-            continue
-        # windows around an occurrence
-        inside = np.zeros(r[2], dtype=bool)
-        for at in hit:
-            inside[max(0, at + PHRASE - WINDOW) : min(r[2] - 1, at) + 1] = True
-        w = rolling(hashes(words), WINDOW)
-        places = np.flatnonzero(inside)
-        owner.append(np.full(len(places), n))
-        start.append(places)
-        window.append(w[places])
-    if not owner:
+    doc, start, count, phrase = (np.array([r[i] for r in rows], dtype=np.int64) for i in range(4))
+    size = np.array([r[4].count(b"\n") + 1 for r in rows], dtype=np.int64)
+    flat = b"\n".join([r[4] for r in rows]).split(b"\n")
+    begin = np.cumsum(size) - size
+    h = hashes(flat)
+    del flat
+    p, w = rolling(h, PHRASE), rolling(h, WINDOW)
+    # the stretches as one text, a separator after each
+    row_of = np.repeat(np.arange(len(rows)), size)
+    codes = np.full(len(h) + len(rows), 0xFFFF, dtype="<u4")
+    codes[np.arange(len(h)) + row_of] = letters(h)
+    text = codes.tobytes().decode("utf-32-le")
+    # confirm: phrases that more than one document has
+    marks, first, group = np.unique(p[begin + phrase], return_index=True, return_inverse=True)
+    low, high = np.full(len(marks), np.iinfo(np.int64).max), np.full(len(marks), np.iinfo(np.int64).min)
+    np.minimum.at(low, group, doc)
+    np.maximum.at(high, group, doc)
+    confirmed = np.flatnonzero(low < high)
+    at = (begin + phrase)[first[confirmed]] + first[confirmed]
+    automaton = PhraseAutomaton([text[i : i + PHRASE] for i in at.tolist()], marks[confirmed])
+    end, which = automaton.hits(text)
+    begin_text = begin + np.arange(len(rows))
+    row = np.searchsorted(begin_text, end, side="right") - 1
+    hit = end - row - PHRASE + 1  # first word, in h
+    sure = p[hit] == automaton.marks[which] if len(hit) else np.zeros(0, dtype=bool)
+    row, hit = row[sure], hit[sure]
+    # windows around an occurrence
+    a = np.maximum(begin[row], hit + PHRASE - WINDOW)
+    b = np.minimum(begin[row] + count[row] - 1, hit)
+    ok = a <= b
+    edge = np.zeros(len(h) + 1, dtype=np.int64)
+    np.add.at(edge, a[ok], 1)
+    np.add.at(edge, b[ok] + 1, -1)
+    places = np.flatnonzero(np.cumsum(edge) > 0)
+    if not len(places):
         return []
-    owner, start, window = np.concatenate(owner), np.concatenate(start), np.concatenate(window)
-    doc = np.array([r[0] for r in rows], dtype=np.int64)[owner]
-    _, group = np.unique(window, return_inverse=True)
+    owner = row_of[places]
+    _, group = np.unique(w[places], return_inverse=True)
     least = np.full(group.max() + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, group, doc)
-    removed = least[group] < doc
-    at = (np.array([r[1] for r in rows], dtype=np.int64)[owner] + start)[removed]
-    doc = doc[removed]
-    order = np.lexsort((at, doc))
-    doc, at = doc[order], at[order]
-    if not len(doc):
+    np.minimum.at(least, group, doc[owner])
+    removed = least[group] < doc[owner]
+    at, of = (start[owner] + places - begin[owner])[removed], doc[owner][removed]
+    if not len(of):
         return []
-    cuts = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + 1)]))
-    ends = np.append(cuts[1:], len(doc)) - 1
-    return list(zip(doc[cuts].tolist(), at[cuts].tolist(), (at[ends] - at[cuts] + 1).tolist(), strict=True))
+    order = np.lexsort((at, of))
+    of, at = of[order], at[order]
+    cuts = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (at[1:] > at[:-1] + 1)]))
+    ends = np.append(cuts[1:], len(of)) - 1
+    return list(zip(of[cuts].tolist(), at[cuts].tolist(), (at[ends] - at[cuts] + 1).tolist(), strict=True))
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,10 +386,15 @@ def dedup_substrings(docs: DataFrame, keep: list[str] | None = None) -> DataFram
     """
     keep = keep or []
     spans = removed_spans(docs).groupBy("doc_id").agg(F.collect_list(F.struct("start", "first")).alias("spans"))
+    spans = stored(spans, "phrase-spans")
     flat = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*keep, F.lit(0).alias("_")).alias("row"))
     row = flat.schema["row"].dataType.simpleString()
     schema = f"doc_id long, row {row}, n_words long, n_removed long, kept_sha256 string, kept string"
-    out = flat.join(bounded_broadcast(stored(spans, "phrase-spans"), BROADCAST_IDS // 4), "doc_id", "left").mapInArrow(_kept, schema)
+    # only texts that lose words are shuffled to their spans, unless these are too many to be told by their ids
+    ids = bounded_broadcast(spans.select("doc_id"), BROADCAST_IDS)
+    whole = flat.join(ids, "doc_id", "left_anti").withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
+    less = flat.join(ids, "doc_id", "left_semi").join(spans.hint("merge"), "doc_id")
+    out = whole.unionByName(less).mapInArrow(_kept, schema)
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256", "kept", *[F.col("row")[c].alias(c) for c in keep])
 
 
