@@ -62,8 +62,8 @@ class TokenAutomaton:
                 self.starts[t] = i
 
     def _gadget(self, at: int, u: int, v: int, w: int) -> None:
-        if u not in self.enters or v not in self.enters:
-            return
+        if u not in self.enters or v not in self.enters or not self._open(u, v):
+            return  # the pair never comes up: earlier merges part it
         self.enters[w], self.left[w], self.right[w], self.made[w] = self.enters[v], u, v, at
         self.lost[u << 32 | v] = at
         self.enters[u] = self.states
@@ -85,6 +85,14 @@ class TokenAutomaton:
                 return None
             before, last = self.made[last], self.right[last]
 
+    def _open(self, last: int, token: int) -> bool:
+        open_ = self._since(last, token) is None
+        while open_ and token in self.left:
+            made, token = self.made[token], self.left[token]
+            lost = self._since(last, token)
+            open_ = lost is None or lost > made
+        return open_
+
     def arc(self, last: int, token: int) -> bool:
         """Whether the state that ``last`` enters has an arc of ``token``.
 
@@ -94,11 +102,7 @@ class TokenAutomaton:
         key = last << 32 | token
         known = self.arcs.get(key)
         if known is None:
-            known = self._since(last, token) is None
-            while known and token in self.left:
-                made, token = self.made[token], self.left[token]
-                lost = self._since(last, token)
-                known = lost is None or lost > made
+            known = self._open(last, token)
             if len(self.arcs) > ARCS:
                 self.arcs.clear()  # in place: a caller may hold it
             self.arcs[key] = known
@@ -275,8 +279,9 @@ def _both(path: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in encode(batches):
-            checked = next(decode(iter([batch])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), checked.column("n_tokens"), batch.column("ids"), checked.column("ids_sha256"), checked.column("decoded_sha256")], ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
+            checked = pa.Table.from_batches(list(decode(iter([batch])))).combine_chunks()
+            digests = [checked.column(c).chunk(0) for c in ("n_tokens", "ids_sha256", "decoded_sha256")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), *digests], ["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 
@@ -285,7 +290,7 @@ def encode_and_check(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Rows doc_id, n_tokens, ids, ids_sha256, decoded_sha256: ids with the digest of what they decode to."""
     small_batches(docs.sparkSession)
     flat = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return flat.mapInArrow(_both(tokenizer_path), "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
+    return flat.mapInArrow(_both(tokenizer_path), "doc_id long, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op6_bpe_automaton(spark, sf_dir: str) -> DataFrame:
