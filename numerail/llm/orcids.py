@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, n_shuffle
-from .pieces import Cutter, PartCache, literal, mark_of, special_tokens
+from .common import fresh_path, n_shuffle, small_batches
+from .pieces import MARKS, Cutter, PartCache, groups_of, literal, mark_of, special_tokens
 
 END_ID = 0
 STRIPE_BYTES = 16 << 20
@@ -34,7 +34,7 @@ ORC_OPTIONS = {
     "orc.encoding.strategy": "SPEED",
 }
 #: Parts that a worker keeps, and parts in one text for the library.
-CACHE_LIMIT, AT_ONCE = 300_000, 2000
+CACHE_LIMIT, AT_ONCE = 250_000, 2000
 
 
 class ChunkEncoder:
@@ -51,24 +51,25 @@ class ChunkEncoder:
         self.lengths = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), dtype=np.int64)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.lengths[i] = len(token)
-        self.marks = {m: np.array(self.tokenizer.encode(m, add_special_tokens=False).ids, dtype="<u4").tobytes() for m in ",.;:!?"}
+        self.marks = {m: np.array(self.tokenizer.encode(m, add_special_tokens=False).ids, dtype="<u4").tobytes() for m in MARKS}
         self.cache = PartCache(CACHE_LIMIT, self._encode_new)
 
     def _encode_new(self, new: set[str], cache: dict[str, bytes]) -> None:
         """Encodes many parts in one text: those that encode alike after any
         other are told apart by the ids' byte lengths; others are texts of their
         own. A part that ends with a mark has the ids of the rest, and the mark's."""
-        marked = [k for k in new if mark_of(k)]
+        marked = [k for k in new if k[-1] in MARKS and mark_of(k)]
         plain = new.difference(marked)
         plain.update(b for k in marked if (b := k[:-1]) not in cache)
         joined = [k for k in plain if k[0] != " "]
         alone = [k for k in plain if k[0] == " "]
         encode = self.tokenizer.encode_batch_fast
         groups = [joined[i : i + AT_ONCE] for i in range(0, len(joined), AT_ONCE)]
-        texts = [list(map(literal, g)) for g in groups]
-        for keys, parts, e in zip(groups, texts, encode(["".join(t) for t in texts], add_special_tokens=False), strict=True):
+        texts = [[k if k[0] == "\n" else " " + k for k in g] for g in groups]
+        blocks = ["".join(t) for t in texts]
+        for keys, parts, block, e in zip(groups, texts, blocks, encode(blocks, add_special_tokens=False), strict=True):
             ids = np.array(e.ids, dtype="<u4")
-            ends = np.cumsum([len(t.encode()) for t in parts])
+            ends = np.cumsum(list(map(len, parts if block.isascii() else map(str.encode, parts))))
             upto = np.cumsum(self.lengths[ids])
             cuts = np.searchsorted(upto, ends) + 1
             if cuts[-1] != len(ids) or (upto[cuts - 1] != ends).any():
@@ -100,9 +101,10 @@ def _encode(path: str):
         encoder = _LOADED[path]
         end = np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = [e + end for e in encoder.encode([t or "" for t in part.column("text").to_pylist()])]
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            for at, to in groups_of(texts):
+                part = batch.slice(at, to - at)
+                ids = [e + end for e in encoder.encode(texts[at:to])]
                 offsets = np.concatenate([[0], np.cumsum([len(i) // 4 for i in ids])]).astype(np.int32)
                 values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(ids))])
                 yield pa.RecordBatch.from_arrays([part.column("part"), part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), values)], ["part", "doc_id", "ids"])
@@ -126,6 +128,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, path: str) -> str:
     their text; repeated rows are kept; an empty table gives empty files.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     flat = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # the sort runs within ranges of doc_id, which follow one another by their number
     ranges = flat.repartitionByRange(n_shuffle(spark), "doc_id").sortWithinPartitions("doc_id", "text")
