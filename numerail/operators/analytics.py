@@ -118,11 +118,11 @@ def overlaps(df: DataFrame, key: list[str], row_id: str, start: str, end: str, w
     keep both the copies and the comparisons in proportion to the input and the result.
     """
     cells = F.sequence(F.expr(f"{start} div {width}"), F.expr(f"({end} - 1) div {width}"))
-    cut = df.where(F.col(end) > F.col(start)).select(*key, F.col(row_id).alias("id"), F.col(start).alias("s"), F.col(end).alias("e"), F.explode(cells).alias("cell"))
+    cut = df.where(F.col(end) > F.col(start)).select(*key, F.col(row_id).alias("_id"), F.col(start).alias("_s"), F.col(end).alias("_e"), F.explode(cells).alias("_cell"))
     x, y = cut.alias("x"), cut.alias("y")
-    on = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in [*key, "cell"]] + [F.col("x.id") < F.col("y.id"), F.col("x.s") < F.col("y.e"), F.col("y.s") < F.col("x.e")]
-    met = x.join(y, on).where(F.expr(f"greatest(x.s, y.s) div {width} = x.cell"))
-    return met.select(*[F.col(f"x.{k}").alias(k) for k in key], F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    on = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in [*key, "_cell"]] + [F.col("x._id") < F.col("y._id"), F.col("x._s") < F.col("y._e"), F.col("y._s") < F.col("x._e")]
+    met = x.join(y, on).where(F.expr(f"greatest(x._s, y._s) div {width} = x._cell"))
+    return met.select(*[F.col(f"x.{k}").alias(k) for k in key], F.col("x._id").alias("a"), F.col("y._id").alias("b"))
 
 
 def neighbours(table: DataFrame, x: str, y: str, points: DataFrame, at: str) -> DataFrame:
