@@ -459,7 +459,7 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     found = jaccard_components(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
     found = stored(found, "jaccard-kept")
     single = docs.join(bounded_broadcast(found.where("_rows = 1").select("doc_id"), BROADCAST_IDS), "doc_id", "left_semi")
-    several = docs.join(found.where("_rows > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    several = docs.join(bounded_broadcast(found.where("_rows > 1").select("doc_id"), BROADCAST_IDS), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return single.unionByName(several).unionByName(docs.where("doc_id is null"))
 
 
