@@ -36,7 +36,7 @@ def length_for(n: int, factors: tuple[int, ...] = (1,)) -> int:
     return min(f << max(0, (-(-n // f) - 1).bit_length()) for f in factors)
 
 
-def ntt(x: np.ndarray, p: int, inverse: bool = False) -> np.ndarray:
+def transform_mod(x: np.ndarray, p: int, inverse: bool = False) -> np.ndarray:
     """Transform of a power-of-two length modulo p < 2^31, in vectorised passes.
 
     Stockham's form: each pass joins halves of ever longer runs, so there is
@@ -64,7 +64,7 @@ def ntt(x: np.ndarray, p: int, inverse: bool = False) -> np.ndarray:
 
 
 def cyclic_product(x: np.ndarray, y: np.ndarray, p: int) -> np.ndarray:
-    return ntt(ntt(x, p) * ntt(y, p) % np.uint64(p), p, inverse=True)
+    return transform_mod(transform_mod(x, p) * transform_mod(y, p) % np.uint64(p), p, inverse=True)
 
 
 def residue_planes(df: DataFrame, primes: list[int]) -> DataFrame:
@@ -96,7 +96,7 @@ def garner_limbs(primes: list[int], digits: list[Column], base: int = BASE) -> l
     return [sum(out[k][1:], out[k][0]) for k in sorted(out)]
 
 
-def multiplied_ntt(a: DataFrame, b: DataFrame, primes: list[int] | None = None) -> DataFrame:
+def multiplied_by_transforms(a: DataFrame, b: DataFrame, primes: list[int] | None = None) -> DataFrame:
     """Product of numbers by transforms modulo several primes, one task per number and prime.
 
     The primes' product must exceed terms * (base - 1)^2. The recombination and
@@ -152,7 +152,7 @@ def four_step(df: DataFrame, rows: int, cols: int, p: int, inverse: bool = False
         w = pow(w, p - 2, p)
 
     def transform(v: np.ndarray, length: int) -> np.ndarray:
-        out = ntt(v, p, inverse)
+        out = transform_mod(v, p, inverse)
         return out  # the scale of each side makes up that of the whole
 
     def columns(key, f: pd.DataFrame) -> pd.DataFrame:

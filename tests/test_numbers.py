@@ -70,7 +70,7 @@ def test_products(a, c):
     want = {k: A[k] * C[k] for k in A}
     assert nb.to_ints(pr.convolved(a, c)) == want
     assert nb.to_ints(pr.multiplied(a, c, size=16)) == want
-    assert nb.to_ints(tf.multiplied_ntt(a, c)) == want
+    assert nb.to_ints(tf.multiplied_by_transforms(a, c)) == want
     assert nb.to_ints(pr.multiplied(a, c, plus=a, size=16)) == {k: want[k] + A[k] for k in A}
     assert nb.to_ints(pr.multiplied(a, c, high=20, size=8)) == {k: want[k] % B**20 for k in A}
     assert nb.to_ints(pr.convolved(a, c, cycle=9))["u"] % (B**9 - 1) == want["u"] % (B**9 - 1)
@@ -134,7 +134,7 @@ def test_transforms(spark):
     x = np.array([R.randrange(p) for _ in range(64)])
     w = tf.root_of_unity(64, p)
     want = [sum(int(v) * pow(w, i * k, p) for i, v in enumerate(x)) % p for k in range(64)]
-    assert tf.ntt(x, p).tolist() == want and tf.ntt(tf.ntt(x, p), p, True).tolist() == x.tolist()
+    assert tf.transform_mod(x, p).tolist() == want and tf.transform_mod(tf.transform_mod(x, p), p, True).tolist() == x.tolist()
     df = spark.createDataFrame([(i, int(v)) for i, v in enumerate(x)], "idx long, v long")
     assert [r["v"] for r in tf.four_step(df, 8, 8, p).orderBy("idx").collect()] == want
     assert tf.bounds_ok(1000, tf.transform_primes(3)) and not tf.bounds_ok(1000, tf.transform_primes(1))
