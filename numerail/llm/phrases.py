@@ -400,3 +400,18 @@ def dedup_substrings(docs: DataFrame, keep: list[str] | None = None) -> DataFram
 
 def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return dedup_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")
+
+
+#: The same in DuckDB: all windows, the smallest document of each, and the words outside removed ones.
+OP8_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w),
+h AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM p),
+f AS (SELECT h, min(doc_id) AS first FROM h GROUP BY h),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j FROM h JOIN f USING (h) WHERE first < doc_id),
+o AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS j FROM w),
+k AS (SELECT o.doc_id, count(*) AS n_words, count(g.j) AS n_removed, coalesce(string_agg(x, ' ' ORDER BY o.j) FILTER (g.j IS NULL), '') AS kept
+      FROM o LEFT JOIN g ON g.doc_id = o.doc_id AND g.j = o.j GROUP BY o.doc_id)
+SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN k USING (doc_id)
+"""

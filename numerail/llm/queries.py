@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from .bpe import op6_bpe_automaton
-from .jaccard import op1_ngram_jaccard
+from .jaccard import OP1_SQL, op1_ngram_jaccard
 from .langid import op3_language_id
 from .mixing import OP7_SQL, op7_mix_sources
 from .mpeg import op5_mpeg_media
 from .orcids import op9_orc_token_ids
-from .phrases import op8_substring_dedup
+from .phrases import OP8_SQL, op8_substring_dedup
 from .sharding import op2_shard
 from .spotsigs import OP4_SQL, op4_spotsigs
 from .toolcalls import OP10_SQL, op10_tool_calls
@@ -30,4 +30,10 @@ def queries():
 
 
 def oracle_sql():
-    return {"op4_spotsigs": OP4_SQL, "op7_mix_sources": OP7_SQL, "op10_tool_calls": OP10_SQL}
+    return {
+        "op1_ngram_jaccard": OP1_SQL,
+        "op4_spotsigs": OP4_SQL,
+        "op7_mix_sources": OP7_SQL,
+        "op8_substring_dedup": OP8_SQL,
+        "op10_tool_calls": OP10_SQL,
+    }
