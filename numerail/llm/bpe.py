@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import hold, small_batches
 from .pieces import MARKS, Cutter, PartCache, groups_of, literal, mark_of, special_tokens
 
 #: Most entries of a worker's caches of parts (words with what surrounds them) and of arcs.
@@ -211,6 +211,7 @@ _LOADED: dict[str, Bpe] = {}
 
 def loaded(path: str) -> Bpe:
     """The automaton of a file, compiled once in a worker."""
+    hold("bpe", _LOADED.clear)
     if path not in _LOADED:
         _LOADED[path] = Bpe(path)
     return _LOADED[path]

@@ -83,7 +83,7 @@ def bounded_broadcast(df: DataFrame, limit_rows: int) -> DataFrame:
 class WordHashes(dict):
     """64-bit hash of each word (bytes), kept up to a fixed number of words."""
 
-    LIMIT = 300_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -95,6 +95,19 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+#: The worker's word hashes, for all operators that hash words.
+WORDS = WordHashes()
+_held: dict = {}
+
+
+def hold(name: str, drop) -> None:
+    """Called where a task starts that keeps a cache in the worker: what other
+    operators kept there is dropped, so a worker holds one such cache."""
+    for other in [n for n in _held if n != name]:
+        _held.pop(other)()
+    _held[name] = drop
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads all bits (xor-shift, multiply)."""
     x = x ^ (x >> np.uint64(32))

@@ -33,7 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bounded_broadcast, components, drop_stored, mix64, n_shuffle, stored
+from .common import WORDS as HASHES
+from .common import bounded_broadcast, components, drop_stored, hold, mix64, n_shuffle, stored
 
 WORDS = 5
 #: The threshold as a fraction.
@@ -46,7 +47,6 @@ FLUSH_ROWS = 1_000_000
 CHUNK_BYTES = 24 << 20
 #: Up to so many ids, counted at run time, are broadcast to pick the texts of clusters.
 BROADCAST_IDS = 1_000_000
-_WORDS = WordHashes()
 
 
 def shingle_set(text: str | None, k: int = WORDS) -> np.ndarray:
@@ -54,7 +54,7 @@ def shingle_set(text: str | None, k: int = WORDS) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, dtype=np.uint64)
-    h = _WORDS.of(words)
+    h = HASHES.of(words)
     n = min(k, len(h))
     s = np.full(len(h) - n + 1, n, dtype=np.uint64)
     for i in range(n):
@@ -104,6 +104,7 @@ META = "doc_id long, n long, hi long, lo long, bits binary, chunk int, counts bi
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of documents, and at the end this task's part of the sketch."""
+    hold("words", HASHES.clear)
     counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
     names = [f.split(" ")[0] for f in META.split(", ")]
     types = [pa.int64()] * 4 + [pa.binary(), pa.int32(), pa.binary()]
@@ -172,6 +173,7 @@ def _prefixes(classes: np.ndarray, buckets: int):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "keys", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("words", HASHES.clear)
         keys, ids, rows, seen = [], [], 0, set()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -352,6 +354,7 @@ def _tiles(table: pa.Table) -> pa.Table:
 
 
 def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hold("words", HASHES.clear)
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import hold, small_batches
 
 #: Bounds of the sample of labelled documents that the model is fitted on, and of the model.
 SAMPLE_DOCS = 600  # of each language
@@ -21,7 +21,7 @@ MOST = {0: 12_000, 4: 10_000, 3: 8_000, 2: 2_000, 1: 400}  # entries of each lan
 UNKNOWN = "und"
 WORDS = re.compile(r"[^\W\d_]+")
 #: Entries of a worker's table of words (and what surrounds them); longer ones are not kept.
-CACHE_CELLS, KEEP_CHARS = 2_000_000, 48
+CACHE_CELLS, KEEP_CHARS = 1_500_000, 48
 
 
 def held_out(doc_id):
@@ -141,6 +141,7 @@ class Scorer:
 
 def _predict(model: LanguageModel, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("language", dict)
         scorer = Scorer(model)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, n_shuffle, small_batches
+from .common import fresh_path, hold, n_shuffle, small_batches
 from .pieces import MARKS, Cutter, PartCache, groups_of, literal, mark_of, special_tokens
 
 END_ID = 0
@@ -96,6 +96,7 @@ def _encode(path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        hold("orc", _LOADED.clear)
         if path not in _LOADED:  # kept for the worker's later tasks
             _LOADED[path] = ChunkEncoder(path)
         encoder = _LOADED[path]

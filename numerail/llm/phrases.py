@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bounded_broadcast, drop_stored, mix64, n_shuffle, stored
+from .common import WORDS, bounded_broadcast, drop_stored, hold, mix64, n_shuffle, stored
 
 WINDOW, PHRASE = 50, 20
 FLUSH_ROWS = 1_000_000
@@ -36,13 +36,12 @@ FLUSH_ROWS = 1_000_000
 PORTION = 4_000
 #: Up to so many ids, counted at run time, are broadcast to pick texts.
 BROADCAST_IDS = 1_000_000
-_WORDS = WordHashes()
 #: Letters that stand for words in automata: one plane of code points without surrogates.
 LETTERS = 0x10000
 
 
 def hashes(words: list[bytes]) -> np.ndarray:
-    return _WORDS.of(words)
+    return WORDS.of(words)
 
 
 def rolling(h: np.ndarray, n: int) -> np.ndarray:
@@ -125,6 +124,7 @@ def _phrases(buckets: int):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 5000], strict=True), types, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("words", WORDS.clear)
         keys, ids, rows = [], [], 0
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -180,6 +180,7 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     names = [f.split(" ")[0] for f in STRETCH.split(", ")]
     types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.bool_()]
+    hold("words", WORDS.clear)
     earlier: dict[int, int] = {}
     rows: list[tuple] = []
 
@@ -314,6 +315,7 @@ def _settle(rows: list[tuple]) -> list[tuple[int, int, int]]:
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Settles the stretches of a task, which come sorted by phrase, portion by portion."""
+    hold("words", WORDS.clear)
     rows: list[tuple] = []
     last = None
 
