@@ -120,4 +120,12 @@ SQL = {
         walk AS (SELECT id, dep, 1 AS n FROM e UNION ALL SELECT w.id, e.dep, n + 1 FROM walk w JOIN e ON e.id = w.dep WHERE n < 200)
         SELECT DISTINCT id FROM walk WHERE n = 200""",
     "gate_counts": "SELECT CASE WHEN o_orderstatus <> 'F' AND o_totalprice > 1000 AND o_orderpriority <> '1-URGENT' THEN 'PASS' ELSE 'FAIL' END AS gate, count(*) AS n FROM orders GROUP BY ALL",
+    "number_compare_all": """WITH
+        a AS (SELECT s_nationkey AS k, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS idx, abs(round(s_acctbal * 100)::BIGINT) % 1000000 AS x FROM supplier),
+        b AS (SELECT c_nationkey AS k, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS idx, abs(round(c_acctbal * 100)::BIGINT) % 1000000 AS y FROM customer),
+        j AS (SELECT coalesce(a.k, b.k) AS k, coalesce(a.idx, b.idx) AS idx, sign(coalesce(x, 0) - coalesce(y, 0)) AS s FROM a FULL JOIN b ON a.k = b.k AND a.idx = b.idx)
+        SELECT k::VARCHAR AS num, coalesce(arg_max(s, idx) FILTER (s <> 0), 0)::INT AS cmp FROM j GROUP BY k""",
+    "dependency_cycles_all": """WITH RECURSIVE e AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 10 < 9 THEN c_custkey + 1 WHEN c_custkey // 10 % 3 = 0 THEN c_custkey - 6 ELSE -1 END AS dep FROM customer),
+        walk AS (SELECT id, dep, 1 AS n FROM e UNION ALL SELECT w.id, e.dep, n + 1 FROM walk w JOIN e ON e.id = w.dep WHERE n < 20)
+        SELECT DISTINCT id FROM walk WHERE n = 20""",
 }

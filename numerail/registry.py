@@ -54,9 +54,18 @@ def number_sub_borrow(spark, sf_dir):
 
 
 def number_compare(spark, sf_dir):
+    """``number_compare_all`` with the customers whose key is a multiple of 10 only, as its SQL has it."""
+    return _balances_compared(spark, sf_dir, _t(spark, sf_dir, "customer").where("c_custkey % 10 = 0"))
+
+
+def number_compare_all(spark, sf_dir):
     """For each nation, the number of its suppliers' balances against that of its customers'."""
+    return _balances_compared(spark, sf_dir, _t(spark, sf_dir, "customer"))
+
+
+def _balances_compared(spark, sf_dir, customers):
     s = _t(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("string").alias("num"), F.col("s_suppkey").alias("k"), (F.abs(_cents("s_acctbal")) % nb.BASE).alias("limb"))
-    c = _t(spark, sf_dir, "customer").where("c_custkey % 10 = 0").select(F.col("c_nationkey").cast("string").alias("num"), F.col("c_custkey").alias("k"), (F.abs(_cents("c_acctbal")) % nb.BASE).alias("limb"))
+    c = customers.select(F.col("c_nationkey").cast("string").alias("num"), F.col("c_custkey").alias("k"), (F.abs(_cents("c_acctbal")) % nb.BASE).alias("limb"))
     idx = (F.row_number().over(Window.partitionBy("num").orderBy("k")) - 1).cast("long")
     return nb.compared(s.withColumn("idx", idx).drop("k"), c.withColumn("idx", idx).drop("k"))
 
@@ -258,12 +267,22 @@ def first_mismatch(spark, sf_dir):
 
 
 def dependency_cycles(spark, sf_dir):
-    """Customers' referral edges (each needs another): those that no order can place."""
+    """Referral edges of the customers whose key is no multiple of 3, as its SQL has it: those that no order can place."""
     c = _t(spark, sf_dir, "customer").where("c_custkey % 3 <> 0")
     edges = c.select(F.col("c_custkey").alias("id"), ((F.col("c_custkey") * 7 + 3) % 101).alias("dep"))
     return mf.cyclic(edges)
 
 
+def dependency_cycles_all(spark, sf_dir):
+    """Referral edges of all customers: those that no order can place.
+
+    In each ten a customer needs the next; the last needs the fourth in every third ten, else an id that nobody has.
+    """
+    k = F.col("c_custkey")
+    last = F.when(F.expr("c_custkey div 10 % 3 = 0"), k - 6).otherwise(F.lit(-1))
+    return mf.cyclic(_t(spark, sf_dir, "customer").select(k.alias("id"), F.when(k % 10 < 9, k + 1).otherwise(last).alias("dep")))
+
+
 def gate_counts(spark, sf_dir):
     o = _t(spark, sf_dir, "orders")
     said = an.gate(F.col("o_orderstatus") != "F", F.col("o_totalprice") > 1000, F.col("o_orderpriority") != "1-URGENT")
@@ -282,7 +301,7 @@ QUERIES = (
     residue_parts, first_vs_max_metric, verdict_case, fingerprint, slow_outlier, node_screen, median_max, arm_summary, paired_diff,
     topology_rollup, window_span, rle_islands, span_groups, interval_overlap, registry_drift, anti_join, precedence, interpolate, wilson,
     kv_json, digit_chunks, natural_sort, hostlist, log_metrics, replica_pivot, part_contiguity, first_mismatch, dependency_cycles,
-    gate_counts, e_digits,
+    gate_counts, e_digits, number_compare_all, dependency_cycles_all,
 )
 
 
