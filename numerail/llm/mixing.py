@@ -70,7 +70,7 @@ def mix(docs: DataFrame, total_share: float = 1.5, cap: float = 2.0, keep: list[
     this brings the taken words nearer to the target. The threshold hash is
     found without sorting: a histogram of words by source and the top 12 bits
     gives the bucket in which the budget ends, and only this bucket is refined
-    by the next 12 bits, down to all 60. Rows with equal ids share their hash
+    by the next 12 bits, down to all 60. A source of size 0 takes none. Rows with equal ids share their hash
     and are taken together. Null ids hash as ''; null sources are one source;
     null or empty texts have size 0 and are taken like others; an empty table
     gives an empty result. Extra columns are ignored.
@@ -93,8 +93,9 @@ def mix(docs: DataFrame, total_share: float = 1.5, cap: float = 2.0, keep: list[
         histogram = inside.groupBy("sk", "budget", "low", "taken", bucket.alias("bucket")).agg(F.sum("size").alias("words"))
         run = Window.partitionBy("sk").orderBy("bucket")
         histogram = histogram.withColumn("upto", F.col("taken") + F.sum("words").over(run)).withColumn("since", F.col("upto") - F.col("words"))
-        # a bucket of many hashes fits whole or is refined; a single hash goes where it brings the sum nearer
-        fits = F.col("upto") <= F.col("budget") if shift else F.col("since") + F.col("upto") < 2 * F.col("budget")
+        # a bucket of many hashes fits whole or is refined; a single hash goes where it brings the sum nearer.
+        # The whole source is never below its budget, so each source has a bucket to refine, also one without words
+        fits = F.col("upto") < F.col("budget") if shift else F.col("since") + F.col("upto") < 2 * F.col("budget")
         after = histogram.groupBy("sk", "budget").agg(
             F.coalesce(F.min(F.when(~fits, F.col("bucket"))), F.max("bucket") + F.lit(1 << shift)).alias("low"),
             F.max(F.when(fits, F.col("upto")).otherwise(F.col("taken"))).alias("taken"),

@@ -153,6 +153,25 @@ def test_mix_comes_near_its_targets(spark):
     assert (abs(sums["taken"] - sums["target"]) <= 60).all() and out["repeats"].max() <= 2
 
 
+def test_mix_keeps_sources_without_words(spark):
+    texts = {"a": "one two three", "blank": " ", None: None, "c": ""}
+    rows = [(i, list(texts.values())[i % 4], "en", list(texts)[i % 4], 0, 0, "", 0, 0) for i in range(40)]
+    for part in (rows, [r for r in rows if r[3] != "a"], [r for r in rows if r[3] == "blank"]):
+        df = spark.createDataFrame(part, SCHEMA)
+        for keep in (None, ["text"]):
+            got = mixing.mix(df, keep=keep).collect()
+            assert sorted(r["doc_id"] for r in got) == sorted(r[0] for r in part)
+            assert all(r["repeats"] == 0 for r in got if r["size"] == 0)
+        want = in_duckdb(mixing.OP7_SQL, df)
+        assert Counter((r["doc_id"], r["source_size"], r["target"], r["size"] * r["repeats"]) for r in got) == Counter((int(r.doc_id), int(r.source_size), r.target, int(r.taken)) for r in want.itertuples())
+
+
+def test_mix_takes_no_document_a_third_time(spark):
+    rows = [(i, "one two" if i % 3 == 1 else " ", "en", "s", 0, 0, "", 0, 0) for i in range(60)]
+    out = mixing.mix(spark.createDataFrame(rows, SCHEMA), total_share=2.0).collect()
+    assert len(out) == 60 and {r["repeats"] for r in out} == {2}
+
+
 def test_mix_of_nothing(empty):
     assert mixing.mix(empty).count() == 0
 
