@@ -16,7 +16,7 @@ from .common import hold, small_batches
 
 #: Bounds of the sample of labelled documents that the model is fitted on, and of the model.
 SAMPLE_DOCS = 600  # of each language
-MAX_LANGUAGES = 500
+FULL_LANGUAGES = 500  # with more, each has fewer entries, so that entries times languages stay as many
 MOST = {0: 12_000, 4: 10_000, 3: 8_000, 2: 2_000, 1: 400}  # entries of each language: words (0), n-grams by length
 UNKNOWN = "und"
 WORDS = re.compile(r"[^\W\d_]+")
@@ -75,24 +75,31 @@ class LanguageModel:
         return known
 
 
+def entries(languages: int) -> dict[int, int]:
+    """MOST for so many languages; ten of each kind at least."""
+    less = min(1.0, (FULL_LANGUAGES / max(1, languages)) ** 2)
+    return {n: max(10, int(k * less)) for n, k in MOST.items()}
+
+
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LanguageModel:
     """Learns from documents that are not held out and have lang and text.
 
     About ``sample_docs`` documents of each language are taken by a hash of
-    their id (all, if there are fewer); the model keeps the most frequent
-    entries (MOST). So what comes to the driver has a fixed bound.
+    their id (all, if there are fewer), of every language that there is; the
+    model keeps the most frequent entries of each, fewer where there are very
+    many languages (``entries``), which bounds what comes to the driver.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = labelled.groupBy("lang").count().collect()
     if not counts:
         return LanguageModel([], {})
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, sample_docs / r["count"]))])
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, sample_docs / r["count"])) for r in counts], "lang string, share double")
     u = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0
-    sample = labelled.where(u < F.coalesce(F.element_at(share, F.col("lang")), F.lit(0.0))).select("lang", "text")
+    sample = labelled.join(F.broadcast(shares), "lang").where(u < F.col("share")).select("lang", "text")
     sums = sample.mapInArrow(_count, "lang string, n int, gram string, k long").groupBy("lang", "n", "gram").agg(F.sum("k").alias("k"))
     sums = sums.withColumn("total", F.sum("k").over(Window.partitionBy("lang", "n")))
     place = F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("k"), "gram"))
-    most = F.create_map(*[F.lit(x) for pair in MOST.items() for x in pair])
+    most = F.create_map(*[F.lit(x) for pair in entries(len(counts)).items() for x in pair])
     rows = sums.withColumn("place", place).where(F.col("place") <= F.element_at(most, F.col("n"))).collect()
     return LanguageModel([(r["lang"], r["n"], r["gram"], r["k"]) for r in rows], {(r["lang"], r["n"]): r["total"] for r in rows})
 

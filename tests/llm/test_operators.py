@@ -211,6 +211,18 @@ def test_language_accuracy_on_held_out_documents(spark):
     assert good >= 0.98 * out.count() > 0
 
 
+def test_every_language_is_learned(spark):
+    names = [f"l{i:03d}" for i in range(520)]
+    word = lambda i: "".join(chr(0x4E00 + 26 * i + j) for j in (3, 7, 11))
+    rows = [(i * 10 + j, " ".join([word(i)] * 5), names[i], "s", 0, 0, "", 0, 0) for i in range(520) for j in range(4)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    model = langid.fit(df)
+    assert model.languages == sorted({names[i // 10] for i, *_ in rows if zlib.crc32(str(i).encode()) % 4 != 2})
+    assert len(model.languages) > 500
+    assert langid.predict(df, model, ["text", "lang"]).where("lang <> lang_pred").where(F.col("lang").isin(model.languages)).count() == 0
+    assert langid.entries(4) == langid.entries(500) == langid.MOST
+
+
 def test_language_of_awkward_texts(docs, empty):
     model = langid.fit(docs)
     out = langid.predict(docs, model, ["doc_id", "text"]).collect()
