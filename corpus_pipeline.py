@@ -13,14 +13,22 @@ from numerail.llm import bpe, jaccard, langid, mixing, phrases
 from numerail.llm.common import stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Documents whose language is told with less than this are rejected; 'und' always is.
-MIN_SCORE = 0.4
+#: Documents whose language is told with less than this are rejected, or with less than CHANCES times chance if that is lower.
+MIN_SCORE, CHANCES = 0.4, 1.6
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter, and those whose language is unclear."""
-    found = langid.predict(docs, langid.fit(docs), COLUMNS)
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(*COLUMNS)
+    """Drops documents without a letter, and those whose language is unclear.
+
+    A document stays where the model has nothing to say: no language could be
+    learned, or none of its words and n-grams is known (all languages score alike).
+    """
+    model = langid.fit(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
+    chance = 1.0 / len(model.languages)
+    clear = (F.col("score") >= min(MIN_SCORE, CHANCES * chance)) | (F.col("score") <= chance + 1e-9)
+    return langid.predict(docs, model, COLUMNS).where((F.col("lang_pred") != langid.UNKNOWN) & clear).select(*COLUMNS)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
