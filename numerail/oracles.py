@@ -128,4 +128,8 @@ SQL = {
     "dependency_cycles_all": """WITH RECURSIVE e AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 10 < 9 THEN c_custkey + 1 WHEN c_custkey // 10 % 3 = 0 THEN c_custkey - 6 ELSE -1 END AS dep FROM customer),
         walk AS (SELECT id, dep, 1 AS n FROM e UNION ALL SELECT w.id, e.dep, n + 1 FROM walk w JOIN e ON e.id = w.dep WHERE n < 20)
         SELECT DISTINCT id FROM walk WHERE n = 20""",
+    "long_product": f"""WITH {_TWO},
+        x AS (SELECT list_prepend(0::HUGEINT, list(limb::HUGEINT ORDER BY idx DESC)) AS x FROM a), y AS (SELECT list_prepend(0::HUGEINT, list(limb::HUGEINT ORDER BY idx DESC)) AS y FROM b)
+        SELECT 's' AS num, (({_fold("x", "1000000::HUGEINT", P0)}) * ({_fold("y", "1000000::HUGEINT", P0)}) % {P0}::HUGEINT)::VARCHAR AS r0,
+               (({_fold("x", "1000000::HUGEINT", P1)}) * ({_fold("y", "1000000::HUGEINT", P1)}) % {P1}::HUGEINT)::VARCHAR AS r1 FROM x, y""",
 }

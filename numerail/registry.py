@@ -296,12 +296,25 @@ def e_digits(spark, sf_dir):
     return chunks(se.e_digits(spark, 2000), 2001, 50).select("chunk_no", "text")
 
 
+def long_product(spark, sf_dir):
+    """The product of the orders' and the customers' number, whole, by the grid of blocks: its residues."""
+    r = rs.limbs_mod(pr.multiplied(*_two_numbers(spark, sf_dir)), [SMALL_PRIME, LARGE_PRIME])
+    return r.select("num", F.col("r0").cast("string").alias("r0"), F.col("r1").cast("string").alias("r1"))
+
+
+def e_digits_long(spark, sf_dir):
+    """100000 decimals of e, whose terms fill several leaves and two levels of the splitting, as chunks of 50 digits."""
+    from .sources.digits import digit_chunks as chunks
+
+    return chunks(se.e_digits(spark, 100_000), 100_001, 50).select("chunk_no", "text")
+
+
 QUERIES = (
     limb_residue, number_add_carry, number_sub_borrow, number_compare, convolution_small, block_product, cyclic_fold, exclusive_prefix,
     residue_parts, first_vs_max_metric, verdict_case, fingerprint, slow_outlier, node_screen, median_max, arm_summary, paired_diff,
     topology_rollup, window_span, rle_islands, span_groups, interval_overlap, registry_drift, anti_join, precedence, interpolate, wilson,
     kv_json, digit_chunks, natural_sort, hostlist, log_metrics, replica_pivot, part_contiguity, first_mismatch, dependency_cycles,
-    gate_counts, e_digits, number_compare_all, dependency_cycles_all,
+    gate_counts, e_digits, number_compare_all, dependency_cycles_all, long_product, e_digits_long,
 )
 
 

@@ -1,8 +1,11 @@
 """Queries that have to use every row of their tables, against brute force."""
 
+import sys
+
 import duckdb
 
 from numerail import registry
+from numerail.operators import series
 
 SF = "/root/testdata/sf0.001"
 
@@ -32,3 +35,16 @@ def test_cycles_of_all_customers(spark):
             del left[k]
     assert {k % 3 for k in left} == {0, 1, 2} and len(left) < len(ids)
     assert sorted(r["id"] for r in registry.dependency_cycles_all(spark, SF).collect()) == sorted(left)
+
+
+def test_long_digits_of_e_by_levels(spark):
+    terms = series.terms_for(100_000)
+    assert terms > 5 * series.LEAF
+    one = 10**100_020
+    total = term = one
+    for k in range(1, terms + 1):
+        term //= k
+        total += term
+    sys.set_int_max_str_digits(0)
+    text = "".join(r["text"] for r in registry.e_digits_long(spark, SF).orderBy("chunk_no").collect())
+    assert text == str(total // 10**20)
