@@ -6,16 +6,21 @@ as one state with a loop for each byte. A merge (u, v) -> w applies a gadget:
 the state q which arcs of u enter is copied, the copy loses its arc of v, arcs
 of u enter the copy instead, and each state with an arc of u gets an arc of w
 to where v led. As all arcs of a token enter one state, a state is known by the
-token that enters it, and the transition table needs one entry per merge: the
-arc lost and when. Arcs looked up are kept in a bounded table.
-A word's tokens are the labels of its only path. Decoding emits the labels.
+token that enters it, and the arcs need one entry per merge: the arc lost and
+when.
+
+Words are read byte by byte. Every start of a word has one tokenization, the
+start of no other path, so the automaton is also one over bytes: its state is
+the token that ends here and the arcs under way, each with the place in the
+tree of labels that it has reached. The transitions (state, byte) -> state are
+a table, filled as they first come up; a word is walked once, and its tokens
+are read off the states from the end. Decoding emits the labels.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import hold, small_batches
-from .pieces import MARKS, Cutter, PartCache, groups_of, literal, mark_of, special_tokens
+from .pieces import MARKS, START, Cutter, PartTable, groups_of, literal, special_tokens
 
-#: Most entries of a worker's caches of parts (words with what surrounds them) and of arcs.
-PARTS, ARCS = 250_000, 250_000
+#: Most entries of a worker's tables: parts (words with what surrounds them), and states over bytes.
+PARTS, STATES = 600_000, 150_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -39,11 +44,11 @@ def byte_letters() -> dict[int, str]:
 
 
 class TokenAutomaton:
-    """The automaton of a vocabulary and its merges (pairs of token strings)."""
+    """The automaton of a vocabulary (labels as bytes) and its merges (pairs of labels)."""
 
-    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]):
+    def __init__(self, vocab: dict[bytes, int], merges: list[tuple[bytes, bytes]]):
         self.vocab = dict(vocab)
-        self.text = {i: t for t, i in vocab.items()}
+        self.length = {i: len(t) for t, i in vocab.items()}
         self.states = 1
         self.enters: dict[int, int] = {i: 0 for t, i in vocab.items() if len(t) == 1}
         self.left: dict[int, int] = {}
@@ -52,14 +57,31 @@ class TokenAutomaton:
         self.lost: dict[int, int] = {}
         for at, (a, b) in enumerate(merges):
             self._gadget(at, self.vocab[a], self.vocab[b], self.vocab[a + b])
-        self.arcs: dict[int, bool] = {}
-        # each start of a token, with the token that it is or -1
-        self.starts: dict[str, int] = {}
+        # the tree of labels: (node, byte) -> node, and of each node its token or -1 and whether it goes on
+        self.child: dict[int, int] = {}
+        self.token, self.inner = [-1], [True]
         for t, i in self.vocab.items():
             if i in self.enters:
-                for n in range(1, len(t)):
-                    self.starts.setdefault(t[:n], -1)
-                self.starts[t] = i
+                self._grow(t, i)
+        self._forget()
+
+    def _grow(self, label: bytes, token: int) -> None:
+        node = 0
+        for c in label:
+            self.inner[node] = True
+            after = self.child.get(node << 8 | c)
+            if after is None:
+                after = self.child[node << 8 | c] = len(self.token)
+                self.token.append(-1)
+                self.inner.append(False)
+            node = after
+        self.token[node] = token
+
+    def _forget(self) -> None:
+        """Empties the table of states over bytes; state 0 is the start of a word."""
+        self.last, self.under_way = [-1], [()]
+        self.number: dict[tuple, int] = {}
+        self.moves: dict[int, int] = {}
 
     def _gadget(self, at: int, u: int, v: int, w: int) -> None:
         if u not in self.enters or v not in self.enters or not self._open(u, v):
@@ -94,54 +116,52 @@ class TokenAutomaton:
         return open_
 
     def arc(self, last: int, token: int) -> bool:
-        """Whether the state that ``last`` enters has an arc of ``token``.
+        """Whether the state that ``last`` enters (-1: the first) has an arc of ``token``.
 
         An arc of a merged token was added where its left part had an arc at
         that time; so along the left parts, none may have been lost before.
         """
-        key = last << 32 | token
-        known = self.arcs.get(key)
-        if known is None:
-            known = self._open(last, token)
-            if len(self.arcs) > ARCS:
-                self.arcs.clear()  # in place: a caller may hold it
-            self.arcs[key] = known
-        return known
-
-    def encode_word(self, word: str) -> list[int]:
-        """The labels of the path that spells a word of byte letters.
-
-        Longer labels are tried first; a place that has no way on is marked
-        and left, so the time is linear in the word but for such places.
-        """
-        starts, arcs = self.starts, self.arcs
-        whole = starts.get(word, -1)
-        if whole >= 0:
-            return [whole]
-        path: list[int] = []
-        at, end, dead = 0, len(word), None
-        while at < end:
-            fit, n = [], at + 1
-            while n <= end and (token := starts.get(word[at:n])) is not None:
-                if token >= 0:
-                    fit.append((n, token))
-                n += 1
-            for n, token in reversed(fit):
-                if path:
-                    open_ = arcs.get(path[-1] << 32 | token)
-                    if not (self.arc(path[-1], token) if open_ is None else open_):
-                        continue
-                if dead and (n, token) in dead:
-                    continue
-                path.append(token)
-                at = n
-                break
-            else:
-                if not path:
-                    raise ValueError(f"no path spells {word!r}")
-                dead = dead or set()
-                dead.add((at, path[-1]))
-                at -= len(self.text[path.pop()])
+        return last < 0 or self._open(last, token)
+
+    def _move(self, state: int, byte: int) -> int:
+        """Adds the transition of a state by a byte to the table."""
+        ends, under_way = -1, []
+        for node, since in (*self.under_way[state], (0, self.last[state])):
+            after = self.child.get(node << 8 | byte)
+            if after is None:
+                continue
+            token = self.token[after]
+            if token >= 0 and ends < 0 and self.arc(since, token):
+                ends = token  # no other arc can end here
+            if self.inner[after]:
+                under_way.append((after, since))
+        if ends < 0:
+            raise ValueError(f"no path spells a word with the byte {byte}")
+        key = (ends, *under_way)
+        to = self.number.get(key)
+        if to is None:
+            to = self.number[key] = len(self.last)
+            self.last.append(ends)
+            self.under_way.append(key[1:])
+        self.moves[state << 8 | byte] = to
+        return to
+
+    def encode_word(self, word: bytes) -> list[int]:
+        """The labels of the path that spells a word: one look-up for each byte."""
+        if len(self.last) > STATES:
+            self._forget()
+        moves, last, length = self.moves, self.last, self.length
+        state, ends = 0, []
+        for c in word:
+            to = moves.get(state << 8 | c)
+            state = self._move(state, c) if to is None else to
+            ends.append(last[state])
+        path, at = [], len(word)
+        while at:
+            token = ends[at - 1]
+            path.append(token)
+            at -= length[token]
+        path.reverse()
         return path
 
 
@@ -153,46 +173,37 @@ class Bpe:
 
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
-        self.automaton = TokenAutomaton(model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]])
-        self.words = ByteLevel(add_prefix_space=False).pre_tokenize_str
+        self.byte = {c: b for b, c in byte_letters().items()}
         specials = special_tokens(path)
-        self.cut = Cutter(specials)
-        back = {c: b for b, c in byte_letters().items()}
-        labels = {i: bytes(back[c] for c in t) for i, t in self.automaton.text.items()} | {i: t.encode() for t, i in specials.items()}
+        label = {t: bytes(self.byte[c] for c in t) for t in model["vocab"] if t not in specials}
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        self.automaton = TokenAutomaton({label[t]: i for t, i in model["vocab"].items() if t in label}, [(label[a], label[b]) for a, b in merges])
+        self.words = ByteLevel(add_prefix_space=False).pre_tokenize_str
+        labels = {i: t for t, i in self.automaton.vocab.items()} | {i: t.encode() for t, i in specials.items()}
         # arc labels end to end, and their places
         self.label_bytes = np.frombuffer(b"".join(labels.get(i, b"") for i in range(max(labels) + 1)), dtype=np.uint8)
         self.label_length = np.array([len(labels.get(i, b"")) for i in range(max(labels) + 1)], dtype=np.int64)
         self.label_start = np.cumsum(self.label_length) - self.label_length
         self.decimal = np.array([f"{i}," for i in range(max(labels) + 1)], dtype="S")
-        self.letters = byte_letters()
-        self.specials = {" " + t: np.array([i], dtype="<u4").tobytes() for t, i in specials.items()}
-        self.marks = {m: struct.pack("<I", self.automaton.vocab[m]) for m in MARKS}
-        self.cache = PartCache(PARTS, self._encode_new)
+        self.specials = {START + t: i for t, i in specials.items()}
+        self.table = PartTable(Cutter(specials), PARTS, self._encode_new, {m: self.automaton.vocab[m.encode()] for m in MARKS})
 
-    def _ids(self, key: str) -> bytes:
+    def _ids(self, key: str) -> list[int]:
         """Ids of a key: of its words, if it is not all Latin letters and so one word."""
-        if key[0] not in " \n" and key.isalpha() and max(key) < "\u0250":
-            words = ["\u0120" + (key if key.isascii() else "".join(map(self.letters.__getitem__, key.encode())))]
-        else:
-            words = [w for w, _ in self.words(literal(key))]
-        found = [i for w in words for i in self.automaton.encode_word(w)]
-        return struct.pack(f"<{len(found)}I", *found)
-
-    def _encode_new(self, new: set[str], cache: dict[str, bytes]) -> None:
-        for key in new:
-            if key in self.specials:
-                cache[key] = self.specials[key]
-                continue
-            mark = mark_of(key)
-            base = key[:-1] if mark else key
-            if base not in cache:
-                cache[base] = self._ids(base)
-            if mark:
-                cache[key] = cache[base] + self.marks[mark]
+        if key in self.specials:
+            return [self.specials[key]]
+        if key[0] not in "\r\n" and key.isalpha() and max(key) < "\u0250":
+            return self.automaton.encode_word(b" " + key.encode())
+        words = (bytes(map(self.byte.__getitem__, w)) for w, _ in self.words(literal(key)))
+        return [i for w in words for i in self.automaton.encode_word(w)]
+
+    def _encode_new(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ids = [self._ids(k) for k in new.to_pylist()]
+        return np.array([len(i) for i in ids], dtype=np.int64), np.array([x for i in ids for x in i], dtype=np.int32)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids as little-endian unsigned 32-bit integers."""
-        return self.cache.join([self.cut(t) for t in texts])
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, ids) of the texts."""
+        return self.table.encode(texts)
 
     def decode(self, ids: np.ndarray) -> str:
         """The text whose bytes are the labels of the arcs."""
@@ -217,43 +228,44 @@ def loaded(path: str) -> Bpe:
     return _LOADED[path]
 
 
+def _encoded(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.ListArray]]:
+    bpe = loaded(path)
+    for batch in batches:
+        texts = batch.column("text").fill_null("")
+        for at, to in groups_of(texts):
+            offsets, ids = bpe.encode(texts.slice(at, to - at))
+            yield batch.column("doc_id").slice(at, to - at), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
+
+
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(path)
-        for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for at, to in groups_of(texts):
-                part = batch.slice(at, to - at)
-                ids = bpe.encode(texts[at:to])
-                offsets = np.concatenate([[0], np.cumsum([len(i) // 4 for i in ids])]).astype(np.int32)
-                values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(ids))])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), values)], ["doc_id", "ids"])
+        for doc_id, ids in _encoded(path, batches):
+            yield pa.RecordBatch.from_arrays([doc_id, ids], ["doc_id", "ids"])
 
     return run
 
 
+def _checked(bpe: Bpe, ids: pa.ListArray) -> tuple[list[pa.Array], list[str]]:
+    """n_tokens, ids_sha256 and decoded_sha256 of lists of ids, and the decoded texts."""
+    offsets = ids.offsets.to_numpy()
+    every = ids.values.to_numpy(zero_copy_only=False)
+    lists = [every[x:y] for x, y in zip(offsets[:-1], offsets[1:], strict=True)]
+    texts = [bpe.decode(i) for i in lists]
+    sha = [hashlib.sha256(bpe.decimals(i)).hexdigest() for i in lists]
+    return [pa.array(np.diff(offsets).astype(np.int64)), pa.array(sha, pa.string()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string())], texts
+
+
+CHECKED = ["n_tokens", "ids_sha256", "decoded_sha256"]
+
+
 def _decode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                ids = part.column("ids")
-                offsets = ids.offsets.to_numpy()
-                every = ids.values.to_numpy(zero_copy_only=False)
-                lists = [every[x:y] for x, y in zip(offsets[:-1], offsets[1:], strict=True)]
-                ids_sha = [hashlib.sha256(bpe.decimals(i)).hexdigest() for i in lists]
-                texts = [bpe.decode(i) for i in lists]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"),
-                        pa.array([len(i) for i in lists], pa.int64()),
-                        pa.array(ids_sha),
-                        pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts]),
-                        pa.array(texts),
-                    ],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "decoded"],
-                )
+                digests, texts = _checked(bpe, part.column("ids"))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *digests, pa.array(texts, pa.string())], ["doc_id", *CHECKED, "decoded"])
 
     return run
 
@@ -275,27 +287,29 @@ def decode_ids(ids: DataFrame, tokenizer_path: str) -> DataFrame:
     return ids.select("doc_id", "ids").mapInArrow(_decode(tokenizer_path), schema)
 
 
-def _both(path: str):
-    encode, decode = _encode(path), _decode(path)
-
+def _both(path: str, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in encode(batches):
-            checked = pa.Table.from_batches(list(decode(iter([batch])))).combine_chunks()
-            digests = [checked.column(c).chunk(0) for c in ("n_tokens", "ids_sha256", "decoded_sha256")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), *digests], ["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"])
+        bpe = loaded(path)
+        for doc_ids, ids in _encoded(path, batches):
+            for at in range(0, len(ids), 256):
+                part = ids.slice(at, 256)
+                digests, _ = _checked(bpe, part)
+                yield pa.RecordBatch.from_arrays([doc_ids.slice(at, 256), *digests, *([part] if keep_ids else [])], ["doc_id", *CHECKED, *(["ids"] if keep_ids else [])])
 
     return run
 
 
-def encode_and_check(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """Rows doc_id, n_tokens, ids, ids_sha256, decoded_sha256: ids with the digest of what they decode to."""
+def encode_and_check(docs: DataFrame, tokenizer_path: str, keep_ids: bool = True) -> DataFrame:
+    """Rows doc_id, n_tokens, ids_sha256, decoded_sha256 and ids (if wanted): ids
+    with digests of them and of what they decode to. Encoding and decoding are
+    one pass; rows are as those of ``encode_texts``."""
     small_batches(docs.sparkSession)
     flat = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return flat.mapInArrow(_both(tokenizer_path), "doc_id long, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return flat.mapInArrow(_both(tokenizer_path, keep_ids), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
 
 
 def op6_bpe_automaton(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return decode_ids(encode_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), path), path).drop("decoded")
+    return encode_and_check(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, keep_ids=False)

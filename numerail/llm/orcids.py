@@ -1,11 +1,12 @@
 """Token ids in ORC files: run-length coded stripes, row indexes, Bloom filters.
 
 Documents are written in ascending doc_id order, a range of ids to a file.
-Each row is a document: doc_id, ids. ORC codes the ids of a stripe as runs of
-integers (RLE version 2), keeps minimum and maximum of doc_id per stripe and
-per row group, and a Bloom filter of doc_id per row group. A reader opens
-stripes in parallel, and a look-up by doc_id reads only the stripes and row
-groups whose statistics and filters admit it.
+Each row is a document: its file's number, its place in the file, doc_id, ids.
+ORC codes the ids of a stripe as runs of integers (RLE version 2), keeps
+minimum and maximum of doc_id per stripe and per row group, and a Bloom filter
+of doc_id per row group. A reader opens stripes in parallel, and a look-up by
+doc_id reads only the stripes and row groups whose statistics and filters
+admit it.
 """
 
 from __future__ import annotations
@@ -15,11 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, hold, n_shuffle, small_batches
-from .pieces import MARKS, Cutter, PartCache, groups_of, literal, mark_of, special_tokens
+from .common import fresh_path, hold, n_shuffle, small_batches, stored
+from .pieces import MARKS, START, Cutter, PartTable, gathered, groups_of, literal, special_tokens
 
 END_ID = 0
 STRIPE_BYTES = 16 << 20
@@ -33,12 +35,15 @@ ORC_OPTIONS = {
     "orc.stripe.size": str(STRIPE_BYTES),
     "orc.encoding.strategy": "SPEED",
 }
+FILE_SCHEMA = "part int, place long, doc_id long, ids array<int>"
 #: Parts that a worker keeps, and parts in one text for the library.
-CACHE_LIMIT, AT_ONCE = 250_000, 2000
+CACHE_LIMIT, AT_ONCE = 600_000, 2000
+#: Documents of a block of running sums.
+BLOCK = 65_536
 
 
 class ChunkEncoder:
-    """Ids of texts by the tokenizers library, each distinct chunk encoded once while cached."""
+    """Ids of texts by the tokenizers library, each distinct part encoded once while it is kept."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -46,46 +51,49 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.cut = Cutter(special_tokens(path))
         # of byte-level tokens each letter is a byte; special tokens are plain text
         self.lengths = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), dtype=np.int64)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.lengths[i] = len(token)
-        self.marks = {m: np.array(self.tokenizer.encode(m, add_special_tokens=False).ids, dtype="<u4").tobytes() for m in MARKS}
-        self.cache = PartCache(CACHE_LIMIT, self._encode_new)
+        marks = {m: self.tokenizer.encode(m, add_special_tokens=False).ids[0] for m in MARKS}
+        self.table = PartTable(Cutter(special_tokens(path)), CACHE_LIMIT, self._encode_new, marks)
 
-    def _encode_new(self, new: set[str], cache: dict[str, bytes]) -> None:
+    def _encode_new(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Encodes many parts in one text: those that encode alike after any
-        other are told apart by the ids' byte lengths; others are texts of their
-        own. A part that ends with a mark has the ids of the rest, and the mark's."""
-        marked = [k for k in new if k[-1] in MARKS and mark_of(k)]
-        plain = new.difference(marked)
-        plain.update(b for k in marked if (b := k[:-1]) not in cache)
-        joined = [k for k in plain if k[0] != " "]
-        alone = [k for k in plain if k[0] == " "]
+        other are told apart by the ids' byte lengths; others are texts of their own."""
         encode = self.tokenizer.encode_batch_fast
-        groups = [joined[i : i + AT_ONCE] for i in range(0, len(joined), AT_ONCE)]
-        texts = [[k if k[0] == "\n" else " " + k for k in g] for g in groups]
-        blocks = ["".join(t) for t in texts]
-        for keys, parts, block, e in zip(groups, texts, blocks, encode(blocks, add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, dtype="<u4")
-            ends = np.cumsum(list(map(len, parts if block.isascii() else map(str.encode, parts))))
-            upto = np.cumsum(self.lengths[ids])
+        starts = pc.starts_with(new, START)
+        order = pc.array_sort_indices(starts.cast(pa.int8())).to_numpy()  # joined ones first
+        new, n = new.take(pa.array(order)), len(new) - pc.sum(starts).as_py()
+        # the text of a joined part is a space and the part, but a newline needs no space
+        size = (pc.binary_length(new).to_numpy() + ~pc.starts_with(new, "\n").to_numpy(zero_copy_only=False)).astype(np.int64)
+        at = np.append(np.arange(0, n, AT_ONCE), n)
+        groups = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), new.slice(0, n))
+        blocks = [(" " + b).replace(" \n", "\n") for b in pc.binary_join(groups, " ").to_pylist()]
+        lengths, ids, alone = [], [], []
+        for a, b, e in zip(at[:-1].tolist(), at[1:].tolist(), encode(blocks, add_special_tokens=False), strict=True):
+            found = np.array(e.ids, dtype=np.int32)
+            ends, upto = np.cumsum(size[a:b]), np.cumsum(self.lengths[found])
             cuts = np.searchsorted(upto, ends) + 1
-            if cuts[-1] != len(ids) or (upto[cuts - 1] != ends).any():
-                alone += keys
+            if cuts[-1] != len(found) or (upto[cuts - 1] != ends).any():
+                alone.append(len(lengths))
+                lengths.append(None)
+                ids.append(new.slice(a, b - a))
                 continue
-            data, at = ids.tobytes(), 0
-            for k, cut in zip(keys, (4 * cuts).tolist(), strict=True):
-                cache[k], at = data[at:cut], cut
-        for k, e in zip(alone, encode(list(map(literal, alone)), add_special_tokens=False), strict=True):
-            cache[k] = np.array(e.ids, dtype="<u4").tobytes()
-        for k in marked:
-            cache[k] = cache[k[:-1]] + self.marks[k[-1]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        return self.cache.join([self.cut(t) for t in texts])
+            lengths.append(np.diff(cuts, prepend=0))
+            ids.append(found)
+        alone.append(len(lengths))
+        lengths.append(None)
+        ids.append(new.slice(n))
+        for i in alone:
+            found = [np.array(e.ids, dtype=np.int32) for e in encode([literal(k) for k in ids[i].to_pylist()], add_special_tokens=False)]
+            lengths[i] = np.array([len(f) for f in found], dtype=np.int64)
+            ids[i] = np.concatenate([*found, np.zeros(0, dtype=np.int32)])
+        lengths, ids = np.concatenate(lengths), np.concatenate(ids)
+        return gathered(lengths, ids, np.argsort(order))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return self.table.encode(texts)
 
 
 _LOADED: dict[str, ChunkEncoder] = {}
@@ -99,47 +107,54 @@ def _encode(path: str):
         hold("orc", _LOADED.clear)
         if path not in _LOADED:  # kept for the worker's later tasks
             _LOADED[path] = ChunkEncoder(path)
-        encoder = _LOADED[path]
-        end = np.array([END_ID], dtype="<u4").tobytes()
+        encoder, place = _LOADED[path], 0
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
+            texts = batch.column("text").fill_null("")
             for at, to in groups_of(texts):
                 part = batch.slice(at, to - at)
-                ids = [e + end for e in encoder.encode(texts[at:to])]
-                offsets = np.concatenate([[0], np.cumsum([len(i) // 4 for i in ids])]).astype(np.int32)
-                values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(ids))])
-                yield pa.RecordBatch.from_arrays([part.column("part"), part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), values)], ["part", "doc_id", "ids"])
+                offsets, ids = encoder.encode(texts.slice(at, to - at))
+                ids = np.insert(ids, offsets[1:], END_ID)
+                offsets = offsets + np.arange(len(offsets))
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
+                places = pa.array(np.arange(place, place + to - at))
+                place += to - at
+                yield pa.RecordBatch.from_arrays([part.column("part"), places, part.column("doc_id"), lists], ["part", "place", "doc_id", "ids"])
 
     return run
 
 
+INDEX = "part int, place long, doc_id long, n_tokens long, ids_crc32 long"
+
+
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column("ids")
         at = ids.offsets.to_numpy()
         data = ids.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
-        crc = [zlib.crc32(data[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("doc_id"), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())], ["part", "doc_id", "n_tokens", "ids_crc32"])
+        crc = [zlib.crc32(data[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("part", "place", "doc_id")), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())], [f.split(" ")[0] for f in INDEX.split(", ")])
 
 
 def write_ids(docs: DataFrame, tokenizer_path: str, path: str) -> str:
     """Writes the ids of every text (null: empty), each with the end id, and returns the path.
 
-    Rows with a null doc_id come first; rows with equal ids are ordered by
-    their text; repeated rows are kept; an empty table gives empty files.
+    Rows with a null doc_id come first; rows with one id come in the order in
+    which they are read, in one file or in files that follow one another, so an
+    id that has very many rows is no burden. Repeated rows are kept; extra
+    columns are ignored, whatever their names; an empty table gives no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    flat = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # the sort runs within ranges of doc_id, which follow one another by their number
-    ranges = flat.repartitionByRange(n_shuffle(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    ids = ranges.withColumn("part", F.spark_partition_id()).mapInArrow(_encode(tokenizer_path), "part int, doc_id long, ids array<int>")
+    flat = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("at"))
+    # the sort runs within ranges, which follow one another by their number
+    ranges = flat.repartitionByRange(n_shuffle(spark), "doc_id", "at").sortWithinPartitions("doc_id", "at")
+    ids = ranges.select("doc_id", "text", F.spark_partition_id().alias("part")).mapInArrow(_encode(tokenizer_path), FILE_SCHEMA)
     ids.write.options(**ORC_OPTIONS).orc(path)
     return path
 
 
 def read_ids(spark, path: str) -> DataFrame:
-    return spark.read.schema("part int, doc_id long, ids array<int>").orc(path)
+    return spark.read.schema(FILE_SCHEMA).orc(path)
 
 
 def lookup(spark, path: str, doc_id: int) -> DataFrame:
@@ -148,18 +163,23 @@ def lookup(spark, path: str, doc_id: int) -> DataFrame:
 
 
 def id_index(ids: DataFrame) -> DataFrame:
-    """Rows doc_id, start, n_tokens, ids_crc32 from the files.
+    """Rows doc_id, start, n_tokens, ids_crc32 from the files, which are read once.
 
-    ``start`` counts the ids of all documents before, in two steps: running
-    sums within a range, and sums of whole ranges (one row each).
+    ``start`` counts the ids of all documents before, in the files' order
+    (part, place): running sums within a file, over blocks of BLOCK places, and
+    over whole files (one row each).
     """
-    rows = ids.mapInArrow(_digest, "part int, doc_id long, n_tokens long, ids_crc32 long")
-    per_part = rows.groupBy("part").agg(F.sum("n_tokens").alias("all"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = per_part.select(F.col("part"), F.coalesce(F.sum("all").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("part").orderBy("doc_id", "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.withColumn("inner", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(F.broadcast(base), "part")
-    return out.select("doc_id", (F.col("base") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32")
+    rows = stored(ids.mapInArrow(_digest, INDEX), "token-index").withColumn("block", F.floor(F.col("place") / BLOCK))
+    sums = rows.groupBy("part", "block").agg(F.sum("n_tokens").alias("all"))
+    files = sums.groupBy("part").agg(F.sum("all").alias("all"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select("part", F.coalesce(F.sum("all").over(earlier), F.lit(0)).alias("base"))
+    before = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = sums.withColumn("first", F.coalesce(F.sum("all").over(before), F.lit(0))).drop("all")
+    inside = Window.partitionBy("part", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.withColumn("inner", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
+    out = out.join(blocks, ["part", "block"]).join(F.broadcast(files), "part")
+    return out.select("doc_id", (F.col("base") + F.col("first") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op9_orc_token_ids(spark, sf_dir: str) -> DataFrame:

@@ -7,6 +7,8 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.orc
 import pytest
 from pyspark.sql import functions as F
 
@@ -304,9 +306,9 @@ def odd_texts(n=3000):
 def test_bpe_equals_the_library(library):
     texts = odd_texts() + [t or "" for _, t in ROWS]
     mine = bpe.Bpe(BPE)
-    for t, ids in zip(texts, mine.encode(texts), strict=True):
+    offsets, ids = mine.encode(pa.array(texts))
+    for t, got in zip(texts, np.split(ids, offsets[1:-1]), strict=True):
         want = library.encode(t, add_special_tokens=False).ids
-        got = np.frombuffer(ids, dtype="<u4")
         assert got.tolist() == want
         assert mine.decode(got) == library.decode(want, skip_special_tokens=False) == t
         assert mine.decimals(got) == ",".join(map(str, want)).encode()
@@ -315,7 +317,7 @@ def test_bpe_equals_the_library(library):
 def test_bpe_automaton_of_a_small_vocabulary():
     merges = [("a", "b"), ("ab", "c"), ("b", "c"), ("a", "a"), ("aa", "b"), ("c", "ab")]
     vocab = {t: i for i, t in enumerate(["a", "b", "c", *dict.fromkeys(x + y for x, y in merges)])}
-    machine = bpe.TokenAutomaton(vocab, merges)
+    machine = bpe.TokenAutomaton({t.encode(): i for t, i in vocab.items()}, [(x.encode(), y.encode()) for x, y in merges])
 
     def by_merging(word):
         parts = list(word)
@@ -329,15 +331,48 @@ def test_bpe_automaton_of_a_small_vocabulary():
     r = random.Random(9)
     for _ in range(3000):
         word = "".join(r.choice("abc") for _ in range(r.randrange(1, 12)))
-        assert machine.encode_word(word) == by_merging(word), word
+        assert machine.encode_word(word.encode()) == by_merging(word), word
+
+
+def test_words_are_walked_once_over_a_bounded_table(monkeypatch, library):
+    machine = bpe.Bpe(BPE).automaton
+    monkeypatch.setattr(bpe, "STATES", 200)
+    r = random.Random(6)
+    moved = []
+    monkeypatch.setattr(machine, "_move", lambda s, c, move=machine._move: moved.append(1) or move(s, c))
+    words = ["".join(r.choice("etaoinshrdlu") for _ in range(14)) for _ in range(400)]
+    for w in words:
+        before = len(moved)
+        assert machine.encode_word(b" " + w.encode()) == library.encode(" " + w, add_special_tokens=False).ids
+        assert len(moved) - before <= 15 and len(machine.last) <= 200 + 16  # a byte adds one move at most: nothing is tried twice
+    del moved[:]
+    machine.encode_word(b" " + words[-1].encode())
+    assert not moved  # all by the table
 
 
 def test_parts_give_back_the_text():
     cut = pieces.Cutter(["<|endoftext|>"])
-    for t in odd_texts():
+    texts = odd_texts()
+    odd = cut.odd(pa.array(texts))
+    for t, parts in zip([t for t, o in zip(texts, odd, strict=True) if not o], cut.plain(pa.array(texts).filter(pa.array(~odd))).to_pylist(), strict=True):
+        assert "".join(map(pieces.literal, parts)) == t
+    for t in texts:
         assert "".join(map(pieces.literal, cut(t))) == t
 
 
+@pytest.mark.parametrize("limit", [20, 10**6])
+def test_part_table_forgets_without_effect(library, monkeypatch, limit):
+    monkeypatch.setattr(orcids, "CACHE_LIMIT", limit)
+    monkeypatch.setattr(pieces, "HOT", 8)
+    encoder = orcids.ChunkEncoder(BPE)
+    texts = odd_texts(600) + ["word, word. word one, two three! one " * 3] * 5
+    for at in range(0, len(texts), 40):
+        some = texts[at : at + 40]
+        offsets, ids = encoder.encode(pa.array(some))
+        for t, got in zip(some, np.split(ids, offsets[1:-1]), strict=True):
+            assert got.tolist() == library.encode(t, add_special_tokens=False).ids
+
+
 def test_bpe_query_columns(docs, empty, library):
     out = bpe.decode_ids(bpe.encode_texts(docs, BPE), BPE).collect()
     want = Counter((i, hashlib.sha256(",".join(map(str, library.encode(t or "", add_special_tokens=False).ids)).encode()).hexdigest(), t or "") for i, t in ROWS)
@@ -345,10 +380,9 @@ def test_bpe_query_columns(docs, empty, library):
     assert bpe.encode_and_check(docs, BPE).count() == len(ROWS) and bpe.encode_texts(empty, BPE).count() == 0
 
 
-def test_orc_ids_equal_the_library(spark, docs, library, tmp_path):
+def test_orc_ids_equal_the_library(spark, docs, empty, library, tmp_path):
     path = orcids.write_ids(docs, BPE, str(tmp_path / "ids"))
     got = sorted((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in orcids.id_index(orcids.read_ids(spark, path)).collect())
-    # equal ids in the order of their texts' tokens: only sums and single ids are compared
     crc = lambda t: zlib.crc32(np.array(library.encode(t or "", add_special_tokens=False).ids + [0], dtype="<u4").tobytes())
     assert Counter((g[1], g[3]) for g in got) == Counter((i, crc(t)) for i, t in ROWS)
     at = 0
@@ -358,12 +392,64 @@ def test_orc_ids_equal_the_library(spark, docs, library, tmp_path):
     ids = [g[1] for g in got]
     assert ids[:2] == [None, None] and ids[2:] == sorted(ids[2:])
     assert orcids.lookup(spark, path, 23).first()["ids"] == library.encode("one two", add_special_tokens=False).ids + [0]
-
-
-def test_orc_files_have_bloom_filters_and_push_down(spark, docs, tmp_path):
-    path = orcids.write_ids(docs, BPE, str(tmp_path / "ids"))
+    nothing = orcids.write_ids(empty, BPE, str(tmp_path / "nothing"))
+    assert orcids.id_index(orcids.read_ids(spark, nothing)).count() == 0
+
+
+def orc_files(path):
+    return sorted(os.path.join(path, f) for f in os.listdir(path) if f.endswith(".orc"))
+
+
+def orc_footer(spark, path):
+    """Kinds of the streams and encodings of the columns of a file's first stripe."""
+    orc = spark._jvm.org.apache.orc.OrcFile
+    reader = orc.createReader(spark._jvm.org.apache.hadoop.fs.Path(path), orc.readerOptions(spark._jsc.hadoopConfiguration()))
+    footer = reader.rows().readStripeFooter(reader.getStripes().get(0))
+    return ({str(footer.getStreams(i).getKind()) for i in range(footer.getStreamsCount())}, [str(footer.getColumns(i).getKind()) for i in range(footer.getColumnsCount())])
+
+
+def scanned(df):
+    """Rows that the scan of a query made."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().apply("numOutputRows").value()
+
+
+def test_starts_are_places_in_the_files(spark, library, tmp_path, monkeypatch):
+    """Rows of one id with different texts too; ``start`` finds their ids in the files, end to end."""
+    monkeypatch.setattr(orcids, "BLOCK", 4)
+    texts = ["one", "one two three four five", "", "six seven"]
+    rows = [(7, texts[i % 4]) for i in range(40)] + [(i, prose(i, i % 9)) for i in range(30)] + [(None, "x y z")] * 3
+    path = orcids.write_ids(frame(spark, rows), BPE, str(tmp_path / "ids"))
+    tables = [pa.orc.read_table(f) for f in orc_files(path)]
+    lists = [x for t in sorted((t for t in tables if t.num_rows), key=lambda t: t.column("part")[0].as_py()) for x in t.column("ids").to_pylist()]
+    flat = np.array([i for x in lists for i in x], dtype="<u4")
+    found = orcids.id_index(orcids.read_ids(spark, path)).collect()
+    assert len(found) == len(rows) and sum(r["n_tokens"] for r in found) == len(flat)
+    for r in found:
+        assert zlib.crc32(flat[r["start"] : r["start"] + r["n_tokens"]].tobytes()) == r["ids_crc32"]
+    crc = lambda t: zlib.crc32(np.array(library.encode(t, add_special_tokens=False).ids + [0], dtype="<u4").tobytes())
+    assert Counter((r["doc_id"], r["ids_crc32"]) for r in found) == Counter((i, crc(t)) for i, t in rows)
+
+
+def test_orc_files_are_run_length_coded_with_filters(spark, tmp_path):
+    rows = [(i * 3, "a a a a a a a a " * 20) for i in range(5000)]
+    path = orcids.write_ids(frame(spark, rows), BPE, str(tmp_path / "ids"))
+    sizes, kept = 0, 0
+    for name in orc_files(path):
+        f = pa.orc.ORCFile(name)
+        assert f.compression.upper() == "LZ4" and f.row_index_stride == 1000
+        sizes, kept = sizes + os.path.getsize(name), kept + f.nrows
+        if f.nrows:
+            streams, encodings = orc_footer(spark, name)
+            assert "ROW_INDEX" in streams and any(x.startswith("BLOOM_FILTER") for x in streams)
+            assert encodings.count("DIRECT_V2") == 5  # part, place, doc_id, lengths and ids: integer run-length coding, version 2
+    tokens = orcids.id_index(orcids.read_ids(spark, path)).agg(F.sum("n_tokens")).first()[0]
+    assert kept == len(rows) and sizes < tokens // 4  # runs: far under a byte for an id
     plan = orcids.lookup(spark, path, 23)._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,23)]" in plan
+    # statistics leave one row group of a thousand rows; an id between their bounds that no row has is left out by the filters
+    assert 0 < scanned(orcids.lookup(spark, path, 2400 * 3)) <= 1000
+    assert sum(scanned(orcids.lookup(spark, path, 3 * i + 1)) > 0 for i in range(1000, 1020)) <= 3
 
 
 # chat
