@@ -4,11 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import weakref
-from collections.abc import Callable, Iterator
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,10 +18,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is absent (tests, a single machine) one is made.
+    Only where that setting is absent on a local master (tests) one is made; on
+    a cluster a folder of the driver's machine would lose rows, so it raises.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = getattr(spark, "_numerail_shared", None) or tempfile.mkdtemp(prefix="numerail-")
         spark._numerail_shared = path
     return path.rstrip("/")
@@ -117,12 +117,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def text_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Slices Arrow batches so that few texts are Python objects at one time."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            part = batch.slice(at, rows)
-            yield part, part.column("text").to_pylist()
+#: Far more rounds than any graph that fits a cluster needs.
+ROUNDS = 100
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -133,12 +129,13 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     to its smallest neighbour; in a small star, those below do. Each needs one
     minimum per node, which is combined before the shuffle, and one join, so
     no node's neighbours are gathered in a row. The rounds are logarithmic in
-    the number of nodes; each is written to the shared folder.
+    the number of nodes; each is written to the shared folder. It raises if
+    the labels still change after ROUNDS of them.
     """
     flat = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now = stored(flat, f"{name}-0")
     seen = None
-    for turn in range(1, 100):
+    for turn in range(1, ROUNDS + 1):
         sums = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1000000007)).first()
         if seen == tuple(sums) or not sums[0]:
             break
@@ -151,9 +148,10 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         after = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), f"{name}-{turn}")
         drop_stored(now)
         now = after
+    else:
+        raise RuntimeError(f"components of {name} are not settled after {ROUNDS} rounds")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots)
-
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots)
+    out._stored_path = now._stored_path
+    return out
 
-def map_arrow(df: DataFrame, f: Callable, schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)

@@ -19,8 +19,10 @@ sets with the token in their prefix, of this band or the next one.
    as it joins two components.
 5. Connected components of the links.
 
-Groups beyond a size in bytes, in 3 and 4, are cut into chunks, and each pair
-of chunks is a task of its own.
+Groups beyond a size in bytes or sets, in 3 and 4, are cut into chunks, and
+each pair of chunks is a group of its own, dealt by chunks too. The number of
+ranges of tokens, and of parts that a band's sets are gathered in, follows the
+counted bytes and sets.
 """
 
 from __future__ import annotations
@@ -43,8 +45,12 @@ SKETCH_BITS = 20
 #: Order of tokens by frequency: classes by powers of two of the sketch's count over its mean.
 CLASS_BITS = 3
 FLUSH_ROWS = 1_000_000
-#: Bytes of a group in one task; larger ones are cut into chunks.
-CHUNK_BYTES = 24 << 20
+#: Bytes and sets of a group in one task; larger ones are cut into chunks.
+CHUNK_BYTES, CHUNK_SETS = 24 << 20, 4096
+#: Bytes of packed prefixes that a range of tokens gets.
+BUCKET_BYTES = 16 << 20
+#: Groups that are cut, up to which their list is broadcast.
+CUT_GROUPS = 100_000
 #: Up to so many ids, counted at run time, are broadcast to pick the texts of clusters.
 BROADCAST_IDS = 1_000_000
 
@@ -99,7 +105,7 @@ def _fingerprint(tokens: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-META = "doc_id long, n long, hi long, lo long, bits binary, chunk int, counts binary"
+META = "doc_id long, th long, n long, hi long, lo long, bits binary, chunk int, counts binary"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,21 +113,21 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hold("words", HASHES.clear)
     counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
     names = [f.split(" ")[0] for f in META.split(", ")]
-    types = [pa.int64()] * 4 + [pa.binary(), pa.int32(), pa.binary()]
+    types = [pa.int64()] * 5 + [pa.binary(), pa.int32(), pa.binary()]
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
             rows, sets = [], []
-            for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+            for doc_id, th, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "th", "text")), strict=True):
                 s = shingle_set(text)
                 sets.append(s)
-                rows.append((doc_id, len(s), *_fingerprint(s), bitmap(s), None, None))
+                rows.append((doc_id, th, len(s), *_fingerprint(s), bitmap(s), None, None))
             every = np.concatenate(sets)
             counts += np.bincount((every >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
     if counts.any():
         parts = np.minimum(counts, 0xFFFF_FFFF).astype(np.uint32).reshape(64, -1)
-        rows = [(None, None, None, None, None, i, p.tobytes()) for i, p in enumerate(parts)]
+        rows = [(*[None] * 6, i, p.tobytes()) for i, p in enumerate(parts)]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
 
@@ -201,11 +207,12 @@ def _prefixes(classes: np.ndarray, buckets: int):
     return run
 
 
-def _shared_tokens(ranges: int):
+def _shared_tokens(ranges: np.ndarray, parts: np.ndarray):
     """Keeps the tokens that two or more sets of a tile have; packs them, with
-    their sets, by band and range: as many rows as there are of these."""
-    names = ["tband", "range", "ids", "tokens"]
-    types = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    their sets, by band, range and a hash of the set: at most as many rows as
+    there are of these. ``ranges`` and ``parts``: how many there are of each band."""
+    names = ["tband", "range", "part", "ids", "tokens"]
+    types = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
 
     def run(table: pa.Table) -> pa.Table:
         k = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in table.column("keys").to_pylist()])
@@ -228,21 +235,22 @@ def _shared_tokens(ranges: int):
             tile = np.cumsum(np.concatenate([[True], (token[1:] != token[:-1]) | (tb[1:] != tb[:-1])])) - 1
             many = np.bincount(tile)[tile] > 1
             token, tb, i = token[many], tb[many], i[many]
-        r = (mix64(token) >> np.uint64(17)) % np.uint64(ranges)
-        order = np.lexsort((r, tb))
-        token, tb, i, r = token[order], tb[order], i[order], r[order].astype(np.int64)
         if not len(token):
             return pa.Table.from_arrays([pa.array([], t) for t in types], names)
-        cuts = np.flatnonzero(np.concatenate([[True], (tb[1:] != tb[:-1]) | (r[1:] != r[:-1])]))
+        r = ((mix64(token) >> np.uint64(17)) % ranges[tb + 1]).astype(np.int64)
+        of = ((mix64(i.view(np.uint64)) >> np.uint64(11)) % parts[tb + 1]).astype(np.int64)
+        order = np.lexsort((of, r, tb))
+        token, tb, i, r, of = token[order], tb[order], i[order], r[order], of[order]
+        cuts = np.flatnonzero(np.concatenate([[True], (tb[1:] != tb[:-1]) | (r[1:] != r[:-1]) | (of[1:] != of[:-1])]))
         ends = np.append(cuts[1:], len(token))
         packed = [pa.array([x[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()) for x in (i, token)]
-        return pa.Table.from_arrays([pa.array(tb[cuts], types[0]), pa.array(r[cuts], types[1]), *packed], names)
+        return pa.Table.from_arrays([*(pa.array(x[cuts], pa.int32()) for x in (tb, r, of)), *packed], names)
 
     return run
 
 
 def _by_set(table: pa.Table) -> pa.Table:
-    """One row for each set of a band and range, with its tokens."""
+    """One row for each set of a band, range and part, with its tokens."""
     i = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in table.column("ids").to_pylist()])
     token = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in table.column("tokens").to_pylist()])
     order = np.argsort(i, kind="stable")
@@ -407,15 +415,37 @@ def _clusters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def in_blocks(rows: DataFrame, group: list[str], weight, by) -> DataFrame:
-    """Adds bi, bj: groups of more than CHUNK_BYTES are cut into chunks by a
-    hash, and a row of chunk c goes to the blocks of c with each chunk."""
-    sums = rows.groupBy(*group).agg(F.sum(weight).alias("_w")).where(F.col("_w") > CHUNK_BYTES)
-    cut = rows.join(sums.select(*group, F.ceil(F.col("_w") / CHUNK_BYTES).cast("int").alias("_k")), group, "left")
+    """Adds bi, bj: groups of more than CHUNK_BYTES or CHUNK_SETS are cut into
+    chunks by a hash, and a row of chunk c goes to the blocks of c with each
+    chunk. Blocks are dealt one by one, so those of a group are many tasks."""
+    chunks = F.ceil(F.greatest(F.sum(weight) / CHUNK_BYTES, F.count(F.lit(1)) / CHUNK_SETS)).cast("int")
+    cuts = stored(rows.groupBy(*group).agg(chunks.alias("_k")).where("_k > 1"), "jaccard-cuts")
+    cut = rows.join(bounded_broadcast(cuts, CUT_GROUPS), group, "left")
     chunk = F.pmod(F.xxhash64(by), F.col("_k")).cast("int")
     all_chunks = F.when(F.col("_k").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("_k") - 1))
     wide = cut.withColumn("_c", chunk).withColumn("_d", F.explode(all_chunks))
     alone = F.col("_k").isNull()
-    return wide.withColumn("bi", F.when(alone, 0).otherwise(F.least("_c", "_d"))).withColumn("bj", F.when(alone, 0).otherwise(F.greatest("_c", "_d"))).drop("_w", "_k", "_c", "_d")
+    blocks = wide.withColumn("bi", F.when(alone, 0).otherwise(F.least("_c", "_d"))).withColumn("bj", F.when(alone, 0).otherwise(F.greatest("_c", "_d"))).drop("_w", "_k", "_c", "_d")
+    # a join by group leaves all blocks of it in one task; this deals them anew
+    return blocks.repartition(n_shuffle(rows.sparkSession), *group, "bi", "bj")
+
+
+def _deal(meta: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """The number of ranges of packed prefixes, and the ranges and parts of each
+    band (from -1 on), by the bytes of the bands' prefixes and their sets."""
+    starts = F.array(*[F.lit(int(x)) for x in BANDS[1:]]).cast("array<bigint>")
+    of = meta.where("n > 0").select("n", F.size(F.filter(starts, lambda x: x <= F.col("n"))).alias("b"), (F.octet_length("bits") + 64).alias("bytes"))
+    prefix = F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1
+    found = of.groupBy("b").agg(F.count(F.lit(1)).alias("sets"), F.sum(16 * prefix).alias("packed"), F.sum(8 * prefix + F.col("bytes")).alias("bytes")).collect()
+    sets, size = (np.zeros(len(BANDS) + 2) for _ in range(2))
+    for r in found:  # a band's sets are in its tile and in the one below
+        for b in (r["b"], r["b"] + 1):
+            sets[b] += r["sets"]
+            size[b] += r["bytes"]
+    p = n_shuffle(meta.sparkSession)
+    buckets = max(4, p // 2, -(-int(sum(r["packed"] for r in found)) // BUCKET_BYTES))
+    ranges = np.maximum(max(1, p // 16), np.ceil(size / CHUNK_BYTES)).astype(np.uint64)
+    return buckets, ranges, np.maximum(1, np.ceil(sets / CHUNK_SETS)).astype(np.uint64)
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -423,33 +453,41 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     Null texts and texts without words have no shingles and stand alone.
     Equal sets are linked; repeated rows are kept, and rows with one id are one
-    node. A row with a null id takes part: its component is that of its set's
-    other rows, or null. Extra columns are ignored; an empty table gives none.
+    node, also where their texts differ. A row with a null id takes part: its
+    component is that of its set's other rows, or null. Texts may be of any
+    length. Extra columns are ignored; an empty table gives none.
     """
     spark = docs.sparkSession
     p = n_shuffle(spark)
-    flat = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # the hash of a text tells the texts of one id apart
+    flat = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     meta = stored(flat.mapInArrow(_scan, META), "jaccard-meta")
     classes = frequency_classes(meta)
     rows = meta.where("n is not null").select("doc_id", "n", "hi", "lo")
-    reps = stored(meta.where("n > 0").groupBy("n", "hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("bits").alias("bits")).where("rep is not null"), "jaccard-classes")
-    buckets, ranges = max(4, p // 2), max(1, p // 16)
-    packed = flat.mapInArrow(_prefixes(classes, buckets), "bucket int, keys binary, ids binary")
-    shared = packed.groupBy("bucket").applyInArrow(_shared_tokens(ranges), "tband int, range int, ids binary, tokens binary")
-    by_set = shared.groupBy("tband", "range").applyInArrow(_by_set, "tband int, range int, hi long, tokens binary")
-    tiles = by_set.join(reps.select("hi", "n", "bits"), "hi")
-    tiles = stored(tiles, "jaccard-tiles")
+    least = meta.where("n > 0 and doc_id is not null").groupBy("n", "hi", "lo").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.first("bits").alias("bits"))
+    reps = stored(least.select("n", "hi", "lo", F.col("rep.doc_id").alias("rep"), F.col("rep.th").alias("th"), "bits"), "jaccard-classes")
+    buckets, ranges, parts = _deal(meta)
+    packed = flat.select("text").mapInArrow(_prefixes(classes, buckets), "bucket int, keys binary, ids binary")
+    if buckets > p:
+        packed = packed.repartition(buckets, "bucket")
+    shared = packed.groupBy("bucket").applyInArrow(_shared_tokens(ranges, parts), "tband int, range int, part int, ids binary, tokens binary")
+    by_set = shared.groupBy("tband", "range", "part").applyInArrow(_by_set, "tband int, range int, hi long, tokens binary")
+    tiles = stored(by_set.join(reps.select("hi", "n", "bits"), "hi"), "jaccard-tiles")
     blocks = in_blocks(tiles, ["tband", "range"], F.length("bits") + F.length("tokens"), F.col("hi"))
     forest = stored(blocks.groupBy("tband", "range", "bi", "bj").applyInArrow(_tiles, "a long, b long").distinct(), "jaccard-forest")
     clusters = components(forest, "jaccard-clusters")
-    wanted = stored(reps.join(clusters, reps["hi"] == clusters["node"]).select(F.col("rep").alias("doc_id"), F.col("label").alias("cluster")).distinct(), "jaccard-wanted")
-    texts = flat.join(bounded_broadcast(wanted, BROADCAST_IDS), "doc_id").select("doc_id", "cluster", "text")
+    wanted = stored(reps.join(clusters, reps["hi"] == clusters["node"]).select(F.col("rep").alias("doc_id"), "th", F.col("label").alias("cluster")).distinct(), "jaccard-wanted")
+    texts = flat.join(bounded_broadcast(wanted, BROADCAST_IDS), ["doc_id", "th"]).select("doc_id", "cluster", "text")
     sets = stored(texts.mapInArrow(_sets_of, "doc_id long, cluster long, tokens binary"), "jaccard-sets")
-    by_cluster = in_blocks(sets, ["cluster"], F.length("tokens"), F.col("doc_id")).repartition(p, "cluster", "bi", "bj").sortWithinPartitions("cluster", "bi", "bj", "doc_id")
-    links = stored(by_cluster.mapInArrow(_clusters, "a long, b long").distinct(), "jaccard-links")
+    by_cluster = in_blocks(sets, ["cluster"], F.length("tokens"), F.struct("doc_id", F.xxhash64("tokens"))).sortWithinPartitions("cluster", "bi", "bj", "doc_id")
+    links = by_cluster.mapInArrow(_clusters, "a long, b long")
+    # an id with several sets is one node: it is linked with the first id of each of its sets
+    many = rows.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("n", "hi", "lo")).alias("x"), F.max(F.struct("n", "hi", "lo")).alias("y")).where("x <> y").select("doc_id")
+    same = rows.join(many, "doc_id").join(reps.select("n", "hi", "lo", "rep"), ["n", "hi", "lo"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    links = stored(links.unionByName(same).distinct(), "jaccard-links")
     labels = components(links, "jaccard-components")
-    drop_stored(tiles, forest, sets)
-    named = reps.join(labels, reps["rep"] == labels["node"], "left").select("n", "hi", "lo", F.coalesce("label", "rep").alias("component"))
+    named = stored(reps.join(labels, reps["rep"] == labels["node"], "left").select("n", "hi", "lo", F.coalesce("label", "rep").alias("component")), "jaccard-named")
+    drop_stored(tiles, forest, sets, wanted, reps, links, labels, clusters)
     out = rows.join(named, ["n", "hi", "lo"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
