@@ -5,16 +5,18 @@ document with a smaller id. Each window selects one of its 20-word phrases,
 the one with the least hash, so equal windows select equal phrases.
 
 1. Scan: the selected phrases of every document, packed by ranges of hashes;
-   phrases of one document only are dropped. What is left are the places where
-   passages may recur.
-2. The documents meet their places. Those without any keep all words. Of the
+   phrases of one document only are dropped. What is left are the phrases that
+   may recur, and the documents that have them.
+2. The documents meet their phrases. Those without any keep all words. Of the
    others, the stretch of text around each place (all windows that selected
-   the phrase) goes to the shard of its phrase; a stretch that an earlier
-   document of the same task has too is settled there.
-3. Each shard confirms the phrases whose words recur in different documents,
-   compiles them into an Aho-Corasick automaton (one letter a word), streams
-   its stretches through it, and finds for each window around each occurrence
-   the smallest document.
+   the phrase) goes to the shard of its phrase; a window that an earlier
+   document of the same task has too, word by word, is settled there.
+   Of a phrase with very many stretches only the windows whose digest recurs go
+   on, each to a shard of its own, so that equal windows meet and others do not.
+3. Each shard confirms the phrases that different documents have, compiles them
+   into an Aho-Corasick automaton (one letter a word), streams its stretches
+   through it, and finds for each window around each occurrence the smallest
+   document with the same words.
 4. The removed stretches meet their documents again.
 """
 
@@ -36,8 +38,12 @@ FLUSH_ROWS = 1_000_000
 PORTION = 4_000
 #: Up to so many ids, counted at run time, are broadcast to pick texts.
 BROADCAST_IDS = 1_000_000
-#: Letters that stand for words in automata: one plane of code points without surrogates.
-LETTERS = 0x10000
+#: Stretches of a phrase, beyond which its windows are dealt one by one.
+MANY = 4_000
+#: Windows that a task remembers, to settle those of later documents.
+REMEMBERED = 150_000
+#: Letters that stand for words in automata: code points above the surrogates.
+LETTERS = 0x100000
 
 
 def hashes(words: list[bytes]) -> np.ndarray:
@@ -91,83 +97,112 @@ def _split(text: str | None) -> list[bytes]:
 
 
 def _phrases(buckets: int):
-    """Packs (phrase hash, doc_id) of the places that windows select.
+    """Packs (phrase hash, doc_id, th) of the places that windows select.
 
     A phrase that several documents of a flush have recurs for sure: it comes
     out with each of them, and with two of them in the range of its hash. So a
     range gets two rows of a phrase from a flush at most, however common it is.
     """
-    names = ["bucket", "doc_id", "keys", "ids"]
-    types = [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-
-    def flush(keys: list, ids: list) -> Iterator[pa.RecordBatch]:
-        k, i = np.concatenate(keys), np.concatenate(ids)
-        order = np.lexsort((i, k))
-        k, i = k[order], i[order]
+    names = ["bucket", "doc_id", "th", "keys", "ids", "ths"]
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+
+    def flush(found: list) -> Iterator[pa.RecordBatch]:
+        k = np.concatenate([f[0] for f in found])
+        i, t = (np.repeat(np.array([f[c] for f in found], dtype=np.int64), [len(f[0]) for f in found]) for c in (1, 2))
+        order = np.lexsort((t, i, k))
+        k, i, t = k[order], i[order], t[order]
         new = np.concatenate([[True], k[1:] != k[:-1]])
         starts = np.flatnonzero(new)
         ends = np.append(starts[1:], len(k)) - 1
         several = (i[starts] != i[ends])[np.cumsum(new) - 1]
-        dk, di = k[several], i[several]
-        order = np.lexsort((dk, di))
-        dk, di = dk[order], di[order]
-        cuts = np.flatnonzero(np.concatenate([[True], di[1:] != di[:-1]])) if len(di) else np.zeros(0, dtype=np.int64)
-        rows = [(None, int(di[x]), dk[x:y].tobytes(), None) for x, y in zip(cuts, np.append(cuts[1:], len(di)), strict=True)] if len(di) else []
+        rows = [(None, d, h, x.tobytes(), None, None) for d, h, x in _by_text(k[several], i[several], t[several])]
         both = np.unique(np.concatenate([starts, ends]))
-        k, i = k[both], i[both]
+        k, i, t = k[both], i[both], t[both]
         b = (mix64(k) % np.uint64(buckets)).astype(np.int32)
         order = np.argsort(b, kind="stable")
-        k, i, b = k[order], i[order], b[order]
+        k, i, t, b = k[order], i[order], t[order], b[order]
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(b)) + 1, [len(b)]])
-        rows += [(int(b[x]), None, k[x:y].tobytes(), i[x:y].tobytes()) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+        rows += [(int(b[x]), None, None, k[x:y].tobytes(), i[x:y].tobytes(), t[x:y].tobytes()) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
         for at in range(0, len(rows), 5000):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 5000], strict=True), types, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("words", WORDS.clear)
-        keys, ids, rows = [], [], 0
+        found, rows = [], 0
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                for doc_id, th, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "th", "text")), strict=True):
                     words = _split(text)
                     if doc_id is None or len(words) < WINDOW:
                         continue
                     k = np.unique(least_in_windows(rolling(hashes(words), PHRASE)))
-                    keys.append(k)
-                    ids.append(np.full(len(k), doc_id, dtype=np.int64))
+                    found.append((k, doc_id, th))
                     rows += len(k)
                 if rows >= FLUSH_ROWS:
-                    yield from flush(keys, ids)
-                    keys, ids, rows = [], [], 0
+                    yield from flush(found)
+                    found, rows = [], 0
         if rows:
-            yield from flush(keys, ids)
+            yield from flush(found)
 
     return run
 
 
+def _by_text(k: np.ndarray, i: np.ndarray, t: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
+    """(doc_id, th, phrase hashes) of each text."""
+    if not len(k):
+        return []
+    order = np.lexsort((k, t, i))
+    k, i, t = k[order], i[order], t[order]
+    cuts = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (t[1:] != t[:-1])]))
+    return [(int(i[x]), int(t[x]), k[x:y]) for x, y in zip(cuts, np.append(cuts[1:], len(k)), strict=True)]
+
+
 def _recurring(table: pa.Table) -> pa.Table:
-    """For each document, its phrases of this range that other documents have too."""
+    """For each text, its phrases of this range that other documents have too."""
     k = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in table.column("keys").to_pylist()])
-    i = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in table.column("ids").to_pylist()])
-    order = np.lexsort((i, k))
-    k, i = k[order], i[order]
+    i, t = (np.concatenate([np.frombuffer(x, dtype=np.int64) for x in table.column(c).to_pylist()]) for c in ("ids", "ths"))
+    order = np.lexsort((t, i, k))
+    k, i, t = k[order], i[order], t[order]
     new = np.concatenate([[True], k[1:] != k[:-1]])
-    group = np.cumsum(new) - 1
     starts = np.flatnonzero(new)
     ends = np.append(starts[1:], len(k)) - 1
-    several = (i[starts] != i[ends])[group]  # smallest and largest document differ
-    k, i = k[several], i[several]
-    order = np.lexsort((k, i))
-    k, i = k[order], i[order]
-    if not len(k):
-        return pa.Table.from_arrays([pa.array([], pa.int64()), pa.array([], pa.binary())], ["doc_id", "keys"])
-    cuts = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
-    ends = np.append(cuts[1:], len(i))
-    return pa.Table.from_arrays([pa.array(i[cuts]), pa.array([k[x:y].tobytes() for x, y in zip(cuts, ends, strict=True)], pa.binary())], ["doc_id", "keys"])
+    several = (i[starts] != i[ends])[np.cumsum(new) - 1]  # smallest and largest document differ
+    rows = [(d, h, x.tobytes()) for d, h, x in _by_text(k[several], i[several], t[several])]
+    return pa.Table.from_arrays([pa.array([r[c] for r in rows], ty) for c, ty in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "th", "keys"])
+
+
+STRETCH = "doc_id long, th long, start int, first int, shard long, phrase int, words binary, settled boolean"
+
+
+def _rows(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    types = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}
+    names, kinds = zip(*(f.split(" ") for f in schema.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], types[k]) for c, k in enumerate(kinds)], list(names))
 
 
-STRETCH = "doc_id long, start int, first int, shard long, phrase int, words binary, settled boolean"
+class Earlier:
+    """Windows of a task's documents so far, which come in the order of doc_id."""
+
+    def __init__(self):
+        self.seen: dict[int, tuple[int, list, int]] = {}
+
+    def known(self, doc_id: int, hashes: list[int], words: list[bytes]) -> list[bool]:
+        """Whether an earlier document has each window of a stretch, with the same words."""
+        out, last = [], (None, -1)
+        for x, h in enumerate(hashes):
+            of, there, at = self.seen.setdefault(h, (doc_id, words, x))
+            if of < doc_id:
+                # next to the window compared before, one word is left to compare
+                equal = there[at + WINDOW - 1] == words[x + WINDOW - 1] if last == (id(there), at - 1) else there[at : at + WINDOW] == words[x : x + WINDOW]
+                out.append(equal)
+                last = (id(there), at) if equal else (None, -1)
+            else:
+                out.append(False)
+                last = (None, -1)
+        if len(self.seen) > REMEMBERED:  # only a shorter memory: what is not settled here is settled in the shards
+            self.seen.clear()
+        return out
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,23 +212,19 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     place, ``start`` of the first word, and the place of the phrase in it.
     The rows come in the order of doc_id, so a window that an earlier document
     of this task has is removed for sure: those come out settled, with no words.
+    A row that repeats the one before it adds nothing.
     """
-    names = [f.split(" ")[0] for f in STRETCH.split(", ")]
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.bool_()]
     hold("words", WORDS.clear)
-    earlier: dict[int, int] = {}
+    earlier, last = Earlier(), None
     rows: list[tuple] = []
-
-    def out():
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
-            for doc_id, text, packed in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), part.column("keys").to_pylist(), strict=True):
+            for doc_id, th, text, packed in zip(*(part.column(c).to_pylist() for c in ("doc_id", "th", "text", "keys")), strict=True):
                 words = _split(text)
-                if len(words) < WINDOW:
+                if len(words) < WINDOW or (doc_id, th) == last:
                     continue
+                last = doc_id, th
                 keys = np.unique(np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in packed]))
                 h = hashes(words)
                 place, p = selected(h)
@@ -205,8 +236,8 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 recur = np.flatnonzero(keys[there] == p[place[starts]])
                 for a, b in zip(starts[recur].tolist(), ends[recur].tolist(), strict=True):
                     at_phrase = int(place[a])
-                    key = p[at_phrase]
-                    known = [earlier.setdefault(x, doc_id) < doc_id for x in w[a:b].tolist()]
+                    key = int(p[at_phrase].astype(np.int64))
+                    known = earlier.known(doc_id, w[a:b].tolist(), words[a : b - 1 + WINDOW])
                     # runs of settled and of open windows
                     x = a
                     while x < b:
@@ -214,125 +245,176 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         while y < b and known[y - a] == known[x - a]:
                             y += 1
                         if known[x - a]:
-                            rows.append((doc_id, x, y - x, None, None, None, True))
+                            rows.append((doc_id, th, x, y - x, None, None, None, True))
                         else:
-                            rows.append((doc_id, x, y - x, int(key.astype(np.int64)), at_phrase - x, b"\n".join(words[x : y - 1 + WINDOW]), False))
+                            rows.append((doc_id, th, x, y - x, key, at_phrase - x, b"\n".join(words[x : y - 1 + WINDOW]), False))
                         x = y
             if len(rows) > 2000:
-                yield out()
+                yield _rows(STRETCH, rows)
                 rows = []
-            if len(earlier) > 250_000:  # only a shorter memory: what is not settled here is settled in the shards
-                earlier.clear()
     if rows:
-        yield out()
+        yield _rows(STRETCH, rows)
 
 
-class PhraseAutomaton:
-    """Aho-Corasick over words: a letter stands for a word, by its hash.
+DIGESTS = "doc_id long, th long, start int, at int, digest binary"
+
+
+def _windows(words: bytes, count: int) -> list[bytes]:
+    split = words.split(b"\n")
+    return [b"\n".join(split[x : x + WINDOW]) for x in range(count)]
+
 
-    ``hits`` are confirmed by the 64-bit hashes of the phrases' words.
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests of the words of each window."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            cols = [batch.slice(at, 512).column(c).to_pylist() for c in ("doc_id", "th", "start", "first", "words")]
+            yield _rows(DIGESTS, [(d, t, s, x, hashlib.md5(w).digest()) for d, t, s, n, words in zip(*cols, strict=True) for x, w in enumerate(_windows(words, n))])
+
+
+def _one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows ``at`` of each stretch as stretches of their own, in shards by their digest."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 128):
+            cols = [batch.slice(at, 128).column(c).to_pylist() for c in ("doc_id", "th", "start", "first", "phrase", "words", "at")]
+            rows = []
+            for doc_id, th, start, n, phrase, words, which in zip(*cols, strict=True):
+                cut = _windows(words, n)
+                rows += [(doc_id, th, start + x, 1, int.from_bytes(hashlib.md5(cut[x]).digest()[:8], "little", signed=True), phrase - x, cut[x], False) for x in sorted(set(which))]
+            yield _rows(STRETCH, rows)
+
+
+def spread(stretches: DataFrame) -> DataFrame:
+    """Open stretches, those of a phrase that has more than MANY cut into windows.
+
+    Of such a phrase only windows whose digest different documents have go on;
+    equal ones meet in one shard, which their digest tells. Digests are counted
+    where they are made before they are shuffled, so a window that very many
+    documents have is no burden.
     """
+    open_ = stretches.where("not settled")
+    hot = stored(open_.groupBy("shard").count().where(F.col("count") > MANY).select("shard"), "phrase-hot")
+    if not hot.limit(1).count():
+        return open_
+    hot = bounded_broadcast(hot, BROADCAST_IDS)
+    theirs = stored(open_.join(hot, "shard").select(open_.columns), "phrase-many")
+    digests = stored(theirs.mapInArrow(_digests, DIGESTS), "phrase-digests")
+    several = digests.groupBy("digest").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("digest")
+    several = stored(several, "phrase-several")
+    key = ["doc_id", "th", "start"]
+    which = digests.join(bounded_broadcast(several, BROADCAST_IDS), "digest").groupBy(*key).agg(F.collect_list("at").alias("at"))
+    cut = stored(theirs.join(which, key).mapInArrow(_one_by_one, STRETCH), "phrase-cut")
+    drop_stored(theirs, digests, several)
+    return open_.join(hot, "shard", "left_anti").select(open_.columns).unionByName(cut)
 
-    def __init__(self, phrases: list[str], marks: np.ndarray):
+
+class PhraseAutomaton:
+    """Aho-Corasick over words: a letter stands for a word. All phrases are of one length."""
+
+    def __init__(self, phrases: list[str]):
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
-        self.marks = marks
-        same: dict[str, list[int]] = {}
-        for i, text in enumerate(phrases):
-            same.setdefault(text, []).append(i)
-        for text, ids in same.items():
-            self.automaton.add_word(text, ids)
-        if same:
+        for text in phrases:
+            self.automaton.add_word(text, True)
+        if phrases:
             self.automaton.make_automaton()
 
-    def hits(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(last letter, phrase) of every occurrence."""
-        if not len(self.marks):
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        found = [(end, i) for end, ids in self.automaton.iter(text) for i in ids]
-        pairs = np.array(found, dtype=np.int64).reshape(-1, 2)
-        return pairs[:, 0], pairs[:, 1]
+    def ends(self, text: str) -> np.ndarray:
+        """The last letter of every occurrence."""
+        return np.array([end for end, _ in self.automaton.iter(text)] if len(self.automaton) else [], dtype=np.int64)
 
 
-def letters(h: np.ndarray) -> np.ndarray:
-    """Code points for word hashes: one plane without surrogates."""
-    return (h % np.uint64(LETTERS)).astype("<u4") + np.uint32(LETTERS)
+def letters(codes: np.ndarray) -> np.ndarray:
+    """Code points for numbered words, above the surrogates; words may share one."""
+    return (codes % LETTERS).astype("<u4") + np.uint32(0x10000)
 
 
-def _settle(rows: list[tuple]) -> list[tuple[int, int, int]]:
-    """Removed windows (doc_id, first window, windows) of the stretches of some phrases."""
-    doc, start, count, phrase = (np.array([r[i] for r in rows], dtype=np.int64) for i in range(4))
-    size = np.array([r[4].count(b"\n") + 1 for r in rows], dtype=np.int64)
-    flat = b"\n".join([r[4] for r in rows]).split(b"\n")
+def _settle(rows: list[tuple]) -> list[tuple[int, int, int, int]]:
+    """Removed windows (doc_id, th, first window, windows) of the stretches of some phrases."""
+    doc, th, start, count, shard, phrase = (np.array([r[i] for r in rows], dtype=np.int64) for i in range(6))
+    size = np.array([r[6].count(b"\n") + 1 for r in rows], dtype=np.int64)
+    flat = pa.array(b"\n".join([r[6] for r in rows]).split(b"\n"), pa.binary())
     begin = np.cumsum(size) - size
-    h = hashes(flat)
+    # equal words have equal numbers
+    codes = flat.dictionary_encode().indices.to_numpy()
     del flat
-    p, w = rolling(h, PHRASE), rolling(h, WINDOW)
     # the stretches as one text, a separator after each
     row_of = np.repeat(np.arange(len(rows)), size)
-    codes = np.full(len(h) + len(rows), 0xFFFF, dtype="<u4")
-    codes[np.arange(len(h)) + row_of] = letters(h)
-    text = codes.tobytes().decode("utf-32-le")
+    spelt = np.full(len(codes) + len(rows), 0xFFFF, dtype="<u4")
+    spelt[np.arange(len(codes)) + row_of] = letters(codes)
+    text = spelt.tobytes().decode("utf-32-le")
     # confirm: phrases that more than one document has
-    marks, first, group = np.unique(p[begin + phrase], return_index=True, return_inverse=True)
-    low, high = np.full(len(marks), np.iinfo(np.int64).max), np.full(len(marks), np.iinfo(np.int64).min)
+    _, group = np.unique(shard, return_inverse=True)
+    low, high = np.full(group.max() + 1, np.iinfo(np.int64).max), np.full(group.max() + 1, np.iinfo(np.int64).min)
     np.minimum.at(low, group, doc)
     np.maximum.at(high, group, doc)
-    confirmed = np.flatnonzero(low < high)
-    at = (begin + phrase)[first[confirmed]] + first[confirmed]
-    automaton = PhraseAutomaton([text[i : i + PHRASE] for i in at.tolist()], marks[confirmed])
-    end, which = automaton.hits(text)
-    begin_text = begin + np.arange(len(rows))
-    row = np.searchsorted(begin_text, end, side="right") - 1
-    hit = end - row - PHRASE + 1  # first word, in h
-    sure = p[hit] == automaton.marks[which] if len(hit) else np.zeros(0, dtype=bool)
-    row, hit = row[sure], hit[sure]
-    # windows around an occurrence
+    confirmed = np.flatnonzero((low < high)[group])
+    runs = codes[(begin + phrase)[confirmed][:, None] + np.arange(PHRASE)]
+    runs, first = np.unique(runs, axis=0, return_index=True)
+    at = (begin + phrase)[confirmed][first] + confirmed[first]
+    patterns = {text[i : i + PHRASE] for i in at.tolist()}
+    end = PhraseAutomaton(sorted(patterns)).ends(text)
+    row = np.searchsorted(begin + np.arange(len(rows)), end, side="right") - 1
+    hit = end - row - PHRASE + 1  # first word, in codes
+    # windows around an occurrence; where letters are shared a place too many only costs a comparison
     a = np.maximum(begin[row], hit + PHRASE - WINDOW)
     b = np.minimum(begin[row] + count[row] - 1, hit)
     ok = a <= b
-    edge = np.zeros(len(h) + 1, dtype=np.int64)
+    edge = np.zeros(len(codes) + 1, dtype=np.int64)
     np.add.at(edge, a[ok], 1)
     np.add.at(edge, b[ok] + 1, -1)
     places = np.flatnonzero(np.cumsum(edge) > 0)
     if not len(places):
         return []
     owner = row_of[places]
-    _, group = np.unique(w[places], return_inverse=True)
+    group = equal_runs(codes, places, WINDOW)
     least = np.full(group.max() + 1, np.iinfo(np.int64).max)
     np.minimum.at(least, group, doc[owner])
     removed = least[group] < doc[owner]
-    at, of = (start[owner] + places - begin[owner])[removed], doc[owner][removed]
+    at, of = (start[owner] + places - begin[owner])[removed], owner[removed]
     if not len(of):
         return []
-    order = np.lexsort((at, of))
-    of, at = of[order], at[order]
-    cuts = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (at[1:] > at[:-1] + 1)]))
-    ends = np.append(cuts[1:], len(of)) - 1
-    return list(zip(of[cuts].tolist(), at[cuts].tolist(), (at[ends] - at[cuts] + 1).tolist(), strict=True))
+    # a text's windows, whatever stretch they are from
+    d, t = doc[of], th[of]
+    order = np.lexsort((at, t, d))
+    d, t, at = d[order], t[order], at[order]
+    cuts = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (at[1:] > at[:-1] + 1)]))
+    ends = np.append(cuts[1:], len(d)) - 1
+    return list(zip(d[cuts].tolist(), t[cuts].tolist(), at[cuts].tolist(), (at[ends] - at[cuts] + 1).tolist(), strict=True))
+
+
+def equal_runs(codes: np.ndarray, places: np.ndarray, n: int) -> np.ndarray:
+    """Numbers the runs of n codes at places, so that those with equal codes have one number."""
+    h = rolling(mix64(codes.astype(np.uint64) + np.uint64(1)), n)
+    _, first, group = np.unique(h[places], return_index=True, return_inverse=True)
+    same = np.ones(len(places), dtype=bool)
+    for k in range(n):
+        same &= codes[places + k] == codes[places[first[group]] + k]
+    if same.all():
+        return group
+    # runs that share a hash by chance
+    numbers: dict[bytes, int] = {}
+    return np.array([numbers.setdefault(codes[p : p + n].tobytes(), len(numbers)) for p in places.tolist()], dtype=np.int64)
+
+
+FOUND = "doc_id long, th long, start int, first int"
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Settles the stretches of a task, which come sorted by phrase, portion by portion."""
-    hold("words", WORDS.clear)
     rows: list[tuple] = []
     last = None
-
-    def out():
-        found = _settle(rows)
-        return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32()))], ["doc_id", "start", "first"])
-
     for batch in batches:
-        cols = [batch.column(c).to_pylist() for c in ("doc_id", "start", "first", "phrase", "words", "shard")]
-        for doc_id, start, n, phrase, words, shard in zip(*cols, strict=True):
-            if shard != last and len(rows) >= PORTION:
-                yield out()
+        cols = [batch.column(c).to_pylist() for c in ("doc_id", "th", "start", "first", "shard", "phrase", "words")]
+        for row in zip(*cols, strict=True):
+            if row[4] != last and len(rows) >= PORTION:
+                yield _rows(FOUND, _settle(rows))
                 rows = []
-            last = shard
-            rows.append((doc_id, start, n, phrase, words))
+            last = row[4]
+            rows.append(row)
     if rows:
-        yield out()
+        yield _rows(FOUND, _settle(rows))
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,25 +439,36 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _texts(docs: DataFrame, *more) -> DataFrame:
+    """doc_id, th and text: the hash of a text tells the texts of one id apart."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text", *more)
+
+
+KEY = ["doc_id", "th"]
+
+
 def removed_spans(docs: DataFrame) -> DataFrame:
-    """Rows doc_id, start, first: runs of ``first`` removed windows that start at word ``start``."""
+    """Rows doc_id, th, start, first: runs of ``first`` removed windows that
+    start at word ``start`` of the texts with hash ``th``; some may come twice."""
     spark = docs.sparkSession
     p = n_shuffle(spark)
-    flat = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    packed = stored(flat.mapInArrow(_phrases(max(4, p // 2)), "bucket int, doc_id long, keys binary, ids binary"), "phrase-packed")
-    met = packed.where("bucket is not null").groupBy("bucket").applyInArrow(_recurring, "doc_id long, keys binary")
-    met = met.unionByName(packed.where("bucket is null").select("doc_id", "keys"))
-    places = stored(met.groupBy("doc_id").agg(F.collect_list("keys").alias("keys")), "phrase-places")
+    flat = _texts(docs)
+    packed = stored(flat.mapInArrow(_phrases(max(4, p // 2)), "bucket int, doc_id long, th long, keys binary, ids binary, ths binary"), "phrase-packed")
+    met = packed.where("bucket is not null").groupBy("bucket").applyInArrow(_recurring, "doc_id long, th long, keys binary")
+    met = met.unionByName(packed.where("bucket is null").select(*KEY, "keys"))
+    places = stored(met.groupBy(*KEY).agg(F.collect_list("keys").alias("keys")), "phrase-places")
     drop_stored(packed)
     # only texts with places are shuffled, unless these are too many to be told by their ids
-    texts = flat.join(bounded_broadcast(places.select("doc_id"), BROADCAST_IDS), "doc_id")
-    meet = texts.join(places.hint("merge"), "doc_id").sortWithinPartitions("doc_id")
-    stretches = stored(meet.select("doc_id", "text", "keys").mapInArrow(_stretches, STRETCH), "phrase-stretches")
-    open_ = stretches.where("not settled").select("doc_id", "start", "first", "shard", "phrase", "words").repartition(2 * p, "shard").sortWithinPartitions("shard")
-    found = stored(open_.mapInArrow(_shards, "doc_id long, start int, first int"), "phrase-found")
-    settled = stored(stretches.where("settled").select("doc_id", "start", "first"), "phrase-settled")
+    texts = flat.join(bounded_broadcast(places.select(*KEY), BROADCAST_IDS), KEY)
+    meet = texts.join(places.hint("merge"), KEY).sortWithinPartitions(*KEY)
+    stretches = stored(meet.select(*KEY, "text", "keys").mapInArrow(_stretches, STRETCH), "phrase-stretches")
+    open_ = spread(stretches).drop("settled").repartition(2 * p, "shard").sortWithinPartitions("shard")
+    found = stored(open_.mapInArrow(_shards, FOUND), "phrase-found")
+    settled = stored(stretches.where("settled").select(*KEY, "start", "first"), "phrase-settled")
     drop_stored(stretches, places)
-    return found.unionByName(settled)
+    out = found.unionByName(settled)
+    out._parts = (found, settled)
+    return out
 
 
 def dedup_substrings(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -383,19 +476,22 @@ def dedup_substrings(docs: DataFrame, keep: list[str] | None = None) -> DataFram
 
     ``kept`` is the text itself where nothing is removed, else the kept words
     joined by one space. Null texts have no words. Rows with one id count as
-    one document (none removes words of another); rows with a null id neither
-    lose words nor make others lose any. An empty table gives none.
+    one document (none removes words of another), and each loses what its own
+    text has; rows with a null id neither lose words nor make others lose any.
+    Repeated rows are kept and end alike; texts may be of any length; columns
+    that are not asked for are ignored. An empty table gives none.
     """
     keep = keep or []
-    spans = removed_spans(docs).groupBy("doc_id").agg(F.collect_list(F.struct("start", "first")).alias("spans"))
-    spans = stored(spans, "phrase-spans")
-    flat = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*keep, F.lit(0).alias("_")).alias("row"))
+    found = removed_spans(docs)
+    spans = stored(found.groupBy(*KEY).agg(F.collect_set(F.struct("start", "first")).alias("spans")), "phrase-spans")
+    drop_stored(*found._parts)
+    flat = _texts(docs, F.struct(*keep, F.lit(0).alias("_")).alias("row"))
     row = flat.schema["row"].dataType.simpleString()
     schema = f"doc_id long, row {row}, n_words long, n_removed long, kept_sha256 string, kept string"
     # only texts that lose words are shuffled to their spans, unless these are too many to be told by their ids
-    ids = bounded_broadcast(spans.select("doc_id"), BROADCAST_IDS)
-    whole = flat.join(ids, "doc_id", "left_anti").withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
-    less = flat.join(ids, "doc_id", "left_semi").join(spans.hint("merge"), "doc_id")
+    ids = bounded_broadcast(spans.select(*KEY), BROADCAST_IDS)
+    whole = flat.join(ids, KEY, "left_anti").withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
+    less = flat.join(ids, KEY, "left_semi").join(spans.hint("merge"), KEY)
     out = whole.unionByName(less).mapInArrow(_kept, schema)
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256", "kept", *[F.col("row")[c].alias(c) for c in keep])
 
