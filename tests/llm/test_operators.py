@@ -58,6 +58,26 @@ def test_components_in_chunks(spark, monkeypatch):
     assert rows_of(jaccard.jaccard_components(frame(spark, rows)), "doc_id", "n_shingles", "component_id") == Counter(brute_components(rows))
 
 
+def test_an_id_with_several_texts_is_one_node(spark):
+    a, b, c, d = (prose(600 + i, 80) for i in range(4))
+    rows = [(3, a), (5, a), (5, b), (9, b), (9, edited(c, 1, 2)), (11, c), (20, d), (21, edited(d, 2, 2)), (21, "few words"), (2, "few words"), (30, None), (30, ""), (31, ""), (5, a)]
+    got = rows_of(jaccard.jaccard_components(frame(spark, rows)), "doc_id", "n_shingles", "component_id")
+    assert got == Counter(brute_components(rows))
+    assert {c for i, _, c in got if i in (3, 5, 9, 11)} == {3} and {c for i, _, c in got if i in (2, 20, 21)} == {2}
+
+
+def test_blocks_of_a_group_are_dealt_anew(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "CHUNK_SETS", 10)
+    rows = spark.range(200).selectExpr("1 as g", "id", "'x' as t")
+    blocks = jaccard.in_blocks(rows, ["g"], F.length("t"), F.col("id"))
+    sizes = [r["count"] for r in blocks.groupBy("bi", "bj").count().collect()]
+    assert len(sizes) == 20 * 21 // 2 and max(sizes) <= 60
+    # each pair of rows meets in a block
+    pairs = blocks.alias("x").join(blocks.alias("y"), ["g", "bi", "bj"]).where("x.id < y.id").select("x.id", "y.id").distinct().count()
+    assert pairs == 199 * 100
+    assert blocks.withColumn("p", F.spark_partition_id()).select("p").distinct().count() > 1
+
+
 def test_threshold_is_exact(spark):
     a = [f"a{i}" for i in range(104)]  # 100 shingles
     rows = [(1, " ".join(a))] + [(2 + k, " ".join(a[: 104 - k])) for k in range(20, 30)]  # 75 of 100 link, 74 do not
@@ -122,6 +142,53 @@ def test_removed_words_with_small_portions(spark, monkeypatch):
     assert got == Counter((i, n, k, hashlib.sha256(t.encode()).hexdigest()) for i, n, k, t in brute_removed(rows))
 
 
+def test_a_text_loses_only_what_it_has_itself(spark):
+    p, other = prose(700, 60), prose(701, 80)
+    rows = [(1, p), (2, p + " " + prose(702, 30)), (2, other), (2, other), (3, prose(703, 5) + " " + other), (2, p + " " + prose(702, 30))]
+    got = rows_of(phrases.dedup_substrings(frame(spark, rows)), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == Counter((i, n, k, hashlib.sha256(t.encode()).hexdigest()) for i, n, k, t in brute_removed(rows))
+    assert sorted((i, k) for i, _, k, _ in got.elements()) == [(1, 0), (2, 0), (2, 0), (2, 60), (2, 60), (3, 80)]
+
+
+def common_passage_rows():
+    passage = prose(710, 58)
+    rows = [(i, f"{prose(2000 + i, 5 + i % 40)} {passage} {prose(4000 + i, 45 - i % 40)}") for i in range(90)]
+    rows += [(200 + i, " ".join(passage.split(" ")[i % 9 :]) + " " + " ".join(prose(5000 + i % 3, 40).split(" "))) for i in range(30)]
+    return rows
+
+
+@pytest.mark.parametrize("remembered", [0, 10**6])
+def test_a_phrase_of_many_documents_is_cut_into_windows(spark, monkeypatch, remembered):
+    monkeypatch.setattr(phrases, "MANY", 5)
+    monkeypatch.setattr(phrases, "REMEMBERED", remembered)
+    cut = []
+    monkeypatch.setattr(phrases, "stored", lambda df, name, stored=phrases.stored: cut.append(name) or stored(df, name))
+    rows = common_passage_rows()
+    got = rows_of(phrases.dedup_substrings(frame(spark, rows)), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == Counter((i, n, k, hashlib.sha256(t.encode()).hexdigest()) for i, n, k, t in brute_removed(rows))
+    assert "phrase-cut" in cut
+
+
+def test_places_come_from_the_automaton(monkeypatch):
+    words = prose(720, 60).encode().replace(b" ", b"\n")
+    rows = [(i, 0, 0, 11, 5, 12, words) for i in (1, 2)]
+    assert phrases._settle(rows) == [(2, 0, 0, 11)]
+    monkeypatch.setattr(phrases.PhraseAutomaton, "ends", lambda self, text: np.zeros(0, dtype=np.int64))
+    assert phrases._settle(rows) == []
+
+
+def test_words_are_compared_not_only_hashes(monkeypatch):
+    a, b = (prose(i, 60).encode().replace(b" ", b"\n") for i in (721, 722))
+    rows = [(1, 0, 0, 11, 5, 12, a), (2, 0, 0, 11, 5, 12, b), (3, 0, 0, 11, 5, 12, b)]
+    monkeypatch.setattr(phrases, "rolling", lambda h, n: np.zeros(max(0, len(h) - n + 1), dtype=np.uint64))  # all collide
+    monkeypatch.setattr(phrases, "LETTERS", 2)  # and letters too
+    assert phrases._settle(rows) == [(3, 0, 0, 11)]
+    earlier = phrases.Earlier()
+    x, y = a.split(b"\n"), b.split(b"\n")
+    assert earlier.known(1, [7, 8], x[:51]) == [False, False]
+    assert earlier.known(2, [7, 8], y[:51]) == [False, False] and earlier.known(3, [7, 8], x[:51]) == [True, True]
+
+
 def test_passages_of_nothing(empty):
     assert phrases.dedup_substrings(empty, ["lang", "source"]).count() == 0
 
@@ -461,26 +528,100 @@ def test_tool_calls_equal_sql(spark):
     r = random.Random(2)
     rows = []
     for c in range(40):
-        for t in range(r.randrange(1, 9)):
+        for t in range(r.randrange(1, 19)):
             text = r.choice(["hello", 'say "x" \\ y\n\tz\x01', "", "  ", None, "é🙂", "z" * 2001])
-            rows.append((c, t, "system" if t == 0 and c % 3 == 0 else r.choice(["user", "assistant"]), text, "clash", 1, "j"))
+            rows.append((c, t, "system" if t == 0 and c % 3 == 0 else "user" if r.random() < 0.1 else ["user", "assistant"][t % 2], text, "clash", 1, "j"))
     df = chat(spark, rows)
-    names = ["conv_id", "turn", "kind", "call_id", "linked", "valid", "order_turn", "order_kind"]
+    names = ["conv_id", "turn", "kind", "call_id", "linked", "valid", "order_turn", "order_level", "order_kind", "json"]
     c = duckdb.connect()
     c.register("conversations", df.select("conv_id", "turn", "role", "text").toPandas())
     want = c.sql(toolcalls.OP10_SQL).df()
-    got = toolcalls.link_conversations(df)
     key = lambda v: None if v is None or v != v else v
-    assert rows_of(got, *names) == Counter(tuple(key(x) for x in r) for r in want[names].itertuples(index=False))
+    got = rows_of(toolcalls.link_conversations(df), *names)
+    assert got == Counter(tuple(key(x) for x in row) for row in want[names].itertuples(index=False))
+    assert max(row[7] for row in got) >= 10
+
+
+CALLS = "conv_id long, turn long, call_id string, name string, arguments string, after string, order_turn int"
+RESULTS = "conv_id long, turn long, call_id string, content string, kind int, first int"
+
+
+def linked(spark, calls, results, **more):
+    calls = spark.createDataFrame([(*c, *[None] * (6 - len(c)), 9) for c in calls], CALLS)
+    results = spark.createDataFrame([(*r, 7, 8) for r in results], RESULTS)
+    return {(r["kind"], r["turn"], r["call_id"]): r for r in toolcalls.link(calls, results, **more).collect()}
 
 
 def test_results_follow_their_calls_and_orphans_stay(spark):
-    calls = spark.createDataFrame([(1, 5, "a", "reply", '{"prompt":"hi","b":"1"}'), (1, 6, "a", "reply", '{"prompt":"other"}'), (1, 7, None, "nope", "not json"), (1, 8, "c", "reply", '{"prompt":7}')], "conv_id long, turn long, call_id string, name string, arguments string")
-    results = spark.createDataFrame([(1, 2, "a", "early"), (1, 9, "zz", "orphan"), (1, 9, None, "no id")], "conv_id long, turn long, call_id string, content string")
-    out = {(r["kind"], r["turn"], r["call_id"]): r for r in toolcalls.link(calls, results).collect()}
+    calls = [(1, 5, "a", "reply", '{"prompt":"hi"}'), (1, 6, "a", "reply", '{"prompt":"other"}'), (1, 7, None, "nope", "not json"), (1, 8, "c", "reply", '{"prompt":7}'), (None, 9, "a", "reply", None)]
+    results = [(1, 2, "a", "early"), (1, 9, "zz", "orphan"), (1, 9, None, "no id"), (1, 10, "a", None)]
+    out = linked(spark, calls, results)
+    assert len(out) == len(calls) + len(results)
     assert out[2, 2, "a"]["order_turn"] == 5 and out[2, 2, "a"]["linked"]
     assert out[1, 5, "a"]["linked"] and not out[1, 6, "a"]["linked"]
     assert not out[2, 9, "zz"]["linked"] and not out[2, 9, None]["linked"] and not out[1, 7, None]["linked"]
-    assert not out[1, 7, None]["valid"] and not out[1, 8, "c"]["valid"]
-    assert '"arguments":"{\\"b\\":\\"1\\",\\"prompt\\":\\"hi\\"}"' in out[1, 5, "a"]["json"]
+    assert not out[1, 7, None]["valid"] and not out[1, 8, "c"]["valid"] and not out[1, 9, "a"]["linked"]
+    assert out[1, 5, "a"]["json"] == '{"arguments":{"prompt":"hi"},"id":"a","name":"reply","type":"call","violations":[]}'
+    assert out[1, 7, None]["json"] == '{"arguments":"not json","id":null,"name":"nope","type":"call","violations":["unknown_tool","not_json"]}'
+    assert out[2, 10, "a"]["json"] == '{"content":null,"id":"a","type":"result"}'
     assert toolcalls.link_conversations(chat(spark, [])).count() == 0
+    assert linked(spark, [], []) == {} and len(linked(spark, [], results)) == 4 and len(linked(spark, calls, [])) == 5
+
+
+def test_json_is_canonical_and_keeps_types(spark):
+    calls = [
+        (1, 1, "a", "reply", ' {"prompt" : "hi", "o": {"b":1, "a":[2, 1, {"z":null,"y":true}]}, "n":7} '),
+        (1, 2, "b", "reply", '{"prompt":"1","prompt":"2"}'),
+        (1, 3, "c", "reply", '{"prompt":"x","deep":{"k":1,"k":2}}'),
+        (1, 4, "d", "reply", "[1]"),
+        (1, 5, "e", "search", '{"limit":3,"query":"q","sites":["s"]}'),
+        (1, 6, "f", "search", '{"limit":"3","query":"","sites":{}}'),
+        (1, 7, "g", "search", '{"query":"' + "q" * 401 + '","more":1}'),
+        (1, 8, "h", "reply", '{"prompt":null}'),
+        (1, 9, "i", "reply", '{"prompt":"' + "long " * 60_000 + '"}'),
+        (1, 10, "j", "reply", None),
+    ]
+    out = {k[2]: r["json"] for k, r in linked(spark, calls, []).items()}
+    assert '"arguments":{"n":7,"o":{"a":[2,1,{"y":true,"z":null}],"b":1},"prompt":"hi"},' in out["a"]
+    bad = {k: v.split('"violations":')[1] for k, v in out.items()}
+    assert bad == {
+        "a": '["unexpected:n,o"]}', "b": '["not_json"]}', "c": '["not_json"]}', "d": '["not_object"]}', "e": "[]}", "f": '["empty:query","type:limit","type:sites"]}',
+        "g": '["long:query","unexpected:more"]}', "h": '["type:prompt"]}', "i": '["long:prompt"]}', "j": '["not_json"]}',
+    }
+    odd = linked(spark, [(1, 1, "a", "t", '{"x":1}')], [], schemas={"t": {"x": ("BIGINT", True, None)}})
+    assert odd[1, 1, "a"]["valid"]
+    assert not linked(spark, [(1, 1, "a", "t", '{"x":1}')], [], schemas={})[1, 1, "a"]["valid"]
+
+
+def test_chains_come_in_topological_order(spark):
+    r = random.Random(8)
+    n, calls, results = 60, [], []
+    after = {i: None if i == 0 or r.random() < 0.1 else r.randrange(max(0, i - 3), i) for i in range(n)}
+    turn = {i: r.randrange(100) for i in range(n)}  # turns tell nothing of the order
+    calls = [(1, turn[i], f"c{i}", "reply", '{"prompt":"p"}', None if after[i] is None else f"c{after[i]}") for i in range(n)]
+    results = [(1, r.randrange(100), f"c{i}", "ok") for i in range(n) if i % 7] + [(1, r.randrange(100), "c1", "again")]
+    calls += [(2, i, f"x{i}", "reply", '{"prompt":"p"}', f"x{(i + 1) % 5}") for i in range(5)] + [(2, 9, "y", "reply", '{"prompt":"p"}', "x0"), (2, 10, "z", "reply", '{"prompt":"p"}', "nowhere")]
+    results += [(2, 20 + i, f"x{i}", "ok") for i in range(5)]
+    out = linked(spark, calls, results)
+    place = lambda m: (m["order_turn"], m["order_level"], m["order_kind"])
+    call = {k[2]: m for k, m in out.items() if k[0] == 1}
+    answers = {}
+    for k, m in out.items():
+        if k[0] == 2:
+            answers.setdefault(k[2], []).append(m)
+            assert place(m) > place(call[k[2]])
+    for i in range(n):
+        of = f"c{after[i]}"
+        for m in answers.get(of, []):
+            assert place(call[f"c{i}"]) > place(m)
+        depth = 0 if of not in answers else call[of]["order_level"] // 2 + 1
+        assert call[f"c{i}"]["order_level"] == 2 * depth
+    assert all('"violations":["cycle"]' in call[f"x{i}"]["json"] and not call[f"x{i}"]["valid"] for i in range(5))
+    assert call["z"]["order_level"] == 0 and call["z"]["valid"]
+
+
+def test_links_are_hash_joins(spark):
+    plan = toolcalls.link_conversations(chat(spark, [(1, 0, "user", "a", "c", 1, "j"), (1, 1, "assistant", "b", "c", 1, "j")]).repartition(3))
+    plan.collect()
+    shown = plan._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in shown and "HashJoin" in shown
