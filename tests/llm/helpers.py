@@ -1,5 +1,6 @@
 """Small documents with the awkward cases, and brute-force versions of operators."""
 
+import math
 import random
 import re
 
@@ -91,3 +92,60 @@ def brute_removed(rows):
                 gone[k : k + 50] = [True] * 50
         out.append((i, len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g)))
     return out
+
+
+class BruteLanguages:
+    """The word-first backoff model and scores in plain Python, of labelled texts (lang, text)."""
+
+    def __init__(self, labelled):
+        self.counts: dict[int, dict[str, dict[str, int]]] = {n: {} for n in range(5)}
+        self.total: dict[tuple[int, str], int] = {}
+        self.languages = sorted({lang for lang, _ in labelled})
+        for lang, text in labelled:
+            for word in self.words(text):
+                for n in range(5):
+                    for gram in self.grams(word, n):
+                        of = self.counts[n].setdefault(gram, {})
+                        of[lang] = of.get(lang, 0) + 1
+                        self.total[n, lang] = self.total.get((n, lang), 0) + 1
+
+    @staticmethod
+    def words(text):
+        out, now = [], ""
+        for c in text + " ":
+            if c.isalpha():
+                now += c.lower()
+            elif now:
+                out.append(now)
+                now = ""
+        return out
+
+    @staticmethod
+    def grams(word, n):
+        if n < 2:
+            return [word] if n == 0 else list(word)
+        padded = f" {word} "
+        return [padded[i : i + n] for i in range(len(padded) - n + 1)]
+
+    def log_frequency(self, n, gram, lang):
+        total = self.total.get((n, lang), 0)
+        k = self.counts[n][gram].get(lang)
+        return -math.log(2 + 2 * total) if k is None else math.log((k + 0.5) / (total + 1))
+
+    def predict(self, text):
+        words, sums, scored = self.words(text or ""), {x: 0.0 for x in self.languages}, 0
+        if not words or not self.languages:
+            return "und", 0.0
+        for word in words:
+            for n in (0, 4, 3, 2, 1):
+                found = [g for g in self.grams(word, n) if g in self.counts[n]]
+                if found:
+                    scored += 1
+                    for lang in self.languages:
+                        sums[lang] += sum(self.log_frequency(n, g, lang) for g in found) / len(found)
+                    break
+        z = {x: s / math.sqrt(max(1, scored)) for x, s in sums.items()}
+        top = max(z.values())
+        e = {x: math.exp(v - top) for x, v in z.items()}
+        best = max(self.languages, key=lambda x: e[x])
+        return best, e[best] / sum(e.values())

@@ -1,6 +1,7 @@
 import hashlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,7 +51,7 @@ def test_documents_stay_where_no_language_is_known(spark):
 def test_unclear_documents_go_by_the_number_of_languages(spark, monkeypatch):
     docs = frame(spark, [(1, "clear"), (2, "likely"), (3, "unclear"), (4, "unknown"), (5, "1")])
     for n, kept in ((2, [1, 2, 3, 4]), (4, [1, 4]), (10, [1, 2, 4])):
-        model = langid.LanguageModel([(f"x{i}", 0, "a", 1) for i in range(n)], {(f"x{i}", 0): 1 for i in range(n)})
+        model = langid.LanguageModel(pa.table({"lang": [f"x{i}" for i in range(n)], "n": [0] * n, "gram": ["a"] * n, "k": [1] * n}))
         score = F.element_at(F.create_map(*[F.lit(x) for x in ("clear", 0.9, "likely", max(0.35, 1.05 / n), "unclear", 1.05 / n, "unknown", 1.0 / n, "1", 0.0)]), F.col("text"))
         monkeypatch.setattr(langid, "fit", lambda d, model=model: model)
         monkeypatch.setattr(langid, "predict", lambda d, m, keep, score=score: d.select(*keep).withColumn("score", score).withColumn("lang_pred", F.when(score == 0, "und").otherwise("x1")))
