@@ -119,6 +119,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 #: Far more rounds than any graph that fits a cluster needs.
 ROUNDS = 100
+#: Up to so many nodes, counted at run time, their smallest neighbours are broadcast.
+BROADCAST_NODES = 1_000_000
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -127,31 +129,29 @@ def components(edges: DataFrame, name: str) -> DataFrame:
 
     Alternates star contractions: in a large star, neighbours above a node go
     to its smallest neighbour; in a small star, those below do. Each needs one
-    minimum per node, which is combined before the shuffle, and one join, so
-    no node's neighbours are gathered in a row. The rounds are logarithmic in
-    the number of nodes; each is written to the shared folder. It raises if
-    the labels still change after ROUNDS of them.
+    minimum per node, which is combined before the shuffle, and one join, in
+    which a node with very many neighbours is no burden while the minima are
+    few enough to broadcast. No node's neighbours are gathered in a row. The
+    rounds are logarithmic in the number of nodes; each is written to the
+    shared folder. It raises if edges are still chained after ROUNDS of them.
     """
-    flat = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now = stored(flat, f"{name}-0")
-    seen = None
-    for turn in range(1, ROUNDS + 1):
-        sums = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1000000007)).first()
-        if seen == tuple(sums) or not sums[0]:
+    now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-edges")
+    for _ in range(ROUNDS):
+        # every edge goes from a node to a smaller one; in the end each node has one edge, to a node without any
+        low = stored(now.groupBy("u").agg(F.min("v").alias("m")), f"{name}-low")
+        nodes = low.count()
+        parents = (F.broadcast(low) if nodes <= BROADCAST_NODES else low).select(F.col("u").alias("v"), "m")
+        if nodes == now.count() and not now.join(parents, "v").limit(1).count():
+            drop_stored(low)
             break
-        seen = tuple(sums)
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), f"{name}-{turn}")
-        drop_stored(now)
-        now = after
+        large = stored(now.join(parents, "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct(), f"{name}-large")
+        drop_stored(now, low)
+        low = stored(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-low")
+        small = large.join(bounded_broadcast(low, BROADCAST_NODES), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), f"{name}-edges")
+        drop_stored(large, low)
     else:
         raise RuntimeError(f"components of {name} are not settled after {ROUNDS} rounds")
-    roots = now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
-    out = now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots)
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
     out._stored_path = now._stored_path
     return out
-

@@ -19,10 +19,10 @@ sets with the token in their prefix, of this band or the next one.
    as it joins two components.
 5. Connected components of the links.
 
-Groups beyond a size in bytes or sets, in 3 and 4, are cut into chunks, and
-each pair of chunks is a group of its own, dealt by chunks too. The number of
-ranges of tokens, and of parts that a band's sets are gathered in, follows the
-counted bytes and sets.
+Groups beyond a size in bytes, in 3 and 4, are cut into chunks, and each pair
+of chunks is a group of its own, dealt by chunks too. The number of ranges of
+tokens, and of parts that a band's sets are gathered in, follows the counted
+bytes and sets, so groups that are cut are rare.
 """
 
 from __future__ import annotations
@@ -45,8 +45,8 @@ SKETCH_BITS = 20
 #: Order of tokens by frequency: classes by powers of two of the sketch's count over its mean.
 CLASS_BITS = 3
 FLUSH_ROWS = 1_000_000
-#: Bytes and sets of a group in one task; larger ones are cut into chunks.
-CHUNK_BYTES, CHUNK_SETS = 24 << 20, 4096
+#: Bytes of a group in one task, beyond which it is cut into chunks; sets of a band that are gathered by one task.
+CHUNK_BYTES, GATHER_SETS = 24 << 20, 4096
 #: Bytes of packed prefixes that a range of tokens gets.
 BUCKET_BYTES = 16 << 20
 #: Groups that are cut, up to which their list is broadcast.
@@ -415,17 +415,17 @@ def _clusters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def in_blocks(rows: DataFrame, group: list[str], weight, by) -> DataFrame:
-    """Adds bi, bj: groups of more than CHUNK_BYTES or CHUNK_SETS are cut into
-    chunks by a hash, and a row of chunk c goes to the blocks of c with each
-    chunk. Blocks are dealt one by one, so those of a group are many tasks."""
-    chunks = F.ceil(F.greatest(F.sum(weight) / CHUNK_BYTES, F.count(F.lit(1)) / CHUNK_SETS)).cast("int")
+    """Adds bi, bj: groups of more than CHUNK_BYTES are cut into chunks by a
+    hash, and a row of chunk c goes to the blocks of c with each chunk. Blocks
+    are dealt one by one, so those of a group are many tasks."""
+    chunks = F.ceil(F.sum(weight) / CHUNK_BYTES).cast("int")
     cuts = stored(rows.groupBy(*group).agg(chunks.alias("_k")).where("_k > 1"), "jaccard-cuts")
     cut = rows.join(bounded_broadcast(cuts, CUT_GROUPS), group, "left")
     chunk = F.pmod(F.xxhash64(by), F.col("_k")).cast("int")
     all_chunks = F.when(F.col("_k").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("_k") - 1))
     wide = cut.withColumn("_c", chunk).withColumn("_d", F.explode(all_chunks))
     alone = F.col("_k").isNull()
-    blocks = wide.withColumn("bi", F.when(alone, 0).otherwise(F.least("_c", "_d"))).withColumn("bj", F.when(alone, 0).otherwise(F.greatest("_c", "_d"))).drop("_w", "_k", "_c", "_d")
+    blocks = wide.withColumn("bi", F.when(alone, 0).otherwise(F.least("_c", "_d"))).withColumn("bj", F.when(alone, 0).otherwise(F.greatest("_c", "_d"))).drop("_k", "_c", "_d")
     # a join by group leaves all blocks of it in one task; this deals them anew
     return blocks.repartition(n_shuffle(rows.sparkSession), *group, "bi", "bj")
 
@@ -445,7 +445,7 @@ def _deal(meta: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
     p = n_shuffle(meta.sparkSession)
     buckets = max(4, p // 2, -(-int(sum(r["packed"] for r in found)) // BUCKET_BYTES))
     ranges = np.maximum(max(1, p // 16), np.ceil(size / CHUNK_BYTES)).astype(np.uint64)
-    return buckets, ranges, np.maximum(1, np.ceil(sets / CHUNK_SETS)).astype(np.uint64)
+    return buckets, ranges, np.maximum(1, np.ceil(sets / GATHER_SETS)).astype(np.uint64)
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
