@@ -10,7 +10,8 @@ the one with the least hash, so equal windows select equal phrases.
 2. The documents meet their phrases. Those without any keep all words. Of the
    others, the stretch of text around each place (all windows that selected
    the phrase) goes to the shard of its phrase; a window that an earlier
-   document of the same task has too, word by word, is settled there.
+   document of the same task has too, word by word, is settled there, and one
+   that the text itself had before ends as that does.
    Of a phrase with very many stretches only the windows whose digest recurs go
    on, each to a shard of its own, so that equal windows meet and others do not.
 3. Each shard confirms the phrases that different documents have, compiles them
@@ -39,7 +40,7 @@ PORTION = 4_000
 #: Up to so many ids, counted at run time, are broadcast to pick texts.
 BROADCAST_IDS = 1_000_000
 #: Stretches of a phrase, beyond which its windows are dealt one by one.
-MANY = 4_000
+MANY = 1_000
 #: Windows that a task remembers, to settle those of later documents.
 REMEMBERED = 150_000
 #: Letters that stand for words in automata: code points above the surrogates.
@@ -172,7 +173,9 @@ def _recurring(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array([r[c] for r in rows], ty) for c, ty in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "th", "keys"])
 
 
-STRETCH = "doc_id long, th long, start int, first int, shard long, phrase int, words binary, settled boolean"
+STRETCH = "doc_id long, th long, start int, first int, shard long, phrase int, words binary, kind int, same int"
+#: Kinds of stretches: those to settle in shards, those an earlier document has, and those that repeat windows of their own text.
+OPEN, SETTLED, REPEATED = 0, 1, 2
 
 
 def _rows(schema: str, rows: list[tuple]) -> pa.RecordBatch:
@@ -185,22 +188,23 @@ class Earlier:
     """Windows of a task's documents so far, which come in the order of doc_id."""
 
     def __init__(self):
-        self.seen: dict[int, tuple[int, list, int]] = {}
+        self.seen: dict[int, tuple] = {}
 
-    def known(self, doc_id: int, hashes: list[int], words: list[bytes]) -> list[bool]:
-        """Whether an earlier document has each window of a stretch, with the same words."""
+    def kinds(self, doc_id: int, th: int, start: int, hashes: list[int], words: list[bytes]) -> list[tuple[int, int | None]]:
+        """Of each window of a stretch that starts at word ``start``: SETTLED if an
+        earlier document has the same words, REPEATED and where if this text had
+        them before, else OPEN."""
         out, last = [], (None, -1)
         for x, h in enumerate(hashes):
-            of, there, at = self.seen.setdefault(h, (doc_id, words, x))
-            if of < doc_id:
+            of, of_text, place, there, at = self.seen.setdefault(h, (doc_id, th, start + x, words, x))
+            kind = SETTLED if of < doc_id else REPEATED if of_text == th and place < start + x else OPEN
+            if kind != OPEN:
                 # next to the window compared before, one word is left to compare
                 equal = there[at + WINDOW - 1] == words[x + WINDOW - 1] if last == (id(there), at - 1) else there[at : at + WINDOW] == words[x : x + WINDOW]
-                out.append(equal)
-                last = (id(there), at) if equal else (None, -1)
-            else:
-                out.append(False)
-                last = (None, -1)
-        if len(self.seen) > REMEMBERED:  # only a shorter memory: what is not settled here is settled in the shards
+                kind = kind if equal else OPEN
+            last = (None, -1) if kind == OPEN else (id(there), at)
+            out.append((kind, place if kind == REPEATED else None))
+        if len(self.seen) > REMEMBERED:  # only a shorter memory: what is not told here is settled in the shards
             self.seen.clear()
         return out
 
@@ -212,7 +216,8 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     place, ``start`` of the first word, and the place of the phrase in it.
     The rows come in the order of doc_id, so a window that an earlier document
     of this task has is removed for sure: those come out settled, with no words.
-    A row that repeats the one before it adds nothing.
+    Windows that a text repeats come out with the place they repeat, as they
+    end alike. A row that repeats the one before it adds nothing.
     """
     hold("words", WORDS.clear)
     earlier, last = Earlier(), None
@@ -237,17 +242,18 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for a, b in zip(starts[recur].tolist(), ends[recur].tolist(), strict=True):
                     at_phrase = int(place[a])
                     key = int(p[at_phrase].astype(np.int64))
-                    known = earlier.known(doc_id, w[a:b].tolist(), words[a : b - 1 + WINDOW])
-                    # runs of settled and of open windows
+                    known = earlier.kinds(doc_id, th, a, w[a:b].tolist(), words[a : b - 1 + WINDOW])
+                    # runs of windows of one kind
                     x = a
                     while x < b:
+                        kind, same = known[x - a]
                         y = x + 1
-                        while y < b and known[y - a] == known[x - a]:
+                        while y < b and known[y - a] == (kind, None if same is None else same + y - x):
                             y += 1
-                        if known[x - a]:
-                            rows.append((doc_id, th, x, y - x, None, None, None, True))
+                        if kind == OPEN:
+                            rows.append((doc_id, th, x, y - x, key, at_phrase - x, b"\n".join(words[x : y - 1 + WINDOW]), kind, None))
                         else:
-                            rows.append((doc_id, th, x, y - x, key, at_phrase - x, b"\n".join(words[x : y - 1 + WINDOW]), False))
+                            rows.append((doc_id, th, x, y - x, None, None, None, kind, same))
                         x = y
             if len(rows) > 2000:
                 yield _rows(STRETCH, rows)
@@ -280,7 +286,7 @@ def _one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
             for doc_id, th, start, n, phrase, words, which in zip(*cols, strict=True):
                 cut = _windows(words, n)
-                rows += [(doc_id, th, start + x, 1, int.from_bytes(hashlib.md5(cut[x]).digest()[:8], "little", signed=True), phrase - x, cut[x], False) for x in sorted(set(which))]
+                rows += [(doc_id, th, start + x, 1, int.from_bytes(hashlib.md5(cut[x]).digest()[:8], "little", signed=True), phrase - x, cut[x], OPEN, None) for x in sorted(set(which))]
             yield _rows(STRETCH, rows)
 
 
@@ -292,7 +298,7 @@ def spread(stretches: DataFrame) -> DataFrame:
     where they are made before they are shuffled, so a window that very many
     documents have is no burden.
     """
-    open_ = stretches.where("not settled")
+    open_ = stretches.where(F.col("kind") == OPEN)
     hot = stored(open_.groupBy("shard").count().where(F.col("count") > MANY).select("shard"), "phrase-hot")
     if not hot.limit(1).count():
         return open_
@@ -417,6 +423,20 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows(FOUND, _settle(rows))
 
 
+def _covered(n: int, spans: list[dict]) -> np.ndarray:
+    """Whether each of n words is in a removed window. A span is a run of removed
+    windows, or one that ends as an earlier run of its text, ``same``, does."""
+    removed = np.zeros(max(0, n - WINDOW + 1), dtype=bool)
+    for s in sorted(spans, key=lambda s: s["same"] is not None):
+        to = slice(s["start"], s["start"] + s["first"])
+        removed[to] |= True if s["same"] is None else removed[s["same"] : s["same"] + s["first"]]
+    edge = np.zeros(n + 1, dtype=np.int64)
+    at = np.flatnonzero(removed)
+    np.add.at(edge, at, 1)
+    np.add.at(edge, at + WINDOW, -1)
+    return np.cumsum(edge)[:n] > 0
+
+
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
@@ -424,9 +444,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words_n, removed_n, sha, kept_text = [], [], [], []
             for text, spans in zip(part.column("text").to_pylist(), part.column("spans").to_pylist(), strict=True):
                 words = _split(text)
-                gone = np.zeros(len(words), dtype=bool)
-                for s in spans or ():
-                    gone[s["start"] : s["start"] + s["first"] - 1 + WINDOW] = True
+                gone = _covered(len(words), spans or [])
                 n = int(gone.sum())
                 kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if n else words)
                 words_n.append(len(words))
@@ -448,8 +466,9 @@ KEY = ["doc_id", "th"]
 
 
 def removed_spans(docs: DataFrame) -> DataFrame:
-    """Rows doc_id, th, start, first: runs of ``first`` removed windows that
-    start at word ``start`` of the texts with hash ``th``; some may come twice."""
+    """Rows doc_id, th, start, first, same: runs of ``first`` removed windows that
+    start at word ``start`` of the texts with hash ``th``; where ``same`` is not
+    null, of windows that are removed if those at word ``same`` are. Some may come twice."""
     spark = docs.sparkSession
     p = n_shuffle(spark)
     flat = _texts(docs)
@@ -462,12 +481,12 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     texts = flat.join(bounded_broadcast(places.select(*KEY), BROADCAST_IDS), KEY)
     meet = texts.join(places.hint("merge"), KEY).sortWithinPartitions(*KEY)
     stretches = stored(meet.select(*KEY, "text", "keys").mapInArrow(_stretches, STRETCH), "phrase-stretches")
-    open_ = spread(stretches).drop("settled").repartition(2 * p, "shard").sortWithinPartitions("shard")
+    open_ = spread(stretches).drop("kind", "same").repartition(2 * p, "shard").sortWithinPartitions("shard")
     found = stored(open_.mapInArrow(_shards, FOUND), "phrase-found")
-    settled = stored(stretches.where("settled").select(*KEY, "start", "first"), "phrase-settled")
+    told = stored(stretches.where(F.col("kind") != OPEN).select(*KEY, "start", "first", "same"), "phrase-told")
     drop_stored(stretches, places)
-    out = found.unionByName(settled)
-    out._parts = (found, settled)
+    out = told.unionByName(found.withColumn("same", F.lit(None).cast("int")))
+    out._parts = (found, told)
     return out
 
 
@@ -483,7 +502,8 @@ def dedup_substrings(docs: DataFrame, keep: list[str] | None = None) -> DataFram
     """
     keep = keep or []
     found = removed_spans(docs)
-    spans = stored(found.groupBy(*KEY).agg(F.collect_set(F.struct("start", "first")).alias("spans")), "phrase-spans")
+    spans = found.groupBy(*KEY).agg(F.collect_set(F.struct("start", "first", "same")).alias("spans"), F.bool_or(F.col("same").isNull()).alias("any"))
+    spans = stored(spans.where("any").drop("any"), "phrase-spans")
     drop_stored(*found._parts)
     flat = _texts(docs, F.struct(*keep, F.lit(0).alias("_")).alias("row"))
     row = flat.schema["row"].dataType.simpleString()
