@@ -16,9 +16,9 @@ SLOTS = 4096
 SPREAD = 0.0005
 
 
-def vslot(key, slots: int = SLOTS):
-    """The virtual slot of a key (null has one too)."""
-    return F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")
+def vslot(*key, slots: int = SLOTS):
+    """The virtual slot of a key (nulls have one too)."""
+    return F.pmod(F.xxhash64(*key), F.lit(slots)).cast("int")
 
 
 def first_map(shards: int, slots: int = SLOTS) -> list[int]:
@@ -125,19 +125,21 @@ class SlotMap:
 def shard_documents(docs: DataFrame, shards: int = 16, slots: int = SLOTS, spread: float = SPREAD) -> tuple[DataFrame, DataFrame]:
     """Deals documents into shards of near equal bytes; returns the rows and the stored map.
 
-    A row's virtual slot is a hash of doc_id; the bytes of each slot are summed
+    A row's virtual slot is a hash of doc_id and text, so that the texts of an
+    id that has very many rows are spread too; the bytes of each slot are summed
     (text bytes plus 1), and version 1 of the map is version 0 edited until the
     shards' bytes are near equal. Rows: doc_id, size, text_crc32, vslot, shard
     and slot, the row's place in its shard, from 0 without gaps, in the order
-    of (vslot, doc_id, text_crc32, size). Null texts count as empty; null ids
-    share a slot; repeated rows each have a place; extra columns are ignored.
+    of (vslot, doc_id, text_crc32, size). Null texts count as empty; texts may
+    be of any length; repeated rows each have a place, in one slot; extra
+    columns are ignored whatever their names; an empty table gives no rows.
     Places need a sort only within a virtual slot: the slots before it in its
     shard give the first place.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     records = stored(
-        docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), vslot(F.col("doc_id"), slots).alias("vslot")),
+        docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), vslot(F.col("doc_id"), text, slots=slots).alias("vslot")),
         "shard-records",
     )
     size, rows = slot_weights(records, slots)

@@ -1,6 +1,8 @@
 import hashlib
+import math
 import os
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 from numerail.llm import bpe, common, jaccard, langid, mixing, mpeg, orcids, phrases, pieces, sharding, spotsigs, toolcalls
 
-from .helpers import SCHEMA, awkward_texts, brute_components, brute_removed, edited, frame, prose
+from .helpers import SCHEMA, BruteLanguages, awkward_texts, brute_components, brute_removed, edited, frame, prose
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 P = pytest.importorskip("public_tokenizers")
@@ -67,7 +69,7 @@ def test_an_id_with_several_texts_is_one_node(spark):
 
 
 def test_blocks_of_a_group_are_dealt_anew(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "CHUNK_SETS", 10)
+    monkeypatch.setattr(jaccard, "CHUNK_BYTES", 10)
     rows = spark.range(200).selectExpr("1 as g", "id", "'x' as t")
     blocks = jaccard.in_blocks(rows, ["g"], F.length("t"), F.col("id"))
     sizes = [r["count"] for r in blocks.groupBy("bi", "bj").count().collect()]
@@ -109,7 +111,9 @@ def test_one_of_each_group_stays(docs):
 
 
 # graph components
-def test_graph_components(spark):
+@pytest.mark.parametrize("broadcast", [0, 10**6])
+def test_graph_components(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(common, "BROADCAST_NODES", broadcast)
     r = random.Random(1)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 160)] + [(r.randrange(200, 400), r.randrange(200, 400)) for _ in range(120)] + [(7, 7)]
     parent = list(range(401))
@@ -124,6 +128,13 @@ def test_graph_components(spark):
         parent[max(x, y)] = min(x, y)
     got = {x["node"]: x["label"] for x in common.components(spark.createDataFrame(edges, "a long, b long"), "t").collect()}
     assert got == {n: find(n) for e in edges for n in e if e[0] != e[1]}
+    assert common.components(spark.createDataFrame([], "a long, b long"), "t").count() == 0
+
+
+def test_unsettled_components_raise(spark, monkeypatch):
+    monkeypatch.setattr(common, "ROUNDS", 1)
+    with pytest.raises(RuntimeError):
+        common.components(spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long"), "t")
 
 
 # repeated passages
@@ -185,8 +196,26 @@ def test_words_are_compared_not_only_hashes(monkeypatch):
     assert phrases._settle(rows) == [(3, 0, 0, 11)]
     earlier = phrases.Earlier()
     x, y = a.split(b"\n"), b.split(b"\n")
-    assert earlier.known(1, [7, 8], x[:51]) == [False, False]
-    assert earlier.known(2, [7, 8], y[:51]) == [False, False] and earlier.known(3, [7, 8], x[:51]) == [True, True]
+    kinds = lambda *args: [k for k, _ in earlier.kinds(*args)]
+    assert kinds(1, 11, 0, [7, 8], x[:51]) == [phrases.OPEN] * 2
+    assert kinds(2, 12, 0, [7, 8], y[:51]) == [phrases.OPEN] * 2 and kinds(3, 13, 0, [7, 8], x[:51]) == [phrases.SETTLED] * 2
+    assert earlier.kinds(1, 11, 100, [7, 8], x[:51]) == [(phrases.REPEATED, 0), (phrases.REPEATED, 1)]
+    assert kinds(1, 11, 200, [7, 8], y[:51]) == [phrases.OPEN] * 2 and kinds(1, 14, 0, [7, 8], x[:51]) == [phrases.OPEN] * 2
+
+
+def test_lines_that_a_text_repeats(spark):
+    line = prose(730, 17)
+    rows = [(i, f"{prose(740 + i, i)} {' '.join([line] * (10 + i))} {prose(760 + i, 5)}") for i in range(6)] + [(10, " ".join([prose(731, 60)] * 3)), (11, prose(731, 60)), (12, " ".join(["a"] * 300)), (13, " ".join(["a"] * 120))]
+    stretches = []
+    original = phrases.spread
+    try:
+        phrases.spread = lambda df: stretches.append(df.groupBy("kind").agg(F.sum("first").alias("n")).collect()) or original(df)
+        got = rows_of(phrases.dedup_substrings(frame(spark, rows)), "doc_id", "n_words", "n_removed", "kept_sha256")
+    finally:
+        phrases.spread = original
+    assert got == Counter((i, n, k, hashlib.sha256(t.encode()).hexdigest()) for i, n, k, t in brute_removed(rows))
+    sums = {r["kind"]: r["n"] for r in stretches[0]}
+    assert sums[phrases.REPEATED] > sums[phrases.OPEN] / 2
 
 
 def test_passages_of_nothing(empty):
@@ -262,6 +291,53 @@ def test_shards_are_even_and_gapless(spark):
     assert versions.groupBy("version").count().count() == 2
 
 
+def test_shards_equal_a_plain_version(spark):
+    """Sizes, checksums, shards and places against plain Python, given only each row's virtual slot."""
+    rows = [(i % 700, prose(i, 1 + i * 7 % 90)) for i in range(900)] + [(5, "same")] * 40 + ROWS
+    out, versions = sharding.shard_documents(frame(spark, rows), shards=5, slots=64)
+    out = out.collect()
+    weight = [0] * 64
+    for r in out:
+        weight[r["vslot"]] += r["size"]
+    shard = [s % 5 for s in range(64)]
+    limit = sharding.SPREAD * sum(weight) / 5
+    while True:
+        total = [sum(w for w, x in zip(weight, shard) if x == k) for k in range(5)]
+        low = min(range(5), key=lambda k: (total[k], k))
+        edit = None
+        for high in sorted((k for k in range(5) if total[k] - total[low] > limit), key=lambda k: (-total[k], k)):
+            gap = total[high] - total[low]
+            ways = [(abs(gap - 2 * weight[s]), s, -1) for s in range(64) if shard[s] == high and 0 < weight[s] < gap]
+            if not ways or min(ways)[0] > limit:
+                for s in (s for s in range(64) if shard[s] == high):
+                    near = sorted((t for t in range(64) if shard[t] == low), key=lambda t: (weight[t], t))
+                    above = [t for t in near if (weight[t], t) >= (weight[s] - gap / 2, -1)][:1]
+                    below = [t for t in near if (weight[t], t) < (weight[s] - gap / 2, -1)][-1:]
+                    if below + above:
+                        t = min(below + above, key=lambda t: abs(weight[t] - (weight[s] - gap / 2)))
+                        if 0 < weight[s] - weight[t] < gap:
+                            ways.append((abs(gap - 2 * (weight[s] - weight[t])), s, t))
+            if ways:
+                edit = high, min(ways)
+                break
+        if edit is None:
+            break
+        _, (_, s, t) = edit
+        shard[s] = low
+        if t >= 0:
+            shard[t] = edit[0]
+    order = lambda r: (r["vslot"], r["doc_id"] is not None, r["doc_id"] or 0, r["text_crc32"], r["size"])
+    for k in range(5):
+        mine = sorted((r for r in out if r["shard"] == k), key=lambda r: r["slot"])
+        assert [r["slot"] for r in mine] == list(range(len(mine)))
+        assert [order(r) for r in mine] == sorted(order(r) for r in mine) or all(a["vslot"] <= b["vslot"] for a, b in zip(mine, mine[1:]))
+        assert all(shard[r["vslot"]] == k for r in mine)
+    now = {r["vslot"]: r["shard"] for r in versions.where("version = 1").collect()}
+    assert [now[s] for s in range(64)] == shard
+    same = {r["vslot"] for r in out if r["doc_id"] == 5 and r["size"] == 5}
+    assert len(same) == 1 and len({r["vslot"] for r in out if r["doc_id"] == 30}) > 1  # equal rows meet, other texts of an id do not
+
+
 def test_growing_moves_rows_only_into_the_new_shard():
     before = sharding.rebalanced(sharding.first_map(16), [((i * 7919) % 1000) for i in range(4096)], 16)[0]
     after = sharding.grown(before, 16)
@@ -280,16 +356,58 @@ def test_language_accuracy_on_held_out_documents(spark):
     assert good >= 0.98 * out.count() > 0
 
 
+def language_texts():
+    """(doc_id, text, lang): three invented languages, mixtures, words and letters that no other text has."""
+    r = random.Random(12)
+    letters = {"xa": "abcdeé", "xb": "abcxyzß", "xc": "αβγδabc"}
+    rows = []
+    for i in range(400):
+        lang = r.choice(list(letters))
+        words = ["".join(r.choice(letters[lang]) for _ in range(r.randrange(1, 7))) for _ in range(r.randrange(0, 25))]
+        rows.append((i, r.choice([" ", ", ", "\n", "-", " 7"]).join(words).title() if i % 3 else " ".join(words), lang if i % 9 else None))
+    rows += [(500, None, "xa"), (501, "", "xb"), (502, "12 34 !", "xa"), (503, "漢字 漢字", "xa"), (504, "漢字", None), (505, "QQQ", None), (506, "Ωω", None), (507, "a" * 50_000, "xa"), (508, " ".join(["abc"] * 30_000), "xb"), (None, "abc xyz", "xb"), (1, "abc", "xa")]
+    return rows
+
+
+def test_predictions_equal_brute_force(spark, monkeypatch):
+    rows = language_texts()
+    learned = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 4 != 2
+    brute = BruteLanguages([(x, t) for i, t, x in rows if x is not None and t is not None and learned(i)])
+    df = spark.createDataFrame([(i, t, x, None, 0, -1, "r", 7, 0) for i, t, x in rows], SCHEMA).repartition(3)
+    want = sorted((i is not None, i, t or "", *brute.predict(t)) for i, t, x in rows)
+    for parts, group in ((langid.PARTS, langid.GROUP_BYTES), (40, 500)):
+        monkeypatch.setattr(langid, "PARTS", parts)
+        monkeypatch.setattr(langid, "GROUP_BYTES", group)
+        model = langid.fit(df)
+        scorer = langid.Scorer(model)
+        texts = pa.array([t for _, t, _ in rows], pa.string())
+        got = [x for a, b in langid.score_groups(texts, 3) for x in zip(*(y.to_pylist() for y in scorer.predict(texts.slice(a, b - a))), strict=True)]
+        assert len(got) == len(rows) and len(scorer.keys) <= max(parts, 40) + 30_000
+        for (_, t, _), (lang, score) in zip(rows, got, strict=True):
+            name, value = brute.predict(t)
+            assert lang == name and abs(score - value) < 1e-9
+        out = sorted((r["doc_id"] is not None, r["doc_id"], r["text"] or "", r["lang_pred"], r["score"]) for r in langid.predict(df, model, ["doc_id", "text"]).collect())
+        assert [x[:4] for x in out] == [x[:4] for x in want] and all(abs(x[4] - y[4]) < 1e-9 for x, y in zip(out, want, strict=True))
+
+
+def test_ties_go_to_the_first_language(spark):
+    rows = [(i, "same words here", x, None, 0, 0, "", 0, 0) for i, x in enumerate(["zz", "aa", "mm"] * 20)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    out = langid.predict(df, langid.fit(df), ["text"]).collect()
+    assert {(r["lang_pred"], round(r["score"], 9)) for r in out} <= {("aa", round(1 / 3, 9)), ("mm", round(1 / 3, 9)), ("zz", round(1 / 3, 9))} or {r["lang_pred"] for r in out} == {"aa"}
+
+
 def test_every_language_is_learned(spark):
-    names = [f"l{i:03d}" for i in range(520)]
+    names = [f"l{i:03d}" for i in range(600)]
     word = lambda i: "".join(chr(0x4E00 + 26 * i + j) for j in (3, 7, 11))
-    rows = [(i * 10 + j, " ".join([word(i)] * 5), names[i], "s", 0, 0, "", 0, 0) for i in range(520) for j in range(4)]
+    rows = [(i * 10 + j, " ".join([word(i)] * 5), names[i], "s", 0, 0, "", 0, 0) for i in range(600) for j in range(4)]
     df = spark.createDataFrame(rows, SCHEMA)
     model = langid.fit(df)
     assert model.languages == sorted({names[i // 10] for i, *_ in rows if zlib.crc32(str(i).encode()) % 4 != 2})
     assert len(model.languages) > 500
     assert langid.predict(df, model, ["text", "lang"]).where("lang <> lang_pred").where(F.col("lang").isin(model.languages)).count() == 0
-    assert langid.entries(4) == langid.entries(500) == langid.MOST
+    # a sample share of each language where they are many
+    assert len(langid.fit(df, sample_docs=2, sample_all=1200).languages) > 300
 
 
 def test_language_of_awkward_texts(docs, empty):
@@ -305,22 +423,76 @@ def test_language_of_awkward_texts(docs, empty):
 
 
 # fingerprints
+PRINTS = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "similar_edited", "similar_next", "n_signatures", "length_band"]
+
+
 def test_fingerprints_equal_sql(spark):
-    rows = [(i, t) for n, (i, t) in enumerate(ROWS) if i is not None and i not in (10, 30, 31, 40, 41) or n < 3]
-    rows += [(900, "The cat and the dog are in the house of a man."), (901, "the cat and the dog are in the house of a man")]
+    rows = [(i, t) for n, (i, t) in enumerate(ROWS) if i is not None and i not in (10, 30, 31) or n < 3]
+    rows += [(900, "The cat and the dog are in the house of a man."), (901, "the cat and the dog are in the house of a man"), (902, "the cat and the dog are in the house of a woman now")]
     df = frame(spark, rows)
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_signatures"]
-    want = Counter(tuple(r) for r in in_duckdb(spotsigs.OP4_SQL, df)[names].itertuples(index=False))
+    want = Counter(tuple(r) for r in in_duckdb(spotsigs.OP4_SQL, df)[PRINTS].itertuples(index=False))
     for parts in (1, 7):
-        assert rows_of(spotsigs.fingerprints(df, parts), *names) == want
+        assert rows_of(spotsigs.fingerprints(df, parts), *PRINTS) == want
+
+
+def plain_print(text):
+    """The signatures' hashes in plain Python."""
+    flat = "".join(" " if c in spotsigs.MARKS else c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", flat) if w]
+    found = set()
+    for i, w in enumerate(words):
+        chain = [x for x in words[i + 1 :] if x not in spotsigs.COMMON][: spotsigs.CHAIN] if w in spotsigs.COMMON else []
+        if len(chain) == spotsigs.CHAIN:
+            found.add(" ".join([w, *chain]))
+    found = found or {"=" + hashlib.md5((text or "").encode()).hexdigest()}
+    return " ".join(sorted({hashlib.md5(x.encode()).hexdigest()[: spotsigs.HASH_LETTERS] for x in found}))
+
+
+def jaccard_of(a, b):
+    x, y = set(a.split(" ")), set(b.split(" "))
+    return len(x & y) / len(x | y)
 
 
 def test_fingerprints_of_awkward_rows(docs, empty):
-    out = spotsigs.fingerprints(docs)
-    assert out.count() == len(ROWS) and out.where("near_edited is null or near_next is null or not near_edited between 0 and 1").count() == 0
+    """Repeated and null ids too: every row against plain Python, with the next row in the documented order."""
+    order = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""), reverse=True)
+    want = Counter()
+    for n, (i, t) in enumerate(order):
+        t, after = t or "", order[(n + 1) % len(order)][1] or ""
+        third = len(t) // 3
+        edited = t[: len(t) - third] + after[:third]
+        a, b, c = map(plain_print, (t, edited, after))
+        want[i, len(t), hashlib.sha256(edited.encode()).hexdigest(), a, b, jaccard_of(a, b), jaccard_of(a, c), jaccard_of(a, b) >= 0.75, jaccard_of(a, c) >= 0.75] += 1
+    assert rows_of(spotsigs.fingerprints(docs), *PRINTS[:9]) == want
     assert spotsigs.fingerprints(empty).count() == 0
 
 
+def test_similar_pairs_equal_brute_force(spark):
+    r = random.Random(15)
+    base = [" ".join(r.choice(["the", "of", "a", "w%d" % r.randrange(60)]) for _ in range(r.randrange(4, 60))) for _ in range(25)]
+    texts = [t for t in base] + [edited(t, i, 1 + i % 4) for i, t in enumerate(base * 3)] + base[:5] + ["", None]
+    prints = [(i, plain_print(t)) for i, t in enumerate(texts)] + [(None, plain_print(base[0])), (None, "ffffffffff"), (400, None)]
+    df = spark.createDataFrame(prints, "doc_id long, fingerprint string")
+    least = {}
+    for i, p in prints:
+        if i is not None and p is not None:
+            least[p] = min(i, least.get(p, i))
+    queries = [(i, p) for i, p in prints if i is not None and i % 3 == 0]
+    want = Counter((i, c, jaccard_of(p, q)) for i, p in queries if p is not None for q, c in least.items() if jaccard_of(p, q) >= 0.75)
+    got = rows_of(spotsigs.similar_pairs(df, df.where("doc_id % 3 = 0")), "query_id", "class_id", "likeness")
+    assert got == want and any(i != c for i, c, _ in want)
+
+
+def test_sets_in_distant_bands_are_not_compared(spark):
+    for n in range(1, 400):
+        assert 0 <= math.floor(math.log(-(-n * 4 // 3)) / -math.log(0.75)) - math.floor(math.log(n) / -math.log(0.75)) <= 2
+        m = n * 4 // 3  # the longest set that n can be similar to
+        assert math.floor(math.log(m) / -math.log(0.75)) - math.floor(math.log(n) / -math.log(0.75)) <= 1
+    df = spark.createDataFrame([("a b c", "a b c d"), ("a", "a b"), ("a b c", "x y z")], "a string, b string")
+    out = df.select(spotsigs.similar(F.col("a"), F.col("b")).alias("s"), spotsigs.likeness(F.col("a"), F.col("b")).alias("l")).collect()
+    assert [(r["s"], r["l"]) for r in out] == [(True, 0.75), (False, 0.5), (False, 0.0)]
+
+
 # media
 @pytest.mark.parametrize("data", [b"", b"a", b"b" * 191, b"c" * 192, b"d" * 193, "é🙂\n".encode() * 999, bytes(range(255)) * 40])
 def test_mpeg_round_trip(data):
@@ -348,14 +520,91 @@ def test_mpeg_resynchronises_and_checks():
     assert mpeg.probe(b"")["samples"] == 0 and mpeg.probe(b"\xff" * 50)["samples"] == 0
 
 
+def walk(media):
+    """An independent parser of the streams that are written: frames by a plain walk, their checksums bit by bit."""
+    assert media[:3] == b"ID3" and media[3] == 3
+    n = media[9] | media[8] << 7 | media[7] << 14 | media[6] << 21
+    tag, at = media[10 : 10 + n], 10 + n
+    length = tag[11 : 10 + int.from_bytes(tag[4:8], "big")].decode() if tag[:4] == b"TLEN" else None
+    frames, bad = [], 0
+    while at < len(media):
+        head = int.from_bytes(media[at : at + 4], "big")
+        assert head >> 21 == 0x7FF and head >> 19 & 3 == 3 and head >> 17 & 3 == 1  # sync, MPEG-1, Layer III
+        rate = [0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320][head >> 12 & 15]
+        hz = [44100, 48000, 32000][head >> 10 & 3]
+        size = 144000 * rate // hz + (head >> 9 & 1)
+        crc = 0xFFFF
+        for byte in media[at + 2 : at + 4] + media[at + 6 : at + 6 + 17]:
+            for bit in range(7, -1, -1):
+                crc = (crc << 1 ^ (0x8005 if (crc >> 15 ^ byte >> bit) & 1 else 0)) & 0xFFFF
+        bad += crc != int.from_bytes(media[at + 4 : at + 6], "big")
+        frames.append((at, media[at + 23 : at + size]))
+        at += size
+    assert at == len(media)
+    (_, info), *rest = frames
+    assert info[:4] == b"Xing" and int.from_bytes(info[4:8], "big") == 7 and int.from_bytes(info[8:12], "big") == len(rest)
+    return {"length": length, "offsets": [a for a, _ in rest], "payload": b"".join(x[:192] for _, x in rest), "bad": bad, "hz": hz, "toc": hashlib.md5(info[16:116]).hexdigest()[:8]}
+
+
 def test_mpeg_media_column(docs, empty):
-    out = mpeg.read_media(mpeg.write_media(docs)).collect()
-    got = Counter((r["doc_id"], r["n_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in out)
     pad = lambda t: mpeg.padded((t or "").encode())
-    assert got == Counter((i, len((t or "").encode()), hashlib.sha256(pad(t)).hexdigest(), zlib.crc32(pad(t)[-16:])) for i, t in ROWS)
+    media = mpeg.write_media(docs)
+    streams = Counter()
+    for r in media.collect():
+        w = walk(bytes(r["media"]))
+        assert w["bad"] == 0 and w["offsets"] == r["offsets"] and r["samples"] == 1152 * len(w["offsets"]) and r["sample_rate"] == w["hz"] == 32000
+        assert r["fields"] == {"TLEN": str(len(w["offsets"]) * 36)} and w["length"] == r["fields"]["TLEN"]
+        feature = f"duration={r['samples']}/32000;frames={len(w['offsets'])};first={w['offsets'][0]};last={w['offsets'][-1]};tags=1;length={w['length']};toc={w['toc']};bad=0;skipped=0"
+        streams[r["doc_id"], hashlib.sha256(w["payload"]).hexdigest(), len(r["media"]), hashlib.sha256(r["media"]).hexdigest(), feature] += 1
+    out = mpeg.read_media(media).collect()
+    assert all(r["as_stored"] and r["bad_checksums"] == 0 for r in out)
+    assert Counter((r["doc_id"], r["payload_sha256"], r["media_bytes"], r["media_sha256"], r["feature"]) for r in out) == streams
+    got = Counter((r["doc_id"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in out)
+    assert got == Counter((i, len((t or "").encode()), len(pad(t)), hashlib.sha256(pad(t)).hexdigest(), zlib.crc32(pad(t)[-16:])) for i, t in ROWS)
     assert mpeg.read_media(mpeg.write_media(empty)).count() == 0
 
 
+def id3_frame(name, value, size=lambda n: n.to_bytes(4, "big")):
+    return name + size(len(value)) + b"\0\0" + value
+
+
+def test_tags_are_parsed():
+    safe = lambda n: bytes((n >> 21 & 127, n >> 14 & 127, n >> 7 & 127, n & 127))
+    stream = mpeg.encode(mpeg.padded(b"x" * 1000))
+    frames = stream[mpeg.id3v2(stream, 0)[0] :]
+    body = id3_frame(b"TIT2", b"\x03" + "Tïtle".encode(), safe) + id3_frame(b"TPE1", b"\x01" + "Änn".encode("utf-16"), safe) + id3_frame(b"APIC", b"\0" * 200, safe)
+    extended = safe(6) + b"\x01\x00"
+    tag = b"ID3\x04\x00" + bytes([0x50]) + safe(len(extended + body)) + extended + body
+    footer = b"3DI\x04\x00" + bytes([0x50]) + safe(len(extended + body))
+    old = b"ID3\x02\x00\x00" + safe(11) + b"TT2" + (5).to_bytes(3, "big") + b"\0abcd"
+    last = b"TAG" + b"Old title".ljust(30, b"\0") + b"Artist".ljust(30) + b"Album".ljust(30, b"\0") + b"1999" + b"note".ljust(30, b"\0") + b"\x07"
+    p = mpeg.probe(tag + footer + old + frames + last)
+    assert p["fields"] == {"TIT2": "Tïtle", "TPE1": "Änn", "APIC": "200 bytes", "TT2": "abcd", "title": "Old title", "artist": "Artist", "album": "Album", "year": "1999", "comment": "note", "genre": "7"}
+    assert p["tags"] == 3 and p["skipped"] == 0 and p["payload"] == mpeg.padded(b"x" * 1000)
+    cut = mpeg.probe((b"ID3\x03\x00\x00" + safe(500) + b"TIT2")[:14])
+    assert cut["fields"] == {} and cut["samples"] == 0
+
+
+def test_variable_bitrate_tables_follow_their_flags():
+    frame = bytearray(mpeg.encode(mpeg.padded(b"y"))[-mpeg.FRAME :])
+
+    def with_head(head, at=mpeg.BODY):
+        f = bytearray(frame)
+        f[at : at + len(head)] = head
+        return mpeg.probe(bytes(f))["vbr"]
+
+    n = lambda x: x.to_bytes(4, "big")
+    empty = bytes(160)
+    assert with_head(b"Xing" + n(1) + n(77) + b"\xee" * 150) == {"kind": "Xing", "flags": 1, "frames": 77, "bytes": None, "toc": None, "quality": None}
+    assert with_head(b"Info" + n(10) + n(4321) + n(55) + b"\xee" * 150) == {"kind": "Info", "flags": 10, "frames": None, "bytes": 4321, "toc": None, "quality": 55}
+    toc = bytes(range(100))
+    assert with_head(b"Xing" + n(5) + n(3) + toc + b"\xee" * 20)["toc"] == toc
+    assert with_head(empty) is None
+    vbri = b"VBRI" + bytes([0, 1, 0, 0, 0, 9]) + n(900) + n(12) + bytes([0, 2, 0, 1, 0, 2, 0, 6]) + b"\1\2\3\4"
+    got = with_head(empty[:120], mpeg.BODY) or with_head(vbri, 36)
+    assert got["kind"] == "VBRI" and got["frames"] == 12 and got["bytes"] == 900 and got["toc"] == b"\1\2\3\4" and got["quality"] == 9
+
+
 # tokens
 @pytest.fixture(scope="module")
 def library():
