@@ -1,7 +1,9 @@
 """A corpus pipeline of five stages, each a table in and a table out.
 
 Each stage works on all that its predecessor kept; all but the last return the
-columns of ``documents`` (doc_id, text, lang, source, n_chars).
+columns of ``documents`` (doc_id, text, lang, source, n_chars) and no others,
+whatever other columns come in. Texts are worked on whole, however long. An
+empty table passes as one.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document stays where the model has nothing to say: no language could be
     learned, or none of its words and n-grams is known (all languages score alike).
+    Null and empty texts have no letter and go; repeated rows stay or go
+    together; null ids, langs and sources do not matter.
     """
     model = langid.fit(docs)
     if not model.languages:
@@ -32,12 +36,21 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates, the one with the smallest id."""
+    """Keeps one document of each group of near duplicates, the one with the smallest id.
+
+    Of repeated rows one stays, of rows with one id and different texts one of
+    them. Null and empty texts are like no other and stay, one for each id;
+    rows with a null id stay as they are.
+    """
     return jaccard.keep_one_of_each(docs.select(*COLUMNS))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages of 50 words and more that an earlier document has; a text of which nothing is left goes."""
+    """Cuts passages of 50 words and more that an earlier document has; a text of which nothing is left goes.
+
+    Texts that lose nothing are unchanged, null ones too; repeated rows end
+    alike; rows with a null id lose nothing and cost others nothing.
+    """
     cut = phrases.dedup_substrings(docs, ["lang", "source", "n_chars"])
     cut = cut.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
     n_chars = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("kept").cast("long"))
@@ -45,14 +58,22 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Draws the sources by weight: each document comes none, one or two times."""
+    """Draws the sources by weight: each document comes none, one or two times.
+
+    Documents without words (null, empty) come as often as others of their
+    source and hash, but none of a source without any words; null sources are
+    one source; rows with one id are drawn together.
+    """
     drawn = mixing.mix(docs, keep=["text", "lang", "n_chars"]).where("repeats > 0")
     drawn = drawn.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("repeats"))))
     return drawn.select("doc_id", F.col("row.text").alias("text"), F.col("row.lang").alias("lang"), "source", F.col("row.n_chars").alias("n_chars"))
 
 
 def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
-    """Token ids of each text, with the digest of the text that they decode to."""
+    """Token ids of each text, with the digest of the text that they decode to.
+
+    A row for each row; null and empty texts have no ids.
+    """
     if tokenizer_path is None:
         import public_tokenizers
 

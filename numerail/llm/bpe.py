@@ -32,7 +32,7 @@ from .common import hold, small_batches
 from .pieces import MARKS, START, Cutter, PartTable, groups_of, literal, special_tokens
 
 #: Most entries of a worker's tables: parts (words with what surrounds them), and states over bytes.
-PARTS, STATES = 600_000, 150_000
+PARTS, STATES = 400_000, 100_000
 
 
 def byte_letters() -> dict[int, str]:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,10 +105,24 @@ _held: dict = {}
 
 def hold(name: str, drop) -> None:
     """Called where a task starts that keeps a cache in the worker: what other
-    operators kept there is dropped, so a worker holds one such cache."""
-    for other in [n for n in _held if n != name]:
+    operators kept there is dropped and its memory given back, so a worker
+    holds one such cache."""
+    others = [n for n in _held if n != name]
+    for other in others:
         _held.pop(other)()
     _held[name] = drop
+    if others:
+        give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory of this process to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library; then it stays for later use
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -28,8 +28,8 @@ UNKNOWN = "und"
 NOT_LETTERS = r"[^\pL]+"
 #: Kinds of entries: words (0), then n-grams by length, as they are tried.
 KINDS = (0, 4, 3, 2, 1)
-#: Parts of texts that a worker keeps, and bytes of texts that are scored together.
-PARTS, HOT, GROUP_BYTES = 400_000, 32_768, 8 << 20
+#: Parts of texts that a worker keeps; bytes of texts that are looked up, and parts of them that are summed, together.
+PARTS, HOT, GROUP_BYTES, SUMMED = 400_000, 32_768, 8 << 20, 200_000
 
 
 def held_out(doc_id):
@@ -240,11 +240,18 @@ class Scorer:
         languages, n = self.model.languages, len(texts)
         lists = pc.utf8_split_whitespace(texts.fill_null(""))
         at = self._places(lists.flatten())
-        owner = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
-        kinds = np.stack([np.bincount(owner, weights=self.kinds[at, c], minlength=n) for c in range(len(KINDS) + 1)], axis=1)
-        part, lang, lift = self.lifts.spread(at)
-        width = max(1, len(languages))
-        total = np.bincount(owner[part] * width + lang, weights=lift, minlength=n * width).reshape(n, width)
+        offsets, width = lists.offsets.to_numpy(), max(1, len(languages))
+        kinds, total = np.zeros((n, len(KINDS) + 1)), np.zeros((n, width))
+        first = 0
+        while first < n:  # texts by the number of their parts, which bounds what is spread at once
+            last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + SUMMED, side="right")) - 1)
+            mine, m = at[offsets[first] : offsets[last]], last - first
+            owner = np.repeat(np.arange(m), np.diff(offsets[first : last + 1]))
+            for c in range(len(KINDS) + 1):
+                kinds[first:last, c] = np.bincount(owner, weights=self.kinds[mine, c], minlength=m)
+            part, lang, lift = self.lifts.spread(mine)
+            total[first:last] = np.bincount(owner[part] * width + lang, weights=lift, minlength=m * width).reshape(m, width)
+            first = last
         if languages:
             total += kinds[:, :-1] @ self.model.floor
         z = total / np.sqrt(np.maximum(1.0, kinds[:, :-1].sum(axis=1)))[:, None]

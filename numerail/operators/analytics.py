@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 T95 = (12.71, 4.30, 3.18, 2.78, 2.57, 2.45, 2.36, 2.31, 2.26, 2.23)
 
 
+#: Entries of a table that points are interpolated in.
+MOST_ENTRIES = 100_000
+
+
 def first_or_max(df: DataFrame, key: list[str], value: str, order: str, max_when: Column) -> DataFrame:
     """One value per key: the first in an order, but the largest for keys where ``max_when`` holds."""
     known = F.col(value).isNotNull()
@@ -57,8 +61,10 @@ def outliers(df: DataFrame, key: list[str], value: str, ratio: float, excess: fl
 
 
 def first_lines(df: DataFrame, key: list[str], order: str, text: str, count: int = 2, width: int = 160) -> DataFrame:
-    """The first lines of each key, cut to a width: the rule of a report."""
-    return df.groupBy(*key).agg(F.slice(F.array_sort(F.collect_list(F.struct(order, F.substring(text, 1, width).alias(text)))), 1, count).alias("l")).select(*key, F.explode("l").alias("x")).select(*key, f"x.{order}", f"x.{text}")
+    """The first lines of each key, cut to a width: the rule of a report. The rank
+    limits rows before they are shuffled too, so no key's lines are gathered."""
+    k = F.row_number().over(Window.partitionBy(*key).orderBy(order, text))
+    return df.withColumn("_k", k).where(F.col("_k") <= count).select(*key, order, F.substring(text, 1, width).alias(text))
 
 
 def summary_by_arm(df: DataFrame, arm: str, value: str, counts: Column) -> DataFrame:
@@ -126,11 +132,15 @@ def overlaps(df: DataFrame, key: list[str], row_id: str, start: str, end: str, w
 
 
 def neighbours(table: DataFrame, x: str, y: str, points: DataFrame, at: str) -> DataFrame:
-    """Log-log interpolation of a small table (broadcast) at points, by the nearest entries at and around each.
+    """Log-log interpolation of a small table at points, by the nearest entries at
+    and around each. The table is counted, and broadcast as one row; it raises
+    beyond MOST_ENTRIES.
 
     An entry at the point itself gives its value; outside the range, the
     nearest two entries give the line (one entry: its value).
     """
+    if table.limit(MOST_ENTRIES + 1).count() > MOST_ENTRIES:
+        raise ValueError(f"a table to interpolate has at most {MOST_ENTRIES} entries")
     entries = F.broadcast(table.groupBy().agg(F.array_sort(F.collect_list(F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))).alias("t")))
     p = F.col(at).cast("double")
     n = F.size("t")

@@ -28,7 +28,8 @@ def problems(items: DataFrame, pattern: str, scripts: DataFrame) -> DataFrame:
 def cyclic(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """Nodes that no order of the edges (id needs dep) can place: those on cycles or behind them.
 
-    Rounds take away what needs nothing that is left; each is checkpointed.
+    Rounds take away what needs nothing that is left; each is checkpointed. It
+    raises when ``max_rounds`` are not enough.
     """
     from .series import cut
 
@@ -41,6 +42,8 @@ def cyclic(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
         if m == n:
             break
         n = m
+    else:
+        raise RuntimeError(f"dependencies are deeper than {max_rounds}")
     return left.select("id").distinct()
 
 
@@ -96,5 +99,16 @@ def schedule(items: list[dict], sizes: list[int]) -> tuple[float, list[list[tupl
 
 def suggestions(unknown: DataFrame, known: DataFrame, name: str = "name", count: int = 2, most: int = 3) -> DataFrame:
     """Up to two known names near each unknown one by edit distance (``known`` is a registry: broadcast)."""
-    near = unknown.select(F.col(name).alias("u")).crossJoin(F.broadcast(known.select(F.col(name).alias("k")))).withColumn("d", F.levenshtein("u", "k", most)).where("d >= 0")
+    def cut(df, alias):
+        """Names in pieces: most + 1 pieces of two names within ``most`` edits share one, near the same place."""
+        n = F.length(name)
+        pieces = F.transform(F.sequence(F.lit(0), F.lit(most)), lambda i: F.struct(i.alias("i"), F.floor(i * n / (most + 1)).cast("int").alias("at"), F.floor((i + 1) * n / (most + 1)).cast("int").alias("to")))
+        return df.select(F.col(name).alias(alias), F.explode(pieces).alias("p"))
+
+    # all substrings of the unknown names that can be a piece of a known one
+    known_pieces = cut(known.distinct(), "k").select("k", F.col("p.at").alias("at"), F.expr("substring(k, p.at + 1, p.to - p.at)").alias("piece"), F.length("k").alias("nk"))
+    spans = F.expr(f"flatten(transform(sequence(0, length(u)), a -> transform(sequence(0, length(u) - a), m -> struct(a AS at, substring(u, a + 1, m) AS piece))))")
+    theirs = unknown.select(F.col(name).alias("u")).distinct().select("u", F.explode(F.array_distinct(spans)).alias("s")).select("u", F.col("s.at").alias("ua"), F.col("s.piece").alias("piece"))
+    met = theirs.join(known_pieces, "piece").where((F.abs(F.col("at") - F.col("ua")) <= most) & (F.abs(F.length("u") - F.col("nk")) <= most)).select("u", "k").distinct()
+    near = met.withColumn("d", F.levenshtein("u", "k", most)).where("d >= 0")
     return near.groupBy(F.col("u").alias(name)).agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("d", "k"))), 1, count), lambda s: s["k"]).alias("near"))

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 BASE, DIGITS = 10**6, 6
 #: Limbs of a chunk of the carry scan; each tier divides the rows by so many.
 CHUNK = 4096
+#: Rounds of a fold; a sum of limbs needs a few.
+FOLDS = 64
 SCHEMA = "num string, idx long, limb long"
 
 
@@ -58,12 +60,24 @@ def power(spark: SparkSession, num: str, k: int) -> DataFrame:
     return spark.range(k + 1).select(F.lit(num).alias("num"), F.col("id").alias("idx"), F.when(F.col("id") == k, 1).otherwise(0).cast("long").alias("limb"))
 
 
+def positions(tops: DataFrame) -> DataFrame:
+    """num, idx: all positions 0 .. top of numbers given as (num, top).
+
+    A row for each chunk of positions is dealt to a task of its own, which
+    makes them; so no row or task holds the positions of a whole long number.
+    """
+    n = int(tops.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    chunks = tops.where("top >= 0").select("num", "top", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"top div {CHUNK}"))).alias("_c")).repartition(n, "num", "_c")
+    first = F.col("_c") * CHUNK
+    return chunks.select("num", F.explode(F.sequence(first, F.least(first + CHUNK - 1, F.col("top")))).alias("idx"))
+
+
 def shifted(df: DataFrame, by: int) -> DataFrame:
     """Times base^by; negative: the whole part of the quotient. The low limbs of a left shift are zero rows."""
     if by <= 0:
         return df.select("num", (F.col("idx") + by).alias("idx"), "limb").where("idx >= 0")
     up = df.select("num", (F.col("idx") + by).alias("idx"), "limb")
-    low = df.select("num").distinct().withColumn("idx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(by - 1).cast("long"))))
+    low = positions(df.select("num").distinct().withColumn("top", F.lit(by - 1).cast("long")))
     return up.unionByName(low.withColumn("limb", F.lit(0).cast("long")))
 
 
@@ -80,8 +94,7 @@ def normalized(df: DataFrame) -> DataFrame:
 
 def filled(df: DataFrame, extra: int = 0) -> DataFrame:
     """Zero rows for positions without one, and ``extra`` more above the top."""
-    top = df.groupBy("num").agg(F.max("idx").alias("_top"))
-    every = top.select("num", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_top") + extra)).alias("idx"))
+    every = positions(df.groupBy("num").agg((F.max("idx") + extra).alias("top")))
     return every.join(df, ["num", "idx"], "left").select("num", "idx", F.coalesce("limb", F.lit(0)).alias("limb"))
 
 
@@ -120,13 +133,15 @@ def incoming(df: DataFrame, flag: str, keys: list[str], tiers: int = 3, name: st
     return out.withColumn(name, F.coalesce(inner, outer)).drop(chunk, inner, outer)
 
 
-def carried(df: DataFrame, top: int = 4) -> DataFrame:
+def carried(df: DataFrame, rounds: int = 2) -> DataFrame:
     """Limbs from sums: any non-negative values per position become limbs below the base.
 
     Two rounds split each value over the positions above (map-side combined),
-    which leaves at most one to carry; the rest is the carry scan.
+    which leaves at most one to carry; the rest is the carry scan. Sums of two
+    limbs have at most one to carry as they are, those of up to a million after
+    one round.
     """
-    for _ in range(2):
+    for _ in range(rounds):
         parts = F.array(*[F.struct((F.col("idx") + k).alias("idx"), F.expr(f"(limb div {BASE**k}L) % {BASE}L").alias("limb")) for k in range(4)])
         parts = F.filter(parts, lambda p: (p["limb"] != 0) | (p["idx"] == F.col("idx")))
         df = df.select("num", F.explode(parts).alias("p")).select("num", "p.idx", "p.limb").groupBy("num", "idx").agg(F.sum("limb").alias("limb"))
@@ -138,7 +153,7 @@ def carried(df: DataFrame, top: int = 4) -> DataFrame:
 
 def added(*numbers: DataFrame) -> DataFrame:
     """Sum of numbers of the same name."""
-    return carried(_summed(numbers))
+    return carried(_summed(numbers), rounds=0 if len(numbers) <= 2 else 1)
 
 
 def _summed(numbers: Iterable[DataFrame]) -> DataFrame:
@@ -167,9 +182,8 @@ def compared(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def complement(df: DataFrame, e: int) -> DataFrame:
     """base^e - number (of at most e limbs)."""
-    spark = df.sparkSession
-    one = df.select("num").distinct().crossJoin(F.broadcast(power(spark, "_", e).drop("num")))
-    return subtracted(one.select("num", "idx", "limb"), df)
+    one = positions(df.select("num").distinct().withColumn("top", F.lit(e).cast("long")))
+    return subtracted(one.withColumn("limb", F.when(F.col("idx") == e, 1).otherwise(0).cast("long")), df)
 
 
 def plus_small(df: DataFrame, value: int, at: int = 0) -> DataFrame:
@@ -189,17 +203,28 @@ def folded(df: DataFrame, p: int) -> DataFrame:
     """The number modulo base^p - 1: positions modulo p are added, until nothing is above."""
     from .series import cut
 
-    for _ in range(64):
+    for _ in range(FOLDS):
         df = cut(carried(df.select("num", (F.col("idx") % p).alias("idx"), "limb").groupBy("num", "idx").agg(F.sum("limb").alias("limb"))))
         if not df.where(F.col("idx") >= p).take(1):
             break
+    else:
+        raise ArithmeticError(f"a fold to {p} limbs does not end after {FOLDS} rounds")
     full = df.groupBy("num").agg(F.min("limb").alias("least"), F.count(F.lit(1)).alias("n"))
     is_zero = (F.col("least") == BASE - 1) & (F.col("n") == p)  # base^p - 1 itself is 0
     return normalized(df.join(full, "num").select("num", "idx", F.when(is_zero, 0).otherwise(F.col("limb")).alias("limb")))
 
 
-def alternating_mod(df: DataFrame, plus: bool) -> DataFrame:
-    """num, r: the number modulo base + 1 (alternating sum) or base - 1 (plain sum)."""
+def _alternating(plus: bool) -> Column:
     q = BASE + 1 if plus else BASE - 1
     signed: Column = F.when(F.col("idx") % 2 == 1, -F.col("limb")).otherwise(F.col("limb")) if plus else F.col("limb")
-    return df.groupBy("num").agg(F.pmod(F.sum(signed), F.lit(q)).alias("r"))
+    return F.pmod(F.sum(signed), F.lit(q))
+
+
+def alternating_mod(df: DataFrame, plus: bool) -> DataFrame:
+    """num, r: the number modulo base + 1 (alternating sum) or base - 1 (plain sum)."""
+    return df.groupBy("num").agg(_alternating(plus).alias("r"))
+
+
+def alternating_mods(df: DataFrame) -> DataFrame:
+    """num, plus, minus: both residues in one pass."""
+    return df.groupBy("num").agg(_alternating(True).alias("plus"), _alternating(False).alias("minus"))

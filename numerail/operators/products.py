@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import decimal
+import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .numbers import BASE, DIGITS, carried
@@ -51,6 +52,11 @@ def from_blocks(df: DataFrame, size: int = BLOCK) -> DataFrame:
     return wide.groupBy("num", (F.col("blk") * size + F.col("_i")).cast("long").alias("idx")).agg(F.sum(limb).alias("limb"))
 
 
+def cells(spark: SparkSession) -> int:
+    """The side of the grid of cells: about as many cells as shuffle partitions."""
+    return max(1, math.ceil(math.sqrt(int(spark.conf.get("spark.sql.shuffle.partitions", "200")))))
+
+
 def _multiply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         out = []
@@ -60,10 +66,19 @@ def _multiply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def block_grid(a: DataFrame, b: DataFrame, low: int = 0, high: int | None = None, size: int = BLOCK) -> DataFrame:
-    """Pairs of blocks whose products can reach positions in [low, high)."""
-    x = to_blocks(a, size).select("num", F.col("blk").alias("i"), F.col("text").alias("x"))
-    y = to_blocks(b, size).select("num", F.col("blk").alias("j"), F.col("text").alias("y"))
-    on = [x["num"] == y["num"], (F.col("i") + F.col("j") + 2) * size > low]
+    """Pairs of blocks whose products can reach positions in [low, high).
+
+    The pairs of a number are dealt over a square grid of cells (i modulo k,
+    j modulo k): each block goes to the k cells of its row or column and meets
+    the others there, so that one long product is the work of k * k tasks.
+    """
+    k = cells(a.sparkSession)
+    others = F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    x = to_blocks(a, size).select("num", F.col("blk").alias("i"), F.col("text").alias("x"), (F.col("blk") % k).cast("int").alias("ci"), others.alias("cj"))
+    y = to_blocks(b, size).select("num", F.col("blk").alias("j"), F.col("text").alias("y"), others.alias("ci"), (F.col("blk") % k).cast("int").alias("cj"))
+    n = k * k
+    x, y = x.repartition(n, "num", "ci", "cj"), y.repartition(n, "num", "ci", "cj")
+    on = [x["num"] == y["num"], x["ci"] == y["ci"], x["cj"] == y["cj"], (F.col("i") + F.col("j") + 2) * size > low]
     if high is not None:
         on.append((F.col("i") + F.col("j")) * size < high)
     return x.join(y, on).select(x["num"], (F.col("i") + F.col("j")).alias("blk"), "x", "y")
@@ -77,7 +92,7 @@ def multiplied(a: DataFrame, b: DataFrame, plus: DataFrame | None = None, low: i
     (a band has both); ``cycle`` gives the product modulo base^cycle - 1 up to
     a further fold. The added operand joins before the carry, in one shuffle.
     """
-    grid = block_grid(a, b, low, high, size).repartition("num", "blk")
+    grid = block_grid(a, b, low, high, size)
     sums = from_blocks(grid.mapInPandas(_multiply, "num string, blk long, text string"), size)
     if plus is not None:
         sums = sums.unionByName(plus.select("num", "idx", "limb"))
@@ -89,22 +104,50 @@ def multiplied(a: DataFrame, b: DataFrame, plus: DataFrame | None = None, low: i
     return out.where(F.col("idx") < high) if high is not None else out
 
 
-def multiply_many(pairs: DataFrame) -> DataFrame:
-    """Many small products at once: (pair_id, a, b) digit strings to (pair_id, product)."""
+#: Digits of an operand in a batch, beyond which a product is split into pieces.
+LONG_DIGITS = 20_000
+
+
+def multiply_many(pairs: DataFrame, long_digits: int = LONG_DIGITS) -> DataFrame:
+    """Many products at once: (pair_id, a, b) digit strings to (pair_id, product).
+
+    A pair with a longer operand is split into a grid of blocks, which are
+    multiplied apart and added up, so no task multiplies all of it.
+    """
 
     def run(frames):
         for f in frames:
             yield pd.DataFrame({"pair_id": f["pair_id"], "product": [format(_context(len(x) + len(y)).multiply(decimal.Decimal(x), decimal.Decimal(y)), "f") for x, y in zip(f["a"], f["b"], strict=True)]})
 
-    return pairs.select("pair_id", "a", "b").mapInPandas(run, "pair_id long, product string")
+    long = (F.length("a") > long_digits) | (F.length("b") > long_digits)
+    short = pairs.where(~long).select("pair_id", "a", "b").mapInPandas(run, "pair_id long, product string")
+    return short.unionByName(_in_pieces(pairs.where(long), max(1, long_digits // DIGITS)))
+
+
+def _in_pieces(pairs: DataFrame, size: int) -> DataFrame:
+    from .numbers import from_digits
+    from .residues import FAN
 
+    number = lambda c: from_digits(pairs.select(F.col("pair_id").cast("string").alias("num"), F.col(c).alias("digits")))
+    limbs = multiplied(number("a"), number("b"), size=size)
+    # limbs to text in two steps, runs of limbs first
+    step = limbs.groupBy("num", F.expr(f"idx div {FAN}").alias("k")).agg(F.array_join(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("idx", "limb")))), lambda s: F.lpad(s["limb"].cast("string"), DIGITS, "0")), "").alias("t"))
+    text = step.groupBy("num").agg(F.array_join(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("k", "t")))), lambda s: s["t"]), "").alias("t"))
+    whole = F.regexp_replace("t", "^0+", "")
+    return text.select(F.col("num").cast("long").alias("pair_id"), F.when(whole == "", "0").otherwise(whole).alias("product"))
 
-def checked_product(a: DataFrame, b: DataFrame, primes: list[int], attempts: int = 2, **cuts) -> DataFrame:
-    """The product, accepted when (a mod q)(b mod q) = product mod q for all q; else made again."""
+
+def checked_product(a: DataFrame, b: DataFrame, primes: list[int], attempts: int = 2, fault=None, **cuts) -> DataFrame:
+    """The product, accepted when (a mod q)(b mod q) = product mod q for all q; else made again.
+
+    ``fault`` is for tests of the check: it gets the product and the number of
+    the attempt, and returns what is checked in its place.
+    """
     from .residues import identity_holds, limbs_mod, mulmod
 
-    for _ in range(attempts):
-        product = multiplied(a, b, **cuts).persist()
+    for attempt in range(attempts):
+        product = multiplied(a, b, **cuts)
+        product = (fault(product, attempt) if fault else product).persist()
         ra, rb = limbs_mod(a, primes), limbs_mod(b, primes)
         want = ra.alias("a").join(rb.alias("b"), "num").select("num", *[mulmod(F.col(f"a.r{i}"), F.col(f"b.r{i}"), q).alias(f"r{i}") for i, q in enumerate(primes)])
         if not identity_holds(want, limbs_mod(product, primes), primes).where("not ok").take(1):

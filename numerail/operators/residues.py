@@ -121,9 +121,15 @@ def joined_mod(parts: DataFrame, primes: list[int]) -> DataFrame:
 
     A chunk weighs 10^(digits after it): running sums give the digits, powers
     of ten by square and multiply give the weight, and the sum needs no order.
+    The sums run within groups of chunks, and over the groups, a row each.
     """
-    after = Window.partitionBy("num").orderBy(F.desc("chunk_no")).rowsBetween(Window.unboundedPreceding, -1)
-    out = parts.withColumn("_after", F.coalesce(F.sum("n").over(after), F.lit(0)).cast("long"))
+    grouped = parts.withColumn("_g", F.floor(F.col("chunk_no") / FAN))
+    sums = grouped.groupBy("num", "_g").agg(F.sum("n").alias("_n"))
+    later = Window.partitionBy("num").orderBy(F.desc("_g")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("num", "_g", F.coalesce(F.sum("_n").over(later), F.lit(0)).alias("_later"))
+    after = Window.partitionBy("num", "_g").orderBy(F.desc("chunk_no")).rowsBetween(Window.unboundedPreceding, -1)
+    out = grouped.withColumn("_inner", F.coalesce(F.sum("n").over(after), F.lit(0))).join(sums, ["num", "_g"])
+    out = out.withColumn("_after", (F.col("_inner") + F.col("_later")).cast("long"))
     sums = []
     for i, q in enumerate(primes):
         w = powmod(10, F.col("_after"), q)

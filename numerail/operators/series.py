@@ -93,12 +93,16 @@ def split_series(spark: SparkSession, n_terms: int, leaf: int = LEAF) -> DataFra
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the folder of spark.checkpoint.dir (a new one where it is unset)."""
+    """Cuts the lineage in the folder of spark.checkpoint.dir (a new one where it
+    is unset on a local master; on a cluster that would be one machine's own)."""
     import tempfile
 
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="numerail-"))
+        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not path and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="numerail-"))
     return df.checkpoint()
 
 
@@ -117,6 +121,44 @@ def e_digits(spark: SparkSession, digits: int) -> DataFrame:
     return nb.from_digits(node.select("p", "q").mapInPandas(divide, "num string, digits string"))
 
 
+def identity_of_e(spark: SparkSession, digits: int, primes: list[int]) -> DataFrame:
+    """prime, ok: whether 10^digits (P + Q) = X Q + R modulo each prime, and a row
+    'remainder' for 0 <= R < Q.
+
+    P and Q modulo the primes come from the recurrence over ranges of terms, X
+    from the digits of e, and R is the exact difference of the series' own
+    numbers; so the two ways to P and Q, and the digits, have to agree.
+    """
+    from . import residues as rs
+    from .products import multiplied as times
+
+    n = terms_for(digits)
+    node = cut(split_series(spark, n))
+    x = cut(e_digits(spark, digits))
+    name = lambda df: df.select(F.lit("e").alias("num"), "idx", "limb")
+    p, q = (cut(name(nb.normalized(nb.from_digits(node.select(F.lit("e").alias("num"), F.col(c).alias("digits")))))) for c in ("p", "q"))
+    ten = nb.from_ints(spark, {"e": 10 ** (digits % nb.DIGITS)})
+    top = cut(nb.shifted(cut(times(cut(nb.added(p, q)), ten)), digits // nb.DIGITS))
+    product = cut(times(x, q))
+    r = cut(nb.subtracted(top, product))
+    series = rs.series_mod(n, spark, primes)
+    names = [f"r{i}" for i in range(len(primes))]
+    tall = lambda df, c: df.select(F.explode(F.array(*[F.struct(F.lit(str(m)).alias("prime"), F.col(k).cast(rs.WIDE).alias(c)) for m, k in zip(primes, names, strict=True)])).alias("s")).select("s.*")
+    both = series.join(tall(rs.limbs_mod(x, primes), "x"), "prime").join(tall(rs.limbs_mod(r, primes), "r"), "prime")
+    checks = None
+    for m in primes:
+        w = F.lit(pow(10, digits, m)).cast(rs.WIDE)
+        big = F.lit(m).cast(rs.WIDE)
+        left = rs.mulmod(w, ((F.col("p").cast(rs.WIDE) + F.col("q").cast(rs.WIDE)).cast(rs.PRODUCT) % big).cast(rs.WIDE), m)
+        right = ((rs.mulmod(F.col("x"), F.col("q"), m) + F.col("r")).cast(rs.PRODUCT) % big).cast(rs.WIDE)
+        row = both.where(F.col("prime") == str(m)).select("prime", F.coalesce(left == right, F.lit(False)).alias("ok"))
+        checks = row if checks is None else checks.unionByName(row)
+    less = nb.compared(r, q).select(F.lit("remainder").alias("prime"), (F.col("cmp") < 0).alias("ok"))
+    # subtracted() is for a >= b; that the product is not larger is part of the check
+    fits = nb.compared(product, top).select((F.col("cmp") <= 0).alias("fits"))
+    return checks.unionByName(less.crossJoin(fits).select("prime", (F.col("ok") & F.col("fits")).alias("ok")))
+
+
 def precisions(k: int, seed: int = SEED_LIMBS, guard: int = 2) -> list[int]:
     """Precisions of a Newton chain, each at most twice the one before less a guard; the last is k."""
     out = [k]

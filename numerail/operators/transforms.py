@@ -11,12 +11,13 @@ from .numbers import BASE, carried
 from .residues import is_prime
 
 
-def transform_primes(count: int, log_length: int = 20, bits: int = 31) -> list[int]:
-    """Primes c * 2^log_length + 1 below 2^bits, the largest first."""
+def transform_primes(count: int, log_length: int = 20, bits: int = 31, thirds: int = 1) -> list[int]:
+    """Primes c * 2^log_length + 1 below 2^bits, the largest first; with
+    ``thirds`` = 3 those that have roots for lengths 3 * 2^k too."""
     out, c = [], (2**bits - 1) >> log_length
     while len(out) < count:
         p = (c << log_length) + 1
-        if is_prime(p):
+        if (p - 1) % thirds == 0 and is_prime(p):
             out.append(p)
         c -= 1
     return out
@@ -37,15 +38,39 @@ def length_for(n: int, factors: tuple[int, ...] = (1,)) -> int:
 
 
 def transform_mod(x: np.ndarray, p: int, inverse: bool = False) -> np.ndarray:
-    """Transform of a power-of-two length modulo p < 2^31, in vectorised passes.
+    """Transform of a length 2^k or 3 * 2^k modulo p < 2^31, in vectorised passes.
 
     Stockham's form: each pass joins halves of ever longer runs, so there is
-    no reordering pass.
+    no reordering pass. A length of three parts is three transforms of every
+    third value, joined by powers of the root.
     """
     n = len(x)
+    if n % 3 == 0:
+        return _by_thirds(x, p, inverse)
     w = root_of_unity(n, p) if n > 1 else 1
-    if inverse:
-        w = pow(w, p - 2, p)
+    return _passes(x, p, pow(w, p - 2, p) if inverse else w, inverse)
+
+
+def _by_thirds(x: np.ndarray, p: int, inverse: bool) -> np.ndarray:
+    n = len(x)
+    part, m = n // 3, np.uint64(p)
+    w = root_of_unity(n, p)
+    w = pow(w, p - 2, p) if inverse else w
+    cube = pow(w, 3, p)
+    parts = [_passes(x[j::3], p, cube, False) for j in range(3)]
+    powers = np.ones(n, dtype=np.uint64)
+    span = 1
+    while span < n:  # powers by doubling
+        powers[span : 2 * span] = powers[: min(span, n - span)] * np.uint64(pow(w, span, p)) % m
+        span *= 2
+    at = np.arange(n)
+    out = sum(parts[j][at % part] * powers[at * j % n] % m for j in range(3)) % m
+    return out * np.uint64(pow(n, p - 2, p)) % m if inverse else out
+
+
+def _passes(x: np.ndarray, p: int, w: int, scaled: bool) -> np.ndarray:
+    """The passes of a power-of-two length with the root w; ``scaled`` divides by the length."""
+    n = len(x)
     m, a = np.uint64(p), x.astype(np.uint64) % np.uint64(p)
     half, stride = n // 2, 1
     while half >= 1:
@@ -60,7 +85,7 @@ def transform_mod(x: np.ndarray, p: int, inverse: bool = False) -> np.ndarray:
         diff = (block[0] + m - block[1]) % m * twiddle[:, None] % m
         a = np.stack([total, diff], axis=1).reshape(-1)
         half, stride = half // 2, stride * 2
-    return a * np.uint64(pow(n, p - 2, p)) % m if inverse else a
+    return a * np.uint64(pow(n, p - 2, p)) % m if scaled else a
 
 
 def cyclic_product(x: np.ndarray, y: np.ndarray, p: int) -> np.ndarray:

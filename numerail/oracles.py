@@ -41,7 +41,7 @@ SQL = {
         SELECT 's' AS num, idx::BIGINT AS idx, limb::BIGINT AS limb FROM c WHERE idx <= (SELECT max(idx) FROM c WHERE limb <> 0)""",
     "number_compare": """WITH
         a AS (SELECT s_nationkey AS k, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS idx, abs(round(s_acctbal * 100)::BIGINT) % 1000000 AS x FROM supplier),
-        b AS (SELECT c_nationkey AS k, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS idx, abs(round(c_acctbal * 100)::BIGINT) % 1000000 AS y FROM customer WHERE c_custkey % 10 = 0),
+        b AS (SELECT c_nationkey AS k, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS idx, abs(round(c_acctbal * 100)::BIGINT) % 1000000 AS y FROM customer),
         j AS (SELECT coalesce(a.k, b.k) AS k, coalesce(a.idx, b.idx) AS idx, sign(coalesce(x, 0) - coalesce(y, 0)) AS s FROM a FULL JOIN b ON a.k = b.k AND a.idx = b.idx)
         SELECT k::VARCHAR AS num, coalesce(arg_max(s, idx) FILTER (s <> 0), 0)::INT AS cmp FROM j GROUP BY k""",
     "convolution_small": f"WITH RECURSIVE {_CONV.format(n=20)} SELECT 'p' AS num, idx, limb FROM c WHERE idx <= (SELECT max(idx) FROM c WHERE limb <> 0)",
@@ -116,20 +116,21 @@ SQL = {
     "part_contiguity": """WITH o AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS idx FROM orders), p AS (SELECT (idx // 1000)::INT AS part, min(idx)::BIGINT AS lo, (max(idx) + 1)::BIGINT AS hi FROM o GROUP BY ALL)
         SELECT part, lo, hi, coalesce(lo = lag(hi) OVER (ORDER BY part), lo = 0) AS joins FROM p""",
     "first_mismatch": f"""WITH {_TWO} SELECT min(coalesce(a.idx, b.idx))::BIGINT AS first, count(*) AS differ FROM a FULL JOIN b ON a.idx = b.idx WHERE a.limb IS DISTINCT FROM b.limb""",
-    "dependency_cycles": """WITH RECURSIVE e AS (SELECT c_custkey AS id, (c_custkey * 7 + 3) % 101 AS dep FROM customer WHERE c_custkey % 3 <> 0),
-        walk AS (SELECT id, dep, 1 AS n FROM e UNION ALL SELECT w.id, e.dep, n + 1 FROM walk w JOIN e ON e.id = w.dep WHERE n < 200)
-        SELECT DISTINCT id FROM walk WHERE n = 200""",
-    "gate_counts": "SELECT CASE WHEN o_orderstatus <> 'F' AND o_totalprice > 1000 AND o_orderpriority <> '1-URGENT' THEN 'PASS' ELSE 'FAIL' END AS gate, count(*) AS n FROM orders GROUP BY ALL",
-    "number_compare_all": """WITH
-        a AS (SELECT s_nationkey AS k, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS idx, abs(round(s_acctbal * 100)::BIGINT) % 1000000 AS x FROM supplier),
-        b AS (SELECT c_nationkey AS k, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS idx, abs(round(c_acctbal * 100)::BIGINT) % 1000000 AS y FROM customer),
-        j AS (SELECT coalesce(a.k, b.k) AS k, coalesce(a.idx, b.idx) AS idx, sign(coalesce(x, 0) - coalesce(y, 0)) AS s FROM a FULL JOIN b ON a.k = b.k AND a.idx = b.idx)
-        SELECT k::VARCHAR AS num, coalesce(arg_max(s, idx) FILTER (s <> 0), 0)::INT AS cmp FROM j GROUP BY k""",
-    "dependency_cycles_all": """WITH RECURSIVE e AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 10 < 9 THEN c_custkey + 1 WHEN c_custkey // 10 % 3 = 0 THEN c_custkey - 6 ELSE -1 END AS dep FROM customer),
+    "dependency_cycles": """WITH RECURSIVE e AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 10 < 9 THEN c_custkey + 1 WHEN c_custkey // 10 % 3 = 0 THEN c_custkey - 6 ELSE -1 END AS dep FROM customer),
         walk AS (SELECT id, dep, 1 AS n FROM e UNION ALL SELECT w.id, e.dep, n + 1 FROM walk w JOIN e ON e.id = w.dep WHERE n < 20)
         SELECT DISTINCT id FROM walk WHERE n = 20""",
+    "gate_counts": "SELECT CASE WHEN o_orderstatus <> 'F' AND o_totalprice > 1000 AND o_orderpriority <> '1-URGENT' THEN 'PASS' ELSE 'FAIL' END AS gate, count(*) AS n FROM orders GROUP BY ALL",
     "long_product": f"""WITH {_TWO},
         x AS (SELECT list_prepend(0::HUGEINT, list(limb::HUGEINT ORDER BY idx DESC)) AS x FROM a), y AS (SELECT list_prepend(0::HUGEINT, list(limb::HUGEINT ORDER BY idx DESC)) AS y FROM b)
         SELECT 's' AS num, (({_fold("x", "1000000::HUGEINT", P0)}) * ({_fold("y", "1000000::HUGEINT", P0)}) % {P0}::HUGEINT)::VARCHAR AS r0,
                (({_fold("x", "1000000::HUGEINT", P1)}) * ({_fold("y", "1000000::HUGEINT", P1)}) % {P1}::HUGEINT)::VARCHAR AS r1 FROM x, y""",
+    # 1 + (1 + (1 + ...) / 2) / 1 in 225 digits of base 10^9, from the last term on
+    "e_digits": """WITH RECURSIVE f AS (
+  SELECT 900 AS k, list_prepend(1::HUGEINT, list_transform(range(224), lambda i: 0::HUGEINT)) AS x
+  UNION ALL
+  SELECT k - 1, list_transform(list_reduce(list_prepend({'r': 0::HUGEINT, 'q': []::HUGEINT[]}, list_transform(x, lambda d: {'r': d, 'q': []::HUGEINT[]})),
+      lambda a, d: {'r': (a.r * 1000000000 + d.r) % k, 'q': list_append(a.q, (a.r * 1000000000 + d.r) // k)}).q, lambda d, i: CASE WHEN i = 1 THEN d + 1 ELSE d END)
+  FROM f WHERE k > 0),
+t AS (SELECT x[1]::VARCHAR || list_aggregate(list_transform(x[2:], lambda d: lpad(d::VARCHAR, 9, '0')), 'string_agg', '') AS t FROM f WHERE k = 0)
+SELECT c AS chunk_no, substr(t, 50 * c + 1, least(50, 2001 - 50 * c)) AS text FROM t, (SELECT unnest(range(41)) AS c)""",
 }

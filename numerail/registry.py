@@ -54,18 +54,9 @@ def number_sub_borrow(spark, sf_dir):
 
 
 def number_compare(spark, sf_dir):
-    """``number_compare_all`` with the customers whose key is a multiple of 10 only, as its SQL has it."""
-    return _balances_compared(spark, sf_dir, _t(spark, sf_dir, "customer").where("c_custkey % 10 = 0"))
-
-
-def number_compare_all(spark, sf_dir):
     """For each nation, the number of its suppliers' balances against that of its customers'."""
-    return _balances_compared(spark, sf_dir, _t(spark, sf_dir, "customer"))
-
-
-def _balances_compared(spark, sf_dir, customers):
     s = _t(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("string").alias("num"), F.col("s_suppkey").alias("k"), (F.abs(_cents("s_acctbal")) % nb.BASE).alias("limb"))
-    c = customers.select(F.col("c_nationkey").cast("string").alias("num"), F.col("c_custkey").alias("k"), (F.abs(_cents("c_acctbal")) % nb.BASE).alias("limb"))
+    c = _t(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("num"), F.col("c_custkey").alias("k"), (F.abs(_cents("c_acctbal")) % nb.BASE).alias("limb"))
     idx = (F.row_number().over(Window.partitionBy("num").orderBy("k")) - 1).cast("long")
     return nb.compared(s.withColumn("idx", idx).drop("k"), c.withColumn("idx", idx).drop("k"))
 
@@ -101,8 +92,7 @@ def exclusive_prefix(spark, sf_dir):
 
 def residue_parts(spark, sf_dir):
     """Residues modulo base + 1 and base - 1 of the price number."""
-    n = _price_number(spark, sf_dir).withColumn("limb", F.col("limb") % nb.BASE).persist()
-    return nb.alternating_mod(n, True).withColumnRenamed("r", "plus").join(nb.alternating_mod(n, False).withColumnRenamed("r", "minus"), "num")
+    return nb.alternating_mods(_price_number(spark, sf_dir).withColumn("limb", F.col("limb") % nb.BASE))
 
 
 def first_vs_max_metric(spark, sf_dir):
@@ -255,8 +245,8 @@ def part_contiguity(spark, sf_dir):
     """Whether parts of a number, by order month, are complete and adjoin."""
     o = od.indexed(_t(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"])
     parts = o.groupBy(F.expr("idx div 1000").cast("int").alias("part")).agg(F.min("idx").alias("lo"), (F.max("idx") + 1).alias("hi"))
-    w = Window.orderBy("part")
-    return parts.select("part", "lo", "hi", F.coalesce(F.col("lo") == F.lag("hi").over(w), F.col("lo") == 0).alias("joins"))
+    before = parts.select((F.col("part") + 1).alias("part"), F.col("hi").alias("_end"))
+    return parts.join(before, "part", "left").select("part", "lo", "hi", F.coalesce(F.col("lo") == F.col("_end"), F.col("lo") == 0).alias("joins"))
 
 
 def first_mismatch(spark, sf_dir):
@@ -267,13 +257,6 @@ def first_mismatch(spark, sf_dir):
 
 
 def dependency_cycles(spark, sf_dir):
-    """Referral edges of the customers whose key is no multiple of 3, as its SQL has it: those that no order can place."""
-    c = _t(spark, sf_dir, "customer").where("c_custkey % 3 <> 0")
-    edges = c.select(F.col("c_custkey").alias("id"), ((F.col("c_custkey") * 7 + 3) % 101).alias("dep"))
-    return mf.cyclic(edges)
-
-
-def dependency_cycles_all(spark, sf_dir):
     """Referral edges of all customers: those that no order can place.
 
     In each ten a customer needs the next; the last needs the fourth in every third ten, else an id that nobody has.
@@ -314,15 +297,17 @@ QUERIES = (
     residue_parts, first_vs_max_metric, verdict_case, fingerprint, slow_outlier, node_screen, median_max, arm_summary, paired_diff,
     topology_rollup, window_span, rle_islands, span_groups, interval_overlap, registry_drift, anti_join, precedence, interpolate, wilson,
     kv_json, digit_chunks, natural_sort, hostlist, log_metrics, replica_pivot, part_contiguity, first_mismatch, dependency_cycles,
-    gate_counts, e_digits, number_compare_all, dependency_cycles_all, long_product, e_digits_long,
+    gate_counts, e_digits, long_product, e_digits_long,
 )
 
 
 def queries():
-    return {q.__name__: q for q in QUERIES}
+    from . import number_queries, report_queries
+
+    return {q.__name__: q for q in (*QUERIES, *number_queries.QUERIES, *report_queries.QUERIES)}
 
 
 def oracle_sql():
-    from .oracles import SQL
+    from . import number_queries, oracles, report_queries
 
-    return dict(SQL)
+    return {**oracles.SQL, **number_queries.SQL, **report_queries.SQL}

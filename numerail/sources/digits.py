@@ -75,9 +75,10 @@ def block_digests(chunks: DataFrame, per_block: int) -> DataFrame:
 
 
 def contiguous(parts: DataFrame) -> DataFrame:
-    """ok, n: whether parts (part, nparts, lo, hi) are 0 .. n - 1 and each begins where the one before ends."""
-    from pyspark.sql import Window
-
-    w = Window.orderBy("part")
-    joined = parts.withColumn("_ok", F.coalesce(F.col("lo") == F.lag("hi").over(w), F.col("lo") == 0) & (F.col("part") == F.row_number().over(w) - 1))
-    return joined.agg((F.bool_and("_ok") & (F.count(F.lit(1)) == F.max("nparts"))).alias("ok"), F.count(F.lit(1)).alias("n"))
+    """ok, n: whether parts (part, nparts, lo, hi) are 0 .. n - 1, once each, and
+    each begins where the one before ends; parts meet the one before by a join."""
+    before = parts.select((F.col("part") + 1).alias("part"), F.col("hi").alias("_end"))
+    joined = parts.join(before, "part", "left").withColumn("_ok", F.when(F.col("part") == 0, F.col("lo") == 0).otherwise(F.coalesce(F.col("lo") == F.col("_end"), F.lit(False))))
+    n = F.count(F.lit(1))
+    whole = F.bool_and("_ok") & (F.min("part") == 0) & (F.max("part") == n - 1) & (F.count_distinct("part") == n) & (n == F.max("nparts"))
+    return joined.agg(F.coalesce(whole, F.lit(False)).alias("ok"), n.alias("n"))

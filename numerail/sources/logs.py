@@ -30,7 +30,11 @@ def metric_lines(lines: DataFrame, program: str) -> DataFrame:
     return found.select("line_no", "host", "rank", *[F.regexp_extract("_l", pattern, i).alias(n) for i, n in ((1, "name"), (2, "unit"))], F.regexp_extract("_l", pattern, 3).try_cast("double").alias("metric"))
 
 
-def error_lines(lines: DataFrame, words: str = "FATAL|Segmentation|SIGSEGV|SIGBUS|SIGABRT|out of memory|REFUSED") -> DataFrame:
+#: Words by which the logs tell of an error.
+ERROR_WORDS = "FATAL|Segmentation|SIGSEGV|SIGBUS|SIGABRT|out of memory|REFUSED"
+
+
+def error_lines(lines: DataFrame, words: str = ERROR_WORDS) -> DataFrame:
     return lines.where(F.col("value").rlike(words))
 
 

@@ -184,8 +184,9 @@ def recheck(parts: DataFrame) -> DataFrame:
     return sums.crossJoin(joined.select(F.col("ok").alias("contiguous"), "n")).withColumn("verdict", F.when(F.col("residues") & F.col("complete") & F.col("contiguous"), "OK").otherwise("FAIL"))
 
 
-def patch_tail(path: str, change: int) -> None:
-    """Adds a small correction to the number in one part file in place: only the
+def patch_tail(path: str, change: int) -> int:
+    """Adds a small correction to the number in one part file in place, and
+    returns what carries into the part above (0, or a unit either way): only the
     limbs that change are rewritten, and the residues move by the same change."""
     with open(path, "r+b") as f:
         h = parse_header(f.read(HEADER_BYTES))
@@ -196,15 +197,26 @@ def patch_tail(path: str, change: int) -> None:
         while carry and at >= 0:
             carry, low = divmod(int(limbs[at]) + carry, WIDE_BASE)
             limbs[at], at = low, at - 1
-        if carry:
-            raise ArithmeticError("the correction leaves the part")
+        if carry and h["hi"] == h["nl"]:
+            raise ArithmeticError("the correction leaves the number")
         first = max(0, (at + 1) // 2 * 2)
         data = pack60(limbs[first:]) if h["version"] == 2 else limbs[first:].astype("<u8").tobytes()
         f.seek(HEADER_BYTES + (packed_bytes(first) if h["version"] == 2 else 8 * first))
         f.write(data)
-        new = [(r + change) % q for r, q in zip(h["dres"], h["q"], strict=True)]
+        new = [(r + change - carry * pow(10, LIMB_DIGITS * n, q)) % q for r, q in zip(h["dres"], h["q"], strict=True)]
         f.seek(LAYOUT.size - 64)
         f.write(struct.pack("<8Q", *new))
+    return carry
+
+
+def patch_number(paths: list[str], change: int) -> int:
+    """Adds a small correction to a number in its part files, given from the top
+    part down; the carry goes on from part to part. Returns how many were rewritten."""
+    for done, path in enumerate(reversed(paths), 1):
+        change = patch_tail(path, change)
+        if not change:
+            return done
+    raise ArithmeticError("the correction leaves the number")
 
 
 def to_ascii(parts: DataFrame, d_out: int) -> DataFrame:

@@ -378,6 +378,7 @@ def test_predictions_equal_brute_force(spark, monkeypatch):
     for parts, group in ((langid.PARTS, langid.GROUP_BYTES), (40, 500)):
         monkeypatch.setattr(langid, "PARTS", parts)
         monkeypatch.setattr(langid, "GROUP_BYTES", group)
+        monkeypatch.setattr(langid, "SUMMED", group // 50)
         model = langid.fit(df)
         scorer = langid.Scorer(model)
         texts = pa.array([t for _, t, _ in rows], pa.string())

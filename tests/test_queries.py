@@ -1,9 +1,11 @@
 """Every registered query of the engine against its SQL, over the smallest tables."""
 
 import glob
+import numbers
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from numerail import registry
@@ -13,9 +15,9 @@ SQL = registry.oracle_sql()
 
 
 def text_of(v):
-    if v is None or v != v:
+    if v is None or pd.isna(v):
         return "null"
-    return str(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+    return str(float(v)) if isinstance(v, numbers.Real) and not isinstance(v, bool) else str(v)
 
 
 @pytest.fixture(scope="module")

@@ -24,7 +24,7 @@ def numbers(table, nation, key, balance):
 def test_comparison_has_all_customers(spark):
     a, b = numbers("supplier", "s_nationkey", "s_suppkey", "s_acctbal"), numbers("customer", "c_nationkey", "c_custkey", "c_acctbal")
     want = {k: (a.get(k, 0) > b.get(k, 0)) - (a.get(k, 0) < b.get(k, 0)) for k in a | b}
-    assert {r["num"]: r["cmp"] for r in registry.number_compare_all(spark, SF).collect()} == want
+    assert {r["num"]: r["cmp"] for r in registry.number_compare(spark, SF).collect()} == want
 
 
 def test_cycles_of_all_customers(spark):
@@ -34,7 +34,7 @@ def test_cycles_of_all_customers(spark):
         for k in placed:
             del left[k]
     assert {k % 3 for k in left} == {0, 1, 2} and len(left) < len(ids)
-    assert sorted(r["id"] for r in registry.dependency_cycles_all(spark, SF).collect()) == sorted(left)
+    assert sorted(r["id"] for r in registry.dependency_cycles(spark, SF).collect()) == sorted(left)
 
 
 def test_long_digits_of_e_by_levels(spark):
