@@ -116,8 +116,13 @@ def hold(name: str, drop) -> None:
 
 
 def give_back() -> None:
-    """Returns freed memory of this process to the system."""
+    """Collects what is unreachable and returns freed memory."""
     gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """Returns freed memory of this process to the system; for the end of each group of texts."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -19,7 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hold, mix64, small_batches
+from .common import hold, mix64, small_batches, trim
+from .pieces import groups_of
 
 #: Bounds of the sample of labelled documents that the model is fitted on: of each language, and of all together.
 SAMPLE_DOCS, SAMPLE_ALL = 600, 24_000
@@ -30,6 +31,8 @@ NOT_LETTERS = r"[^\pL]+"
 KINDS = (0, 4, 3, 2, 1)
 #: Parts of texts that a worker keeps; bytes of texts that are looked up, and parts of them that are summed, together.
 PARTS, HOT, GROUP_BYTES, SUMMED = 400_000, 32_768, 8 << 20, 200_000
+#: Bytes of texts whose words are counted together.
+COUNTED = 2 << 20
 
 
 def held_out(doc_id):
@@ -71,22 +74,29 @@ def gram_hash(points: list[np.ndarray]) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words and n-grams by language, of one batch at a time."""
+    """Counts of words and n-grams by language, of a bounded run of texts at a time."""
+    hold("language", _LOADED.clear)
     names, types = ["lang", "n", "gram", "k"], [pa.string(), pa.int32(), pa.string(), pa.int64()]
     for batch in batches:
-        langs = batch.column("lang").to_pylist()
-        words, owner = words_of(batch.column("text"))
-        tallies: dict[tuple, int] = {}
-        for lang in sorted(set(langs)):
-            mine = np.array([x == lang for x in langs])
-            for entry in pc.value_counts(words.filter(pa.array(mine[owner]))).to_pylist():
-                word, k = entry["values"], entry["counts"]
-                padded = f" {word} "
-                keys = [(0, word), *((1, c) for c in word), *((n, padded[i : i + n]) for n in (2, 3, 4) for i in range(len(padded) - n + 1))]
-                for n, gram in keys:
-                    tallies[lang, n, gram] = tallies.get((lang, n, gram), 0) + k
-        rows = [(*key, k) for key, k in tallies.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(types)], names)
+        for at, to in groups_of(batch.column("text"), COUNTED):
+            tallies = _tallies(batch.slice(at, to - at))
+            columns = [*zip(*tallies, strict=True), tuple(tallies.values())] if tallies else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+
+def _tallies(batch: pa.RecordBatch) -> dict[tuple, int]:
+    langs = batch.column("lang").to_pylist()
+    words, owner = words_of(batch.column("text"))
+    tallies: dict[tuple, int] = {}
+    for lang in sorted(set(langs)):
+        mine = np.array([x == lang for x in langs])
+        for entry in pc.value_counts(words.filter(pa.array(mine[owner]))).to_pylist():
+            word, k = entry["values"], entry["counts"]
+            padded = f" {word} "
+            keys = [(0, word), *((1, c) for c in word), *((n, padded[i : i + n]) for n in (2, 3, 4) for i in range(len(padded) - n + 1))]
+            for n, gram in keys:
+                tallies[lang, n, gram] = tallies.get((lang, n, gram), 0) + k
+    return tallies
 
 
 class Entries:
@@ -278,6 +288,7 @@ def _predict(model: LanguageModel, names: list[str]):
             for at, to in score_groups(texts, max(1, len(model.languages))):
                 part = batch.slice(at, to - at)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *scorer.predict(part.column("text"))], [*names, "lang_pred", "score"])
+                trim()
 
     return run
 
