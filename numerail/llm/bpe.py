@@ -28,11 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hold, small_batches
+from .common import hold, small_batches, trim
 from .pieces import MARKS, START, Cutter, PartTable, groups_of, literal, special_tokens
 
 #: Most entries of a worker's tables: parts (words with what surrounds them), and states over bytes.
 PARTS, STATES = 400_000, 100_000
+#: Bits of a token in a packed label under way; vocabularies have far fewer tokens.
+SHIFT = 24
+MASK = (1 << SHIFT) - 1
 
 
 def byte_letters() -> dict[int, str]:
@@ -78,8 +81,12 @@ class TokenAutomaton:
         self.token[node] = token
 
     def _forget(self) -> None:
-        """Empties the table of states over bytes; state 0 is the start of a word."""
-        self.last, self.under_way = [-1], [()]
+        """Empties the table of states over bytes; state 0 is the start of a word.
+
+        The key of a state is its last token and, packed into an integer each,
+        the labels under way in it: the node, and one more than the token before.
+        """
+        self.last, self.keys = [-1], [(-1,)]
         self.number: dict[tuple, int] = {}
         self.moves: dict[int, int] = {}
 
@@ -126,15 +133,16 @@ class TokenAutomaton:
     def _move(self, state: int, byte: int) -> int:
         """Adds the transition of a state by a byte to the table."""
         ends, under_way = -1, []
-        for node, since in (*self.under_way[state], (0, self.last[state])):
+        for packed in (*self.keys[state][1:], self.last[state] + 1):
+            node, before = packed >> SHIFT, packed & MASK
             after = self.child.get(node << 8 | byte)
             if after is None:
                 continue
             token = self.token[after]
-            if token >= 0 and ends < 0 and self.arc(since, token):
+            if token >= 0 and ends < 0 and self.arc(before - 1, token):
                 ends = token  # no other arc can end here
             if self.inner[after]:
-                under_way.append((after, since))
+                under_way.append(after << SHIFT | before)
         if ends < 0:
             raise ValueError(f"no path spells a word with the byte {byte}")
         key = (ends, *under_way)
@@ -142,7 +150,7 @@ class TokenAutomaton:
         if to is None:
             to = self.number[key] = len(self.last)
             self.last.append(ends)
-            self.under_way.append(key[1:])
+            self.keys.append(key)
         self.moves[state << 8 | byte] = to
         return to
 
@@ -235,6 +243,7 @@ def _encoded(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.
         for at, to in groups_of(texts):
             offsets, ids = bpe.encode(texts.slice(at, to - at))
             yield batch.column("doc_id").slice(at, to - at), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
+            trim()
 
 
 def _encode(path: str):
