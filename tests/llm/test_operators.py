@@ -875,3 +875,21 @@ def test_links_are_hash_joins(spark):
     plan.collect()
     shown = plan._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in shown and "HashJoin" in shown
+
+
+def test_counts_do_not_depend_on_the_runs_of_texts(monkeypatch):
+    rows = [("en", "the cat and the hat"), ("de", "die Katze und der Hut"), ("en", ""), ("de", "der der " * 50), ("en", "the cat and the hat")]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.string()) for c in range(2)], ["lang", "text"])
+
+    def sums(batch):
+        out: dict[tuple, int] = {}
+        for part in langid._count(iter([batch])):
+            for r in part.to_pylist():
+                out[r["lang"], r["n"], r["gram"]] = out.get((r["lang"], r["n"], r["gram"]), 0) + r["k"]
+        return out
+
+    whole = sums(batch)
+    assert whole["de", 0, "der"] == 101 and whole["en", 0, "the"] == 4
+    monkeypatch.setattr(langid, "COUNTED", 1)
+    assert sums(batch) == whole
+    assert sums(batch.slice(0, 0)) == {} and sums(batch.slice(2, 1)) == {}
