@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .audit import OP12_SQL, op12_filter_audit
 from .bpe import op6_bpe_automaton
 from .jaccard import OP1_SQL, op1_ngram_jaccard
 from .langid import op3_language_id
@@ -26,6 +27,7 @@ def queries():
         "op8_substring_dedup": op8_substring_dedup,
         "op9_orc_token_ids": op9_orc_token_ids,
         "op10_tool_calls": op10_tool_calls,
+        "op12_filter_audit": op12_filter_audit,
     }
 
 
@@ -36,4 +38,5 @@ def oracle_sql():
         "op7_mix_sources": OP7_SQL,
         "op8_substring_dedup": OP8_SQL,
         "op10_tool_calls": OP10_SQL,
+        "op12_filter_audit": OP12_SQL,
     }

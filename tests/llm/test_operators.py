@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import math
 import os
 import random
@@ -14,7 +15,7 @@ import pyarrow.orc
 import pytest
 from pyspark.sql import functions as F
 
-from numerail.llm import bpe, common, jaccard, langid, mixing, mpeg, orcids, phrases, pieces, sharding, spotsigs, toolcalls
+from numerail.llm import audit, bpe, common, jaccard, langid, mixing, mpeg, orcids, phrases, pieces, sharding, spotsigs, toolcalls
 
 from .helpers import SCHEMA, BruteLanguages, awkward_texts, brute_components, brute_removed, edited, frame, prose
 
@@ -893,3 +894,48 @@ def test_counts_do_not_depend_on_the_runs_of_texts(monkeypatch):
     monkeypatch.setattr(langid, "COUNTED", 1)
     assert sums(batch) == whole
     assert sums(batch.slice(0, 0)) == {} and sums(batch.slice(2, 1)) == {}
+
+
+def _audited(spark, rows, labels):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n long, part string, mask int, th string")
+    return audit.audit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int, part string"))
+
+
+def test_audit_equals_brute_force(spark, empty):
+    long = prose(1, 260)
+    texts = [t for _, t in ROWS][:24] + [long, long, long.upper(), long + " $", "a a a a " * 80, "A#", "A#", None, ""]
+    rows = [(None if n % 11 == 3 else n % 29, t, [None, "", "en", "de"][n % 4], n, "p", 3, "t") for n, t in enumerate(texts)]
+    rows += rows[5:8]
+    labels = [(1, 1, 0, "x"), (1, 0, 1, "x"), (2, 1, 1, "x"), (3, 0, None, "x"), (None, 1, 1, "x"), (999, 1, 1, "x"), (4, None, 1, "x"), (8, 1, 0, "x"), (8, 1, 0, "x")]
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+    seen = []
+    for i, t, lang, *_ in rows:
+        t, w = t or "", word.findall(t or "")
+        fails = {"A": len(w) < 200, "B": 100 * len(set(w)) < 50 * len(w), "C": 100 * sum("A" <= c <= "Z" for c in t) > 3 * len(t), "D": any(c in t for c in "#$%&*|")}
+        fails["E"] = any(i is not None and j is not None and j < i and (u or "") == t for j, u, *_ in rows)
+        mine = [x for x in labels if i is not None and x[0] == i]
+        seen.append((lang or "", {k for k, v in fails.items() if v}, any(x[1] == 1 for x in mine), any(x[2] == 1 for x in mine)))
+    want = set()
+    orders = ["".join(p) for p in itertools.permutations("ABCDE")]
+    for part in {p for p, *_ in seen}:
+        mine = [x for x in seen if x[0] == part]
+        first = {o: Counter(next((c for c in o if c in f), "") for _, f, _, _ in mine) for o in orders}
+        for o in orders:
+            for k, x in enumerate(o):
+                gone = lambda f, k=k, o=o: any(c in f for c in o[:k])
+                here = [(g, b) for _, f, g, b in mine if x in f and not gone(f)]
+                kept = sum(not any(c in f for c in o[: k + 1]) for _, f, _, _ in mine)
+                again = sum(x in f and gone(f) for _, f, _, _ in mine)
+                want.add((part, o, k + 1, kept, len(here), again, sum(f == {x} for _, f, _, _ in mine), sum(g for g, _ in here), sum(b for _, b in here), sum(first[q][x] for q in orders)))
+    got = _audited(spark, rows, labels)
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+    assert audit.audit(empty, empty.selectExpr("doc_id", "bucket AS quality", "bucket AS toxic")).count() == 0
+
+
+def test_parity_sums_invert_exactly(spark):
+    r = random.Random(4)
+    cells = [r.randrange(10**12) for _ in range(32)]
+    rows = spark.createDataFrame([("p", m, n, bool(m % 2), False) for m, n in enumerate(cells)], "part string, mask int, n long, good boolean, toxic boolean")
+    sums = audit.parity_sums(rows, 5)
+    back = sums.select(audit.inverse(F.col("w_all"), 5).alias("a"), audit.inverse(F.col("w_good"), 5).alias("g"), audit.inverse(F.col("w_toxic"), 5).alias("t")).first()
+    assert back["a"] == cells and back["g"] == [n * (m % 2) for m, n in enumerate(cells)] and back["t"] == [0] * 32
