@@ -13,6 +13,7 @@ from .phrases import OP8_SQL, op8_substring_dedup
 from .sharding import op2_shard
 from .spotsigs import OP4_SQL, op4_spotsigs
 from .toolcalls import OP10_SQL, op10_tool_calls
+from .warc import OP13_SQL, op13_warc
 
 
 def queries():
@@ -28,6 +29,7 @@ def queries():
         "op9_orc_token_ids": op9_orc_token_ids,
         "op10_tool_calls": op10_tool_calls,
         "op12_filter_audit": op12_filter_audit,
+        "op13_warc": op13_warc,
     }
 
 
@@ -39,4 +41,5 @@ def oracle_sql():
         "op8_substring_dedup": OP8_SQL,
         "op10_tool_calls": OP10_SQL,
         "op12_filter_audit": OP12_SQL,
+        "op13_warc": OP13_SQL,
     }

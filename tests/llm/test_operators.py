@@ -1,3 +1,6 @@
+import base64
+import glob
+import gzip
 import hashlib
 import itertools
 import math
@@ -15,7 +18,7 @@ import pyarrow.orc
 import pytest
 from pyspark.sql import functions as F
 
-from numerail.llm import audit, bpe, common, jaccard, langid, mixing, mpeg, orcids, phrases, pieces, sharding, spotsigs, toolcalls
+from numerail.llm import audit, bpe, common, jaccard, langid, mixing, mpeg, orcids, phrases, pieces, sharding, spotsigs, toolcalls, warc
 
 from .helpers import SCHEMA, BruteLanguages, awkward_texts, brute_components, brute_removed, edited, frame, prose
 
@@ -939,3 +942,117 @@ def test_parity_sums_invert_exactly(spark):
     sums = audit.parity_sums(rows, 5)
     back = sums.select(audit.inverse(F.col("w_all"), 5).alias("a"), audit.inverse(F.col("w_good"), 5).alias("g"), audit.inverse(F.col("w_toxic"), 5).alias("t")).first()
     assert back["a"] == cells and back["g"] == [n * (m % 2) for m, n in enumerate(cells)] and back["t"] == [0] * 32
+
+
+def _pages():
+    r = random.Random(7)
+    big = "<p>" + "".join(r.choice("abc déf漢<>\r\n ") for _ in range(70_000)) + "WARC/1.1\r\nWARC-Type: response\r\n\r\n</p>"
+    html = ["<b>x</b>", None, "", "<b>x</b>", big, big + " ", "0\r\n\r\n", "<b>x</b>", big, "ß\x00🙂", None, "<i>y</i>"]
+    urls = ["http://a/1", None, "http://a/x y\r\nWARC-Type: warcinfo", "http://a/ß"]
+    rows = [(n * 3 % 25, urls[n % 4], t, "r", "sha") for n, t in enumerate(html)]
+    rows += [rows[0], rows[0], rows[4], (None, None, "<b>x</b>", "q", "sha"), (None, "u", "alone", "q", "sha"), (3, "other", "<b>x</b>", "q", "sha"), (9, "u", rows[3][2], "q", "sha")]
+    return rows
+
+
+PAGES = "page_id long, url string, html string, record_id string, sha1 string"
+
+
+def _warc_want(rows, least=0):
+    """(page_id, bytes, digest, type, refers_to) by plain Python."""
+    best, want = {}, []
+    for i, u, t, *_ in rows:
+        key = (i is not None, i or 0, u is not None, u or "")
+        best[t or ""] = max(best.get(t or "", key), key)
+    used = set()
+    for i, u, t, *_ in sorted(rows, key=str):
+        b = (t or "").encode()
+        digest = base64.b32encode(hashlib.sha1(b).digest()).decode()
+        top = best[t or ""] == (i is not None, i or 0, u is not None, u or "") and (t or "") not in used
+        if top or len(b) < least:
+            used.add(t or "")
+            want.append((i, len(b), digest, "response", None))
+        else:
+            want.append((i, len(b), digest, "revisit", best[t or ""][1] if best[t or ""][0] else None))
+    return Counter(want)
+
+
+@pytest.mark.parametrize("least, segment, compression", [(0, 1 << 14, "gzip"), (5, 1000, "none"), (10**6, 1 << 20, "gzip")])
+def test_warc_round_trip(spark, tmp_path, least, segment, compression):
+    rows = _pages()
+    pages = spark.createDataFrame(rows, PAGES).repartition(3)
+    path = str(tmp_path / "warc")
+    warc.write_archives(pages, path, least=least, segment=segment, file_bytes=100_000, compression=compression)
+    got = warc.read_archives(spark, path)
+    assert rows_of(got, "page_id", "payload_bytes", "payload_digest", "type", "refers_to") == _warc_want(rows, least)
+    assert not got.where("problem is not null").count()
+    texts = {r["page_id"]: bytes(r["payload"]).decode() for r in got.where("type = 'response'").collect()}
+    assert all(t in {r[2] or "" for r in rows if r[0] == i} for i, t in texts.items())
+    blocks = [b for f in glob.glob(path + "/part-*") for b in _plain_records(f)]
+    assert all(len(b) <= segment for _, b in blocks) and len({h["warc-record-id"] for h, _ in blocks}) == len(blocks)
+    kinds = Counter(h["warc-type"] for h, _ in blocks)
+    assert kinds["response"] + kinds["revisit"] == len(rows) and (kinds["continuation"] > 0) == (segment < 10**5)
+    if segment == 1000:  # segments of one record lie in several files
+        homes = {}
+        for f in glob.glob(path + "/part-*"):
+            for h, _ in _plain_records(f):
+                homes.setdefault(h.get("warc-segment-origin-id"), set()).add(f)
+        assert max(len(v) for k, v in homes.items() if k) > 1
+
+
+def _plain_records(path):
+    """Records of a file by a reader of its own."""
+    data, at, out = open(path, "rb").read(), 0, []
+    data = gzip.decompress(data) if path.endswith(".gz") else data
+    while at < len(data):
+        head, _, _ = data[at:].partition(b"\r\n\r\n")
+        lines = head.decode().split("\r\n")
+        assert lines[0] == "WARC/1.1"
+        fields = {k.lower(): v for k, v in (x.split(": ", 1) for x in lines[1:])}
+        start = at + len(head) + 4
+        end = start + int(fields["content-length"])
+        assert data[end : end + 4] == b"\r\n\r\n"
+        out.append((fields, data[start:end]))
+        at = end + 4
+    return out
+
+
+def _warc_files(spark, tmp_path, name, records):
+    (tmp_path / name).mkdir()
+    for n, data in enumerate(records):
+        (tmp_path / name / f"{n}.warc").write_bytes(data)
+    return {r["record_id"]: r for r in warc.read_archives(spark, str(tmp_path / name)).collect()}
+
+
+def test_damaged_and_foreign_archives(spark, tmp_path):
+    rec = lambda block, **f: warc.record([(k.replace("_", "-"), v) for k, v in f.items()], block) + b"\r\n\r\n"
+    http = b"HTTP/1.1 200 OK\r\nX: y\r\nTransfer-Encoding: chunked\r\n\r\n"
+    body = b"5;ext=1\r\nhello\r\n1\r\n \r\nA\r\n0123456789\r\n0\r\nTrailer: t\r\n\r\n"
+    seg = lambda k, part, last=None, **f: rec(part, WARC_Type="response" if k == 1 else "continuation", WARC_Record_ID="s" if k == 1 else f"s{k}", WARC_Segment_Number=k, WARC_Segment_Origin_ID=None if k == 1 else "s", WARC_Segment_Total_Length=last, **f)
+    whole = http + body
+    cuts = [whole[:20], whole[20:70], whole[70:]]
+    parts = [seg(1, cuts[0]), seg(2, cuts[1]), seg(3, cuts[2], len(whole))]
+    good = rec(whole, WARC_Type="response", WARC_Record_ID="g", WARC_Payload_Digest="sha1:" + warc.base32_digest(b"hello 0123456789"))
+    info = rec(b"software: x", WARC_Type="warcinfo", WARC_Record_ID="i")
+    plain = rec(b"HTTP/1.0 200 OK\r\nContent-Length: 3\r\n\r\nabcdef", WARC_Type="response", WARC_Record_ID="p")
+    visit = rec(http, WARC_Type="revisit", WARC_Record_ID="v", WARC_Refers_To="g", WARC_Payload_Digest="sha1:" + warc.base32_digest(b"hello 0123456789"))
+    lost = rec(http, WARC_Type="revisit", WARC_Record_ID="l", WARC_Refers_To="nowhere")
+    got = _warc_files(spark, tmp_path, "a", [parts[2] + info + parts[0], gzip.compress(good) + gzip.compress(parts[1]), plain + visit + lost + parts[1]])
+    assert sorted(got) == ["g", "l", "p", "s", "v"]
+    assert [bytes(got[k]["payload"]) for k in "gsp"] == [b"hello 0123456789"] * 2 + [b"abc"]
+    assert got["v"]["payload_bytes"] == 16 and got["l"]["problem"] == "no original" and not got["s"]["problem"]
+    # damage: a lost segment, a wrong total, no last segment, a broken chunk, a digest, a length that runs over its record
+    for name, files, problem in [
+        ("b", [parts[0] + parts[2]], "missing segment"), ("c", parts[:2] + [seg(3, cuts[2], 7)], "total length"), ("d", parts[:2], "no last segment"),
+        ("e", [seg(1, http), seg(2, b"zz\r\n", len(http) + 4)], "chunk size"), ("f", [parts[0], parts[1], seg(3, cuts[2] + b"x", len(whole), WARC_Block_Digest="sha1:AAAA")], "block digest"),
+    ]:
+        got = _warc_files(spark, tmp_path, name, files)
+        assert got["s"]["problem"] == problem and got["s"]["payload"] is None, name
+    broken = good.replace(b"hello", b"hallo") + plain.replace(b"Content-Length: 43", b"Content-Length: 9") + visit
+    got = _warc_files(spark, tmp_path, "h", [b"junk\r\n" + broken])
+    assert got["g"]["problem"] == "payload digest" and got["v"]["problem"] == "no original"
+
+
+def test_warc_of_nothing(spark, tmp_path):
+    path = str(tmp_path / "none")
+    warc.write_archives(spark.createDataFrame([], PAGES), path)
+    assert warc.read_archives(spark, path).count() == 0
