@@ -4,7 +4,7 @@ Writing: of equal payloads the one with the largest id is a ``response``
 record, the others are ``revisit`` records that refer to it. A response's
 block is an HTTP message with a chunked body; blocks longer than SEGMENT bytes
 are cut into a first record and ``continuation`` records, which are dealt over
-the files one by one. Reading parses each file record by record by the
+the files one by one. A file holds about FILE_BYTES of records, by their mean size. Reading parses each file record by record by the
 lengths of its headers, groups the segments of a record by its origin id in
 the order of their numbers, verifies the total length and the digests, and
 decodes the chunked framing.
@@ -272,11 +272,14 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, segment: int = S
 
         return _batches(rows(), "key string, data binary", lambda r: len(r[1]))
 
-    out = responses.mapInArrow(blocks, "key string, data binary").unionByName(again.mapInArrow(revisits, "key string, data binary"))
-    total = keys.agg(F.sum(F.col("n") + 600)).first()[0] or 0
-    dealt = out.repartition(max(1, -(-total // file_bytes)), "key")
+    # records stay where their payload was brought together; the segments of long ones are dealt anew, each on its own
+    is_long = F.octet_length("html") + 400 > segment
+    long = responses.where(is_long).mapInArrow(blocks, "key string, data binary").repartition(n_shuffle(spark), "key")
+    out = responses.where(~is_long).mapInArrow(blocks, "key string, data binary").unionByName(long).unionByName(again.mapInArrow(revisits, "key string, data binary"))
+    total, rows = keys.agg(F.sum((F.col("n") + 600) * F.col("copies")), F.sum("copies")).first()
+    most = max(1, file_bytes * (rows or 1) // (total or 1))
     # the text writer puts bytes as they are; the two line ends that close a record are its separator
-    dealt.select(F.col("data").cast("string").alias("value")).write.option("lineSep", END).option("compression", compression).text(path)
+    out.select(F.col("data").cast("string").alias("value")).write.option("lineSep", END).option("compression", compression).option("maxRecordsPerFile", most).text(path)
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,10 +365,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     whole = records.where("type = 'response' and segment is null").select("record_id", "type", "page_id", "url", "refers_to_id", "header_digest", "payload_digest", F.when(F.col("problem").isNull(), F.col("data")).alias("payload"), "problem")
     parts = wanted.where("segment is not null and origin_id is not null").repartition(n_shuffle(spark), "origin_id").sortWithinPartitions("origin_id", "segment")
     joined = parts.select("origin_id", "segment", "type", "page_id", "url", "header_digest", "total_length", "data", "problem").mapInArrow(_reassembled, PAGE)
-    responses = whole.unionByName(joined).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    responses = stored(responses.withColumn("refers_to", F.lit(None).cast("long")), "warc-responses")
+    responses = whole.unionByName(joined).withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("refers_to", F.lit(None).cast("long"))
     revisits = records.where("type = 'revisit'").select("record_id", "type", "page_id", "url", "refers_to_id", "header_digest", "problem")
-    known = responses.where("problem is null").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest", F.lit(True).alias("found"))
+    # payloads are not stored a second time: whole ones stay where they are, and those in segments are put together for each use
+    known = stored(responses.where("problem is null").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest", F.lit(True).alias("found")), "warc-known")
     revisits = revisits.join(known, "refers_to_id", "left")
     lost = F.when(F.col("found").isNull(), "no original").when(F.col("payload_digest") != F.col("header_digest"), "payload digest")
     revisits = revisits.select("record_id", "type", "page_id", "url", "refers_to_id", "header_digest", F.col("header_digest").alias("payload_digest"), F.lit(None).cast("binary").alias("payload"), F.coalesce("problem", lost).alias("problem"), "payload_bytes", "refers_to")
