@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .audit import OP12_SQL, op12_filter_audit
 from .bpe import op6_bpe_automaton
+from .collocations import OP11_SQL, op11_collocations
 from .jaccard import OP1_SQL, op1_ngram_jaccard
 from .langid import op3_language_id
 from .mixing import OP7_SQL, op7_mix_sources
@@ -28,6 +29,7 @@ def queries():
         "op8_substring_dedup": op8_substring_dedup,
         "op9_orc_token_ids": op9_orc_token_ids,
         "op10_tool_calls": op10_tool_calls,
+        "op11_collocations": op11_collocations,
         "op12_filter_audit": op12_filter_audit,
         "op13_warc": op13_warc,
     }
@@ -40,6 +42,7 @@ def oracle_sql():
         "op7_mix_sources": OP7_SQL,
         "op8_substring_dedup": OP8_SQL,
         "op10_tool_calls": OP10_SQL,
+        "op11_collocations": OP11_SQL,
         "op12_filter_audit": OP12_SQL,
         "op13_warc": OP13_SQL,
     }

@@ -18,7 +18,7 @@ import pyarrow.orc
 import pytest
 from pyspark.sql import functions as F
 
-from numerail.llm import audit, bpe, common, jaccard, langid, mixing, mpeg, orcids, phrases, pieces, sharding, spotsigs, toolcalls, warc
+from numerail.llm import audit, bpe, collocations, common, jaccard, langid, mixing, mpeg, orcids, phrases, pieces, sharding, spotsigs, toolcalls, warc
 
 from .helpers import SCHEMA, BruteLanguages, awkward_texts, brute_components, brute_removed, edited, frame, prose
 
@@ -1056,3 +1056,115 @@ def test_warc_of_nothing(spark, tmp_path):
     path = str(tmp_path / "none")
     warc.write_archives(spark.createDataFrame([], PAGES), path)
     assert warc.read_archives(spark, path).count() == 0
+
+
+def brute_collocations(rows, floor, most):
+    """Rows of (lang, text) by the definition."""
+    occurrences, n = {}, Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        t = (text or "").translate({ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
+        for piece in re.split("[.,;:!?\x0a-\x0d]", t):
+            w = re.findall("[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            for k in range(1, 5):
+                for i in range(len(w) - k + 1):
+                    f = occurrences.setdefault(lang, Counter())
+                    f[tuple(w[i : i + k])] += 1
+    out = []
+    for lang, f in occurrences.items():
+        candidates = {p: a for p, a in f.items() if len(p) > 1 and a >= floor}
+        scored = []
+        for p, a in candidates.items():
+            longer = [q for q in candidates if len(q) > len(p) and any(q[i : i + len(p)] == p for i in range(len(q) - len(p) + 1))]
+            if any(100 * candidates[q] >= 80 * a for q in longer):
+                continue
+            score, k = min((2000000 * a // (f[p[:k]] + f[p[k:]]), k) for k in range(1, len(p)))
+            phrase = " ".join(p)
+            scored.append((-score, -a, phrase.encode(), phrase, f[p[:k]], f[p[k:]]))
+        for rank, (s, a, _, phrase, left, right) in enumerate(sorted(scored)[:most], 1):
+            out.append((lang, rank, phrase, -a, left, right, n[lang], -s))
+    return Counter(out)
+
+
+COLLOCATION = ("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+@pytest.mark.parametrize("shard_words, window, floor, most", [(1 << 21, 4 << 20, 3, 25), (40, 16, 3, 10**6), (300, 1 << 20, 1, 200)])
+def test_collocations_equal_brute_force(spark, monkeypatch, shard_words, window, floor, most):
+    r = random.Random(11)
+    zipf = lambda n, v: " ".join("w%d" % int(v ** r.random()) for _ in range(n))
+    texts = [t for _, t in ROWS if t is None or len(t) < 5000]
+    texts += [zipf(200, 30).replace("w3", "w3,").replace("w7 ", "W7\t").replace("w9 ", "w9\n") for _ in range(20)]
+    texts += ["Red Green BLUE violet. " * 7, "red green blue! red green", "a\x00b é\u00a0x É\u00a0x\x1c é\u00a0x\x85y " * 5, "x" * 3000, "...", zipf(3000, 12), "one two three " * 40]
+    rows = [(n, t, [None, "en", "und", "fr"][n % 4], "p", 1) for n, t in enumerate(texts)] + [(1, texts[-1], "en", "p", 1)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, phrase string, f int").repartition(3)
+    got = collocations.collocations(docs, floor, most=most, shard_words=shard_words, window=window)
+    assert rows_of(got, *COLLOCATION) == brute_collocations([(x[2], x[1]) for x in rows], floor, most)
+
+
+def test_sums_merge_what_they_hold(monkeypatch):
+    monkeypatch.setattr(collocations, "PENDING", 5)
+    r = random.Random(2)
+    want, s = Counter(), collocations.Sum(2)
+    for _ in range(30):
+        rows = [(r.randrange(3), r.randrange(4), r.randrange(1, 9)) for _ in range(4)]
+        columns = [np.array(c, dtype=np.uint64) for c in zip(*(x[:2] for x in rows), strict=True)]
+        s.add(b"".join(c.tobytes() for c in columns) + np.array([x[2] for x in rows], dtype=np.uint32).tobytes(), 4)
+        for a, b, n in rows:
+            want[a, b] += n
+    s.merge()
+    assert {(int(a), int(b)): int(n) for a, b, n in zip(*[c[0] for c in s.columns], s.counts[0], strict=True)} == want
+
+
+def test_collocations_of_nothing(docs, empty):
+    assert collocations.collocations(empty).count() == 0
+    assert collocations.collocations(docs.where("text is null or text in ('', '.')")).count() == 0
+
+
+def test_sums_of_packed_words(spark):
+    pack = lambda words, counts: np.array(counts, dtype=np.uint32).tobytes() + b" ".join(words)
+    rows = [(1, 0, "en", 3, len(d), collocations._zipped(d)) for d in (pack([b"aa", b"bb", b"cc"], [5, 1, 9]), pack([b"aa", b"dd", b"cc"], [6, 2, 1]))]
+    rows += [(1, 1, "fr", 1, len(d), collocations._zipped(d)) for d in [pack([b"aa"], [4])]]
+    packed = spark.createDataFrame(rows, collocations.PACKED)
+    got = collocations.summed(packed, 2, 3, 0)
+    assert {(r["lang"], bytes(r["word"]), r["f"]) for r in got.where("depth = 1").collect()} == {("en", b"aa", 11), ("en", b"cc", 10), ("fr", b"aa", 4)}
+    assert rows_of(got.where("depth = 0"), "lang", "f") == Counter([("en", 24), ("fr", 4)])
+    assert not got.where("depth = -1").count()
+
+
+def test_automaton_states_and_suffix_links():
+    words = collocations.words_of(b"A b a b c. a b a b c, a b a b")
+    shard = collocations.Shard()
+    shard.add(words)
+    automaton, names = shard.automaton()
+    levels = [automaton.at.copy()]
+    for _ in range(3):
+        automaton.grow()
+        levels.append(automaton.at.copy())
+    for depth in range(4):
+        columns, count = automaton.spelled[depth], automaton.counts[depth]
+        got = {tuple(names[c[s]] for c in columns): int(count[s]) for s in range(len(count)) if count[s]}
+        want = Counter(tuple(words[i : i + depth + 1]) for i in range(len(words) - depth) if b"." not in words[i : i + depth + 1])
+        assert got == want
+        if depth:
+            for e in np.flatnonzero(levels[depth] >= 0):  # the suffix link of a state has all its end positions
+                assert automaton.counts[depth - 1][levels[depth - 1][e]] >= count[levels[depth][e]]
+
+
+def test_windows_cut_no_word():
+    text = b"ab cd,ef\tgh" + b"x" * 50 + b" yz."
+    for size in (1, 3, 20, 100):
+        parts = list(collocations.windows(text, size))
+        assert b"".join(parts) == text and [w for p in parts for w in collocations.words_of(p)] == collocations.words_of(text)
+
+
+def test_filter_of_pairs_passes_all_pairs(spark):
+    r = random.Random(5)
+    pairs = [(r.randrange(-(2**63), 2**63), r.randrange(-(2**63), 2**63)) for _ in range(3000)]
+    bits = collocations.pair_filter(spark.createDataFrame(pairs, "h1 long, h2 long").repartition(3))
+    test = collocations.passing(np.frombuffer(bits, dtype=np.uint8))
+    hashed = lambda p: collocations.combined([np.array(c, dtype=np.int64).view(np.uint64) for c in zip(*p, strict=True)])
+    assert test(hashed(pairs)).all()
+    other = [(r.randrange(2**62), r.randrange(2**62)) for _ in range(20000)]
+    assert test(hashed(other)).mean() < 0.05
