@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ BASE, DIGITS = 10**6, 6
 CHUNK = 4096
 #: Rounds of a fold; a sum of limbs needs a few.
 FOLDS = 64
+#: Rows of a batch from Python.
+LIMB_ROWS = 1 << 16
 SCHEMA = "num string, idx long, limb long"
 
 
@@ -41,13 +45,27 @@ def to_ints(df: DataFrame) -> dict[str, int]:
     return out
 
 
+def digits_to_limbs(text: bytes) -> np.ndarray:
+    """The limbs of a decimal text, least significant first, in time linear in its length."""
+    digits = np.frombuffer(text.rjust(-(-max(1, len(text)) // DIGITS) * DIGITS, b"0"), dtype=np.uint8).astype(np.int64) - ord("0")
+    if digits.min() < 0 or digits.max() > 9:
+        raise ValueError("a decimal text has other letters than digits")
+    return (digits.reshape(-1, DIGITS) @ 10 ** np.arange(DIGITS - 1, -1, -1))[::-1]
+
+
 def from_digits(df: DataFrame, text: str = "digits") -> DataFrame:
-    """Numbers from decimal strings (num, digits); leading zeros are kept as limbs."""
-    n = F.ceil(F.length(text) / DIGITS).cast("int")
-    padded = F.lpad(F.col(text), n * DIGITS, "0")
-    wide = df.select("num", padded.alias("_p"), n.alias("_n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("_i"))
-    limb = F.substring("_p", (F.col("_n") - 1 - F.col("_i")) * DIGITS + 1, F.lit(DIGITS)).cast("long")
-    return wide.select("num", F.col("_i").cast("long").alias("idx"), limb.alias("limb"))
+    """Numbers from decimal strings (num, digits); leading zeros are kept as limbs, an empty text is 0, null has no rows."""
+
+    def run(batches):
+        for b in batches:
+            for num, digits in zip(b.column("num").to_pylist(), b.column("digits").to_pylist(), strict=True):
+                limbs = digits_to_limbs(digits.encode())
+                for at in range(0, len(limbs), LIMB_ROWS):
+                    part = limbs[at : at + LIMB_ROWS]
+                    names = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(part), dtype=np.int32)), pa.array([num], pa.string())).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([names, pa.array(np.arange(at, at + len(part))), pa.array(part)], ["num", "idx", "limb"])
+
+    return df.select("num", F.col(text).alias("digits")).where("digits is not null").mapInArrow(run, SCHEMA)
 
 
 def constant(spark: SparkSession, num: str, n: int, limb: int = 0) -> DataFrame:

@@ -10,7 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .numbers import BASE, DIGITS, carried
+from . import longnums
+from .numbers import BASE, DIGITS, carried, digits_to_limbs
+from .storage import stored
 
 #: Limbs of a block of the grid; a block is one string of 6 digits a limb.
 BLOCK = 2048
@@ -45,11 +47,9 @@ def to_blocks(df: DataFrame, size: int = BLOCK) -> DataFrame:
 
 
 def from_blocks(df: DataFrame, size: int = BLOCK) -> DataFrame:
-    """Position sums (num, idx, limb) of blocks whose digits may be longer than a block."""
-    n = F.ceil(F.length("text") / DIGITS).cast("int")
-    wide = df.withColumn("_n", n).withColumn("_t", F.lpad("text", n * DIGITS, "0")).withColumn("_i", F.explode(F.sequence(F.lit(0), n - 1)))
-    limb = F.substring("_t", (F.col("_n") - 1 - F.col("_i")) * DIGITS + 1, F.lit(DIGITS)).cast("long")
-    return wide.groupBy("num", (F.col("blk") * size + F.col("_i")).cast("long").alias("idx")).agg(F.sum(limb).alias("limb"))
+    """Position sums (num, idx, limb) of blocks (num, blk, limbs), which may be longer than a block."""
+    wide = df.select("num", "blk", F.posexplode("limbs").alias("_i", "limb"))
+    return wide.groupBy("num", (F.col("blk") * size + F.col("_i")).cast("long").alias("idx")).agg(F.sum("limb").alias("limb"))
 
 
 def cells(spark: SparkSession) -> int:
@@ -61,8 +61,8 @@ def _multiply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         out = []
         for x, y in zip(f["x"], f["y"], strict=True):
-            out.append(format(_context(len(x) + len(y)).multiply(decimal.Decimal(x), decimal.Decimal(y)), "f"))
-        yield pd.DataFrame({"num": f["num"], "blk": f["blk"], "text": out})
+            out.append(digits_to_limbs(format(_context(len(x) + len(y)).multiply(decimal.Decimal(x), decimal.Decimal(y)), "f").encode()))
+        yield pd.DataFrame({"num": f["num"], "blk": f["blk"], "limbs": out})
 
 
 def block_grid(a: DataFrame, b: DataFrame, low: int = 0, high: int | None = None, size: int = BLOCK) -> DataFrame:
@@ -84,16 +84,24 @@ def block_grid(a: DataFrame, b: DataFrame, low: int = 0, high: int | None = None
     return x.join(y, on).select(x["num"], (F.col("i") + F.col("j")).alias("blk"), "x", "y")
 
 
-def multiplied(a: DataFrame, b: DataFrame, plus: DataFrame | None = None, low: int = 0, high: int | None = None, cycle: int | None = None, size: int = BLOCK) -> DataFrame:
-    """a * b (+ plus) by a grid of blocks, each pair an exact decimal product.
+def multiplied(a: DataFrame, b: DataFrame, plus: DataFrame | None = None, low: int = 0, high: int | None = None, cycle: int | None = None, size: int | None = None) -> DataFrame:
+    """a * b (+ plus) of numbers of the same names.
 
-    ``high`` gives the product modulo base^high; ``low`` leaves out pairs that
-    end below it, so what is above comes out low by at most the pairs left out
-    (a band has both); ``cycle`` gives the product modulo base^cycle - 1 up to
-    a further fold. The added operand joins before the carry, in one shuffle.
+    By distributed transforms (longnums.py), in time about n log n. With a
+    ``size`` by a grid of blocks of so many limbs, each pair an exact decimal
+    product, in time of the product of the lengths: for a short operand, or a
+    few positions of a long product.
+
+    ``high`` gives the product modulo base^high; ``low`` lets a grid leave out
+    pairs that end below it, so what is above comes out low by at most the pairs
+    left out (a band has both; transforms leave out nothing); ``cycle`` gives
+    the product modulo base^cycle - 1 up to a further fold. The added operand
+    joins before the carry, in one shuffle.
     """
+    if size is None:
+        return _by_transforms(a, b, plus, high, cycle)
     grid = block_grid(a, b, low, high, size)
-    sums = from_blocks(grid.mapInPandas(_multiply, "num string, blk long, text string"), size)
+    sums = from_blocks(grid.mapInPandas(_multiply, "num string, blk long, limbs array<bigint>"), size)
     if plus is not None:
         sums = sums.unionByName(plus.select("num", "idx", "limb"))
     if high is not None:
@@ -104,6 +112,16 @@ def multiplied(a: DataFrame, b: DataFrame, plus: DataFrame | None = None, low: i
     return out.where(F.col("idx") < high) if high is not None else out
 
 
+def _by_transforms(a: DataFrame, b: DataFrame, plus: DataFrame | None, high: int | None, cycle: int | None) -> DataFrame:
+    x = longnums.packed(a)
+    y = x if b is a else longnums.packed(b)
+    more = None if plus is None else x if plus is a else y if plus is b else longnums.packed(plus)
+    out = longnums.unpacked(longnums.product(x, y, more, high))
+    if cycle is None:
+        return out
+    return carried(out.groupBy("num", (F.col("idx") % cycle).alias("idx")).agg(F.sum("limb").alias("limb")), rounds=1)
+
+
 #: Digits of an operand in a batch, beyond which a product is split into pieces.
 LONG_DIGITS = 20_000
 
@@ -140,19 +158,22 @@ def _in_pieces(pairs: DataFrame, size: int) -> DataFrame:
 def checked_product(a: DataFrame, b: DataFrame, primes: list[int], attempts: int = 2, fault=None, **cuts) -> DataFrame:
     """The product, accepted when (a mod q)(b mod q) = product mod q for all q; else made again.
 
-    ``fault`` is for tests of the check: it gets the product and the number of
-    the attempt, and returns what is checked in its place.
+    The residues of the operands are taken once. ``fault`` is for tests of the
+    check: it gets the product and the number of the attempt, and returns what
+    is checked in its place.
     """
-    from .residues import identity_holds, limbs_mod, mulmod
+    from .residues import identity_holds, mulmod
 
+    a, b = longnums.packed(a), longnums.packed(b)
+    ra, rb = longnums.residues(a, primes), longnums.residues(b, primes)
+    want = ra.alias("a").join(rb.alias("b"), "num").select("num", *[mulmod(F.col(f"a.r{i}"), F.col(f"b.r{i}"), q).alias(f"r{i}") for i, q in enumerate(primes)])
+    want = stored(want, "product-residues")
     for attempt in range(attempts):
-        product = multiplied(a, b, **cuts)
-        product = (fault(product, attempt) if fault else product).persist()
-        ra, rb = limbs_mod(a, primes), limbs_mod(b, primes)
-        want = ra.alias("a").join(rb.alias("b"), "num").select("num", *[mulmod(F.col(f"a.r{i}"), F.col(f"b.r{i}"), q).alias(f"r{i}") for i, q in enumerate(primes)])
-        if not identity_holds(want, limbs_mod(product, primes), primes).where("not ok").take(1):
-            return product
-        product.unpersist()
+        product = longnums.packed(multiplied(longnums.unpacked(a), longnums.unpacked(b), **cuts)) if cuts else longnums.product(a, b)
+        if fault:
+            product = longnums.packed(fault(longnums.unpacked(product), attempt))
+        if not identity_holds(want, longnums.residues(product, primes), primes).where("not ok").take(1):
+            return longnums.unpacked(product)
     raise ArithmeticError("a product does not agree with its residues")
 
 

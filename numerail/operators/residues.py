@@ -75,23 +75,17 @@ def _field(items: str, name: str) -> Column:
 def folded_mod(df: DataFrame, by: list[str], value: str, primes: list[int], base: int) -> DataFrame:
     """``by`` and r0, r1, ...: dense ordered values as digits of a number in a base, modulo each q.
 
-    Chunks of 4096 values are folded in the order of ``idx``, then the chunks'
-    residues with the weight base^4096, and so on. Each tier sorts inside its
-    groups only, and all residues come in one pass.
+    Chunks of 4096 values are folded in the order of ``idx``; a chunk's residue
+    has the weight base^(values before it), so the chunks are summed in any
+    order and the input runs once. All residues come in one pass.
     """
     names = [f"r{i}" for i in range(len(primes))]
-    rows = df.select(*by, "idx", *[F.col(value).alias(n) for n in names])
-    weights, top = [base % q for q in primes], df.agg(F.max("idx")).first()[0] or 0
-    while True:
-        items = F.reverse(F.array_sort(F.collect_list(F.struct("idx", *names))))
-        groups = rows.groupBy(*by, F.expr(f"idx div {FAN}").alias("chunk")).agg(items.alias("items"))
-        folds = [_horner(_field("items", n), w, q).alias(n) for n, w, q in zip(names, weights, primes, strict=True)]
-        rows = groups.select(*by, F.col("chunk").alias("idx"), *folds)
-        if top < FAN:
-            break
-        top, weights = top // FAN, [pow(w, FAN, q) for w, q in zip(weights, primes, strict=True)]
+    items = F.reverse(F.array_sort(F.collect_list(F.struct("idx", F.col(value).alias("v")))))
+    groups = df.select(*by, "idx", value).groupBy(*by, F.expr(f"idx div {FAN}").alias("_chunk")).agg(items.alias("_items"))
+    folds = [mulmod(_horner(_field("_items", "v"), base, q), powmod(pow(base, FAN, q), F.col("_chunk"), q), q).alias(n) for n, q in zip(names, primes, strict=True)]
+    sums = groups.select(*by, *folds).groupBy(*by).agg(*[(F.sum(n).cast(PRODUCT) % F.lit(q).cast(WIDE)).cast(WIDE).alias(n) for n, q in zip(names, primes, strict=True)])
     kinds = ["long" if q < 2**31 else WIDE for q in primes]
-    return rows.select(*by, *[F.col(n).cast(k).alias(n) for n, k in zip(names, kinds, strict=True)])
+    return sums.select(*by, *[F.col(n).cast(k).alias(n) for n, k in zip(names, kinds, strict=True)])
 
 
 def limbs_mod(df: DataFrame, primes: list[int], base: int = BASE) -> DataFrame:

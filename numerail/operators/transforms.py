@@ -88,6 +88,42 @@ def _passes(x: np.ndarray, p: int, w: int, scaled: bool) -> np.ndarray:
     return a * np.uint64(pow(n, p - 2, p)) % m if scaled else a
 
 
+def powers_of(bases: list[int], n: int, p: int) -> np.ndarray:
+    """The powers 0 .. n - 1 of some numbers modulo p, a column for each, by doubling."""
+    m = np.uint64(p)
+    out = np.ones((n, len(bases)), dtype=np.uint64)
+    span = 1
+    while span < n:
+        step = np.array([pow(b, span, p) for b in bases], dtype=np.uint64)
+        out[span : 2 * span] = out[: min(span, n - span)] * step % m
+        span *= 2
+    return out
+
+
+def transform_columns(x: np.ndarray, p: int, w: int) -> np.ndarray:
+    """Transforms of all columns of a matrix at once, with a root w of the order of its rows, 2^k or 3 * 2^k.
+
+    Stockham's passes over rows that are whole lines of the matrix; not scaled on the way back.
+    """
+    n, k = x.shape
+    m = np.uint64(p)
+    if n % 3 == 0:
+        part = n // 3
+        parts = [transform_columns(np.ascontiguousarray(x[j::3]), p, pow(w, 3, p)) for j in range(3)]
+        turn = powers_of([pow(w, j, p) for j in range(3)], n, p)
+        return sum(np.tile(parts[j], (3, 1)).reshape(3 * part, k) * turn[:, j : j + 1] % m for j in range(3)) % m
+    a, half, stride = np.ascontiguousarray(x, dtype=np.uint64).reshape(-1), n // 2, k
+    while half >= 1:
+        twiddle = powers_of([pow(w, stride // k, p)], half, p)
+        block = a.reshape(2, half, stride)
+        total = block[0] + block[1]
+        total -= m * (total >= m)
+        diff = (block[0] + m - block[1]) * twiddle % m
+        a = np.stack([total, diff], axis=1).reshape(-1)
+        half, stride = half // 2, stride * 2
+    return a.reshape(n, k)
+
+
 def cyclic_product(x: np.ndarray, y: np.ndarray, p: int) -> np.ndarray:
     return transform_mod(transform_mod(x, p) * transform_mod(y, p) % np.uint64(p), p, inverse=True)
 
