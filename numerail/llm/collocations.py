@@ -46,7 +46,8 @@ SEEDS = 8
 BREAK = b"."
 _ENDS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", BREAK * 10)
 _PART = re.compile(rb"[\x09-\x0D .,;:!?]")
-PACKED = "depth int, bucket int, lang string, n long, size long, data binary"
+#: A row holds the counts of one bucket: of each shard and depth the number of entries, the bytes of their arrays, and those, compressed.
+PACKED = "bucket int, depth array<int>, lang array<string>, n array<long>, size array<long>, data array<binary>"
 COUNTED = "depth int, lang string, h1 long, h2 long, h3 long, h4 long, word binary, f long"
 
 
@@ -178,19 +179,27 @@ def _zipped(data: bytes) -> bytes:
 
 
 def _dealt(depth: int, lang: str | None, bucket: np.ndarray, pack) -> Iterator[tuple]:
-    """Rows of PACKED, one for each bucket; ``pack(order)`` gives the bytes of some entries."""
+    """(bucket, depth, lang, n, size, data) of each bucket; ``pack(order)`` gives the bytes of some entries."""
     order = np.argsort(bucket, kind="stable")
     sorted_ = bucket[order]
     cuts = np.flatnonzero(np.diff(sorted_)) + 1
     for chosen in np.split(order, cuts):
         if len(chosen):
             data = pack(chosen)
-            yield depth, int(bucket[chosen[0]]), lang, len(chosen), len(data), _zipped(data)
+            yield int(bucket[chosen[0]]), depth, lang, len(chosen), len(data), _zipped(data)
 
 
-def _to_batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [f.split(" ")[0] for f in PACKED.split(", ")])
+def _to_batches(counts: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """The counts of a few shards as PACKED, a row for each bucket, a few hundred rows a batch."""
+    types = [pa.int32(), *(pa.list_(t) for t in (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.binary()))]
+    rows: dict[int, tuple] = {}
+    for bucket, *values in counts:
+        for held, v in zip(rows.setdefault(bucket, ([], [], [], [], [])), values, strict=True):
+            held.append(v)
+    every = [(bucket, *held) for bucket, held in rows.items()]
+    for at in range(0, len(every), 256):
+        columns = zip(*every[at : at + 256], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [f.split(" ")[0] for f in PACKED.split(", ")])
 
 
 def _states(lang: str, shard: Shard, buckets: int, seed: int, passes) -> Iterator[tuple]:
@@ -226,16 +235,15 @@ def packed_counts(docs: DataFrame, buckets: int, seed: int, bits=None, shard_wor
     def run(batches):
         hold("collocations", lambda: None)
         passes = None if bits is None else passing(np.frombuffer(bits.value, dtype=np.uint8))
+        held, words = [], 0
         for lang, shard in shards_of(batches, shard_words, window):
-            held = []
-            for row in _states(lang, shard, buckets, seed, passes):
-                held.append(row)
-                if len(held) >= 64:
-                    yield _to_batch(held)
-                    held = []
-            if held:
-                yield _to_batch(held)
+            held += _states(lang, shard, buckets, seed, passes)
+            words += shard.n
             trim()
+            if words >= shard_words:  # small shards of a task, of several languages, share rows
+                yield from _to_batches(held)
+                held, words = [], 0
+        yield from _to_batches(held)
 
     return docs.select("text", "lang").mapInArrow(run, PACKED)
 
@@ -303,7 +311,8 @@ def summed(packed: DataFrame, partitions: int, floor: int, seed: int) -> DataFra
         words: dict[str, WordSum] = {}
         sums: dict[int, Sum] = {}
         for batch in batches:
-            for depth, lang, n, size, data in zip(*(batch.column(c) for c in ("depth", "lang", "n", "size", "data")), strict=True):
+            parts = [batch.column(c).flatten() for c in ("depth", "lang", "n", "size", "data")]
+            for depth, lang, n, size, data in zip(*parts, strict=True):
                 raw, n = pa.decompress(data.as_buffer(), decompressed_size=size.as_py(), codec="zstd", asbytes=True), n.as_py()
                 if depth.as_py() == 1:
                     words.setdefault(lang.as_py(), WordSum()).add(raw, n)

@@ -1124,8 +1124,9 @@ def test_collocations_of_nothing(docs, empty):
 
 def test_sums_of_packed_words(spark):
     pack = lambda words, counts: np.array(counts, dtype=np.uint32).tobytes() + b" ".join(words)
-    rows = [(1, 0, "en", 3, len(d), collocations._zipped(d)) for d in (pack([b"aa", b"bb", b"cc"], [5, 1, 9]), pack([b"aa", b"dd", b"cc"], [6, 2, 1]))]
-    rows += [(1, 1, "fr", 1, len(d), collocations._zipped(d)) for d in [pack([b"aa"], [4])]]
+    english = [pack([b"aa", b"bb", b"cc"], [5, 1, 9]), pack([b"aa", b"dd", b"cc"], [6, 2, 1])]
+    french = [pack([b"aa"], [4])]
+    rows = [(k, [1] * len(d), [lang] * len(d), n, [len(x) for x in d], [collocations._zipped(x) for x in d]) for k, (lang, n, d) in enumerate((("en", [3, 3], english), ("fr", [1], french)))]
     packed = spark.createDataFrame(rows, collocations.PACKED)
     got = collocations.summed(packed, 2, 3, 0)
     assert {(r["lang"], bytes(r["word"]), r["f"]) for r in got.where("depth = 1").collect()} == {("en", b"aa", 11), ("en", b"cc", 10), ("fr", b"aa", 4)}
