@@ -84,6 +84,21 @@ def product_low(spark, sf_dir):
     return _residue_rows(pr.multiplied(a, b, high=60, size=32))
 
 
+def number_division(spark, sf_dir):
+    """The orders' number over the customers': of quotient X and remainder R, X b + R modulo two primes, and whether R < b."""
+    from .operators import division as dv
+    from .operators import longnums as ln
+
+    a, b = (ln.packed(n) for n in _two_numbers(spark, sf_dir))
+    x, r = dv.divided(a, b)
+    primes = [SMALL_PRIME, LARGE_PRIME]
+    q, d, e = (ln.residues(n, primes) for n in (x, b, r))
+    both = q.alias("x").join(d.alias("b"), "num").join(e.alias("r"), "num")
+    sums = [((rs.mulmod(F.col(f"x.r{i}"), F.col(f"b.r{i}"), p) + F.col(f"r.r{i}")).cast(rs.PRODUCT) % F.lit(p).cast(rs.WIDE)).cast(rs.WIDE).cast("string").alias(f"r{i}") for i, p in enumerate(primes)]
+    less = ln.compared(r, b).select("num", (F.col("cmp") < 0).alias("less"))
+    return both.select("num", *sums).join(less, "num")
+
+
 def many_products(spark, sf_dir):
     """A product for every line item: the price in cents, squared, by the order's and the part's key."""
     li = _t(spark, sf_dir, "lineitem")
@@ -226,7 +241,7 @@ KNOWN_WINDOWS = [
 ]
 
 QUERIES = (
-    number_shift, any_below, limb_point, number_complement, plus_small, product_plus, product_checked, product_low, many_products, grid_search, part_plan,
+    number_shift, any_below, limb_point, number_complement, plus_small, product_plus, product_checked, product_low, number_division, many_products, grid_search, part_plan,
     digit_counts, last_wins, sample_windows, high_water, rollup_max, first_lines, zipped_columns, physical_keys, state_flags, manifest_problems,
     eligible_items, name_suggestions, cited_items, t1_identity, e_windows,
 )
@@ -264,6 +279,8 @@ SQL = {
         SELECT 's' AS num, idx::BIGINT AS idx, limb::BIGINT AS limb FROM c WHERE idx <= (SELECT max(idx) FROM c WHERE limb <> 0)""",
     "product_plus": _product_sql(True),
     "product_checked": _product_sql(False),
+    "number_division": f"""WITH {_TWO}, x AS (SELECT list_prepend(0::HUGEINT, list(limb::HUGEINT ORDER BY idx DESC)) AS x FROM a)
+        SELECT 's' AS num, ({_mod("x", SMALL_PRIME)})::VARCHAR AS r0, ({_mod("x", LARGE_PRIME)})::VARCHAR AS r1, TRUE AS less FROM x""",
     "product_low": f"""WITH RECURSIVE {_TWO}, p AS (SELECT a.idx + b.idx AS k, sum(a.limb::HUGEINT * b.limb)::HUGEINT AS v FROM a JOIN b ON a.idx + b.idx < 60 GROUP BY ALL),
         c AS (SELECT 0::BIGINT AS k, (v % 1000000)::HUGEINT AS limb, v // 1000000 AS carry FROM p WHERE k = 0 UNION ALL SELECT c.k + 1, (p.v + c.carry) % 1000000, (p.v + c.carry) // 1000000 FROM c JOIN p ON p.k = c.k + 1),
         x AS (SELECT list_prepend(0::HUGEINT, list(limb ORDER BY k DESC)) AS x FROM c)

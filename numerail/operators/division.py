@@ -8,7 +8,7 @@ step's identity is checked modulo primes; a step that fails is named.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -39,16 +39,18 @@ class Steps:
     fault: Callable[[str, DataFrame], DataFrame] | None = None
 
 
-def from_int(spark: SparkSession, num: str, value: int) -> DataFrame:
-    """A number of few chunks from the driver."""
-    rows, chunk, whole = [], 0, BASE**CHUNK
+def chunks_of(num: str, value: int) -> Iterator[tuple]:
+    """The rows of PACKED of an integer."""
+    chunk, whole = 0, BASE**CHUNK
     while value or not chunk:
         value, low = divmod(value, whole)
-        limbs = np.array(_limbs(low, CHUNK), dtype=np.int64)
-        used = np.flatnonzero(limbs)
-        rows.append((num, chunk, limbs.astype(np.uint32).tobytes(), chunk * CHUNK + int(used[-1]) if len(used) else -1))
+        yield ln._packed_row(num, chunk, np.array(_limbs(low, CHUNK), dtype=np.int64))
         chunk += 1
-    return spark.createDataFrame(rows, ln.PACKED)
+
+
+def from_int(spark: SparkSession, num: str, value: int) -> DataFrame:
+    """A number of few chunks from the driver."""
+    return spark.createDataFrame(list(chunks_of(num, value)), ln.PACKED)
 
 
 def _limbs(value: int, n: int) -> list[int]:
@@ -135,7 +137,7 @@ def rest(a: DataFrame, x: DataFrame, q: DataFrame, limit: int, steps: Steps, nam
     return left, sign
 
 
-def precisions(k: int, seed: int, guard: int = 2) -> list[int]:
+def precisions(k: int, seed: int = SEED_LIMBS, guard: int = 2) -> list[int]:
     """Precisions of a Newton chain, each at most twice the one before less a guard; the last is k."""
     out = [k]
     while out[0] > seed:

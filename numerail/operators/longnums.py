@@ -292,15 +292,17 @@ def compared(a: DataFrame, b: DataFrame) -> DataFrame:
 class Shape:
     """How the points of a transform are laid out and dealt."""
 
-    def __init__(self, points: int, terms: int):
+    def __init__(self, points: int, terms: int, columns: int | None = None):
         self.n = max(64, length_for(points, (1, 3)))
         odd = 3 if self.n % 3 == 0 else 1
         log = (self.n // odd).bit_length() - 1
-        self.columns = 1 << max(3, log // 2)
+        self.columns = columns or 1 << max(3, log // 2)
         self.rows = self.n // self.columns
         bands = 1 << max(0, int(min(self.n / BAND_POINTS, (self.n / TILE_POINTS) ** 0.5)).bit_length() - 1)
-        self.bands = min(bands, self.columns // 4, self.rows // odd)
+        self.bands = max(1, self.columns // CHUNK, min(bands, self.columns // 4, self.rows // odd))  # a band is no wider than a chunk
         self.width, self.height = self.columns // self.bands, self.rows // self.bands
+        if self.rows % self.bands:
+            raise ValueError(f"{self.rows} rows do not part into {self.bands} bands")
         self.primes = transform_primes(3, log, thirds=odd)
         if not bounds_ok(terms, self.primes):
             raise ValueError("three primes do not determine sums of so many products")
@@ -447,10 +449,11 @@ def _backward(shape: Shape, piece: int, cycle: bool):
     return rows_of
 
 
-def product_pieces(a: DataFrame, b: DataFrame, max_points: int | None = None, cycle: int | None = None) -> DataFrame:
+def product_pieces(a: DataFrame, b: DataFrame, max_points: int | None = None, cycle: int | None = None, columns: int | None = None) -> DataFrame:
     """The coefficients of a * b by number, as PIECE. ``a`` and ``b`` should be
     stored: their sizes are read first. ``cycle``: modulo base^cycle - 1, for a
-    length that transforms have and that is a multiple of 4096."""
+    length that transforms have and that is a multiple of 4096. ``columns`` of the
+    matrix are for tests."""
     size = lambda df: (df.agg(F.max("top")).first()[0] or 0) + 1
     na, nb = size(a), size(b)
     most = max_points or MAX_POINTS
@@ -459,14 +462,14 @@ def product_pieces(a: DataFrame, b: DataFrame, max_points: int | None = None, cy
             raise ValueError(f"{cycle} is no length of a transform")
         shape, piece = Shape(cycle, cycle), cycle
     elif na + nb <= most:
-        shape, piece = Shape(na + nb, min(na, nb)), -(-max(na, nb, 1) // CHUNK) * CHUNK
+        shape, piece = Shape(na + nb, min(na, nb), columns), -(-max(na, nb, 1) // CHUNK) * CHUNK
     else:
         piece = max(CHUNK, most // 2 // CHUNK * CHUNK)
         shape = Shape(2 * piece, piece * (1 + max(na, nb) // piece))
     wrap = cycle is not None
     slices = _sliced(a, shape, 0, piece, wrap).unionByName(_sliced(b, shape, 1, piece, wrap))
-    columns = _mapped(_dealt(slices, "num", "side", "piece", "band"), _forward(shape), TILE)
-    lines = _mapped(_dealt(columns, "num", "band"), _pointwise(shape), TILE)
+    bands = _mapped(_dealt(slices, "num", "side", "piece", "band"), _forward(shape), TILE)
+    lines = _mapped(_dealt(bands, "num", "band"), _pointwise(shape), TILE)
     return _mapped(_dealt(lines, "num", "piece", "band"), _backward(shape, piece, wrap), PIECE)
 
 

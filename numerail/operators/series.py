@@ -1,25 +1,24 @@
-"""Ordered tree aggregation: binary splitting, reciprocal and division, digits of e."""
+"""Ordered tree aggregation over tables of limbs: binary splitting of a series, digits of e, their identity."""
 
 from __future__ import annotations
 
-import decimal
+import json
 import math
-import sys
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import division as dv
+from . import longnums as ln
 from . import numbers as nb
-from .products import _context, multiplied
+from . import residues as rs
+from .storage import stored
 
-PAIR = "i long, a long, b long, p string, q string"
 #: Terms that one leaf folds; children of a tree node.
-LEAF, FAN_IN = 4096, 4
-#: Limbs up to which a reciprocal or quotient comes from one exact decimal division.
-SEED_LIMBS = 4096
-#: A quotient estimate that is off by more than this is an error, not a correction.
-MAX_CORRECTIONS = 64
+LEAF, FAN_IN = 4096, 2
+#: Primes of the residues in a saved level's header.
+HEADER_PRIMES = rs.CHECK_PRIMES[:2]
 
 
 def terms_for(digits: int, guard: int = 50) -> int:
@@ -34,20 +33,6 @@ def terms_for(digits: int, guard: int = 50) -> int:
     return low
 
 
-def _to_text(n: int) -> str:
-    return format(decimal.Decimal(n), "f") if n.bit_length() < 13_000 else format(_big(n), "f")
-
-
-def _big(n: int) -> decimal.Decimal:
-    """A Decimal of a large integer by halves: the direct conversion is quadratic and limited in length."""
-    if n.bit_length() < 13_000:
-        return decimal.Decimal(n)
-    half = n.bit_length() // 2
-    c = _context(n.bit_length())
-    high, low = n >> half, n & ((1 << half) - 1)
-    return c.add(c.multiply(_big(high), c.power(decimal.Decimal(2), half)), _big(low))
-
-
 def leaf_fold(a: int, b: int) -> tuple[int, int]:
     """(P, Q) of the terms a .. b - 1 of sum 1/k!, from the last to the first: P = Q + P, Q = k Q."""
     p, q = 0, 1
@@ -56,40 +41,96 @@ def leaf_fold(a: int, b: int) -> tuple[int, int]:
     return p, q
 
 
-def _leaves(frames):
-    for f in frames:
-        rows = []
-        for r in f.itertuples():
-            p, q = leaf_fold(r.a, r.b)
-            rows.append((r.i, r.a, r.b, _to_text(p), _to_text(q)))
-        yield pd.DataFrame(rows, columns=["i", "a", "b", "p", "q"])
+def _leaf_rows(batches):
+    """Leaves (i, a, b) to the chunks of their two numbers, named <i>p and <i>q."""
+    for i, a, b in ln._rows(batches, ["i", "a", "b"]):
+        for kind, value in zip("pq", leaf_fold(a, b), strict=True):
+            yield from dv.chunks_of(f"{i}{kind}", value)
 
 
-def _combine(f: pd.DataFrame) -> pd.DataFrame:
-    """Ordered product of the children of a node: (P1, Q1) o (P2, Q2) = (P1 Q2 + P2, Q1 Q2)."""
-    f = f.sort_values("a")
-    c = _context(sum(map(len, f["q"])) + 10)
-    p, q = decimal.Decimal(f["p"].iloc[0]), decimal.Decimal(f["q"].iloc[0])
-    for x, y in zip(f["p"].iloc[1:], f["q"].iloc[1:], strict=True):
-        y = decimal.Decimal(y)
-        p, q = c.add(c.multiply(p, y), decimal.Decimal(x)), c.multiply(q, y)
-    return pd.DataFrame({"i": [int(f["i"].iloc[0]) // FAN_IN], "a": [int(f["a"].min())], "b": [int(f["b"].max())], "p": [format(p, "f")], "q": [format(q, "f")]})
+def leaves_of(spark: SparkSession, n_terms: int, leaf: int = LEAF) -> DataFrame:
+    """The leaves of the tree as PACKED numbers: P and Q of ``leaf`` terms each, folded on the executors."""
+    count = -(-n_terms // leaf)
+    spans = spark.range(count).select(F.col("id").alias("i"), (F.col("id") * leaf + 1).alias("a"), F.least((F.col("id") + 1) * leaf + 1, F.lit(n_terms + 1)).alias("b"))
+    return stored(ln._mapped(spans.repartition(min(count, 4 * spark.sparkContext.defaultParallelism), "i"), _leaf_rows, ln.PACKED), "leaves")
 
 
-def split_series(spark: SparkSession, n_terms: int, leaf: int = LEAF) -> DataFrame:
-    """One row (i, a, b, p, q) with P/Q = 1/1! + ... + 1/n!.
+def joined(nodes: DataFrame, count: int) -> DataFrame:
+    """The next level of a tree of ``count`` nodes: neighbours in order, (P1, Q1) o (P2, Q2) = (P1 Q2 + P2, Q1 Q2).
 
-    Leaves are folded on the executors; each level joins neighbours in order
-    and is checkpointed, so a lost executor costs one level. A last odd node
-    goes up as it is.
+    All products of the level are one batch of distributed products, which add
+    P2 before their carries; no row or task holds a whole number. A last odd
+    node goes up as it is.
     """
-    leaves = -(-n_terms // leaf)
-    spans = spark.range(leaves).select(F.col("id").alias("i"), (F.col("id") * leaf + 1).alias("a"), F.least((F.col("id") + 1) * leaf + 1, F.lit(n_terms + 1)).alias("b"))
-    nodes = spans.repartition(min(leaves, 4 * spark.sparkContext.defaultParallelism), "i").mapInPandas(_leaves, PAIR)
-    while leaves > 1:
-        nodes = cut(nodes.groupBy(F.expr(f"i div {FAN_IN}").alias("g")).applyInPandas(_combine, PAIR))
-        leaves = -(-leaves // FAN_IN)
-    return nodes
+    node, kind = F.expr("bigint(substring(num, 1, length(num) - 1))"), F.expr("right(num, 1)")
+    n = nodes.withColumn("_n", node).withColumn("_k", kind)
+    up = F.concat(F.expr("_n div 2").cast("string"), F.lit("p"))
+    last = count - 1 if count % 2 else count
+    left = n.where((F.col("_n") % 2 == 0) & (F.col("_n") < last))
+    right = n.where(F.col("_n") % 2 == 1)
+    columns = ["chunk", "data", "top"]
+    name = lambda k: F.concat(F.expr("_n div 2").cast("string"), k).alias("num")
+    a = left.select(name(F.col("_k")), *columns)
+    b = right.where("_k = 'q'").select(F.explode(F.array(name(F.lit("p")), name(F.lit("q")))).alias("num"), *columns)
+    plus = right.where("_k = 'p'").select(up.alias("num"), *columns)
+    out = ln.product(stored(a, "left"), stored(b, "right"), plus)
+    if count % 2:
+        out = stored(out.unionByName(n.where(F.col("_n") == last).select(name(F.col("_k")), *columns)), "level")
+    return out
+
+
+def _header(nodes: DataFrame, n_terms: int, leaf: int, level: int, count: int) -> dict:
+    """What a saved level is: its place, and residues of its numbers, added up."""
+    found = ln.residues(nodes, list(HEADER_PRIMES)).agg(*[F.sum(f"r{i}").cast("string").alias(f"r{i}") for i in range(len(HEADER_PRIMES))]).first()
+    return {"terms": n_terms, "leaf": leaf, "level": level, "nodes": count, "primes": [str(p) for p in HEADER_PRIMES], "residues": list(found)}
+
+
+def save_level(nodes: DataFrame, path: str, n_terms: int, leaf: int, level: int, count: int) -> None:
+    """Writes a level and then, when it is whole, its header."""
+    spark = nodes.sparkSession
+    nodes.write.mode("overwrite").parquet(f"{path}/level-{level}")
+    spark.createDataFrame([(json.dumps(_header(nodes, n_terms, leaf, level, count)),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/header-{level}")
+
+
+def saved_level(spark: SparkSession, path: str, n_terms: int, leaf: int) -> tuple[int, int, DataFrame] | None:
+    """(level, nodes, numbers) of the highest whole level below a path; refused if its header says another series or other residues."""
+    jvm = spark._jvm
+    exists = lambda p: (q := jvm.org.apache.hadoop.fs.Path(p)).getFileSystem(spark._jsc.hadoopConfiguration()).exists(q)
+    for level in range((-(-n_terms // leaf)).bit_length() + 1, -1, -1):
+        if not exists(f"{path}/header-{level}/_SUCCESS"):
+            continue
+        header = json.loads(spark.read.text(f"{path}/header-{level}").first()["value"])
+        nodes = spark.read.schema(ln.PACKED).parquet(f"{path}/level-{level}")
+        if header != _header(nodes, n_terms, leaf, level, header["nodes"]):
+            raise ValueError(f"the level saved in {path} is of another series, or damaged: {header}")
+        return level, header["nodes"], nodes
+    return None
+
+
+def split_series(spark: SparkSession, n_terms: int, leaf: int = LEAF, save: str | None = None, seen: Callable[[int, DataFrame], None] | None = None) -> tuple[DataFrame, DataFrame]:
+    """P and Q with P/Q = 1/1! + ... + 1/n! as PACKED numbers named e.
+
+    Each level is a table of its own in the shared folder, so a lost executor
+    costs part of a level. With ``save`` every level is kept below that path
+    with a header, and a run goes on from the highest one that is whole.
+    ``seen`` gets the number and the nodes of each level that is made.
+    """
+    found = saved_level(spark, save, n_terms, leaf) if save else None
+    level, count, nodes = found or (0, -(-n_terms // leaf), None)
+    if nodes is None:
+        nodes = leaves_of(spark, n_terms, leaf)
+        if seen:
+            seen(0, nodes)
+        if save:
+            save_level(nodes, save, n_terms, leaf, 0, count)
+    while count > 1:
+        nodes = joined(nodes, count)
+        level, count = level + 1, -(-count // 2)
+        if seen:
+            seen(level, nodes)
+        if save:
+            save_level(nodes, save, n_terms, leaf, level, count)
+    return tuple(nodes.where(F.col("num") == k).select(F.lit("e").alias("num"), "chunk", "data", "top") for k in ("0p", "0q"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -106,45 +147,32 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def e_digits(spark: SparkSession, digits: int) -> DataFrame:
-    """floor(10^digits * e) as a limb number 'e', from the series: 1 + P/Q, times 10^digits."""
-    node = split_series(spark, terms_for(digits))
+def _division_of_e(spark: SparkSession, digits: int) -> tuple[DataFrame, ...]:
+    """X, R, P, Q with 10^digits (P + Q) = X Q + R, all PACKED."""
+    p, q = split_series(spark, terms_for(digits))
+    sum_ = ln.sum_of(p, q)
+    top = ln.carried(ln.shifted(ln.carried(ln.as_pieces(sum_, 10 ** (digits % nb.DIGITS))), digits // nb.DIGITS))
+    return *dv.divided(top, q), p, q
 
-    def divide(frames):
-        for f in frames:
-            for p, q in zip(f["p"], f["q"], strict=True):
-                c = _context(len(q) + digits + 10)
-                p, q = decimal.Decimal(p), decimal.Decimal(q)
-                top = c.multiply(c.add(p, q), decimal.Decimal((0, (1,), digits)))
-                yield pd.DataFrame({"num": ["e"], "digits": [format(c.divide_int(top, q), "f")]})
 
-    return nb.from_digits(node.select("p", "q").mapInPandas(divide, "num string, digits string"))
+def e_digits(spark: SparkSession, digits: int) -> DataFrame:
+    """floor(10^digits * e) as a limb number 'e', from the series: 1 + P/Q, times 10^digits."""
+    return ln.unpacked(stored(_division_of_e(spark, digits)[0], "e"))
 
 
 def identity_of_e(spark: SparkSession, digits: int, primes: list[int]) -> DataFrame:
     """prime, ok: whether 10^digits (P + Q) = X Q + R modulo each prime, and a row
     'remainder' for 0 <= R < Q.
 
-    P and Q modulo the primes come from the recurrence over ranges of terms, X
-    from the digits of e, and R is the exact difference of the series' own
-    numbers; so the two ways to P and Q, and the digits, have to agree.
+    P and Q modulo the primes come from the recurrence over ranges of terms; X
+    and R are what the division of the tree's numbers gave. So the two ways to
+    P and Q, the digits and the remainder have to agree.
     """
-    from . import residues as rs
-    from .products import multiplied as times
-
-    n = terms_for(digits)
-    node = cut(split_series(spark, n))
-    x = cut(e_digits(spark, digits))
-    name = lambda df: df.select(F.lit("e").alias("num"), "idx", "limb")
-    p, q = (cut(name(nb.normalized(nb.from_digits(node.select(F.lit("e").alias("num"), F.col(c).alias("digits")))))) for c in ("p", "q"))
-    ten = nb.from_ints(spark, {"e": 10 ** (digits % nb.DIGITS)})
-    top = cut(nb.shifted(cut(times(cut(nb.added(p, q)), ten)), digits // nb.DIGITS))
-    product = cut(times(x, q))
-    r = cut(nb.subtracted(top, product))
-    series = rs.series_mod(n, spark, primes)
+    x, r, _, q = _division_of_e(spark, digits)
+    series = rs.series_mod(terms_for(digits), spark, primes)
     names = [f"r{i}" for i in range(len(primes))]
     tall = lambda df, c: df.select(F.explode(F.array(*[F.struct(F.lit(str(m)).alias("prime"), F.col(k).cast(rs.WIDE).alias(c)) for m, k in zip(primes, names, strict=True)])).alias("s")).select("s.*")
-    both = series.join(tall(rs.limbs_mod(x, primes), "x"), "prime").join(tall(rs.limbs_mod(r, primes), "r"), "prime")
+    both = stored(series.join(tall(ln.residues(x, primes), "x"), "prime").join(tall(ln.residues(r, primes), "r"), "prime"), "identity")
     checks = None
     for m in primes:
         w = F.lit(pow(10, digits, m)).cast(rs.WIDE)
@@ -153,85 +181,11 @@ def identity_of_e(spark: SparkSession, digits: int, primes: list[int]) -> DataFr
         right = ((rs.mulmod(F.col("x"), F.col("q"), m) + F.col("r")).cast(rs.PRODUCT) % big).cast(rs.WIDE)
         row = both.where(F.col("prime") == str(m)).select("prime", F.coalesce(left == right, F.lit(False)).alias("ok"))
         checks = row if checks is None else checks.unionByName(row)
-    less = nb.compared(r, q).select(F.lit("remainder").alias("prime"), (F.col("cmp") < 0).alias("ok"))
-    # subtracted() is for a >= b; that the product is not larger is part of the check
-    fits = nb.compared(product, top).select((F.col("cmp") <= 0).alias("fits"))
-    return checks.unionByName(less.crossJoin(fits).select("prime", (F.col("ok") & F.col("fits")).alias("ok")))
-
-
-def precisions(k: int, seed: int = SEED_LIMBS, guard: int = 2) -> list[int]:
-    """Precisions of a Newton chain, each at most twice the one before less a guard; the last is k."""
-    out = [k]
-    while out[0] > seed:
-        out.insert(0, out[0] // 2 + guard)
-    return out
-
-
-def _exact(n: int, d: int) -> int:
-    return n // d
-
+    less = ln.compared(r, q).select(F.lit("remainder").alias("prime"), (F.col("cmp") < 0).alias("ok"))
+    return checks.unionByName(less)
 
-def _whole(df: DataFrame) -> int:
-    """A number of few limbs on the driver; see SEED_LIMBS."""
-    sys.set_int_max_str_digits(0)
-    return sum(nb.to_ints(df).values())
 
-
-def reciprocal(q: DataFrame, n: int, k: int, seed: int = SEED_LIMBS) -> DataFrame:
-    """floor(base^(n + k) / q) for q of n limbs, by Newton steps on its leading limbs.
-
-    A step from precision j to h uses q's top limbs: x' = x + x (base^(n+j) - x q) / base^(n+j),
-    cut to h limbs, and is corrected exactly at the end by the remainder.
-    """
-    spark = q.sparkSession
-    name = q.first()["num"]
-    chain = precisions(k, seed)
-    j = chain[0]
-    used = min(n, j + 2)
-    top = _whole(nb.view(q, n - used, used))
-    x = nb.from_ints(spark, {name: nb.BASE ** (used + j) // top})
-    for h in chain[1:]:
-        used = min(n, h + 2)
-        low = nb.view(q, n - used, used)
-        # 2 x base^(h-j) - x^2 q / base^(used + 2 j - h), both with h limbs of fraction
-        square = multiplied(x, x)
-        subtrahend = nb.shifted(multiplied(square, low), h - used - 2 * j)
-        twice = nb.shifted(nb.times_small(x, 2), h - j)
-        x = cut(nb.subtracted(twice, subtrahend))
-        j = h
-    return settled(x, nb.power(spark, name, n + k), q)
-
-
-def settled(x: DataFrame, a: DataFrame, q: DataFrame) -> DataFrame:
-    """Moves a quotient estimate by units until 0 <= a - x q < q; fails beyond 64 steps."""
-    for _ in range(MAX_CORRECTIONS):
-        product = multiplied(x, q)
-        if nb.compared(product, a).first()["cmp"] > 0:
-            x = cut(nb.plus_small(x, -1))
-            continue
-        rest = nb.subtracted(a, product)
-        if nb.compared(rest, q).first()["cmp"] < 0:
-            return x
-        x = cut(nb.plus_small(x, 1))
-    raise ArithmeticError("the quotient estimate is too far off")
-
-
-def divided(a: DataFrame, q: DataFrame, seed: int = SEED_LIMBS) -> tuple[DataFrame, DataFrame]:
-    """Quotient and remainder of limb numbers of one name.
-
-    The quotient comes from a reciprocal of its own length: the leading limbs
-    of a times the reciprocal, then the exact correction.
-    """
-    na = a.agg(F.max("idx")).first()[0] + 1
-    n = q.agg(F.max("idx")).first()[0] + 1
-    name = q.first()["num"]
-    spark = q.sparkSession
-    if na < n:
-        return nb.from_ints(spark, {name: 0}), a
-    k = na - n + 1
-    if na <= seed:
-        x = nb.from_ints(spark, {name: _exact(_whole(a), _whole(q))})
-    else:
-        mu = reciprocal(q, n, k + 1, seed)
-        x = settled(nb.normalized(nb.shifted(multiplied(a, mu), -(n + k + 1))), a, q)
-    return x, nb.subtracted(a, multiplied(x, q))
+def divided(a: DataFrame, q: DataFrame, seed: int = dv.SEED_LIMBS, steps: dv.Steps | None = None) -> tuple[DataFrame, DataFrame]:
+    """Quotient and remainder of two limb numbers of one name."""
+    x, r = dv.divided(ln.packed(a), ln.packed(q), seed, steps)
+    return ln.unpacked(stored(x, "quotient")), ln.unpacked(stored(r, "remainder"))

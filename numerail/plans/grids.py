@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.division import precisions
 from ..operators.numbers import BASE
-from ..operators.series import FAN_IN, LEAF, precisions, terms_for
+from ..operators.series import FAN_IN, LEAF, terms_for
 
 MOST_CUTS = 32
 

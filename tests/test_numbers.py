@@ -1,9 +1,10 @@
-import os
 import random
 
 import numpy as np
 import pytest
 
+from numerail.operators import division as dv
+from numerail.operators import longnums as ln
 from numerail.operators import numbers as nb
 from numerail.operators import products as pr
 from numerail.operators import residues as rs
@@ -109,21 +110,104 @@ def test_residues(spark, a, monkeypatch):
 
 def test_series_and_its_residues(spark):
     p, q = se.leaf_fold(1, 1001)
-    node = se.split_series(spark, 1000, leaf=64).first()
-    assert (int(node["p"]), int(node["q"])) == (p, q)
+    found = se.split_series(spark, 1000, leaf=200)
+    assert [whole(x)["e"] for x in found] == [p, q]
     got = {int(r["prime"]): (int(r["p"]), int(r["q"])) for r in rs.series_mod(1000, spark, list(rs.CHECK_PRIMES[:2])).collect()}
     assert got == {m: (p % m, q % m) for m in rs.CHECK_PRIMES[:2]}
     assert nb.to_ints(se.e_digits(spark, 40))["e"] == 27182818284590452353602874713526624977572
     assert se.terms_for(1000) > 450
 
 
-@pytest.mark.skipif("NUMERAIL_SLOW_TESTS" not in os.environ, reason="minutes of small jobs; set NUMERAIL_SLOW_TESTS")
-def test_division_by_a_newton_reciprocal(spark):
-    x, y = R.getrandbits(900), R.getrandbits(400)
-    q, r = se.divided(nb.from_ints(spark, {"n": x}), nb.from_ints(spark, {"n": y}), seed=16)
+def whole(df):
+    """Integers of PACKED numbers."""
+    out = {}
+    for r in df.collect():
+        out[r["num"]] = out.get(r["num"], 0) + ln.integer_of(np.frombuffer(r["data"], dtype=np.uint32)) * B ** (r["chunk"] * nb.CHUNK)
+    return out
+
+
+def packed(spark, numbers):
+    return ln.packed(nb.from_ints(spark, numbers))
+
+
+def test_packed_numbers(spark):
+    """Sums, differences, shifts, products by transforms, whole, in pieces and wrapped, against integers."""
+    a = {"a": R.randrange(B**9000), "z": 0, "n": B**8192 - 1, "s": 7}
+    c = {"a": R.randrange(B**5000), "z": 5, "n": B**8192 - 1, "s": B**4096}
+    x, y = packed(spark, a), packed(spark, c)
+    assert whole(ln.sum_of(x, y)) == {k: a[k] + c[k] for k in a}
+    high, low = {k: max(a[k], c[k]) for k in a}, {k: min(a[k], c[k]) for k in a}
+    assert whole(ln.difference(packed(spark, high), packed(spark, low))) == {k: high[k] - low[k] for k in a}
+    assert {r["num"]: r["cmp"] for r in ln.compared(x, y).collect()} == {k: (a[k] > c[k]) - (a[k] < c[k]) for k in a}
+    for by in (3, 5000, -5000, -20000):
+        assert whole(ln.carried(ln.shifted(x, by))) == {k: a[k] * B**by if by > 0 else a[k] // B**-by for k in a}
+    want = {k: a[k] * c[k] for k in a}
+    assert whole(ln.product(x, y, plus=x)) == {k: want[k] + a[k] for k in a}
+    assert whole(ln.product(x, y, max_points=8192)) == want
+    assert whole(ln.product(x, y, high=100)) == {k: v % B**100 for k, v in want.items()}
+    for cycle in (8192, 12288):
+        assert whole(ln.wrapped_product(x, y, cycle)) == {k: v % (B**cycle - 1) for k, v in want.items()}
+    primes = [998_244_353, rs.CHECK_PRIMES[0]]
+    assert {r["num"]: [int(r["r0"]), int(r["r1"])] for r in ln.residues(x, primes).collect()} == {k: [v % q for q in primes] for k, v in a.items()}
+    assert nb.to_ints(ln.unpacked(x)) == a
+
+
+def test_products_of_wide_matrices(spark):
+    """Rows of a transform that are as long as a chunk or longer."""
+    a, c = R.randrange(B**9000), R.randrange(B**5000)
+    x, y = packed(spark, {"a": a}), packed(spark, {"a": c})
+    for columns in (2048, 4096, 8192):
+        assert whole(ln.carried(ln.product_pieces(x, y, columns=columns)))["a"] == a * c
+
+
+@pytest.mark.parametrize("digits", [(1800, 720, 32, True), (9000, 4100, 300, False)])
+def test_division_by_a_newton_reciprocal(spark, digits):
+    n, m, seed, wrap = digits
+    x, y = R.randrange(10**n), R.randrange(10**m)
+    q, r = se.divided(nb.from_ints(spark, {"n": x}), nb.from_ints(spark, {"n": y}), seed=seed, steps=dv.Steps(wrap=wrap))
     assert (nb.to_ints(q)["n"], nb.to_ints(r)["n"]) == divmod(x, y)
 
 
+def test_wrapped_division_takes_fewer_points_and_names_faults(spark):
+    """What a product leaves is known to be short, so half of the points do; a fault is named with its step."""
+    x, y = R.randrange(B**12000), R.randrange(B**6000)
+    a, q = packed(spark, {"n": x}), packed(spark, {"n": y})
+    estimate = packed(spark, {"n": x // y + 2})
+    points = {}
+    for wrap in (True, False):
+        steps = dv.Steps(wrap=wrap)
+        left, sign = dv.rest(a, estimate, q, 6003, steps, "quotient")
+        assert sign == -1 and whole(left)["n"] == (x // y + 2) * y - x
+        points[wrap] = steps.points["quotient"]
+    assert points == {True: 8192, False: 12288}
+    faulty = dv.Steps(fault=lambda name, left: ln.sum_of(left, dv.from_int(spark, "n", 1)))
+    with pytest.raises(ArithmeticError, match="step quotient of test"):
+        dv.rest(a, estimate, q, 6003, faulty, "quotient of test")
+
+
+def test_a_tree_goes_on_from_a_saved_level(spark, tmp_path):
+    """Levels agree with the recurrence; a run that stopped goes on; a level of another series is refused."""
+    path, made = str(tmp_path / "tree"), []
+    terms, leaf = 1100, 200
+    primes = list(rs.CHECK_PRIMES[:2])
+
+    def seen(level, nodes):
+        made.append(level)
+        spans = [(i * leaf * 2**level + 1, min(terms, (i + 1) * leaf * 2**level) + 1) for i in range(-(-terms // (leaf * 2**level)))]
+        want = {f"{i}{k}": v for i, span in enumerate(spans) for k, v in zip("pq", se.leaf_fold(*span), strict=True)}
+        got = {r["num"]: [int(r["r0"]), int(r["r1"])] for r in ln.residues(nodes, primes).collect()}
+        assert got == {k: [v % m for m in primes] for k, v in want.items()}
+        if level == 2 and len(made) == 3:
+            raise KeyboardInterrupt  # before level 2 is saved
+
+    with pytest.raises(KeyboardInterrupt):
+        se.split_series(spark, terms, leaf, path, seen)
+    p, q = se.split_series(spark, terms, leaf, path, seen)
+    assert made == [0, 1, 2, 2, 3] and [whole(x)["e"] for x in (p, q)] == list(se.leaf_fold(1, terms + 1))
+    with pytest.raises(ValueError, match="another series"):
+        se.split_series(spark, terms + 1, leaf, path)
+
+
 def test_short_division(spark):
     x, y = R.getrandbits(900), R.getrandbits(400)
     q, r = se.divided(nb.from_ints(spark, {"n": x}), nb.from_ints(spark, {"n": y}))
