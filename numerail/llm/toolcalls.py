@@ -27,32 +27,49 @@ TEXT, CALL, RESULT = 0, 1, 2
 KEEP_NULLS = {"ignoreNullFields": "false"}
 
 
+def parsed(json: Column) -> Column:
+    """The value of a JSON text; null unless the text is one value and no more.
+
+    The parser stops at the end of a value. A text with anything behind its
+    value is no value within a list or within an object: what could go on the
+    one cannot go on the other.
+    """
+    within = lambda before, after: F.try_parse_json(F.concat(F.lit(before), json, F.lit(after))).isNotNull()
+    return F.when(within("[", "]") & within('{"v":', "}"), F.try_parse_json(json))
+
+
 def canonical(json: Column) -> Column:
     """A JSON text with the keys of all its objects in order (of UTF-16 units, as
-    RFC 8785 has it) and no spaces; null if it is no JSON or an object has a key twice."""
-    return F.to_json(F.try_parse_json(json))
+    RFC 8785 has it) and no spaces; null if it is no JSON, more than one value, or
+    an object has a key twice.
+
+    Numbers are written as Spark's variants hold them: whole ones of up to 38
+    digits exactly (1.0 as 1), others as decimals or doubles (1e3 as 1000.0),
+    and whole ones of more digits as the nearest double.
+    """
+    return F.to_json(parsed(json))
 
 
 def violations(name: Column, arguments: Column, schemas=None) -> Column:
     """What is wrong with the arguments: an array of codes, empty if they are valid.
 
-    A text that is no JSON, and one with a key twice in an object, is
+    A text that is no JSON or more than one value, and one with a key twice in an object, is
     ``not_json``; JSON other than an object is ``not_object``. JSON null is a
     value of the wrong type.
     """
     schemas = SCHEMAS if schemas is None else schemas
-    parsed = F.try_parse_json(arguments)
+    value_of = parsed(arguments)
     known = name.isin([F.lit(s) for s in schemas]) if schemas else F.lit(False)
-    is_object = F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False))
+    is_object = F.coalesce(F.schema_of_variant(value_of).startswith("OBJECT"), F.lit(False))
     codes = [
         F.when(~F.coalesce(known, F.lit(False)), F.lit("unknown_tool")),
-        F.when(parsed.isNull(), F.lit("not_json")).when(~is_object, F.lit("not_object")),
+        F.when(value_of.isNull(), F.lit("not_json")).when(~is_object, F.lit("not_object")),
     ]
     for tool, fields in schemas.items():
         here = (name == tool) & is_object
         for argument, (kind, needed, most) in fields.items():
-            value = F.try_variant_get(parsed, f"$['{argument}']", "variant")
-            text = F.try_variant_get(parsed, f"$['{argument}']", "string")
+            value = F.try_variant_get(value_of, f"$['{argument}']", "variant")
+            text = F.try_variant_get(value_of, f"$['{argument}']", "string")
             bad = F.when(value.isNull(), F.lit(f"missing:{argument}") if needed else F.lit(None))
             bad = bad.when(~F.schema_of_variant(value).startswith(kind), F.lit(f"type:{argument}"))
             if kind == "STRING":
@@ -60,7 +77,7 @@ def violations(name: Column, arguments: Column, schemas=None) -> Column:
                 if most is not None:
                     bad = bad.when(F.length(text) > most, F.lit(f"long:{argument}"))
             codes.append(F.when(here, bad))
-        other = F.array_except(F.json_object_keys(F.to_json(parsed)), F.array(*[F.lit(a) for a in fields]).cast("array<string>"))
+        other = F.array_except(F.json_object_keys(F.to_json(value_of)), F.array(*[F.lit(a) for a in fields]).cast("array<string>"))
         codes.append(F.when(here & (F.size(other) > 0), F.concat(F.lit("unexpected:"), F.array_join(F.array_sort(other), ","))))
     return F.array_compact(F.array(*codes))
 
@@ -128,11 +145,11 @@ def link(calls: DataFrame, results: DataFrame, schemas=None) -> DataFrame:
     def call_json(arguments: Column) -> Column:
         return F.to_json(F.struct(arguments.alias("arguments"), F.col("call_id").alias("id"), "name", F.lit("call").alias("type"), F.col("bad").alias("violations")), KEEP_NULLS)
 
-    parsed = F.try_parse_json("arguments")
+    value = parsed(F.col("arguments"))
     c = c.select(
         "conv_id", "turn", F.lit(CALL).alias("kind"), "call_id", (F.col("answers").isNotNull() & F.col("own")).alias("linked"), (F.size("bad") == 0).alias("valid"),
         F.when(F.col("own"), F.greatest("turn", "upto")).otherwise(F.col("turn")).alias("order_turn"), F.when(F.col("own"), level).otherwise(0).cast("long").alias("order_level"), F.lit(CALL).alias("order_kind"),
-        F.when(parsed.isNotNull(), call_json(parsed)).otherwise(call_json(F.col("arguments"))).alias("json"),
+        F.when(value.isNotNull(), call_json(value)).otherwise(call_json(F.col("arguments"))).alias("json"),
     )
     r = results.join(known.hint("shuffle_hash"), key, "left")
     result_json = F.to_json(F.struct("content", F.col("call_id").alias("id"), F.lit("result").alias("type")), KEEP_NULLS)
