@@ -8,7 +8,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import n_shuffle, stored
 
 #: Virtual slots; fixed for the life of a data set. All tables of slots have so many rows.
 SLOTS = 4096
@@ -16,6 +16,10 @@ SLOTS = 4096
 SPREAD = 0.0005
 
 
+#: Rows that are alike, of which one task gives out so many numbers.
+RUN = 4096
+
+
 def vslot(*key, slots: int = SLOTS):
     """The virtual slot of a key (nulls have one too)."""
     return F.pmod(F.xxhash64(*key), F.lit(slots)).cast("int")
@@ -125,23 +129,27 @@ class SlotMap:
 def shard_documents(docs: DataFrame, shards: int = 16, slots: int = SLOTS, spread: float = SPREAD) -> tuple[DataFrame, DataFrame]:
     """Deals documents into shards of near equal bytes; returns the rows and the stored map.
 
-    A row's virtual slot is a hash of doc_id and text, so that the texts of an
-    id that has very many rows are spread too; the bytes of each slot are summed
+    A row's virtual slot is a hash of doc_id, text and its number among the rows
+    that are alike, so that an id or a row that comes very often is spread too
+    (rows that are alike are counted, and numbered by their count; which of them
+    has which number makes no difference); the bytes of each slot are summed
     (text bytes plus 1), and version 1 of the map is version 0 edited until the
     shards' bytes are near equal. Rows: doc_id, size, text_crc32, vslot, shard
     and slot, the row's place in its shard, from 0 without gaps, in the order
     of (vslot, doc_id, text_crc32, size). Null texts count as empty; texts may
-    be of any length; repeated rows each have a place, in one slot; extra
+    be of any length; repeated rows each have a place; extra
     columns are ignored whatever their names; an empty table gives no rows.
     Places need a sort only within a virtual slot: the slots before it in its
     shard give the first place.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
-    records = stored(
-        docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), vslot(F.col("doc_id"), text, slots=slots).alias("vslot")),
-        "shard-records",
-    )
+    alike = docs.select("doc_id", F.xxhash64(text).alias("key"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    counted = alike.groupBy("doc_id", "key", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n"))
+    run = F.col("run") * RUN
+    runs = counted.select("*", F.explode(F.expr(f"sequence(0L, (n - 1) div {RUN})")).alias("run")).repartition(n_shuffle(spark), "doc_id", "key", "run")
+    numbered = runs.select("doc_id", "key", "size", "text_crc32", F.explode(F.sequence(run, F.least(run + RUN, F.col("n")) - 1)).alias("number"))
+    records = stored(numbered.select("doc_id", "size", "text_crc32", vslot(F.col("doc_id"), F.col("key"), F.col("number"), slots=slots).alias("vslot")), "shard-records")
     size, rows = slot_weights(records, slots)
     slot_map = SlotMap(shards, slots)
     slot_map.rebalance(size, spread)
