@@ -16,21 +16,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hold, mix64, small_batches, trim
+from .common import bounded_broadcast, hold, mix64, n_shuffle, small_batches, stored, trim
 from .pieces import groups_of
 
 #: Bounds of the sample of labelled documents that the model is fitted on: of each language, and of all together.
 SAMPLE_DOCS, SAMPLE_ALL = 600, 24_000
+#: Bytes of the texts of a language, of SAMPLE_DOCS documents, after which no more are taken.
+SAMPLE_BYTES = 16 << 20
 UNKNOWN = "und"
 #: What parts words, which are runs of letters in lower case.
 NOT_LETTERS = r"[^\pL]+"
 #: Kinds of entries: words (0), then n-grams by length, as they are tried.
 KINDS = (0, 4, 3, 2, 1)
 #: Parts of texts that a worker keeps; bytes of texts that are looked up, and parts of them that are summed, together.
-PARTS, HOT, GROUP_BYTES, SUMMED = 400_000, 32_768, 8 << 20, 200_000
+PARTS, HOT, GROUP_BYTES, SUMMED = 160_000, 32_768, 4 << 20, 200_000
 #: Bytes of texts whose words are counted together.
 COUNTED = 2 << 20
 
@@ -170,21 +172,41 @@ class LanguageModel:
         return kind, tuple(np.concatenate([x[c] for x in lifts]) for c in range(3))
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_all: int = SAMPLE_ALL) -> LanguageModel:
+def sample_of(labelled: DataFrame, each: int, most_bytes: int) -> DataFrame:
+    """Of each lang the rows (lang, text) with the ``each`` least hashes of (doc_id,
+    text), in that order up to ``most_bytes``, but at least one.
+
+    Rows that are alike count once. The least hashes are found in two steps, of
+    parts of a language first, from hashes and sizes alone; the texts come
+    to those that were chosen.
+    """
+    spark = labelled.sparkSession
+    hashed = labelled.select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    rows = hashed.groupBy("lang", "h").agg(F.max(F.octet_length("text")).cast("long").alias("size"))
+    parts = Window.partitionBy("lang", "part").orderBy("h")
+    whole = Window.partitionBy("lang").orderBy("h")
+    few = rows.withColumn("part", F.pmod("h", F.lit(n_shuffle(spark)))).withColumn("k", F.row_number().over(parts)).where(F.col("k") <= each)
+    before = F.coalesce(F.sum("size").over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    few = few.drop("part", "k").select("lang", "h", F.row_number().over(whole).alias("k"), before.alias("before")).where((F.col("k") <= each) & (F.col("before") < most_bytes))
+    chosen = stored(few.select("lang", "h"), "language-sample")
+    return hashed.join(bounded_broadcast(chosen, SAMPLE_ALL), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).select("lang", "text")
+
+
+def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_all: int = SAMPLE_ALL, sample_bytes: int = SAMPLE_BYTES) -> LanguageModel:
     """Learns from documents that are not held out and have lang and text.
 
-    About ``sample_docs`` documents of each language are taken by a hash of
-    their id (all, if there are fewer), of every language that there is; with
-    so many languages that these would be more than ``sample_all``, an equal
-    share of that of each, one at least in expectation. All that the sample has
-    is in the model, so its size follows the sample's and not the table's.
+    The ``sample_docs`` documents of each language with the least hashes of id
+    and text are taken (all, if there are fewer), of every language that there
+    is; with so many languages that these would be more than ``sample_all``, an
+    equal share of that of each, and one at least. Of very long texts fewer are
+    taken: none after ``sample_bytes`` of a language (or its share of what
+    ``sample_all`` documents would have). All that the sample has is in the
+    model, so its size follows the sample's and not the table's.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
-    counts = labelled.groupBy("lang").count().collect()
-    each = max(1, min(sample_docs, sample_all // max(1, len(counts))))
-    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["count"])) for r in counts], "lang string, share double")
-    u = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0
-    sample = labelled.join(F.broadcast(shares), "lang").where(u < F.col("share")).select("lang", "text")
+    small_batches(docs.sparkSession)
+    each = max(1, min(sample_docs, sample_all // max(1, labelled.select("lang").distinct().count())))
+    sample = sample_of(labelled, each, max(1, sample_bytes * each // sample_docs))
     sums = sample.mapInArrow(_count, "lang string, n int, gram string, k long").groupBy("lang", "n", "gram").agg(F.sum("k").alias("k"))
     return LanguageModel(sums.toArrow())
 
