@@ -495,14 +495,18 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose id is the smallest of its component, one for each id.
+    """The rows of docs whose id is the smallest of its component, one for each id:
+    of several the one whose text, then whose other columns have the least hash, in whatever order they come.
 
     Rows with a null id stay as they are.
     """
     found = jaccard_components(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
     found = stored(found, "jaccard-kept")
     single = docs.join(bounded_broadcast(found.where("_rows = 1").select("doc_id"), BROADCAST_IDS), "doc_id", "left_semi")
-    several = docs.join(bounded_broadcast(found.where("_rows > 1").select("doc_id"), BROADCAST_IDS), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    several = docs.join(bounded_broadcast(found.where("_rows > 1").select("doc_id"), BROADCAST_IDS), "doc_id", "left_semi")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    least = F.min_by(F.struct(*docs.columns), F.struct(F.xxhash64("text"), F.col("text").isNull(), F.xxhash64(*rest) if rest else F.lit(0)))
+    several = several.groupBy("doc_id").agg(least.alias("_row")).select("_row.*")
     return single.unionByName(several).unionByName(docs.where("doc_id is null"))
 
 
