@@ -77,11 +77,6 @@ def size(a: DataFrame) -> int:
     return max(0, a.agg(F.max("top")).first()[0] or 0) + 1
 
 
-def _mods(a: DataFrame, primes: tuple[int, ...]) -> list[int]:
-    row = ln.residues(a, list(primes)).first()
-    return [int(row[f"r{i}"]) for i in range(len(primes))]
-
-
 def _moved(a: DataFrame, by: int) -> DataFrame:
     return a if by == 0 else ln.carried(ln.shifted(a, by))
 
@@ -130,8 +125,8 @@ def rest(a: DataFrame, x: DataFrame, q: DataFrame, limit: int, steps: Steps, nam
         sign = -1 if sign < 0 else 1
     if steps.fault:
         left = steps.fault(name, left)
-    mods = [_mods(d, steps.primes) for d in (a, x, q, left)]
-    for m, ra, rx, rq, rl in zip(steps.primes, *mods, strict=True):
+    mods = ln.residues_of({"a": a, "x": x, "q": q, "left": left}, list(steps.primes))
+    for m, ra, rx, rq, rl in zip(steps.primes, *(mods[k] for k in ("a", "x", "q", "left")), strict=True):
         if (ra - rx * rq - sign * rl) % m:
             raise ArithmeticError(f"division step {name}: a - x q does not agree modulo {m}")
     return left, sign

@@ -38,8 +38,8 @@ MAX_POINTS = 1 << 24
 BAND_POINTS, TILE_POINTS = 1 << 14, 256
 #: Limbs of a coefficient: three primes of 31 bits are below 10^30.
 SPREAD = 5
-#: Largest number of tables of one row a number that is broadcast.
-BROADCAST_NUMBERS = 100_000
+#: Chunks whose carries are scanned in one window, and broadcast; rows of 50 bytes.
+SCANNED = 1 << 17
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -235,6 +235,10 @@ def carried(parts: DataFrame, difference: bool = False) -> DataFrame:
     heads = done.select("num", "chunk", "out", "low", "nines", "zeros")
     after = heads.select("num", (F.col("chunk") + 1).alias("chunk"), "out")
     every = heads.select("num", "chunk", F.lit(0).cast("long").alias("out"), "low", "nines", "zeros").unionByName(after, allowMissingColumns=True)
+    # up to a number of chunks the scan is one window, beyond it goes by runs of chunks
+    tiers = 1 if done.count() <= SCANNED else 2
+    if tiers == 1:
+        every = every.repartition(partitions(done.sparkSession), "num")
     every = every.groupBy("num", F.col("chunk").alias("idx")).agg(F.sum("out").alias("got"), F.max("low").alias("low"), F.max("nines").alias("nines"), F.max("zeros").alias("zeros"))
     most = F.lit(BASE**3).cast("long")
     if difference:
@@ -243,9 +247,10 @@ def carried(parts: DataFrame, difference: bool = False) -> DataFrame:
     else:
         out = lambda e: F.coalesce(F.col("nines"), F.lit(False)) & (F.coalesce("low", F.lit(0)) + F.col("got") + e >= most)
         flag = F.when(out(0), 1).when(~out(1), 0)
-    scanned = incoming(every.withColumn("flag", flag), "flag", ["num"], tiers=2)
-    comes = scanned.select("num", F.col("idx").alias("chunk"), (F.col("got") + F.col("cin")).alias("comes"), F.col("low").isNull().alias("new")).where("comes <> 0")
-    data = done.select("num", "chunk", "data").join(comes.where("not new").drop("new"), ["num", "chunk"], "left")
+    scanned = incoming(every.withColumn("flag", flag), "flag", ["num"], tiers=tiers)
+    comes = stored(scanned.select("num", F.col("idx").alias("chunk"), (F.col("got") + F.col("cin")).alias("comes"), F.col("low").isNull().alias("new")).where("comes <> 0"), "comes")
+    own = comes.where("not new").drop("new")
+    data = done.select("num", "chunk", "data").join(F.broadcast(own) if tiers == 1 else own, ["num", "chunk"], "left")
     fresh = comes.where("new").select("num", "chunk", F.lit(None).cast("binary").alias("data"), "comes")
 
     def rows_of(batches):
@@ -357,8 +362,9 @@ def _forward(shape: Shape):
     return rows_of
 
 
-def _pointwise(shape: Shape):
-    """A band of rows of all pieces: transforms along the rows, products of pieces added up by their place, and back along the rows."""
+def _pointwise(shape: Shape, only: frozenset | None = None):
+    """A band of rows of all pieces: transforms along the rows, products of pieces added up by their place, and back along
+    the rows. ``only``: the (num, place) that are wanted."""
     count, c, h, k = len(shape.primes), shape.columns, shape.height, shape.width
 
     def rows_of(batches):
@@ -372,6 +378,8 @@ def _pointwise(shape: Shape):
                 q, root = np.uint64(p), pow(w, shape.rows, p)
                 done = {key: transform_columns(x[i], p, root) for key, x in m.items()}
                 for s in {a + b for (sa, a) in done if sa == 0 for (sb, b) in done if sb == 1}:
+                    if only is not None and (num, s) not in only:
+                        continue
                     total = np.zeros((c, h), dtype=np.uint64)
                     for (side, a), x in done.items():
                         if side == 0 and (1, s - a) in done:
@@ -408,8 +416,9 @@ def coefficients(residues: list[np.ndarray], primes: list[int]) -> list[np.ndarr
     return out
 
 
-def _backward(shape: Shape, piece: int, cycle: bool):
-    """A band of columns of a sum of products: twiddles and transforms back, then its coefficients as limbs, as PIECE."""
+def _backward(shape: Shape, piece: int, cycle: bool, apart: bool = False):
+    """A band of columns of a sum of products: twiddles and transforms back, then its coefficients as limbs, as PIECE.
+    ``apart``: each place is a number of its own, <num>|<place>."""
     r, c, k = shape.rows, shape.columns, shape.width
 
     def rows_of(batches):
@@ -426,7 +435,7 @@ def _backward(shape: Shape, piece: int, cycle: bool):
             out = np.zeros((r, k + SPREAD - 1), dtype=np.int64)
             for j, limbs in enumerate(coefficients(residues, shape.primes)):
                 out[:, j : j + k] += limbs
-            offset = s * piece + first
+            num, offset = (f"{num}|{s}", first) if apart else (num, s * piece + first)
             starts = offset + c * np.arange(r)
             # what runs over the end of a chunk belongs to the next one
             over = (starts + k) % CHUNK == 0
@@ -449,23 +458,26 @@ def _backward(shape: Shape, piece: int, cycle: bool):
     return rows_of
 
 
-def product_pieces(a: DataFrame, b: DataFrame, max_points: int | None = None, cycle: int | None = None, columns: int | None = None) -> DataFrame:
-    """The coefficients of a * b by number, as PIECE. ``a`` and ``b`` should be
-    stored: their sizes are read first. ``cycle``: modulo base^cycle - 1, for a
-    length that transforms have and that is a multiple of 4096. ``columns`` of the
-    matrix are for tests."""
+def _layout(a: DataFrame, b: DataFrame, most: int, cycle: int | None = None, columns: int | None = None) -> tuple[Shape, int]:
+    """The shape of the transforms and the limbs of a piece."""
     size = lambda df: (df.agg(F.max("top")).first()[0] or 0) + 1
     na, nb = size(a), size(b)
-    most = max_points or MAX_POINTS
     if cycle is not None:
         if cycle % CHUNK or length_for(cycle, (1, 3)) != cycle:
             raise ValueError(f"{cycle} is no length of a transform")
-        shape, piece = Shape(cycle, cycle), cycle
-    elif na + nb <= most:
-        shape, piece = Shape(na + nb, min(na, nb), columns), -(-max(na, nb, 1) // CHUNK) * CHUNK
-    else:
-        piece = max(CHUNK, most // 2 // CHUNK * CHUNK)
-        shape = Shape(2 * piece, piece * (1 + max(na, nb) // piece))
+        return Shape(cycle, cycle), cycle
+    if na + nb <= most:
+        return Shape(na + nb, min(na, nb), columns), -(-max(na, nb, 1) // CHUNK) * CHUNK
+    piece = max(CHUNK, most // 2 // CHUNK * CHUNK)
+    return Shape(2 * piece, piece * (1 + max(na, nb) // piece)), piece
+
+
+def product_pieces(a: DataFrame, b: DataFrame, max_points: int | None = None, cycle: int | None = None, columns: int | None = None) -> DataFrame:
+    """The coefficients of a * b by number, as PIECE. ``a`` and ``b`` should be
+    stored: their sizes are read first. ``cycle``: modulo base^cycle - 1, for a
+    length that transforms have and that is a multiple of 4096. ``columns`` of the
+    matrix are for tests."""
+    shape, piece = _layout(a, b, max_points or MAX_POINTS, cycle, columns)
     wrap = cycle is not None
     slices = _sliced(a, shape, 0, piece, wrap).unionByName(_sliced(b, shape, 1, piece, wrap))
     bands = _mapped(_dealt(slices, "num", "side", "piece", "band"), _forward(shape), TILE)
@@ -530,6 +542,15 @@ def residues(a: DataFrame, primes: list[int]) -> DataFrame:
     return each.groupBy("num").agg(*[(F.sum(F.col(n).cast("decimal(28,0)")).cast(wide) % F.lit(str(q)).cast(wide)).cast("decimal(19,0)").alias(n) for n, q in zip(names, primes, strict=True)])
 
 
+def residues_of(numbers: dict[str, DataFrame], primes: list[int]) -> dict[str, list[int]]:
+    """The residues of several single numbers, in one job."""
+    every = None
+    for name, n in numbers.items():
+        n = n.select(F.lit(name).alias("num"), "chunk", "data")
+        every = n if every is None else every.unionByName(n)
+    return {r["num"]: [int(r[f"r{i}"]) for i in range(len(primes))] for r in residues(every, primes).collect()}
+
+
 def integer_of(limbs: np.ndarray) -> int:
     """The integer of a few thousand limbs, by halves of ever longer words."""
     words, weight = [int(x) for x in limbs], BASE

@@ -2,11 +2,13 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from numerail.operators import division as dv
 from numerail.operators import longnums as ln
 from numerail.operators import numbers as nb
 from numerail.operators import products as pr
+from numerail.operators import recovery as rv
 from numerail.operators import residues as rs
 from numerail.operators import series as se
 from numerail.operators import transforms as tf
@@ -160,6 +162,27 @@ def test_products_of_wide_matrices(spark):
         assert whole(ln.carried(ln.product_pieces(x, y, columns=columns)))["a"] == a * c
 
 
+def test_only_a_wrong_place_is_made_again(spark):
+    """One spoiled place of several costs one place; an operand that changed is seen; a fault that stays is an error."""
+    a, c = R.randrange(B**40000), R.randrange(B**9000)
+    x, y = packed(spark, {"n|1": a, "m": 5}), packed(spark, {"n|1": c, "m": 7})
+
+    def spoiled(places, attempt):
+        if attempt:
+            return places
+        wrong = (F.col("num") == "n|1|2") & (F.col("chunk") == 1)
+        return places.withColumn("data", F.when(wrong, F.lit(bytes(4 * nb.CHUNK))).otherwise(F.col("data")))
+
+    product, made = rv.product_in_pieces(x, y, 16384, fault=spoiled)
+    assert whole(product) == {"n|1": a * c, "m": 35}
+    assert made[1:] == [1] and made[0] == 5 + 1 + 1 - 1 + 1
+    with pytest.raises(ArithmeticError, match="after 2 attempts"):
+        rv.product_in_pieces(x, y, 16384, attempts=2, fault=lambda places, attempt: spoiled(places, 0))
+    recorded = rv.piece_residues(x, 8192, list(rs.CHECK_PRIMES[:2]))
+    changed = x.withColumn("data", F.when(F.col("chunk") == 3, F.lit(bytes(4 * nb.CHUNK))).otherwise(F.col("data")))
+    assert [tuple(r) for r in rv.at_rest(changed, recorded, 8192, list(rs.CHECK_PRIMES[:2])).collect()] == [("n|1", 1)]
+
+
 @pytest.mark.parametrize("digits", [(1800, 720, 32, True), (9000, 4100, 300, False)])
 def test_division_by_a_newton_reciprocal(spark, digits):
     n, m, seed, wrap = digits
