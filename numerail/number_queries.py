@@ -84,6 +84,26 @@ def product_low(spark, sf_dir):
     return _residue_rows(pr.multiplied(a, b, high=60, size=32))
 
 
+def product_redone(spark, sf_dir):
+    """The product of the two numbers in pieces, of which one is spoiled at first: residues of the product, and how many pieces were made again."""
+    from .operators import longnums as ln
+    from .operators import recovery as rv
+
+    def spoiled(places, attempt):
+        wrong = (F.col("num") == "s|0") & (F.col("chunk") == 0)
+        return places if attempt else places.withColumn("data", F.when(wrong, F.lit(bytes(4 * nb.CHUNK))).otherwise(F.col("data")))
+
+    product, made = rv.product_in_pieces(*(ln.packed(n) for n in _two_numbers(spark, sf_dir)), 1 << 16, fault=spoiled)
+    out = ln.residues(product, [SMALL_PRIME, LARGE_PRIME])
+    return out.select("num", F.col("r0").cast("string").alias("r0"), F.col("r1").cast("string").alias("r1"), F.lit(sum(made[1:])).alias("again"))
+
+
+def regrouped_points(spark, sf_dir):
+    """The orders' number in points of 15 digits, by windows of 30 digits."""
+    out = nb.regrouped(_orders(spark, sf_dir), 6, 15)
+    return out.select("num", "idx", F.col("value").cast("string").alias("value"))
+
+
 def number_division(spark, sf_dir):
     """The orders' number over the customers': of quotient X and remainder R, X b + R modulo two primes, and whether R < b."""
     from .operators import division as dv
@@ -187,7 +207,7 @@ def _items(spark, sf_dir):
     s = lambda c: c.cast("string")
     deps = F.array_compact(F.array(F.when(k % 4 == 0, F.concat(F.lit("i"), s(k - 1))), F.when(k % 10 == 0, F.concat(F.lit("i"), s(k + 3))), F.when(k % 33 == 0, F.concat(F.lit("i"), s(k)))))
     name = F.when(k % 50 == 0, F.concat(F.lit("I "), s(k))).when(k % 47 == 0, F.concat(F.lit("i"), s(k - 1))).otherwise(F.concat(F.lit("i"), s(k)))
-    return _t(spark, sf_dir, "part").select(name.alias("id"), (k % 3 + F.when(k % 5 == 0, 0).otherwise(1)).cast("int").alias("tier"), (F.col("p_size") - 2).cast("int").alias("nodes"), (F.col("p_size") % 45).cast("int").alias("est_min"), deps.alias("deps"), F.concat(F.lit("s"), s(k % 12)).alias("script"), (k % 17).cast("int").alias("prio"))
+    return _t(spark, sf_dir, "part").select(name.alias("id"), (k % 3 + F.when(k % 5 == 0, 0).otherwise(1)).cast("int").alias("tier"), (F.col("p_size") - 2).cast("int").alias("nodes"), (F.col("p_size") % 45).cast("int").alias("est_min"), deps.alias("deps"), F.concat(F.lit("s"), s(k % 12)).alias("script"), (k % 17).cast("int").alias("prio"), k.alias("key"))
 
 
 def manifest_problems(spark, sf_dir):
@@ -200,7 +220,9 @@ def eligible_items(spark, sf_dir):
     """Items of the work list that can start, and why the others cannot."""
     k = F.col("p_partkey")
     states = _t(spark, sf_dir, "part").where("p_partkey % 3 <> 0").select(F.concat(F.lit("i"), k.cast("string")).alias("id"), F.when(k % 3 == 1, "done").when(k % 2 == 0, "claimed").otherwise("unclaimed").alias("state"), F.when(k % 5 == 0, "FAIL").when(k % 5 == 1, "PARTIAL").otherwise("PASS").alias("status"))
-    items = _items(spark, sf_dir).where("id like 'i%'").dropDuplicates(["id"])
+    # of items with one id that of the least key
+    every = _items(spark, sf_dir).where("id like 'i%'")
+    items = every.groupBy("id").agg(F.min_by(F.struct(*[c for c in every.columns if c != "id"]), "key").alias("row")).select("id", "row.*")
     return mf.eligible(items.where("tier = 2"), states, 30, 35.0)
 
 
@@ -241,7 +263,7 @@ KNOWN_WINDOWS = [
 ]
 
 QUERIES = (
-    number_shift, any_below, limb_point, number_complement, plus_small, product_plus, product_checked, product_low, number_division, many_products, grid_search, part_plan,
+    number_shift, any_below, limb_point, number_complement, plus_small, product_plus, product_checked, product_low, product_redone, regrouped_points, number_division, many_products, grid_search, part_plan,
     digit_counts, last_wins, sample_windows, high_water, rollup_max, first_lines, zipped_columns, physical_keys, state_flags, manifest_problems,
     eligible_items, name_suggestions, cited_items, t1_identity, e_windows,
 )
@@ -279,6 +301,10 @@ SQL = {
         SELECT 's' AS num, idx::BIGINT AS idx, limb::BIGINT AS limb FROM c WHERE idx <= (SELECT max(idx) FROM c WHERE limb <> 0)""",
     "product_plus": _product_sql(True),
     "product_checked": _product_sql(False),
+    "product_redone": f"SELECT *, 1 AS again FROM ({_product_sql(False)})",
+    "regrouped_points": f"""WITH {_TWO}, d AS (SELECT idx // 5 AS w, string_agg(lpad(limb::VARCHAR, 6, '0'), '' ORDER BY idx DESC) AS t FROM a GROUP BY ALL),
+        p AS (SELECT w, lpad(t, 30, '0') AS t, length(t) AS n FROM d)
+        SELECT 's' AS num, (2 * w)::BIGINT AS idx, substr(t, 16)::BIGINT::VARCHAR AS value FROM p UNION ALL SELECT 's', 2 * w + 1, substr(t, 1, 15)::BIGINT::VARCHAR FROM p WHERE n > 15""",
     "number_division": f"""WITH {_TWO}, x AS (SELECT list_prepend(0::HUGEINT, list(limb::HUGEINT ORDER BY idx DESC)) AS x FROM a)
         SELECT 's' AS num, ({_mod("x", SMALL_PRIME)})::VARCHAR AS r0, ({_mod("x", LARGE_PRIME)})::VARCHAR AS r1, TRUE AS less FROM x""",
     "product_low": f"""WITH RECURSIVE {_TWO}, p AS (SELECT a.idx + b.idx AS k, sum(a.limb::HUGEINT * b.limb)::HUGEINT AS v FROM a JOIN b ON a.idx + b.idx < 60 GROUP BY ALL),

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import stored
+
 #: Two-sided 95 % points of Student's t for 1 to 10 degrees of freedom (fixed values); 1.96 beyond.
 T95 = (12.71, 4.30, 3.18, 2.78, 2.57, 2.45, 2.36, 2.31, 2.26, 2.23)
 
 
+#: Values of a key whose median comes from one buffer.
+SMALL_GROUP = 100_000
 #: Entries of a table that points are interpolated in.
 MOST_ENTRIES = 100_000
 
@@ -39,14 +43,46 @@ def rollup_max(df: DataFrame, mapping: DataFrame, on: str, to: str, values: list
     return named.groupBy(F.col("_to").alias(to)).agg(*[F.max(v).alias(v) for v in values])
 
 
-def median_and_worst(df: DataFrame, key: list[str], value: str, name: str) -> DataFrame:
-    """Median of a metric, its maximum, and who has it (the last name among equals)."""
-    return df.groupBy(*key).agg(F.median(value).alias("median"), F.max(value).alias("worst"), F.max(F.when(F.col(value).isNotNull(), F.struct(value, name)))[name].alias("who"))
+def medians(df: DataFrame, key: list[str], value: str, small: int = SMALL_GROUP, buckets: int = 1024) -> DataFrame:
+    """key, median: exact medians of finite values, in bounded memory whatever a key has.
 
+    Keys of up to ``small`` values are aggregated as they are. Of others the
+    ranks in the middle are narrowed down: counts in equal parts between a
+    key's least and largest value tell in which part a rank lies, whose own
+    least and largest value bound the next round, until a part has one value or
+    up to ``small`` of them. Counts are combined before they are shuffled.
+    """
+    known = df.where(F.col(value).isNotNull()).select(*key, F.col(value).cast("double").alias("_v"))
+    sizes = known.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    many = stored(sizes.where(F.col("_n") > small), "large-keys")
+    if not many.take(1):
+        return known.groupBy(*key).agg(F.median("_v").alias("median"))
+    few = known.join(many.select(*key), key, "left_anti").groupBy(*key).agg(F.median("_v").alias("median"))
+    ranks = F.explode(F.array_distinct(F.array(F.expr("(_n - 1) div 2"), F.expr("_n div 2"))))
+    now = many.select(*key, ranks.alias("_rank"), F.lit(0).cast("long").alias("_below"), "_lo", "_hi", F.col("_n").alias("_m"))
+    span = [*key, "_lo", "_hi"]
+    inside = F.col("_v").between(F.col("_lo"), F.col("_hi"))
+    is_open = (F.col("_lo") < F.col("_hi")) & (F.col("_m") > small)
+    while True:
+        now = stored(now, "ranks")
+        going = now.where(is_open)
+        if not going.take(1):
+            break
+        part = F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets), F.lit(buckets - 1))
+        counted = known.join(going.select(*span).distinct(), key).where(inside).groupBy(*span, part.alias("_part")).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_l"), F.max("_v").alias("_h"))
+        before = F.coalesce(F.sum("_c").over(Window.partitionBy(*span).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        placed = going.join(counted.withColumn("_before", before), span).where((F.col("_rank") >= F.col("_below") + F.col("_before")) & (F.col("_rank") < F.col("_below") + F.col("_before") + F.col("_c")))
+        now = placed.select(*key, "_rank", (F.col("_below") + F.col("_before")).alias("_below"), F.col("_l").alias("_lo"), F.col("_h").alias("_hi"), F.col("_c").alias("_m")).unionByName(now.where(~is_open))
+    one = now.where("_lo = _hi").select(*key, F.col("_lo").alias("_v"))
+    last = known.join(now.where("_lo < _hi"), key).where(inside).groupBy(*key, "_rank", "_below").agg(F.sort_array(F.collect_list("_v")).alias("_all"))
+    found = one.unionByName(last.select(*key, F.get("_all", (F.col("_rank") - F.col("_below")).cast("int")).alias("_v")))
+    return few.unionByName(found.groupBy(*key).agg(F.avg("_v").alias("median")))
 
-def reference(value: str, least_for_median: int = 3) -> Column:
-    """Median of three values or more, else the smallest."""
-    return F.when(F.count(value) >= least_for_median, F.median(value)).otherwise(F.min(value))
+
+def median_and_worst(df: DataFrame, key: list[str], value: str, name: str) -> DataFrame:
+    """Median of a metric, its maximum, and who has it (the last name among equals)."""
+    worst = df.groupBy(*key).agg(F.max(value).alias("worst"), F.max(F.when(F.col(value).isNotNull(), F.struct(value, name)))[name].alias("who"))
+    return worst.join(medians(df, key, value), key, "left").select(*key, "median", "worst", "who")
 
 
 def outliers(df: DataFrame, key: list[str], value: str, ratio: float, excess: float, least: int = 2, strict_excess: bool = False, least_for_median: int = 3) -> DataFrame:
@@ -55,7 +91,8 @@ def outliers(df: DataFrame, key: list[str], value: str, ratio: float, excess: fl
     Needs ``least`` values. The references, a row per key, are aggregated first
     and joined, so no key's rows are gathered.
     """
-    refs = df.groupBy(*key).agg(reference(value, least_for_median).alias("ref"), F.count(value).alias("n"))
+    refs = df.groupBy(*key).agg(F.min(value).alias("least"), F.count(value).alias("n")).join(medians(df, key, value), key)
+    refs = refs.select(*key, F.when(F.col("n") >= least_for_median, F.col("median")).otherwise(F.col("least")).alias("ref"), "n")  # few values have no median
     far = F.col(value) - F.col("ref") > excess if strict_excess else F.col(value) - F.col("ref") >= excess
     return df.join(refs, key).where((F.col("n") >= least) & (F.col(value) > ratio * F.col("ref")) & far)
 

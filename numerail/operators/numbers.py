@@ -68,6 +68,24 @@ def from_digits(df: DataFrame, text: str = "digits") -> DataFrame:
     return df.select("num", F.col(text).alias("digits")).where("digits is not null").mapInArrow(run, SCHEMA)
 
 
+def regrouped(df: DataFrame, have: int, want: int, value: str = "limb") -> DataFrame:
+    """Units of ``have`` digits, least significant first, as units of ``want``: (num, idx, value), decimals.
+
+    The lengths need no common divisor: a unit is cut where units of the other
+    kind end, which repeats with their least common multiple, and the cuts that
+    fall into one new unit are joined. So a value meets only its neighbours.
+    """
+    if not 0 < want <= 38 or not 0 < have <= 38:
+        raise ValueError("units have 1 to 38 digits")
+    low, high = F.col("idx") * have, (F.col("idx") + 1) * have
+    text = F.lpad(F.col(value).cast("string"), have, "0")
+    cut = df.select("num", low.alias("_low"), high.alias("_high"), text.alias("_t"), F.explode(F.sequence(F.expr(f"idx * {have} div {want}"), F.expr(f"((idx + 1) * {have} - 1) div {want}"))).alias("_to"))
+    start, end = F.greatest(F.col("_to") * want, F.col("_low")), F.least((F.col("_to") + 1) * want, F.col("_high"))
+    piece = F.substring("_t", (F.col("_high") - end + 1).cast("int"), (end - start).cast("int"))
+    joined = cut.select("num", F.col("_to").alias("idx"), F.struct(start.alias("at"), piece.alias("t")).alias("p")).groupBy("num", "idx").agg(F.reverse(F.array_sort(F.collect_list("p"))).alias("p"))
+    return joined.select("num", F.col("idx").cast("long").alias("idx"), F.array_join(F.transform("p", lambda s: s["t"]), "").cast("decimal(38,0)").alias("value"))
+
+
 def constant(spark: SparkSession, num: str, n: int, limb: int = 0) -> DataFrame:
     """A number of n equal limbs, generated on the executors."""
     return spark.range(n).select(F.lit(num).alias("num"), F.col("id").alias("idx"), F.lit(limb).cast("long").alias("limb"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,15 +25,75 @@ def transform_primes(count: int, log_length: int = 20, bits: int = 31, thirds: i
     return out
 
 
+def prime_factors(n: int) -> list[int]:
+    out, f = [], 2
+    while f * f <= n:
+        if n % f == 0:
+            out.append(f)
+            while n % f == 0:
+                n //= f
+        f += 1
+    return out + [n] * (n > 1)
+
+
 def root_of_unity(n: int, p: int) -> int:
-    """An element of order n (a power of two, or three times one) modulo p."""
-    for g in range(2, p):
+    """An element of order n modulo p, for an n that divides p - 1."""
+    if (p - 1) % n:
+        raise ValueError(f"{n} does not divide {p} - 1")
+    factors = prime_factors(n)
+    for g in range(1, p):
         w = pow(g, (p - 1) // n, p)
-        if pow(w, n, p) == 1 and all(pow(w, n // f, p) != 1 for f in (2, 3) if n % f == 0):
+        if all(pow(w, n // f, p) != 1 for f in factors):
             return w
     raise ValueError("no root")
 
 
+def primes_for(n: int, count: int = 1, bits: int = 31) -> list[int]:
+    """Primes below 2^bits modulo which columns of any length n have a transform, the largest first."""
+    step = math.lcm(2 * n, 1 << max(1, (2 * n - 1).bit_length()))
+    out, c = [], (2**bits - 2) // step
+    while len(out) < count and c > 0:
+        if is_prime(c * step + 1):
+            out.append(c * step + 1)
+        c -= 1
+    if len(out) < count:
+        raise ValueError(f"no {count} primes of {bits} bits for the length {n}")
+    return out
+
+
+def transform_any(x: np.ndarray, p: int, w: int) -> np.ndarray:
+    """Transforms of all columns of a matrix of any number n of rows, with a root w of order n.
+
+    Odd factors up to 7 are taken out one by one (n = f m: f transforms of every
+    f-th row, joined by powers of the root); what is left is a power of two, or
+    a length whose transform is a convolution with a chirp, for which 2 n and a
+    power of two above 2 n divide p - 1 (primes_for).
+    """
+    n, k = x.shape
+    m = np.uint64(p)
+    for f in (3, 5, 7):
+        if n % f == 0 and n > f:
+            parts = [transform_any(np.ascontiguousarray(x[j::f]), p, pow(w, f, p)) for j in range(f)]
+            turn = powers_of([pow(w, j, p) for j in range(f)], n, p)
+            return sum(np.tile(parts[j], (f, 1)) * turn[:, j : j + 1] % m for j in range(f)) % m
+    if n & (n - 1) == 0:
+        return transform_columns(x, p, w)
+    # j k = (j^2 + k^2 - (k - j)^2) / 2: a convolution with the powers of a root of w
+    half = root_of_unity(2 * n, p)
+    half = next(r for e in range(1, 2 * n, 2) if pow(r := pow(half, e, p), 2, p) == w)
+    chirp = np.array([pow(half, j * j % (2 * n), p) for j in range(n)], dtype=np.uint64)
+    back = np.array([pow(half, -j * j % (2 * n), p) for j in range(n)], dtype=np.uint64)
+    size = 1 << (2 * n - 1).bit_length()
+    long, kernel = np.zeros((size, k), dtype=np.uint64), np.zeros((size, 1), dtype=np.uint64)
+    long[:n] = x % m * chirp[:, None] % m
+    kernel[:n, 0] = back
+    kernel[size - n + 1 :, 0] = back[1:][::-1]
+    root = root_of_unity(size, p)
+    both = transform_columns(long, p, root) * transform_columns(kernel, p, root) % m
+    out = transform_columns(both, p, pow(root, p - 2, p)) * np.uint64(pow(size, p - 2, p)) % m
+    return out[:n] * chirp[:, None] % m
+
+
 def length_for(n: int, factors: tuple[int, ...] = (1,)) -> int:
     """The least transform length f * 2^k that holds n points."""
     return min(f << max(0, (-(-n // f) - 1).bit_length()) for f in factors)
@@ -205,33 +267,28 @@ def out_of_range(df: DataFrame) -> DataFrame:
 def four_step(df: DataFrame, rows: int, cols: int, p: int, inverse: bool = False) -> DataFrame:
     """Distributed transform of (idx, v): rows * cols points, as column transforms,
     twiddles, a transpose by shuffle, and row transforms. One exchange for each
-    side, none holds more than a row or column. The result is in the order of idx.
+    side, none holds more than a row or column. Rows and columns may be of any
+    number, such as that of a group of workers, for which p has roots. The
+    result is in the order of idx.
     """
     n = rows * cols
     w = root_of_unity(n, p)
     if inverse:
         w = pow(w, p - 2, p)
 
-    def transform(v: np.ndarray, length: int) -> np.ndarray:
-        out = transform_mod(v, p, inverse)
-        return out  # the scale of each side makes up that of the whole
+    def side(f: pd.DataFrame, at: str, length: int, root: int) -> np.ndarray:
+        v = np.zeros((length, 1), dtype=np.uint64)
+        v[f[at].to_numpy(), 0] = f["v"].to_numpy().astype(np.uint64)
+        out = transform_any(v, p, root)[:, 0]
+        return out * np.uint64(pow(length, p - 2, p)) % np.uint64(p) if inverse else out  # the scales of the sides make up that of the whole
 
     def columns(key, f: pd.DataFrame) -> pd.DataFrame:
         c = int(key[0])
-        v = np.zeros(rows, dtype=np.uint64)
-        v[f["r"].to_numpy()] = f["v"].to_numpy().astype(np.uint64)
-        out = transform(v, rows)
-        step, twiddle = pow(w, c, p), 1
-        for k in range(rows):
-            out[k] = int(out[k]) * twiddle % p
-            twiddle = twiddle * step % p
+        out = side(f, "r", rows, pow(w, cols, p)) * powers_of([pow(w, c, p)], rows, p)[:, 0] % np.uint64(p)
         return pd.DataFrame({"r": np.arange(rows), "c": c, "v": out.astype(np.int64)})
 
     def lines(key, f: pd.DataFrame) -> pd.DataFrame:
-        r = int(key[0])
-        v = np.zeros(cols, dtype=np.uint64)
-        v[f["c"].to_numpy()] = f["v"].to_numpy().astype(np.uint64)
-        return pd.DataFrame({"idx": r + rows * np.arange(cols), "v": transform(v, cols).astype(np.int64)})
+        return pd.DataFrame({"idx": int(key[0]) + rows * np.arange(cols), "v": side(f, "c", cols, pow(w, rows, p)).astype(np.int64)})
 
     cells = df.select(F.expr(f"idx div {cols}").cast("int").alias("r"), (F.col("idx") % cols).cast("int").alias("c"), "v")
     mid = cells.groupBy("c").applyInPandas(columns, "r int, c int, v long")

@@ -237,6 +237,39 @@ def test_short_division(spark):
     assert (nb.to_ints(q)["n"], nb.to_ints(r)["n"]) == divmod(x, y)
 
 
+@pytest.mark.parametrize("n", [1, 5, 7, 13, 40, 45, 577])
+def test_transforms_of_any_length(n):
+    p = tf.primes_for(n)[0]
+    w, r = tf.root_of_unity(n, p), np.random.default_rng(n)
+    x = r.integers(0, p, (n, 3)).astype(np.uint64)
+    want = [[sum(int(x[j, c]) * pow(w, j * k, p) for j in range(n)) % p for c in range(3)] for k in range(n)]
+    assert tf.transform_any(x, p, w).tolist() == want
+
+
+@pytest.mark.parametrize("rows, cols", [(20, 8), (13, 16)])
+def test_four_steps_of_any_group(spark, rows, cols):
+    n = rows * cols
+    p = tf.primes_for(n)[0]
+    x, w = [R.randrange(p) for _ in range(n)], tf.root_of_unity(n, p)
+    df = spark.createDataFrame(list(enumerate(x)), "idx long, v long")
+    there = tf.four_step(df, rows, cols, p)
+    assert [r["v"] for r in there.orderBy("idx").collect()] == [sum(v * pow(w, i * k, p) for i, v in enumerate(x)) % p for k in range(n)]
+    # on the way back rows and columns change places
+    back = tf.four_step(there, cols, rows, p, inverse=True)
+    assert [r["v"] for r in back.orderBy("idx").collect()] == x
+
+
+@pytest.mark.parametrize("have, want", [(6, 24), (6, 15), (9, 24), (24, 9), (7, 5), (1, 38)])
+def test_regrouping_goes_both_ways(spark, have, want):
+    v = R.randrange(10**400)
+    units = [("n", i, str(v // 10 ** (i * have) % 10**have)) for i in range(-(-400 // have))]
+    df = spark.createDataFrame(units, "num string, idx long, limb string").selectExpr("num", "idx", "cast(limb as decimal(38,0)) AS limb")
+    there = nb.regrouped(df, have, want)
+    assert {r["idx"]: int(r["value"]) for r in there.collect()} == {i: v // 10 ** (i * want) % 10**want for i in range(-(-(-(-400 // have) * have) // want))}
+    back = nb.regrouped(there, want, have, "value")
+    assert {r["idx"]: int(r["value"]) for r in back.collect() if r["idx"] < len(units)} == {i: int(x) for _, i, x in units}
+
+
 def test_transforms(spark):
     p = tf.transform_primes(1)[0]
     x = np.array([R.randrange(p) for _ in range(64)])

@@ -1,10 +1,12 @@
 import itertools
 import random
+import statistics
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from numerail.operators import analytics as an
 from numerail.operators import manifest as mf
 from numerail.operators import numbers as nb
 from numerail.operators import products as pr
@@ -123,6 +125,39 @@ def test_rounds_that_do_not_end_raise(spark):
         mf.cyclic(chain, max_rounds=3)
 
 
+def test_deep_chains_end_in_few_rounds(spark):
+    """A chain of n nodes in about log2(n) rounds; cycles, what is behind them, and nodes of several needs by brute force."""
+    n = 20_000
+    chain = spark.range(n).select("id", (F.col("id") + 1).alias("dep"))
+    assert mf.cyclic(chain, max_rounds=17).count() == 0
+    ring = chain.unionByName(spark.createDataFrame([(n, n + 1), (n + 1, n + 2), (n + 2, n)], "id long, dep long"))
+    assert mf.cyclic(ring, max_rounds=17).count() == n + 3
+    r = random.Random(12)
+    for density in (0.9, 1.3):
+        edges = [(r.randrange(300), r.randrange(400)) for _ in range(int(300 * density))] + [(7, 7), (500, 7)]
+        left = set(edges)
+        while placed := {e for e in left if e[1] not in {i for i, _ in left}}:
+            left -= placed
+        got = mf.cyclic(spark.createDataFrame(edges, "id long, dep long"))
+        assert {x["id"] for x in got.collect()} == {i for i, _ in left}
+
+
+@pytest.mark.parametrize("small, buckets", [(5, 2), (50, 7), (10**6, 1024)])
+def test_medians_in_bounded_memory(spark, small, buckets):
+    """One key with nearly all rows, few and many equal values, wide ranges, nulls; against the plain median."""
+    r = random.Random(6)
+    rows = [("all", r.choice([r.random(), r.gauss(0, 1) * 10 ** r.randrange(-5, 9), 7.0, 7.0])) for _ in range(3001)]
+    rows += [("even", float(v)) for v in (1, 2, 3, 10)] + [("same", 5.5)] * 300 + [("one", -1.0), ("none", None), ("two", 1e300), ("two", -1e300)] + [(None, 3.0)] * 7
+    rows += [("neg", -float(i * i)) for i in range(100)] + [("all", None)] * 5
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {x["k"]: x["median"] for x in an.medians(df.where("k is not null"), ["k"], "v", small, buckets).collect()}
+    values = {}
+    for k, v in rows:
+        if v is not None and k is not None:
+            values.setdefault(k, []).append(v)
+    assert got == {k: statistics.median(v) for k, v in values.items()}
+
+
 def test_long_products_are_split(spark):
     r = random.Random(7)
     pairs = [(1, "12", "3"), (2, str(r.getrandbits(3000)), str(r.getrandbits(90))), (3, str(r.getrandbits(1500)), str(r.getrandbits(1600))), (4, "0" * 200, "9" * 200)]
