@@ -13,7 +13,7 @@ from .operators import products as pr
 from .operators import residues as rs
 from .operators import series as se
 from .operators import topology as tp
-from .oracles import _TWO
+from .oracles import _TWO, E_TEXT
 from .plans import grids
 from .registry import LARGE_PRIME, SMALL_PRIME, _cents, _two_numbers
 from .sources import digits as dg
@@ -127,13 +127,21 @@ def many_products(spark, sf_dir):
 
 
 def grid_search(spark, sf_dir):
-    """The grids of pieces of a product of 9000 and 4000 limbs, at most 2048 points a piece, with their costs."""
-    return grids.grid_table(spark, 9000, 4000, 2048)
+    """The grids of pieces of the product of the two numbers, of at most a quarter of its points a piece, with their costs."""
+    na, nb_ = _t(spark, sf_dir, "orders").count(), _t(spark, sf_dir, "customer").count()
+    return grids.grid_table(spark, na, nb_, (na + nb_) // 4)
 
 
 def part_plan(spark, sf_dir):
-    """Parts of a file of 1234567 digits."""
-    return spark.createDataFrame(part_ranges(1_234_567, 24), "part long, nparts long, nl long, pad long, lo long, hi long, k0 long, k1 long")
+    """The 24 parts of a file of the orders' number: limbs of 18 digits, digits, and the sum of the number's own limbs in each."""
+    o = _orders(spark, sf_dir)
+    n = _t(spark, sf_dir, "orders").count()
+    parts = part_ranges(nb.DIGITS * n, 24)
+    nl = parts[0]["nl"]
+    rank = F.expr(f"((idx div 3 + 1) * 24 - 1) div {nl}")
+    sums = o.groupBy((23 - rank).alias("part")).agg(F.sum("limb").alias("total"), F.count(F.lit(1)).alias("limbs"))
+    plan = spark.createDataFrame(parts, "part long, nparts long, nl long, pad long, lo long, hi long, k0 long, k1 long")
+    return plan.join(sums, "part")
 
 
 def digit_counts(spark, sf_dir):
@@ -243,15 +251,16 @@ def cited_items(spark, sf_dir):
 
 
 def t1_identity(spark, sf_dir):
-    """10^d (P + Q) = X Q + R modulo eight primes, for the series' P and Q by the
-    recurrence, and the digits X of e and the remainder R by exact products; and 0 <= R < Q."""
-    return se.identity_of_e(spark, 5000, list(rs.CHECK_PRIMES))
+    """For as many decimals as there are customers: X Q + R modulo eight primes, of the digits X of e, the
+    remainder R and the tree's Q, whether 10^d (P + Q) of the recurrence is the same; and 0 <= R < Q."""
+    return se.identity_of_e(spark, _t(spark, sf_dir, "customer").count(), list(rs.CHECK_PRIMES))
 
 
 def e_windows(spark, sf_dir):
-    """Known windows of the decimals of e against 5000 of them."""
-    windows = spark.createDataFrame(KNOWN_WINDOWS, "off long, w string")
-    return dg.check_windows(dg.digit_chunks(se.e_digits(spark, 5000), 5001, 64), windows, 64)
+    """Known windows of the decimals of e against as many of them as there are customers; the last runs over the end."""
+    d = _t(spark, sf_dir, "customer").count()
+    windows = spark.createDataFrame([*KNOWN_WINDOWS, (d - 10, "0" * 50)], "off long, w string")
+    return dg.check_windows(dg.digit_chunks(se.e_digits(spark, d), d + 1, 64), windows, 64)
 
 
 #: 50 decimals of e from a position on (the first digit has position 0); the third is wrong on purpose.
@@ -259,7 +268,6 @@ KNOWN_WINDOWS = [
     (0, "27182818284590452353602874713526624977572470936999"),
     (50, "59574966967627724076630353547594571382178525166427"),
     (100, "42746639193200305992181741359662904357290033429527"),
-    (4990, "0"),
 ]
 
 QUERIES = (
@@ -312,11 +320,12 @@ SQL = {
         x AS (SELECT list_prepend(0::HUGEINT, list(limb ORDER BY k DESC)) AS x FROM c)
         SELECT 's' AS num, ({_mod('x', SMALL_PRIME)})::VARCHAR AS r0, ({_mod('x', LARGE_PRIME)})::VARCHAR AS r1 FROM x""",
     "many_products": """SELECT l_orderkey * 10 + l_linenumber AS pair_id, ((round(l_extendedprice * 100)::HUGEINT * 1000003 + l_orderkey) * (round(l_extendedprice * 100)::HUGEINT * 7 + l_partkey))::VARCHAR AS product FROM lineitem""",
-    "grid_search": """WITH g AS (SELECT ka, kb, (ceil(9000 / ka) + ceil(4000 / kb))::BIGINT AS points, ka * kb AS pieces FROM (SELECT unnest(range(1, 33)) AS ka), (SELECT unnest(range(1, 33)) AS kb))
-        SELECT ka, kb, points, pieces, pieces * (2 ** ceil(log2(points)))::BIGINT AS cost FROM g WHERE points <= 2048""",
-    "part_plan": """WITH n AS (SELECT 68588::BIGINT AS nl, 68588::BIGINT * 18 - 1234567 AS pad, unnest(range(24)) AS part),
-        r AS (SELECT part, 24::BIGINT AS nparts, nl, pad, nl * (23 - part) // 24 AS lo, nl * (24 - part) // 24 AS hi FROM n)
-        SELECT *, greatest(0, (nl - hi) * 18 - pad) AS k0, (nl - lo) * 18 - pad AS k1 FROM r""",
+    "grid_search": """WITH n AS (SELECT (SELECT count(*) FROM orders) AS na, (SELECT count(*) FROM customer) AS nb),
+        g AS (SELECT ka, kb, (ceil(na / ka) + ceil(nb / kb))::BIGINT AS points, ka * kb AS pieces, (na + nb) // 4 AS cap FROM n, (SELECT unnest(range(1, 33)) AS ka), (SELECT unnest(range(1, 33)) AS kb))
+        SELECT ka, kb, points, pieces, pieces * (2 ** ceil(log2(points)))::BIGINT AS cost FROM g WHERE points <= cap""",
+    "part_plan": f"""WITH {_TWO}, n AS (SELECT ceil(count(*) / 3)::BIGINT AS nl, ceil(count(*) / 3)::BIGINT * 18 - 6 * count(*) AS pad FROM a),
+        r AS (SELECT part, 24::BIGINT AS nparts, nl, pad, nl * (23 - part) // 24 AS lo, nl * (24 - part) // 24 AS hi FROM n, (SELECT unnest(range(24)) AS part))
+        SELECT r.*, greatest(0, (nl - hi) * 18 - pad) AS k0, (nl - lo) * 18 - pad AS k1, sum(limb)::BIGINT AS total, count(*) AS limbs FROM r JOIN a ON a.idx // 3 >= lo AND a.idx // 3 < hi GROUP BY ALL""",
     "digit_counts": """WITH o AS (SELECT o_orderkey AS id, CASE o_orderkey % 7 WHEN 0 THEN (o_orderkey % 100) || 'e' || (o_orderkey % 12) WHEN 1 THEN (o_orderkey % 10) || '.' || (o_orderkey % 1000) || 'e' || (o_orderkey % 6)
           WHEN 2 THEN '-' || o_orderkey WHEN 3 THEN o_orderkey || '.5' WHEN 4 THEN '00' || (o_orderkey % 3) WHEN 5 THEN (o_orderkey % 50) || 'E+' || (o_orderkey % 5) ELSE o_orderkey::VARCHAR END AS text FROM orders),
         p AS (SELECT *, regexp_full_match(text, '[0-9]+([.][0-9]+)?([eE][+]?[0-9]+)?') AND (strpos(text, '.') = 0 OR regexp_matches(text, '[eE]')) AS ok, regexp_extract(text, '^([0-9]+)', 1) AS w, regexp_extract(text, '[.]([0-9]+)', 1) AS f, coalesce(try_cast(regexp_extract(text, '[eE][+]?([0-9]+)$', 1) AS INT), 0) AS e FROM o),
@@ -354,6 +363,11 @@ SQL = {
         SELECT u AS name, array_to_string(list_slice(list(k ORDER BY d, k), 1, 2), ',') AS near FROM d GROUP BY u""",
     "cited_items": r"""WITH c AS (SELECT unnest(regexp_extract_all(text, '\b([1-9][0-9]{1,3})\b', 1))::BIGINT AS name FROM documents)
         SELECT name, count(*) AS uses FROM c WHERE name NOT IN (SELECT p_partkey FROM part) GROUP BY name""",
-    "t1_identity": "SELECT unnest([" + ", ".join(f"'{q}'" for q in rs.CHECK_PRIMES) + "]) AS prime, TRUE AS ok UNION ALL SELECT 'remainder', TRUE",
-    "e_windows": "SELECT off::BIGINT AS off, CASE off WHEN 4990 THEN NULL ELSE off <> 100 END AS ok FROM (VALUES (0), (50), (100), (4990)) w(off)",
+    "t1_identity": f"""WITH n AS (SELECT count(*) AS d FROM customer), m AS (SELECT d, min(m) AS m FROM (SELECT d, unnest(range(1, d + 200)) AS m FROM n) WHERE lgamma(m + 1) / ln(10) >= d + 50 GROUP BY d),
+        p AS (SELECT unnest([{", ".join(f"{q}::HUGEINT" for q in rs.CHECK_PRIMES)}]) AS q),
+        s AS (SELECT q, list_reduce(list_prepend({{'p': 0::HUGEINT, 'q': 1::HUGEINT, 'k': 0::HUGEINT}}, list_transform(range(1, m + 1), lambda k: {{'p': 0::HUGEINT, 'q': 0::HUGEINT, 'k': k::HUGEINT}})),
+            lambda a, x: {{'p': (a.p * x.k + 1) % q, 'q': a.q * x.k % q, 'k': x.k}}) AS z, list_reduce(list_prepend(1::HUGEINT, list_transform(range(d), lambda i: 10::HUGEINT)), lambda a, x: a * x % q) AS ten FROM p, m)
+        SELECT q::VARCHAR AS prime, (ten * ((z.p + z.q) % q) % q)::VARCHAR AS value, TRUE AS ok FROM s UNION ALL SELECT 'remainder', NULL, TRUE""",
+    "e_windows": f"""WITH RECURSIVE {E_TEXT}, w AS (SELECT * FROM (VALUES {", ".join(f"({off}, '{w}')" for off, w in KNOWN_WINDOWS)}) w(off, w) UNION ALL SELECT d - 10, repeat('0', 50) FROM n)
+        SELECT off::BIGINT AS off, CASE WHEN off + 50 <= d + 1 THEN substr(t, off::INT + 1, 50) = w END AS ok FROM w, t""",
 }

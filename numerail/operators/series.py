@@ -161,27 +161,28 @@ def e_digits(spark: SparkSession, digits: int) -> DataFrame:
 
 
 def identity_of_e(spark: SparkSession, digits: int, primes: list[int]) -> DataFrame:
-    """prime, ok: whether 10^digits (P + Q) = X Q + R modulo each prime, and a row
-    'remainder' for 0 <= R < Q.
+    """prime, value, ok: X Q + R modulo each prime, and whether 10^digits (P + Q) is
+    the same; and a row 'remainder' for 0 <= R < Q.
 
     P and Q modulo the primes come from the recurrence over ranges of terms; X
     and R are what the division of the tree's numbers gave. So the two ways to
     P and Q, the digits and the remainder have to agree.
     """
     x, r, _, q = _division_of_e(spark, digits)
+    own = ln.residues(q, primes)
     series = rs.series_mod(terms_for(digits), spark, primes)
     names = [f"r{i}" for i in range(len(primes))]
     tall = lambda df, c: df.select(F.explode(F.array(*[F.struct(F.lit(str(m)).alias("prime"), F.col(k).cast(rs.WIDE).alias(c)) for m, k in zip(primes, names, strict=True)])).alias("s")).select("s.*")
-    both = stored(series.join(tall(ln.residues(x, primes), "x"), "prime").join(tall(ln.residues(r, primes), "r"), "prime"), "identity")
+    both = stored(series.join(tall(ln.residues(x, primes), "x"), "prime").join(tall(ln.residues(r, primes), "r"), "prime").join(tall(own, "own"), "prime"), "identity")
     checks = None
     for m in primes:
         w = F.lit(pow(10, digits, m)).cast(rs.WIDE)
         big = F.lit(m).cast(rs.WIDE)
         left = rs.mulmod(w, ((F.col("p").cast(rs.WIDE) + F.col("q").cast(rs.WIDE)).cast(rs.PRODUCT) % big).cast(rs.WIDE), m)
-        right = ((rs.mulmod(F.col("x"), F.col("q"), m) + F.col("r")).cast(rs.PRODUCT) % big).cast(rs.WIDE)
-        row = both.where(F.col("prime") == str(m)).select("prime", F.coalesce(left == right, F.lit(False)).alias("ok"))
+        right = ((rs.mulmod(F.col("x"), F.col("own"), m) + F.col("r")).cast(rs.PRODUCT) % big).cast(rs.WIDE)
+        row = both.where(F.col("prime") == str(m)).select("prime", right.cast("string").alias("value"), F.coalesce(left == right, F.lit(False)).alias("ok"))
         checks = row if checks is None else checks.unionByName(row)
-    less = ln.compared(r, q).select(F.lit("remainder").alias("prime"), (F.col("cmp") < 0).alias("ok"))
+    less = ln.compared(r, q).select(F.lit("remainder").alias("prime"), F.lit(None).cast("string").alias("value"), (F.col("cmp") < 0).alias("ok"))
     return checks.unionByName(less)
 
 

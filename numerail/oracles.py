@@ -15,6 +15,15 @@ _LIMBS = "SELECT l_orderkey, l_linenumber, round(l_extendedprice * 100)::BIGINT
 _TWO = """
 a AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS idx, round(o_totalprice * 100)::BIGINT % 1000000 AS limb FROM orders),
 b AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS idx, abs(round(c_acctbal * 100)::BIGINT) % 1000000 AS limb FROM customer)"""
+#: As many decimals of e as there are customers: 1 + (1 + (1 + ...) / 2) / 1 in digits of base 10^9, from the last term on.
+E_TEXT = """n AS (SELECT count(*)::INT AS d FROM customer),
+f AS (
+  SELECT d, d // 2 + 60 AS k, list_prepend(1::HUGEINT, list_transform(range(d // 9 + 3), lambda i: 0::HUGEINT)) AS x FROM n
+  UNION ALL
+  SELECT d, k - 1, list_transform(list_reduce(list_prepend({'r': 0::HUGEINT, 'q': []::HUGEINT[]}, list_transform(x, lambda y: {'r': y, 'q': []::HUGEINT[]})),
+      lambda a, y: {'r': (a.r * 1000000000 + y.r) % k, 'q': list_append(a.q, (a.r * 1000000000 + y.r) // k)}).q, lambda y, i: CASE WHEN i = 1 THEN y + 1 ELSE y END)
+  FROM f WHERE k > 0),
+t AS (SELECT d, x[1]::VARCHAR || list_aggregate(list_transform(x[2:], lambda y: lpad(y::VARCHAR, 9, '0')), 'string_agg', '') AS t FROM f WHERE k = 0)"""
 _BEFORE = "OVER (ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 _CONV = """
 a AS (SELECT n_nationkey AS i, (n_nationkey * 39119 + 7) % 1000000 AS x FROM nation),
@@ -124,13 +133,6 @@ SQL = {
         x AS (SELECT list_prepend(0::HUGEINT, list(limb::HUGEINT ORDER BY idx DESC)) AS x FROM a), y AS (SELECT list_prepend(0::HUGEINT, list(limb::HUGEINT ORDER BY idx DESC)) AS y FROM b)
         SELECT 's' AS num, (({_fold("x", "1000000::HUGEINT", P0)}) * ({_fold("y", "1000000::HUGEINT", P0)}) % {P0}::HUGEINT)::VARCHAR AS r0,
                (({_fold("x", "1000000::HUGEINT", P1)}) * ({_fold("y", "1000000::HUGEINT", P1)}) % {P1}::HUGEINT)::VARCHAR AS r1 FROM x, y""",
-    # 1 + (1 + (1 + ...) / 2) / 1 in 225 digits of base 10^9, from the last term on
-    "e_digits": """WITH RECURSIVE f AS (
-  SELECT 900 AS k, list_prepend(1::HUGEINT, list_transform(range(224), lambda i: 0::HUGEINT)) AS x
-  UNION ALL
-  SELECT k - 1, list_transform(list_reduce(list_prepend({'r': 0::HUGEINT, 'q': []::HUGEINT[]}, list_transform(x, lambda d: {'r': d, 'q': []::HUGEINT[]})),
-      lambda a, d: {'r': (a.r * 1000000000 + d.r) % k, 'q': list_append(a.q, (a.r * 1000000000 + d.r) // k)}).q, lambda d, i: CASE WHEN i = 1 THEN d + 1 ELSE d END)
-  FROM f WHERE k > 0),
-t AS (SELECT x[1]::VARCHAR || list_aggregate(list_transform(x[2:], lambda d: lpad(d::VARCHAR, 9, '0')), 'string_agg', '') AS t FROM f WHERE k = 0)
-SELECT c AS chunk_no, substr(t, 50 * c + 1, least(50, 2001 - 50 * c)) AS text FROM t, (SELECT unnest(range(41)) AS c)""",
+    "e_digits": f"""WITH RECURSIVE {E_TEXT}
+SELECT c AS chunk_no, substr(t, 50 * c + 1, least(50, d + 1 - 50 * c)) AS text FROM (SELECT *, unnest(range(d // 50 + 1)) AS c FROM t)""",
 }

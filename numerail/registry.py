@@ -273,23 +273,25 @@ def gate_counts(spark, sf_dir):
 
 
 def e_digits(spark, sf_dir):
-    """2000 decimals of e as chunks of 50 digits, with the digits' place."""
+    """As many decimals of e as there are customers, as chunks of 50 digits, with the digits' place."""
     from .sources.digits import digit_chunks as chunks
 
-    return chunks(se.e_digits(spark, 2000), 2001, 50).select("chunk_no", "text")
+    d = _t(spark, sf_dir, "customer").count()
+    return chunks(se.e_digits(spark, d), d + 1, 50).select("chunk_no", "text")
 
 
 def long_product(spark, sf_dir):
-    """The product of the orders' and the customers' number, whole, by the grid of blocks: its residues."""
+    """The product of the orders' and the customers' number, whole, by distributed transforms: its residues."""
     r = rs.limbs_mod(pr.multiplied(*_two_numbers(spark, sf_dir)), [SMALL_PRIME, LARGE_PRIME])
     return r.select("num", F.col("r0").cast("string").alias("r0"), F.col("r1").cast("string").alias("r1"))
 
 
 def e_digits_long(spark, sf_dir):
-    """100000 decimals of e, whose terms fill several leaves and two levels of the splitting, as chunks of 50 digits."""
+    """Twenty decimals of e for each customer, whose terms fill several leaves and levels of the splitting, as chunks of 50 digits."""
     from .sources.digits import digit_chunks as chunks
 
-    return chunks(se.e_digits(spark, 100_000), 100_001, 50).select("chunk_no", "text")
+    d = 20 * _t(spark, sf_dir, "customer").count()
+    return chunks(se.e_digits(spark, d), d + 1, 50).select("chunk_no", "text")
 
 
 QUERIES = (
