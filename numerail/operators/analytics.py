@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import stored
+from .order import indexed, indexed_within
+from .storage import partitions, stored
 
 #: Two-sided 95 % points of Student's t for 1 to 10 degrees of freedom (fixed values); 1.96 beyond.
 T95 = (12.71, 4.30, 3.18, 2.78, 2.57, 2.45, 2.36, 2.31, 2.26, 2.23)
@@ -32,9 +36,35 @@ def verdict(df: DataFrame, key: list[str], ok: Column, failed: Column, all_ok: C
 
 
 def fingerprint(df: DataFrame, key: list[str], line: Column, letters: int = 16) -> DataFrame:
-    """Digest of the sorted distinct lines of each key, whatever their order; the lines of a key must fit a row."""
-    lines = F.array_join(F.array_sort(F.collect_set(line)), "\n")
-    return df.groupBy(*key).agg(F.substring(F.sha2(lines.cast("binary"), 256), 1, letters).alias("fingerprint"), F.count_distinct(line).alias("n_lines"))
+    """Digest of the sorted distinct lines of each key, whatever their order.
+
+    The digest is made while the lines stream by in order, so a key's lines are
+    never in memory together. Keys without a line but null are left out.
+    """
+    lines = df.select(*key, line.alias("_line")).where("_line is not null").distinct()
+    spark = df.sparkSession
+    sorted_ = lines.withColumn("_key", F.to_json(F.struct(*key), {"ignoreNullFields": "false"})).repartition(partitions(spark), "_key").sortWithinPartitions("_key", "_line")
+
+    def run(batches):
+        now, digest, n = None, None, 0
+
+        def done():
+            return pa.RecordBatch.from_arrays([pa.array([now]), pa.array([digest.hexdigest()[:letters]]), pa.array([n], pa.int64())], ["_key", "fingerprint", "n_lines"])
+
+        for b in batches:
+            for k, text in zip(b.column("_key").to_pylist(), b.column("_line").to_pylist(), strict=True):
+                if k != now:
+                    if digest is not None:
+                        yield done()
+                    now, digest, n = k, hashlib.sha256(), 0
+                digest.update(("\n" if n else "").encode() + text.encode("utf-8", "surrogatepass"))
+                n += 1
+        if digest is not None:
+            yield done()
+
+    out = sorted_.select("_key", "_line").mapInArrow(run, "_key string, fingerprint string, n_lines long")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*key).schema)
+    return out.select(F.from_json("_key", kinds).alias("_k"), "fingerprint", "n_lines").select(*[F.col("_k").getField(k).alias(k) for k in key], "fingerprint", "n_lines")
 
 
 def rollup_max(df: DataFrame, mapping: DataFrame, on: str, to: str, values: list[str]) -> DataFrame:
@@ -116,8 +146,7 @@ def paired_difference(df: DataFrame, arm: str, base: str, order: list[str], valu
     Rows: arm, pairs, diff, pct (of the base's mean over the pairs), ci95 (null for one pair).
     """
     good = df.where(counts & F.col(value).isNotNull())
-    k = F.row_number().over(Window.partitionBy(arm).orderBy(*order))
-    runs = good.select(arm, F.col(value).alias("v"), k.alias("k"))
+    runs = indexed_within(good, [arm], order, "k").select(arm, F.col(value).alias("v"), "k")
     b = runs.where(F.col(arm) == base).select(F.col("v").alias("b"), "k")
     pairs = runs.where(F.col(arm) != base).join(b, "k").withColumn("d", F.col("v") - F.col("b"))
     points = F.array(*[F.lit(t) for t in T95])
@@ -130,10 +159,10 @@ def paired_difference(df: DataFrame, arm: str, base: str, order: list[str], valu
 
 
 def zipped_columns(df: DataFrame, metrics: list[str]) -> DataFrame:
-    """Each column sorted on its own and put side by side: row, and the metrics (for small tables)."""
+    """Each column (of numbers) sorted on its own and put side by side: row, and the metrics."""
     out = None
     for m in metrics:
-        one = df.where(F.col(m).isNotNull()).select(F.row_number().over(Window.orderBy(m)).alias("row"), m)
+        one = indexed(df.where(F.col(m).isNotNull()).select(m), [m], "row").select((F.col("row") + 1).cast("int").alias("row"), m)
         out = one if out is None else out.join(one, "row", "full")
     return out
 

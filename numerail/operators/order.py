@@ -48,6 +48,29 @@ def indexed(df: DataFrame, order: list[str], name: str = "idx", parts: int | Non
     return out.withColumn(name, (F.col("_start") + F.col("_k")).cast("long")).drop("_range", "_k", "_start")
 
 
+def indexed_within(df: DataFrame, key: list[str], order: list[str], name: str = "idx", parts: int | None = None) -> DataFrame:
+    """Adds the position of each row among those of its key, from 0, in an order (its first column numeric or a timestamp).
+
+    Rows are numbered within ranges of the first column, and how many rows of
+    the key are in the ranges before, a row for each key and range, is added.
+    So a key with very many rows is the work of as many tasks as there are ranges.
+    """
+    spark = df.sparkSession
+    parts = parts or RANGES * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    first = F.unix_micros(F.col(order[0]).cast("timestamp")) if dict(df.dtypes)[order[0]].startswith("timestamp") else F.col(order[0])
+    ranged = df.withColumn("_at", first)
+    ranged = ranged.withColumn("_range", range_id(F.col("_at"), quantile_bounds(ranged, "_at", parts))).drop("_at")
+    sizes = ranged.groupBy(*key, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    starts = sizes.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], F.col("_range").alias("_r"), exclusive_prefix(F.col("_n"), [F.col("_range")], key).alias("_start"))
+    within = Window.partitionBy(*key, "_range").orderBy(*order)
+    numbered = ranged.withColumn("_k", F.row_number().over(within) - 1)
+    same = (F.col("_range") == F.col("_r"))
+    for i, k in enumerate(key):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    out = numbered.join(starts, same).withColumn(name, (F.col("_start") + F.col("_k")).cast("long"))
+    return out.select(*df.columns, name)
+
+
 def exclusive_prefix(value: Column, order: list, by: list | None = None) -> Column:
     """Sum of the values before a row: a window column for small tables (one row per part)."""
     w = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

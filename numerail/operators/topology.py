@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import indexed_within
+from .storage import stored
+
 UNITS = ("cab", "chassis", "slot", "blade", "node")
 LEVELS = ("blade", "slot", "chassis", "cabinet", "system")
 #: Fixed values of the scheduler's node states.
@@ -69,9 +72,13 @@ def smallest_unit(df: DataFrame, n: int) -> str:
 
 
 def best_windows(df: DataFrame, key: list[str], position: str, n: int) -> DataFrame:
-    """Per key, the n consecutive rows with the least span of positions, the earliest among equals: key, first, span."""
-    w = Window.partitionBy(*key).orderBy(position)
-    spans = df.withColumn("_end", F.lead(position, n - 1).over(w)).where("_end is not null")
+    """Per key, the n consecutive rows with the least span of positions, the earliest among equals: key, first, span.
+
+    Rows are numbered within their key and meet the row n - 1 places on, so no key is sorted in one task.
+    """
+    rows = stored(indexed_within(df.select(*key, position), key, [position], "_k"), "numbered")
+    ends = rows.select(*key, (F.col("_k") - (n - 1)).alias("_k"), F.col(position).alias("_end"))
+    spans = rows.join(ends, [*key, "_k"])
     best = F.min(F.struct((F.col("_end") - F.col(position)).alias("span"), F.col(position).alias("first")))
     return spans.groupBy(*key).agg(best.alias("b")).select(*key, "b.first", "b.span")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import analytics as an
@@ -57,8 +57,7 @@ def number_compare(spark, sf_dir):
     """For each nation, the number of its suppliers' balances against that of its customers'."""
     s = _t(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("string").alias("num"), F.col("s_suppkey").alias("k"), (F.abs(_cents("s_acctbal")) % nb.BASE).alias("limb"))
     c = _t(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("num"), F.col("c_custkey").alias("k"), (F.abs(_cents("c_acctbal")) % nb.BASE).alias("limb"))
-    idx = (F.row_number().over(Window.partitionBy("num").orderBy("k")) - 1).cast("long")
-    return nb.compared(s.withColumn("idx", idx).drop("k"), c.withColumn("idx", idx).drop("k"))
+    return nb.compared(*(od.indexed_within(n, ["num"], ["k"]).drop("k") for n in (s, c)))
 
 
 def _region_numbers(spark, sf_dir):

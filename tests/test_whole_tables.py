@@ -1,11 +1,13 @@
 """Queries that have to use every row of their tables, against brute force."""
 
+import hashlib
 import sys
 
 import duckdb
+from pyspark.sql import functions as F
 
 from numerail import registry
-from numerail.operators import series
+from numerail.operators import analytics, order, series
 
 SF = "/root/testdata/sf0.001"
 
@@ -49,3 +51,22 @@ def test_long_digits_of_e_by_levels(spark):
     sys.set_int_max_str_digits(0)
     text = "".join(r["text"] for r in registry.e_digits_long(spark, "/root/testdata/sf0.01").orderBy("chunk_no").collect())
     assert text == str(total // 10**20)
+
+
+def test_positions_within_one_large_key(spark):
+    """One key with nearly all rows is numbered by ranges, in the order of the columns."""
+    rows = [("all", i * 7919 % 5000, i) for i in range(5000)] + [("few", 3, 1), ("few", 3, 0), ("few", -1, 9), (None, 4, 4), (None, 2, 2)]
+    df = spark.createDataFrame(rows, "k string, a long, b long")
+    got = {(r["k"], r["b"]): r["idx"] for r in order.indexed_within(df, ["k"], ["a", "b"], parts=16).collect()}
+    want = {}
+    for k in ("all", "few", None):
+        want |= {(k, b): i for i, (_, b) in enumerate(sorted((a, b) for x, a, b in rows if x == k))}
+    assert got == want
+
+
+def test_fingerprints_of_one_large_key(spark):
+    rows = [("all", f"line {i % 3000} é") for i in range(9000)] + [("few", "b"), ("few", "a"), ("few", None), (None, "x"), ("none", None)]
+    got = analytics.fingerprint(spark.createDataFrame(rows, "k string, line string").repartition(5), ["k"], F.col("line"))
+    digest = lambda lines: hashlib.sha256("\n".join(sorted(set(lines), key=str.encode)).encode()).hexdigest()[:16]
+    want = {k: (digest([x for y, x in rows if y == k and x is not None]), len({x for y, x in rows if y == k and x is not None})) for k in ("all", "few", None)}
+    assert {r["k"]: (r["fingerprint"], r["n_lines"]) for r in got.collect()} == want
