@@ -84,6 +84,18 @@ def product_low(spark, sf_dir):
     return _residue_rows(pr.multiplied(a, b, high=60, size=32))
 
 
+def number_committed(spark, sf_dir):
+    """The orders' number written in 24 committed parts, 999999 added to it there as a new version, and read back."""
+    from .operators import longnums as ln
+    from .operators.storage import fresh_path
+    from .sources import committed as cm
+
+    path = fresh_path(spark, "number")
+    cm.save(ln.packed(_orders(spark, sf_dir)), path, 24)
+    cm.correct(spark, path, 999_999)
+    return ln.unpacked(ln.stored(cm.read(spark, path).select("num", "chunk", "data", "top"), "number"))
+
+
 def product_redone(spark, sf_dir):
     """The product of the two numbers in pieces, of which one is spoiled at first: residues of the product, and how many pieces were made again."""
     from .operators import longnums as ln
@@ -271,7 +283,7 @@ KNOWN_WINDOWS = [
 ]
 
 QUERIES = (
-    number_shift, any_below, limb_point, number_complement, plus_small, product_plus, product_checked, product_low, product_redone, regrouped_points, number_division, many_products, grid_search, part_plan,
+    number_shift, any_below, limb_point, number_complement, plus_small, product_plus, product_checked, product_low, number_committed, product_redone, regrouped_points, number_division, many_products, grid_search, part_plan,
     digit_counts, last_wins, sample_windows, high_water, rollup_max, first_lines, zipped_columns, physical_keys, state_flags, manifest_problems,
     eligible_items, name_suggestions, cited_items, t1_identity, e_windows,
 )
@@ -371,3 +383,4 @@ SQL = {
     "e_windows": f"""WITH RECURSIVE {E_TEXT}, w AS (SELECT * FROM (VALUES {", ".join(f"({off}, '{w}')" for off, w in KNOWN_WINDOWS)}) w(off, w) UNION ALL SELECT d - 10, repeat('0', 50) FROM n)
         SELECT off::BIGINT AS off, CASE WHEN off + 50 <= d + 1 THEN substr(t, off::INT + 1, 50) = w END AS ok FROM w, t""",
 }
+SQL["number_committed"] = SQL["plus_small"]
