@@ -78,7 +78,7 @@ def size(a: DataFrame) -> int:
 
 
 def _moved(a: DataFrame, by: int) -> DataFrame:
-    return a if by == 0 else ln.carried(ln.shifted(a, by))
+    return a if by == 0 else ln.assembled(ln.shifted(a, by))
 
 
 def _low(a: DataFrame, count: int) -> DataFrame:
@@ -158,8 +158,7 @@ def reciprocal(q: DataFrame, n: int, k: int, seed: int = SEED_LIMBS, steps: Step
         # x is off by less than 16 units and the limbs of q that an earlier step left out, so e is below base^(u + 2)
         e, sign = rest(power_of_base(spark, num, u + j), x, top, u + 2, steps, f"reciprocal of {h} limbs")
         s = max(0, u - h + j - 1)
-        change = ln.shifted(ln.product(x, _moved(e, -s)), -(u + 2 * j - h - s))
-        change = ln.carried(change)
+        change = _moved(ln.product(x, _moved(e, -s)), -(u + 2 * j - h - s))
         moved = ln.shifted(x, h - j)
         x = ln.carried(moved.unionByName(ln.as_pieces(change, sign)), difference=sign < 0)
         j = h
@@ -169,7 +168,7 @@ def reciprocal(q: DataFrame, n: int, k: int, seed: int = SEED_LIMBS, steps: Step
 def _quotient(a: DataFrame, q: DataFrame, mu: DataFrame, n: int, k: int, steps: Steps, name: str) -> tuple[DataFrame, DataFrame]:
     """Quotient and remainder for a below q base^k, by a reciprocal of k limbs at least (base^(n + k) / q)."""
     cut = max(0, n - 2)
-    x = ln.carried(ln.shifted(ln.product(_moved(a, -cut), mu), -(k + n - cut)))
+    x = _moved(ln.product(_moved(a, -cut), mu), -(k + n - cut))
     r, sign = rest(a, x, q, n + 2, steps, name)
     low = max(0, n - 3)
     divisor = head(q, low)
@@ -211,7 +210,7 @@ def divided(a: DataFrame, q: DataFrame, seed: int = SEED_LIMBS, steps: Steps | N
     x, r = _quotient(_moved(a, -low), q, mu, n, high, steps, "quotient, upper half")
     if not low:
         return x, r
-    rest_of_a = ln.carried(ln.shifted(r, low).unionByName(ln.as_pieces(_low(a, low))))
+    rest_of_a = ln.assembled(ln.shifted(r, low).unionByName(ln.as_pieces(_low(a, low))))
     mu = _moved(mu, low - high)
     y, r = _quotient(rest_of_a, q, mu, n, low, steps, "quotient, lower half")
-    return ln.carried(ln.shifted(x, low).unionByName(ln.as_pieces(y))), r
+    return ln.carried(ln.shifted(x, low).unionByName(ln.as_pieces(y))), r  # y may be base^low at most

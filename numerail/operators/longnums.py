@@ -223,6 +223,19 @@ def added_up(parts: DataFrame) -> DataFrame:
     return _mapped(_dealt(parts, "num", "chunk"), rows_of, CARRYING)
 
 
+def assembled(parts: DataFrame) -> DataFrame:
+    """PIECE to PACKED (stored), where no two values meet at a position and all are limbs: a shifted number."""
+
+    def rows_of(batches):
+        for (num, chunk), rows in _groups(batches, ["num", "chunk"], ["start", "width", "data"]):
+            s = np.zeros(CHUNK, dtype=np.int64)
+            for start, width, data in rows:
+                s[start : start + width] += np.frombuffer(data, dtype=np.int64)
+            yield _packed_row(num, chunk, s)
+
+    return stored(_mapped(_dealt(parts, "num", "chunk"), rows_of, PACKED), "packed")
+
+
 def carried(parts: DataFrame, difference: bool = False) -> DataFrame:
     """PIECE to PACKED (stored): the sums as numbers.
 

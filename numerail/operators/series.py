@@ -151,7 +151,7 @@ def _division_of_e(spark: SparkSession, digits: int) -> tuple[DataFrame, ...]:
     """X, R, P, Q with 10^digits (P + Q) = X Q + R, all PACKED."""
     p, q = split_series(spark, terms_for(digits))
     sum_ = ln.sum_of(p, q)
-    top = ln.carried(ln.shifted(ln.carried(ln.as_pieces(sum_, 10 ** (digits % nb.DIGITS))), digits // nb.DIGITS))
+    top = ln.assembled(ln.shifted(ln.carried(ln.as_pieces(sum_, 10 ** (digits % nb.DIGITS))), digits // nb.DIGITS))
     return *dv.divided(top, q), p, q
 
 
