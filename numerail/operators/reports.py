@@ -12,9 +12,15 @@ from .topology import expanded, physical_key
 
 #: Values of a fact that count as none (fixed values).
 NO_VALUE = ("", "NA", "none", "unknown", "?")
-FILL = "__FILL__"
-#: Prefixes of names that other software reads.
-EXTERNAL = r"^(FI|SHMEM|XT|OMPI|SLURM)_"
+#: Fixed values of a profile's format: what stands where a value is still to fill, and the key that lists the launch line's.
+FILL, LINE_KEYS = "__FILL__", "LAUNCH_LINE_KEYS"
+#: Prefixes of names that other software reads, which a profile may hold, and those of them that the drift check lets pass.
+ALLOWED = ("SLURM_", "PMI_", "SHMEM_", "FI_", "OMPI_", "XT_", "HIP_", "ROC", "HSA_", "OMP_", "MPICH_", "CRAY_", "LD_")
+CHECKED = ("FI_", "SHMEM_", "XT_", "OMPI_", "SLURM_")
+
+
+def begins_with(name: Column, prefixes: tuple[str, ...]) -> Column:
+    return F.exists(F.array(*[F.lit(p) for p in prefixes]), lambda p: name.startswith(p)) if prefixes else F.lit(False)
 
 
 # runs
@@ -222,10 +228,10 @@ def profile_settings(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return ends.select("name", "value", "line_no"), bad.unionByName(again)
 
 
-def profile_problems(settings: DataFrame, registry: DataFrame, line_keys: str = "LAUNCH_LINE_KEYS") -> DataFrame:
-    """name, problem: names that the registry lacks (others' prefixes are let
+def profile_problems(settings: DataFrame, registry: DataFrame, line_keys: str = LINE_KEYS, external: tuple[str, ...] = ALLOWED) -> DataFrame:
+    """name, problem: names that the registry lacks (those with an ``external`` prefix are let
     pass), values still to fill, and keys of the launch line that are not set."""
-    own = settings.where(~F.col("name").rlike(EXTERNAL) & (F.col("name") != line_keys))
+    own = settings.where(~begins_with(F.col("name"), external) & (F.col("name") != line_keys))
     unknown = own.join(registry.select("name"), "name", "left_anti").select("name", F.lit("unknown switch").alias("problem"))
     unfilled = settings.where(F.col("value") == FILL).select("name", F.lit("still to fill").alias("problem"))
     named = settings.where(F.col("name") == line_keys).select(F.explode(F.split(F.trim("value"), r"\s+")).alias("name")).where("name <> ''").distinct()
@@ -233,17 +239,17 @@ def profile_problems(settings: DataFrame, registry: DataFrame, line_keys: str =
     return unknown.unionByName(unfilled).unionByName(lacking)
 
 
-def profile_drift(settings: DataFrame, defaults: DataFrame, registry: DataFrame) -> DataFrame:
+def profile_drift(settings: DataFrame, defaults: DataFrame, registry: DataFrame, external: tuple[str, ...] = CHECKED) -> DataFrame:
     """name, class of a profile's settings against the scripts' literal defaults (name, value).
 
     UNFILLED, or else SAME where all defaults equal the value, OVERRIDE where
     one differs, PROFILE-ONLY without one; besides these UNKNOWN where neither
-    the registry nor another software's prefix has the name.
+    the registry has the name nor an ``external`` prefix begins it.
     """
     d = defaults.groupBy("name").agg(F.min("value").alias("_low"), F.max("value").alias("_high"))
     rows = settings.join(d, "name", "left").join(registry.select("name").distinct().withColumn("_known", F.lit(True)), "name", "left")
     drift = F.when(F.col("value") == FILL, "UNFILLED").when(F.col("_low").isNull(), "PROFILE-ONLY").when((F.col("_low") == F.col("value")) & (F.col("_high") == F.col("value")), "SAME").otherwise("OVERRIDE")
-    unknown = F.when(F.col("_known").isNull() & ~F.col("name").rlike(EXTERNAL), "UNKNOWN")
+    unknown = F.when(F.col("_known").isNull() & ~begins_with(F.col("name"), external), "UNKNOWN")
     return rows.select("name", F.explode(F.array_compact(F.array(drift, unknown))).alias("class"))
 
 

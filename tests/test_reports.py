@@ -240,3 +240,13 @@ def test_corrections_carry_through_parts(spark, tmp_path, version):
     again = packed.read_parts(spark, f"{base}.part*")
     assert "".join(r["text"] for r in again.orderBy("part").collect()) == text and packed.recheck(again).first()["verdict"] == "OK"
     assert packed.recheck(again.where("part <> 1")).first()["verdict"] == "FAIL"
+
+
+def test_names_of_other_software_pass_by_use(spark):
+    """A profile may hold more prefixes than the drift check lets pass."""
+    settings = spark.createDataFrame([(n, "1") for n in ("OMP_x", "ROCm", "FI_y", "OWN", "Z_z", "SLURM_a")], "name string, value string")
+    registry = spark.createDataFrame([("OWN",)], "name string")
+    assert rows(rp.profile_problems(settings, registry), "name") == [("Z_z",)]
+    drift = rp.profile_drift(settings, settings.limit(0), registry)
+    assert rows(drift.where("class = 'UNKNOWN'"), "name") == [("OMP_x",), ("ROCm",), ("Z_z",)]
+    assert rows(rp.profile_problems(settings, registry, external=()), "name") == [("FI_y",), ("OMP_x",), ("ROCm",), ("SLURM_a",), ("Z_z",)]
