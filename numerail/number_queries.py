@@ -191,7 +191,8 @@ def high_water(spark, sf_dir):
 
 def rollup_max(spark, sf_dir):
     """Largest balance and key by region of a customer's nation; nations of the first region count for themselves."""
-    n = _t(spark, sf_dir, "nation").where("n_regionkey > 0").select(F.col("n_nationkey").cast("string").alias("nation"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("unit"))
+    unit = F.when(F.col("n_regionkey") > 0, F.concat(F.lit("r"), F.col("n_regionkey").cast("string")))  # null: none
+    n = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("nation"), unit.alias("unit"))
     c = _t(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("nation"), "c_acctbal", "c_custkey")
     return an.rollup_max(c, n, "nation", "unit", ["c_acctbal", "c_custkey"])
 
@@ -232,18 +233,20 @@ def _items(spark, sf_dir):
 
 def manifest_problems(spark, sf_dir):
     """What is wrong with a work list of parts."""
-    scripts = _t(spark, sf_dir, "nation").where("n_nationkey < 11").select(F.concat(F.lit("s"), F.col("n_nationkey").cast("string")).alias("script"))
+    kind = F.when(F.col("n_nationkey") < 11, "s").otherwise("old-s")
+    scripts = _t(spark, sf_dir, "nation").select(F.concat(kind, F.col("n_nationkey").cast("string")).alias("script"))
     return mf.problems(_items(spark, sf_dir), "^[a-z][0-9]+$", scripts)
 
 
 def eligible_items(spark, sf_dir):
     """Items of the work list that can start, and why the others cannot."""
     k = F.col("p_partkey")
-    states = _t(spark, sf_dir, "part").where("p_partkey % 3 <> 0").select(F.concat(F.lit("i"), k.cast("string")).alias("id"), F.when(k % 3 == 1, "done").when(k % 2 == 0, "claimed").otherwise("unclaimed").alias("state"), F.when(k % 5 == 0, "FAIL").when(k % 5 == 1, "PARTIAL").otherwise("PASS").alias("status"))
+    # a part in three has no state yet
+    states = _t(spark, sf_dir, "part").select(F.concat(F.lit("i"), k.cast("string")).alias("id"), F.when(k % 3 == 1, "done").when((k % 3 == 2) & (k % 2 == 0), "claimed").when(k % 3 == 2, "unclaimed").alias("state"), F.when(k % 3 == 0, None).when(k % 5 == 0, "FAIL").when(k % 5 == 1, "PARTIAL").otherwise("PASS").alias("status"))
     # of items with one id that of the least key
     every = _items(spark, sf_dir).where("id like 'i%'")
     items = every.groupBy("id").agg(F.min_by(F.struct(*[c for c in every.columns if c != "id"]), "key").alias("row")).select("id", "row.*")
-    return mf.eligible(items.where("tier = 2"), states, 30, 35.0)
+    return mf.eligible(items, states, 30, 35.0, tier=2)
 
 
 def name_suggestions(spark, sf_dir):

@@ -52,7 +52,8 @@ def host_order(spark, sf_dir):
     k = F.col("c_custkey")
     part = lambda c: c.cast("string")
     name = F.concat(F.lit("x"), part(F.col("c_nationkey")), F.lit("c"), part(k % 8), F.lit("s"), part(k % 5), F.lit("b"), part(k % 3), F.lit("n"), part(k % 2))
-    names = _t(spark, sf_dir, "customer").where("c_acctbal > 0").select(k.alias("host"), name.alias("xname"))
+    # customers that owe have a number of no supplier
+    names = _t(spark, sf_dir, "customer").select(F.when(F.col("c_acctbal") > 0, k).otherwise(-1 - k).alias("host"), name.alias("xname"))
     return rp.placed_hosts(hosts, names, "host", "at")
 
 
@@ -111,7 +112,9 @@ def _profile(spark, sf_dir):
 
 
 def _known(spark, sf_dir):
-    return _t(spark, sf_dir, "lineitem").where("l_linenumber < 6").select(F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("name")).distinct()
+    # the items after the fifth of an order give names of another kind
+    kind = F.when(F.col("l_linenumber") < 6, "P").otherwise("late-P")
+    return _t(spark, sf_dir, "lineitem").select(F.concat(kind, F.col("l_partkey").cast("string")).alias("name")).distinct()
 
 
 def profile_lines(spark, sf_dir):
@@ -125,7 +128,8 @@ def profile_problems(spark, sf_dir):
 
 def profile_drift(spark, sf_dir):
     """The profile's settings against defaults from the line items."""
-    li = _t(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("name"), (F.col("l_partkey") % 5).cast("string").alias("value"))
+    kind = F.when(F.col("l_linenumber") == 1, "P").otherwise("later-P")
+    li = _t(spark, sf_dir, "lineitem").select(F.concat(kind, F.col("l_partkey").cast("string")).alias("name"), (F.col("l_partkey") % 5).cast("string").alias("value"))
     return rp.profile_drift(rp.profile_settings(_profile(spark, sf_dir))[0], li, _known(spark, sf_dir))
 
 
@@ -146,7 +150,7 @@ def filled_template(spark, sf_dir):
 
 def undeclared(spark, sf_dir):
     """Suppliers that line items name and no supplier of an even nation has, with how often."""
-    return rp.undeclared(_t(spark, sf_dir, "lineitem").select("l_suppkey"), _t(spark, sf_dir, "supplier").where("s_nationkey % 2 = 0").select(F.col("s_suppkey").alias("l_suppkey")), "l_suppkey")
+    return rp.undeclared(_t(spark, sf_dir, "lineitem").select("l_suppkey"), _t(spark, sf_dir, "supplier").select(F.when(F.col("s_nationkey") % 2 == 0, F.col("s_suppkey")).otherwise(-1 - F.col("s_suppkey")).alias("l_suppkey")), "l_suppkey")
 
 
 def phase_table(spark, sf_dir):
