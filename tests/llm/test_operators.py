@@ -1208,3 +1208,23 @@ def test_filter_of_pairs_passes_all_pairs(spark):
     assert test(hashed(pairs)).all()
     other = [(r.randrange(2**62), r.randrange(2**62)) for _ in range(20000)]
     assert test(hashed(other)).mean() < 0.05
+
+
+def test_words_that_share_a_hash_take_another_seed(spark, monkeypatch):
+    """Counts under a seed that gives a frequent word the hash of another are not used."""
+    docs = spark.createDataFrame([("en", "aa bb cc " * 4), ("en", "aa bb")], "lang string, text string")
+    plain, seeds = collocations.summed, []
+
+    def clashing(packed, partitions, floor, seed):
+        seeds.append(seed)
+        out = plain(packed, partitions, floor, seed)
+        shared = spark.createDataFrame([(-1, None, 7, None, None, None, None, 0)], collocations.COUNTED)
+        return out.unionByName(shared) if seed == 0 else out
+
+    monkeypatch.setattr(collocations, "summed", clashing)
+    got = collocations.collocations(docs, 2)
+    assert rows_of(got, *COLLOCATION) == brute_collocations([("en", "aa bb cc " * 4), ("en", "aa bb")], 2, 2000)
+    assert seeds == [0, 1, 1]
+    monkeypatch.setattr(collocations, "SEEDS", 1)
+    with pytest.raises(RuntimeError, match="share hashes"):
+        collocations.collocations(docs, 2)
