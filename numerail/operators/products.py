@@ -108,7 +108,8 @@ def multiplied(a: DataFrame, b: DataFrame, plus: DataFrame | None = None, low: i
         sums = sums.where(F.col("idx") < high)
     if cycle is not None:
         sums = sums.withColumn("idx", F.col("idx") % cycle)
-    out = carried(sums.groupBy("num", "idx").agg(F.sum("limb").alias("limb")))
+    # the carries read their input several times, the products are made once
+    out = carried(stored(sums.groupBy("num", "idx").agg(F.sum("limb").alias("limb")), "sums"))
     return out.where(F.col("idx") < high) if high is not None else out
 
 
