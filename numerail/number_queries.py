@@ -9,10 +9,12 @@ from .functions.counts import count_column
 from .operators import analytics as an
 from .operators import manifest as mf
 from .operators import numbers as nb
+from .operators import order as od
 from .operators import products as pr
 from .operators import residues as rs
 from .operators import series as se
 from .operators import topology as tp
+from .operators import words as wd
 from .oracles import _TWO, E_TEXT
 from .plans import grids
 from .registry import LARGE_PRIME, SMALL_PRIME, _cents, _two_numbers
@@ -84,6 +86,26 @@ def product_low(spark, sf_dir):
     return _residue_rows(pr.multiplied(a, b, high=60, size=32))
 
 
+def product_cyclic(spark, sf_dir):
+    """The product of the customers' and the suppliers' number modulo base^50 - 1."""
+    b = _two_numbers(spark, sf_dir)[1]
+    s = od.indexed(_t(spark, sf_dir, "supplier").select("s_suppkey", (F.abs(_cents("s_acctbal")) % nb.BASE).alias("limb")), ["s_suppkey"]).select(F.lit("s").alias("num"), "idx", "limb")
+    return nb.folded(pr.multiplied(b, s, cycle=50), 50)
+
+
+def divided_by_word(spark, sf_dir):
+    """For each nation, the number of its customers' balances over a prime: the quotient's limbs, and the remainder beside them."""
+    c = _t(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("num"), "c_custkey", (F.abs(_cents("c_acctbal")) % nb.BASE).alias("limb"))
+    quotient, rest = wd.divided_by_word(od.indexed_within(c, ["num"], ["c_custkey"]), SMALL_PRIME)
+    return quotient.join(rest, "num")
+
+
+def digit_blocks(spark, sf_dir):
+    """SHA-256 of each 400 digits of the orders' number, the most significant first."""
+    n = _t(spark, sf_dir, "orders").count()
+    return dg.block_digests(dg.digit_chunks(_orders(spark, sf_dir), nb.DIGITS * n, 50), 8)
+
+
 def number_committed(spark, sf_dir):
     """The orders' number written in 24 committed parts, 999999 added to it there as a new version, and read back."""
     from .operators import longnums as ln
@@ -286,7 +308,7 @@ KNOWN_WINDOWS = [
 ]
 
 QUERIES = (
-    number_shift, any_below, limb_point, number_complement, plus_small, product_plus, product_checked, product_low, number_committed, product_redone, regrouped_points, number_division, many_products, grid_search, part_plan,
+    number_shift, any_below, limb_point, number_complement, plus_small, product_plus, product_checked, product_low, product_cyclic, divided_by_word, digit_blocks, number_committed, product_redone, regrouped_points, number_division, many_products, grid_search, part_plan,
     digit_counts, last_wins, sample_windows, high_water, rollup_max, first_lines, zipped_columns, physical_keys, state_flags, manifest_problems,
     eligible_items, name_suggestions, cited_items, t1_identity, e_windows,
 )
@@ -334,6 +356,22 @@ SQL = {
         c AS (SELECT 0::BIGINT AS k, (v % 1000000)::HUGEINT AS limb, v // 1000000 AS carry FROM p WHERE k = 0 UNION ALL SELECT c.k + 1, (p.v + c.carry) % 1000000, (p.v + c.carry) // 1000000 FROM c JOIN p ON p.k = c.k + 1),
         x AS (SELECT list_prepend(0::HUGEINT, list(limb ORDER BY k DESC)) AS x FROM c)
         SELECT 's' AS num, ({_mod('x', SMALL_PRIME)})::VARCHAR AS r0, ({_mod('x', LARGE_PRIME)})::VARCHAR AS r1 FROM x""",
+    "product_cyclic": f"""WITH RECURSIVE {_TWO}, s AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS idx, abs(round(s_acctbal * 100)::BIGINT) % 1000000 AS limb FROM supplier),
+        p AS (SELECT (b.idx + s.idx) % 50 AS k, sum(b.limb::HUGEINT * s.limb)::HUGEINT AS v FROM b, s GROUP BY ALL),
+        l AS (SELECT list(v ORDER BY k) AS x FROM p),
+        c AS (SELECT 0 AS t, x, 0::HUGEINT AS carry FROM l
+              UNION ALL SELECT t + 1, list_transform(x, lambda v, i: CASE WHEN i = t % 50 + 1 THEN (v + carry) % 1000000 ELSE v END), (x[t % 50 + 1] + carry) // 1000000
+              FROM c WHERE t < 250),
+        f AS (SELECT unnest(range(50)) AS idx, unnest(x) AS limb FROM c WHERE t = 250)
+        SELECT 's' AS num, idx::BIGINT AS idx, limb::BIGINT AS limb FROM f WHERE idx <= (SELECT max(idx) FROM f WHERE limb <> 0)""",
+    "divided_by_word": f"""WITH b AS (SELECT c_nationkey AS k, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS idx, abs(round(c_acctbal * 100)::BIGINT) % 1000000 AS limb FROM customer),
+        l AS (SELECT k, count(*) AS n, list_prepend({{'r': 0::HUGEINT, 'q': []::BIGINT[]}}, list({{'r': limb::HUGEINT, 'q': []::BIGINT[]}} ORDER BY idx DESC)) AS x FROM b GROUP BY k),
+        f AS (SELECT k, n, list_reduce(x, lambda a, y: {{'r': (a.r * 1000000 + y.r) % {SMALL_PRIME}, 'q': list_append(a.q, ((a.r * 1000000 + y.r) // {SMALL_PRIME})::BIGINT)}}) AS z FROM l),
+        u AS (SELECT k, z.r AS r, unnest(z.q) AS limb, unnest(range(n - 1, -1, -1)) AS idx FROM f),
+        t AS (SELECT k, coalesce(max(idx) FILTER (limb <> 0), 0) AS top FROM u GROUP BY k)
+        SELECT u.k::VARCHAR AS num, idx::BIGINT AS idx, limb, r::BIGINT AS remainder FROM u JOIN t ON u.k = t.k WHERE idx <= top""",
+    "digit_blocks": f"""WITH {_TWO}, t AS (SELECT string_agg(lpad(limb::VARCHAR, 6, '0'), '' ORDER BY idx DESC) AS t FROM a)
+        SELECT block, sha256(substr(t, 400 * block + 1, 400)) AS sha256 FROM t, (SELECT unnest(range((SELECT ceil(length(t) / 400)::BIGINT FROM t))) AS block)""",
     "many_products": """SELECT l_orderkey * 10 + l_linenumber AS pair_id, ((round(l_extendedprice * 100)::HUGEINT * 1000003 + l_orderkey) * (round(l_extendedprice * 100)::HUGEINT * 7 + l_partkey))::VARCHAR AS product FROM lineitem""",
     "grid_search": """WITH n AS (SELECT (SELECT count(*) FROM orders) AS na, (SELECT count(*) FROM customer) AS nb),
         g AS (SELECT ka, kb, (ceil(na / ka) + ceil(nb / kb))::BIGINT AS points, ka * kb AS pieces, (na + nb) // 4 AS cap FROM n, (SELECT unnest(range(1, 33)) AS ka), (SELECT unnest(range(1, 33)) AS kb))

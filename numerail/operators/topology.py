@@ -24,6 +24,61 @@ def physical_key(name: Column) -> list[Column]:
     return [F.regexp_extract(name, pattern, i + 1).try_cast("int").alias(u) for i, u in enumerate(UNITS)]
 
 
+XNAME = r"x\d+c\d+s\d+b\d+n\d+"
+#: Fields of a scheduler's node line that may hold a physical name, in the order in which they count.
+NAME_FIELDS = ("NodeName", "NodeAddr", "NodeHostName", "Comment", "ActiveFeatures", "AvailableFeatures")
+
+
+def _nodes(rows: DataFrame) -> DataFrame:
+    name = F.col("xname")
+    return rows.select("host", "xname", *physical_key(name), "state", F.array_remove(F.split("partitions", ","), "").alias("partitions"), name.isNull().alias("skipped"))
+
+
+def scheduler_nodes(lines: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """host, xname, the units, state, partitions, skipped of a scheduler's node lines (column value).
+
+    The physical name is that of ``names`` (host, xname) where it is a whole
+    one, else the first found in the line's name fields; nodes without one have
+    null units and are marked as skipped. Other lines count for nothing. Of a
+    host that ``names`` has twice the last name by letters is taken.
+    """
+    from ..sources.logs import field
+
+    line = F.col("value")
+    found = F.coalesce(*[F.nullif(F.regexp_extract(field(line, f), XNAME, 0), F.lit("")) for f in NAME_FIELDS])
+    rows = lines.where(line.startswith("NodeName=")).select(field(line, "NodeName").alias("host"), found.alias("xname"), field(line, "State").alias("state"), field(line, "Partitions").alias("partitions"))
+    if names is not None:
+        known = names.where(F.col("xname").rlike(f"^{XNAME}$")).groupBy("host").agg(F.max("xname").alias("_known"))
+        rows = rows.join(known, "host", "left").withColumn("xname", F.coalesce("_known", "xname"))
+    return _nodes(rows)
+
+
+def listed_nodes(lines: DataFrame) -> DataFrame:
+    """The same of a tab-separated node table: host first, the physical name second, state eighth, partitions ninth
+    where there are so many; the header and lines without a whole physical name are left out."""
+    c = F.split(F.regexp_replace("value", r"\r$", ""), "\t", -1)
+    rows = lines.select(c.alias("c")).where((F.size("c") >= 8) & (F.get("c", F.lit(0)) != "host") & F.get("c", F.lit(1)).rlike(f"^{XNAME}$"))
+    return _nodes(rows.select(*[F.get("c", F.lit(i)).alias(n) for i, n in ((0, "host"), (1, "xname"), (7, "state"))], F.coalesce(F.get("c", F.lit(8)), F.lit("")).alias("partitions")))
+
+
+def name_list(lines: DataFrame) -> DataFrame:
+    """host of lists of names parted by commas or spaces, with # comments (column value), each once."""
+    words = F.split(F.regexp_replace("value", "#.*", ""), r"[,\s]+")
+    return lines.select(F.explode(words).alias("host")).where("host <> ''").distinct()
+
+
+def free_nodes(nodes: DataFrame, state: str = "idle", excluded: DataFrame | None = None, partition: str | None = None) -> DataFrame:
+    """Adds free: whether a node has the state (idle, or usable in any way), is of the partition, and is not excluded (host)."""
+    usable, idle, _ = state_flags(F.col("state"))
+    free = {"idle": idle, "usable": usable}[state] & ~F.col("skipped")
+    if partition:
+        free = free & F.array_contains("partitions", partition)
+    if excluded is None:
+        return nodes.withColumn("free", free)
+    out = nodes.join(excluded.select("host", F.lit(True).alias("_out")).distinct(), "host", "left")
+    return out.withColumn("free", free & F.col("_out").isNull()).drop("_out")
+
+
 def natural_key(name: Column) -> tuple[Column, Column]:
     """Prefix and trailing number (-1 without one), by which names sort as people expect."""
     number = F.coalesce(F.regexp_extract(name, r"(\d+)$", 1).try_cast("long"), F.lit(-1).cast("long"))
@@ -62,15 +117,28 @@ def unit_counts(df: DataFrame, units: list[str], measures: list[Column]) -> Data
     return df.rollup(*units).agg(level.alias("level"), *measures)
 
 
-def smallest_unit(df: DataFrame, n: int) -> str:
-    """The smallest unit level that holds n of the nodes."""
+def unit_capacities(df: DataFrame) -> DataFrame:
+    """lv, most: the most nodes of one unit on each level below the system, of blades (0) to cabinets (3)."""
     keys = [F.struct(*UNITS[: 4 - lv]) for lv in range(4)]
     each = F.array(*[F.struct(F.lit(lv).alias("lv"), F.to_json(k).alias("unit")) for lv, k in enumerate(keys)])
-    most = df.select(F.explode(each).alias("u")).groupBy("u.lv", "u.unit").count().groupBy("lv").agg(F.max("count").alias("most"))
+    return df.select(F.explode(each).alias("u")).groupBy("u.lv", "u.unit").count().groupBy("lv").agg(F.max("count").alias("most"))
+
+
+def smallest_unit(df: DataFrame, n: int) -> str:
+    """The smallest unit level that holds n of the nodes."""
+    most = unit_capacities(df)
     row = most.where(F.col("most") >= n).agg(F.min("lv")).first()
     return LEVELS[4 if row is None or row[0] is None else row[0]]
 
 
+def smallest_units(df: DataFrame, sizes: DataFrame, n: str) -> DataFrame:
+    """Adds level: the smallest unit level that holds so many of the nodes, for each row of a table of sizes."""
+    most = F.broadcast(unit_capacities(df).agg(F.map_from_entries(F.collect_list(F.struct("lv", "most"))).alias("_most")).withColumn("_one", F.lit(1)))  # one row of four levels
+    rows = sizes.withColumn("_one", F.lit(1)).join(most, "_one", "left")
+    held = [F.when(F.coalesce(F.try_element_at("_most", F.lit(lv)), F.lit(0)) >= F.col(n), LEVELS[lv]) for lv in range(4)]
+    return rows.withColumn("level", F.coalesce(*held, F.lit(LEVELS[4]))).drop("_one", "_most")
+
+
 def best_windows(df: DataFrame, key: list[str], position: str, n: int) -> DataFrame:
     """Per key, the n consecutive rows with the least span of positions, the earliest among equals: key, first, span.
 

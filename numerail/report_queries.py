@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import reports as rp
+from .operators import topology as tp
+from .sources import logs as lg
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +71,45 @@ def leaf_groups(spark, sf_dir):
     return rp.host_groups(hosts, rp.leaf_switches(_topology(spark, sf_dir)), 16)
 
 
+def _node_lines(spark, sf_dir):
+    """Customers as lines of a scheduler, a seventh of them without a physical name in the line."""
+    k = F.col("c_custkey")
+    unit = lambda c, n: F.concat(F.lit(c), (k % n).cast("string"))
+    xname = F.concat(unit("x", 20), unit("c", 8), unit("s", 5), unit("b", 3), unit("n", 2))
+    state = F.element_at(F.array(*[F.lit(s) for s in ("IDLE", "ALLOCATED", "IDLE+DRAIN", "MIXED*")]), (k % 4 + 1).cast("int"))
+    address = F.when(k % 7 == 0, F.lit("10.0.0.1")).otherwise(F.concat(F.lit("nid-"), xname))
+    host = F.translate("c_name", "#", "-")
+    line = F.concat(F.lit("NodeName="), host, F.lit(" Arch=a NodeAddr="), address, F.lit(" State="), state, F.lit(" Partitions=all,p"), (k % 3).cast("string"), F.lit(" End=1"))
+    return _t(spark, sf_dir, "customer").select(k, host.alias("host"), F.when(k % 6 == 0, F.concat(F.lit(" "), line)).otherwise(line).alias("value"))
+
+
+def node_text(spark, sf_dir):
+    """The nodes of a scheduler's text with names from a map, and which are free: idle, of partition p1, not excluded."""
+    lines = _node_lines(spark, sf_dir)
+    names = lines.where("c_custkey % 14 = 0").select("host", F.concat(F.lit("x9c0s0b0n"), F.col("c_custkey").cast("string")).alias("xname"))
+    excluded = tp.name_list(lines.where("c_custkey % 11 = 0").select(F.concat("host", F.lit(", nobody # Customer-000000004")).alias("value")))
+    nodes = tp.free_nodes(tp.scheduler_nodes(lines, names), "idle", excluded, "p1")
+    return nodes.select("host", "xname", *tp.UNITS, "state", F.array_join("partitions", ",").alias("partitions"), "skipped", "free")
+
+
+def unit_sizes(spark, sf_dir):
+    """For each part's key, the smallest unit level of the customers' nodes that holds so many."""
+    k = F.col("c_custkey")
+    nodes = _t(spark, sf_dir, "customer").select((k % 4).alias("cab"), (k % 3).alias("chassis"), (k % 5).alias("slot"), F.expr("c_custkey div 64").alias("blade"), k.alias("node"))
+    return tp.smallest_units(nodes, _t(spark, sf_dir, "part").select("p_partkey"), "p_partkey")
+
+
+def table_problems(spark, sf_dir):
+    """The rows of seven tab-separated files with one header, and what is wrong with them."""
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    name = F.concat(F.lit(" i"), k.cast("string"), F.lit(" "))
+    value = F.when(k < 7, F.when(k == 3, "id\tpriority\test").otherwise("id\tprio\test\tmore")).when(k % 13 == 0, "# note\t1\t2").when(k % 17 == 0, "  ")
+    value = value.when(k % 19 == 0, F.concat_ws("\t", name, size)).when(k % 23 == 0, F.concat(name, F.lit("\thigh\t1.5"))).otherwise(F.concat_ws("\t", name, size, F.concat(size, F.lit(".5"))))
+    lines = _t(spark, sf_dir, "part").select(F.concat(F.lit("f"), (k % 7).cast("string")).alias("path"), F.expr("p_partkey div 7").alias("line_no"), value.alias("value"))
+    rows, problems = lg.united_tables(lines, ["id", "prio", "est"], {"prio": "bigint", "est": "double"})
+    return rows.unionByName(problems, allowMissingColumns=True)
+
+
 def default_groups(spark, sf_dir):
     """Customers in groups of 16 by the number of their name."""
     return rp.host_groups(_t(spark, sf_dir, "customer").select(F.col("c_name").alias("host")), None, 16)
@@ -180,7 +221,7 @@ def relative_differences(spark, sf_dir):
 
 
 QUERIES = (
-    phase_shares, path_table, cross_path, host_classes, host_order, leaf_groups, default_groups, item_states, status_table, switch_table, profile_lines,
+    phase_shares, path_table, cross_path, host_classes, host_order, leaf_groups, node_text, unit_sizes, table_problems, default_groups, item_states, status_table, switch_table, profile_lines,
     profile_problems, profile_drift, drift_counts, config_line, filled_template, undeclared, phase_table, residual_table, risk_rows, relative_differences,
 )
 
@@ -206,6 +247,19 @@ s AS (SELECT id, prio, state, status, worker, CASE state WHEN 'done' THEN wall W
   CASE WHEN done THEN 'done-' || status ELSE state END AS label FROM i)"""
 
 SQL = {
+    "node_text": """WITH c AS (SELECT c_custkey AS k, replace(c_name, '#', '-') AS host, ['IDLE', 'ALLOCATED', 'IDLE+DRAIN', 'MIXED*'][c_custkey % 4 + 1] AS state FROM customer WHERE c_custkey % 6 > 0),
+        n AS (SELECT *, k % 7 = 0 AND k % 14 > 0 AS skipped, k % 14 = 0 AS mapped FROM c)
+        SELECT host, CASE WHEN mapped THEN 'x9c0s0b0n' || k WHEN NOT skipped THEN 'x' || k % 20 || 'c' || k % 8 || 's' || k % 5 || 'b' || k % 3 || 'n' || k % 2 END AS xname,
+          CASE WHEN mapped THEN 9 WHEN NOT skipped THEN k % 20 END AS cab, CASE WHEN mapped THEN 0 WHEN NOT skipped THEN k % 8 END AS chassis, CASE WHEN mapped THEN 0 WHEN NOT skipped THEN k % 5 END AS slot,
+          CASE WHEN mapped THEN 0 WHEN NOT skipped THEN k % 3 END AS blade, CASE WHEN mapped THEN k WHEN NOT skipped THEN k % 2 END AS node,
+          state, 'all,p' || k % 3 AS partitions, skipped, NOT skipped AND state = 'IDLE' AND k % 3 = 1 AND k % 11 > 0 AS free FROM n""",
+    "unit_sizes": """WITH c AS (SELECT c_custkey % 4 AS cab, c_custkey % 3 AS chassis, c_custkey % 5 AS slot, c_custkey // 64 AS blade FROM customer),
+        m AS (SELECT (SELECT max(n) FROM (SELECT count(*) AS n FROM c GROUP BY cab, chassis, slot, blade)) AS m0, (SELECT max(n) FROM (SELECT count(*) AS n FROM c GROUP BY cab, chassis, slot)) AS m1,
+          (SELECT max(n) FROM (SELECT count(*) AS n FROM c GROUP BY cab, chassis)) AS m2, (SELECT max(n) FROM (SELECT count(*) AS n FROM c GROUP BY cab)) AS m3)
+        SELECT p_partkey, CASE WHEN p_partkey <= m0 THEN 'blade' WHEN p_partkey <= m1 THEN 'slot' WHEN p_partkey <= m2 THEN 'chassis' WHEN p_partkey <= m3 THEN 'cabinet' ELSE 'system' END AS level FROM part, m""",
+    "table_problems": """WITH p AS (SELECT p_partkey AS k, 'f' || p_partkey % 7 AS path, p_partkey // 7 AS line_no, p_size AS s FROM part WHERE p_partkey < 7 OR (p_partkey % 13 > 0 AND p_partkey % 17 > 0)),
+        t AS (SELECT *, CASE WHEN k = 3 THEN 'header must be id prio est' WHEN k < 7 THEN '' WHEN k % 19 = 0 THEN '2 columns, need 3' WHEN k % 23 = 0 THEN 'no number: prio' END AS problem FROM p)
+        SELECT path, line_no, CASE WHEN problem IS NULL THEN 'i' || k END AS id, CASE WHEN problem IS NULL THEN s::BIGINT END AS prio, CASE WHEN problem IS NULL THEN s + 0.5::DOUBLE END AS est, problem FROM t WHERE problem IS DISTINCT FROM ''""",
     "phase_shares": """WITH o AS (SELECT l_orderkey, sum(round(l_extendedprice * 100))::BIGINT AS total, sum(round(l_extendedprice * l_discount * 100))::BIGINT AS discount, sum(round(l_extendedprice * l_tax * 100))::BIGINT AS tax FROM lineitem GROUP BY l_orderkey)
         SELECT *, round(discount / nullif(total, 0), 3) AS discount_share, round(tax / nullif(total, 0), 3) AS tax_share FROM o""",
     "path_table": f"WITH {_RUNS} SELECT event_type, runs, n_ok, bad_exits, round(mean, 6) AS mean, least, most, round(100 * (most - least) / nullif(mean, 0), 6) AS spread_pct, digests FROM p",

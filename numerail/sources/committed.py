@@ -7,11 +7,16 @@ and the version that this one changes. A version without a whole header is not
 there; so a task or job that is lost leaves nothing that is read. A correction
 writes only the chunks that it changes, as a version of its own, and what was
 written before stays readable. No part is ever in memory as a whole.
+
+Writing may begin before a number is final: ``save_early`` writes its high part
+as an early version while the low part is still being made, which is then a
+correction. An early version is read only where it is asked for by its number.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +25,7 @@ from ..operators import longnums as ln
 from ..operators.division import chunks_of
 from ..operators.numbers import CHUNK, DIGITS
 from ..operators.residues import CHECK_PRIMES
+from .sinks import Background
 
 PRIMES = CHECK_PRIMES[:2]
 
@@ -62,12 +68,12 @@ def _write(spark: SparkSession, rows: DataFrame, path: str, about: dict) -> int:
     return version
 
 
-def save(number: DataFrame, path: str, nparts: int) -> int:
+def save(number: DataFrame, path: str, nparts: int, final: bool = True) -> int:
     """Writes a PACKED number (one, stored) as a new version in parts; returns the version."""
     spark = number.sparkSession
     last = header(spark, path)
     chunks = (number.agg(F.max("chunk")).first()[0] or 0) + 1
-    about = {"version": last["version"] + 1 if last else 1, "parent": None, "nparts": nparts, "chunks": chunks, "primes": [str(p) for p in PRIMES], "batch": None}
+    about = {"version": last["version"] + 1 if last else 1, "parent": None, "nparts": nparts, "chunks": chunks, "primes": [str(p) for p in PRIMES], "batch": None, "final": final}
     return _write(spark, number.withColumn("part", _part(F.col("chunk"), chunks, nparts)), path, about)
 
 
@@ -76,6 +82,8 @@ def read(spark: SparkSession, path: str, version: int | None = None) -> DataFram
     h = header(spark, path, version)
     if h is None:
         raise FileNotFoundError(f"no whole version {version or ''} in {path}")
+    if version is None and not h.get("final", True):
+        raise FileNotFoundError(f"version {h['version']} in {path} is an early one")
     every, at = None, h
     while at is not None:
         rows = spark.read.schema("num string, chunk long, data binary, top long, part int").parquet(f"{path}/v{at['version']}/data").withColumn("_v", F.lit(at["version"]))
@@ -92,8 +100,8 @@ def damaged(spark: SparkSession, path: str, version: int | None = None) -> list[
     return sorted(int(p) for p in h["residues"] if found.get(p) != h["residues"][p])
 
 
-def correct(spark: SparkSession, path: str, by: int, batch: int | None = None) -> int:
-    """Adds a small integer at the lowest place of the last version, as a new version; returns that.
+def correct(spark: SparkSession, path: str, by: int | DataFrame, batch: int | None = None) -> int:
+    """Adds a small integer, or a PACKED number of any length, to the last version, as a new version; returns that.
 
     Carries may run through any number of parts; only the chunks that change
     are written, and only the parts that have them get new residues. ``batch``
@@ -104,8 +112,11 @@ def correct(spark: SparkSession, path: str, by: int, batch: int | None = None) -
         return h["version"]
     old = read(spark, path, h["version"])
     num = old.first()["num"]
-    small = spark.createDataFrame(list(chunks_of(num, abs(by))), ln.PACKED)
-    new = ln.carried(ln.as_pieces(old).unionByName(ln.as_pieces(small, 1 if by >= 0 else -1)), difference=by < 0)
+    if isinstance(by, DataFrame):
+        term, sign = by.select(F.lit(num).alias("num"), "chunk", "data", "top"), 1
+    else:
+        term, sign = spark.createDataFrame(list(chunks_of(num, abs(by))), ln.PACKED), 1 if by >= 0 else -1
+    new = ln.carried(ln.as_pieces(old).unionByName(ln.as_pieces(term, sign)), difference=sign < 0)
     if (new.agg(F.max("top")).first()[0] or 0) >= h["chunks"] * CHUNK:
         raise ValueError("the corrected number is longer than its parts")
     before = old.select("num", "chunk", F.col("data").alias("was"))
@@ -113,11 +124,29 @@ def correct(spark: SparkSession, path: str, by: int, batch: int | None = None) -
     changed = ln.stored(changed.withColumn("part", _part(F.col("chunk"), h["chunks"], h["nparts"])), "changed")
     touched = [r["part"] for r in changed.select("part").distinct().collect()]
     rest = old.where(F.col("part").isin(touched)).join(changed.select("num", "chunk"), ["num", "chunk"], "left_anti")
-    about = {**h, "version": h["version"] + 1, "parent": h["version"], "batch": h["batch"] if batch is None else batch}
+    about = {**h, "version": h["version"] + 1, "parent": h["version"], "batch": h["batch"] if batch is None else batch, "final": True}
     about["of"] = lambda written: part_residues(written.unionByName(rest.select(written.columns)))
     return _write(spark, changed, path, about)
 
 
+def save_early(high: DataFrame, low: Callable[[], DataFrame], path: str, nparts: int) -> int:
+    """Writes high + low(), beginning with ``high`` while ``low`` still runs; returns the version that is final.
+
+    ``high`` is a PACKED number (one, stored) whose parts are long enough for the
+    sum; ``low`` makes a PACKED number, stored. Its carries run up through the
+    parts, and only chunks that they change are written again. If either fails,
+    what is there is an early version or none, and the error is raised.
+    """
+    spark = high.sparkSession
+    jobs = Background(spark)
+    jobs.start(lambda: save(high, path, nparts, final=False))
+    try:
+        term = low()
+    finally:
+        jobs.join()
+    return correct(spark, path, term)
+
+
 def follow(corrections: DataFrame, path: str, checkpoint: str):
     """Applies a stream of corrections (a column ``by``) to the number: each batch that changes it is a version."""
 

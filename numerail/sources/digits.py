@@ -48,6 +48,22 @@ def compare_digits(a: DataFrame, b: DataFrame) -> DataFrame:
     return odd.agg(verdict.alias("verdict"), first.alias("first_difference"))
 
 
+def compare_run(run: DataFrame, reference: DataFrame, parts: DataFrame) -> DataFrame:
+    """One row: complete, verdict, first_difference of a run's digits against reference digits, in chunks of one width.
+
+    The run's parts (part, nparts, lo, hi) must be whole and adjoin, else
+    nothing is compared and the verdict is DIFFERS. A reference that goes on
+    after the run's end is ``prefix``; a run that goes on after the reference's DIFFERS.
+    """
+    if not contiguous(parts).first()["ok"]:
+        return run.sparkSession.createDataFrame([(False, "DIFFERS", None)], "complete boolean, verdict string, first_difference struct<chunk_no: bigint, offset: int>")
+    length = lambda df, name: df.groupBy().agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias(name), F.lit(1).alias("_one"))
+    sizes = length(run, "_mine").join(length(reference, "_theirs"), "_one")
+    out = compare_digits(run, reference).withColumn("_one", F.lit(1)).join(F.broadcast(sizes), "_one")  # one row each
+    verdict = F.when((F.col("verdict") == "prefix") & (F.col("_mine") > F.col("_theirs")), "DIFFERS").otherwise(F.col("verdict"))
+    return out.select(F.lit(True).alias("complete"), verdict.alias("verdict"), F.col("first_difference").cast("struct<chunk_no: bigint, offset: int>").alias("first_difference"))
+
+
 def read_windows(spark: SparkSession, path: str) -> DataFrame:
     """Known windows: lines ``offset digits``."""
     return spark.read.csv(path, schema="off long, w string", sep=" ")

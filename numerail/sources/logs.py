@@ -5,15 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.order import indexed_within
+from ..operators.storage import stored
+
 #: Optional "rank: " and "mn: host rank: " before a line.
 PREFIX = r"^(?:\s*\d+: )?(?:mn: (\S+) (\d+): )?"
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """path, line_no, value of text files; lines are numbered within each file."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
-    lines = whole.select("path", F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n")).alias("line_no", "value"))
-    return lines
+    """path, line_no, value of text files; lines are numbered from 0 within each file.
+
+    A file is read in as many splits as Spark makes of it: lines are numbered by
+    the start of their split and their order in it, so no row or task holds a file.
+    """
+    rows = spark.read.text(path, lineSep="\n")
+    placed = rows.select(F.input_file_name().alias("path"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_in"), "value")
+    placed = stored(placed, "lines")  # an id within a split is given once
+    return indexed_within(placed, ["path"], ["_split", "_in"], "line_no").select("path", "line_no", "value")
 
 
 def prefixed(value: Column) -> tuple[Column, Column, Column]:
@@ -65,6 +73,39 @@ def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.csv(path, schema=schema, sep="\t", header=True, comment="#", ignoreTrailingWhiteSpace=True, ignoreLeadingWhiteSpace=True)
 
 
+def united_tables(lines: DataFrame, columns: list[str], types: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows of tab-separated files that have one header, and what is wrong with them.
+
+    ``lines``: path, line_no, value. Empty lines and those that start with #
+    are left out. The first other line of a file must begin with the columns;
+    a file with another header is named in the problems and its rows are taken
+    by place all the same. Rows: path, line_no and the columns without spaces
+    around them, those in ``types`` (such as {"prio": "int"}) as numbers.
+    Problems: path, line_no, problem; a row with a wrong number of columns or
+    with a text for a number is a problem and no row. Files without any line
+    have neither.
+    """
+    used = lines.where(~F.col("value").rlike(r"^(\s*$|#)")).select("path", "line_no", F.regexp_replace("value", r"\r$", "").alias("value"))
+    heads = used.groupBy("path").agg(F.min(F.struct("line_no", "value")).alias("h")).select("path", "h.line_no", "h.value")
+    cells = F.split("value", "\t", -1)
+    wanted = F.array(*[F.lit(c) for c in columns])
+    bad_heads = heads.where(~F.slice(cells, 1, len(columns)).eqNullSafe(wanted)).select("path", "line_no", F.lit("header must be " + " ".join(columns)).alias("problem"))
+    first = heads.select("path", F.col("line_no").alias("_head"))
+    body = used.join(first, "path").where("line_no > _head").withColumn("_c", cells)
+    numbers = {c: F.expr(f"try_cast(trim(_c[{columns.index(c)}]) as {t})") for c, t in (types or {}).items()}
+    short = F.size("_c") != len(columns)
+    no_number = F.concat_ws(" ", *[F.when(n.isNull(), F.lit(c)) for c, n in numbers.items()]) if numbers else F.lit("")
+    problem = F.when(short, F.concat(F.size("_c").cast("string"), F.lit(f" columns, need {len(columns)}"))).when(no_number != "", F.concat(F.lit("no number: "), no_number))
+    checked = body.withColumn("_problem", problem)
+    rows = checked.where("_problem is null").select("path", "line_no", *[numbers.get(c, F.trim(F.get("_c", F.lit(i)))).alias(c) for i, c in enumerate(columns)])
+    return rows, bad_heads.unionByName(checked.where("_problem is not null").select("path", "line_no", F.col("_problem").alias("problem")))
+
+
+def field(line: Column, key: str) -> Column:
+    """The value of the first ``key=value`` of a line, empty without one."""
+    return F.regexp_extract(line, rf"(?:^|\s){key}=(\S*)", 1)
+
+
 def cited_names(lines: DataFrame, pattern: str) -> DataFrame:
     """line_no, name of every match of a pattern's first group: a scan of sources or documents."""
     return lines.select("line_no", F.explode(F.regexp_extract_all("value", F.lit(pattern), 1)).alias("name"))

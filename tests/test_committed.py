@@ -71,3 +71,31 @@ def test_a_stream_of_corrections(spark, tmp_path):
     # a batch that comes again changes nothing
     h = cm.header(spark, path)
     assert h["batch"] == 2 and cm.correct(spark, path, 100, batch=2) == h["version"]
+
+
+def test_writing_begins_before_the_number_is_final(spark, tmp_path):
+    """The high part is written while the low one is made; its carry runs up through the parts."""
+    path = str(tmp_path / "number")
+    high, low = (B**CHUNK * 5 - 1) * B**CHUNK, B ** (CHUNK + 1) - 7
+    seen = []
+
+    def late():
+        seen.append(cm.header(spark, path))
+        return number(spark, low)
+
+    version = cm.save_early(number(spark, high), late, path, 2)
+    assert version == 2 and int(text_of(spark, path)) == high + low and cm.damaged(spark, path) == []
+    assert not cm.header(spark, path, 1)["final"] and int(text_of(spark, path, 1)) == high
+    # a low part that fails leaves an early version, which is not read as the number
+    other = str(tmp_path / "other")
+
+    def fails():
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError, match="lost"):
+        cm.save_early(number(spark, high), fails, other, 2)
+    with pytest.raises(FileNotFoundError, match="early"):
+        cm.read(spark, other)
+    assert cm.correct(spark, other, number(spark, low)) == 2 and int(text_of(spark, other)) == high + low
+    # a number of no digits changes no chunk
+    assert cm.correct(spark, other, number(spark, 0)) == 3 and int(text_of(spark, other)) == high + low

@@ -143,3 +143,69 @@ def test_plans(spark):
     plan = grids.run_plan(spark, 100_000)
     assert plan.where("not terms_ok").count() == 0 and {r["stage"] for r in plan.collect()} == {"tree", "reciprocal", "division"}
     assert grids.fan_in_schedule(12) == [2, 4, 12] and grids.fan_in_schedule(7) == [7]
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    """Files of several splits, of one, of none, with empty lines and without an end of line."""
+    texts = {"a.log": "".join(f"line {i}\n" for i in range(3000)), "b.log": "one", "c.log": "", "d.log": "\n\nx\n\n"}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = logs.read_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    got = {name: [r["value"] for r in sorted((r for r in rows if r["path"].endswith(name)), key=lambda r: r["line_no"])] for name in texts}
+    assert got == {"a.log": [f"line {i}" for i in range(3000)], "b.log": ["one"], "c.log": [], "d.log": ["", "", "x", ""]}
+    assert sorted(r["line_no"] for r in rows if r["path"].endswith("a.log")) == list(range(3000))
+
+
+def test_united_tables_and_their_problems(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("# items\n\nid\tn\tx\n a \t1\t2.5\nb\tmany\t1\nc\t3\n#d\t1\t1\n")
+    (tmp_path / "b.tsv").write_text("id\tcount\tx\r\nd\t4\t1e2\r\n")
+    (tmp_path / "c.tsv").write_text("# nothing\n")
+    rows, problems = logs.united_tables(logs.read_lines(spark, str(tmp_path)), ["id", "n", "x"], {"n": "int", "x": "double"})
+    file = lambda r: r["path"][-5:]
+    assert {(file(r), r["line_no"], r["id"], r["n"], r["x"]) for r in rows.collect()} == {("a.tsv", 3, "a", 1, 2.5), ("b.tsv", 1, "d", 4, 100.0)}
+    assert {(file(r), r["line_no"], r["problem"]) for r in problems.collect()} == {("a.tsv", 4, "no number: n"), ("a.tsv", 5, "2 columns, need 3"), ("b.tsv", 0, "header must be id n x")}
+    rows, problems = logs.united_tables(logs.read_lines(spark, str(tmp_path)).where("false"), ["id"])
+    assert rows.columns == ["path", "line_no", "id"] and rows.count() == problems.count() == 0
+
+
+def test_nodes_of_text_and_of_tables(spark):
+    text = [
+        "NodeName=n1 Arch=a NodeAddr=nid-x1c2s3b0n1 State=IDLE Partitions=all,p1", "NodeName=n2 NodeAddr=? Comment=at-x1c2s3b1n0 State=IDLE+DRAIN Partitions=all",
+        "NodeName=n3 Comment= State=IDLE Partitions=p1", "NodeName=n4 NodeAddr=x9c9s9b9n9 State=ALLOCATED* Partitions=", "  NodeName=n5 NodeAddr=x1c1s1b1n1", "Other=x1c1s1b1n1",
+    ]
+    names = spark.createDataFrame([("n4", "x0c1s2b3n4"), ("n3", "x1c1"), ("zz", "x1c1s1b1n1")], "host string, xname string")
+    nodes = tp.scheduler_nodes(spark.createDataFrame([(x,) for x in text], "value string"), names)
+    got = {r["host"]: (r["cab"], r["chassis"], r["slot"], r["blade"], r["node"], r["state"], r["partitions"], r["skipped"]) for r in nodes.collect()}
+    assert got == {"n1": (1, 2, 3, 0, 1, "IDLE", ["all", "p1"], False), "n2": (1, 2, 3, 1, 0, "IDLE+DRAIN", ["all"], False), "n3": (None,) * 5 + ("IDLE", ["p1"], True), "n4": (0, 1, 2, 3, 4, "ALLOCATED*", [], False)}
+    free = lambda **how: {r["host"] for r in tp.free_nodes(nodes, **how).where("free").collect()}
+    out = tp.name_list(spark.createDataFrame([("n9, n1 # n4",), ("# n4",), ("",)], "value string"))
+    assert free() == {"n1"} and free(state="usable") == {"n1", "n4"} and free(partition="p2") == free(excluded=out) == set() and free(excluded=out, state="usable") == {"n4"}
+    table = ["host\txname\ta\tb\tc\td\te\tstate", "h1\tx1c2s3b0n1\t\t\t\t\t\tIDLE\tp1,p2", "h2\tx1c2s3b0n2\t\t\t\t\t\tDOWN", "h3\tnone\t\t\t\t\t\tIDLE", "h4\tx1c2s3b0n1"]
+    listed = tp.listed_nodes(spark.createDataFrame([(x,) for x in table], "value string")).collect()
+    assert {(r["host"], r["node"], r["state"], tuple(r["partitions"])) for r in listed} == {("h1", 1, "IDLE", ("p1", "p2")), ("h2", 2, "DOWN", ())}
+
+
+def test_sizes_meet_the_smallest_unit(spark):
+    nodes = machine(spark)
+    sizes = spark.createDataFrame([(n,) for n in (0, 1, 2, 3, 8, 16, 17, 32, 33)], "n int")
+    want = {0: "blade", 1: "blade", 2: "blade", 3: "slot", 8: "chassis", 16: "cabinet", 17: "system", 32: "system", 33: "system"}
+    assert {r["n"]: r["level"] for r in tp.smallest_units(nodes, sizes, "n").collect()} == want
+    assert {r["level"] for r in tp.smallest_units(nodes.where("false"), sizes.where("n > 0"), "n").collect()} == {"system"}
+
+
+def test_runs_against_references(spark):
+    digits = "2" + "7" * 299
+    chunks = lambda t: spark.createDataFrame([(i // 70, t[i : i + 70]) for i in range(0, len(t), 70)], "chunk_no long, text string")
+    parts = spark.createDataFrame([(0, 2, 0, 25), (1, 2, 25, 50)], "part int, nparts int, lo long, hi long")
+    say = lambda a, b, p=parts: tuple(dg.compare_run(chunks(a), chunks(b), p).first())
+    assert say(digits, digits) == (True, "identical", None)
+    assert say(digits[:200], digits)[:2] == (True, "prefix") and say(digits, digits[:200])[:2] == (True, "DIFFERS") and say(digits[:140], digits)[1] == "prefix"
+    complete, verdict, first = say(digits[:150] + "8" + digits[151:], digits)
+    assert complete and verdict == "DIFFERS" and tuple(first) == (2, 10)
+    for wrong in (parts.where("part = 0"), parts.where("part = 1"), parts.union(parts.where("part = 1")), parts.where("false")):
+        assert say(digits, digits, wrong) == (False, "DIFFERS", None)
