@@ -237,10 +237,12 @@ def times_small(df: DataFrame, factor: int) -> DataFrame:
 
 def folded(df: DataFrame, p: int) -> DataFrame:
     """The number modulo base^p - 1: positions modulo p are added, until nothing is above."""
-    from .series import cut
+    from .storage import stored
 
     for _ in range(FOLDS):
-        df = cut(carried(df.select("num", (F.col("idx") % p).alias("idx"), "limb").groupBy("num", "idx").agg(F.sum("limb").alias("limb"))))
+        # the carries read their input several times, what is folded is made once
+        sums = stored(df.groupBy("num", (F.col("idx") % p).alias("idx")).agg(F.sum("limb").alias("limb")), "fold")
+        df = stored(carried(sums), "folded")
         if not df.where(F.col("idx") >= p).take(1):
             break
     else:

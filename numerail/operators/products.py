@@ -120,7 +120,8 @@ def _by_transforms(a: DataFrame, b: DataFrame, plus: DataFrame | None, high: int
     out = longnums.unpacked(longnums.product(x, y, more, high))
     if cycle is None:
         return out
-    return carried(out.groupBy("num", (F.col("idx") % cycle).alias("idx")).agg(F.sum("limb").alias("limb")), rounds=1)
+    sums = stored(out.groupBy("num", (F.col("idx") % cycle).alias("idx")).agg(F.sum("limb").alias("limb")), "wrapped")
+    return stored(carried(sums, rounds=1), "wrapped")
 
 
 #: Digits of an operand in a batch, beyond which a product is split into pieces.
