@@ -86,6 +86,18 @@ def product_low(spark, sf_dir):
     return _residue_rows(pr.multiplied(a, b, high=60, size=32))
 
 
+def product_band(spark, sf_dir):
+    """The middle of the product of the two numbers: only pairs of blocks that reach the limbs from 64 to 159."""
+    a, b = _two_numbers(spark, sf_dir)
+    return _residue_rows(pr.multiplied(a, b, low=64, high=160, size=32))
+
+
+def modular_inverses(spark, sf_dir):
+    """The inverses of the orders' prices in cents less a million, of any sign, modulo two primes (null where there is none)."""
+    rows = _t(spark, sf_dir, "orders").select("o_orderkey", (_cents("o_totalprice") - 1_000_000).alias("x"))
+    return rows.select("o_orderkey", *[rs.inversemod(rs.canonical(F.col("x"), q), q).cast("string").alias(f"inv{i}") for i, q in enumerate((SMALL_PRIME, LARGE_PRIME))])
+
+
 def product_cyclic(spark, sf_dir):
     """The product of the customers' and the suppliers' number modulo base^50 - 1."""
     b = _two_numbers(spark, sf_dir)[1]
@@ -308,7 +320,7 @@ KNOWN_WINDOWS = [
 ]
 
 QUERIES = (
-    number_shift, any_below, limb_point, number_complement, plus_small, product_plus, product_checked, product_low, product_cyclic, divided_by_word, digit_blocks, number_committed, product_redone, regrouped_points, number_division, many_products, grid_search, part_plan,
+    number_shift, any_below, limb_point, number_complement, plus_small, product_plus, product_checked, product_low, product_band, modular_inverses, product_cyclic, divided_by_word, digit_blocks, number_committed, product_redone, regrouped_points, number_division, many_products, grid_search, part_plan,
     digit_counts, last_wins, sample_windows, high_water, rollup_max, first_lines, zipped_columns, physical_keys, state_flags, manifest_problems,
     eligible_items, name_suggestions, cited_items, t1_identity, e_windows,
 )
@@ -327,6 +339,12 @@ def _product_sql(plus: bool) -> str:
         SELECT 's' AS num, ({out[0]})::VARCHAR AS r0, ({out[1]})::VARCHAR AS r1 FROM x, y"""
 
 
+def _inverse_sql(q: int) -> str:
+    bits = ", ".join(f"{bit}::HUGEINT" for bit in f"{q - 2:b}"[1:])  # the first bit is x itself
+    x = f"((((v % {q}) + {q}) % {q})::HUGEINT)"
+    return f"CASE WHEN {x} <> 0 THEN list_reduce([{x}, {bits}], lambda acc, bit: (acc * acc % {q}::HUGEINT) * (CASE WHEN bit = 1 THEN {x} ELSE 1::HUGEINT END) % {q}::HUGEINT)::VARCHAR END"
+
+
 _ITEMS = """i AS (SELECT CASE WHEN p_partkey % 50 = 0 THEN 'I ' || p_partkey WHEN p_partkey % 47 = 0 THEN 'i' || (p_partkey - 1) ELSE 'i' || p_partkey END AS id, p_partkey % 3 + CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE 1 END AS tier,
     p_size - 2 AS nodes, p_size % 45 AS est, list_filter([CASE WHEN p_partkey % 4 = 0 THEN 'i' || (p_partkey - 1) END, CASE WHEN p_partkey % 10 = 0 THEN 'i' || (p_partkey + 3) END, CASE WHEN p_partkey % 33 = 0 THEN 'i' || p_partkey END], lambda x: x IS NOT NULL) AS deps,
     's' || (p_partkey % 12) AS script, (p_partkey % 17)::INT AS prio, p_partkey AS k FROM part)"""
@@ -356,6 +374,12 @@ SQL = {
         c AS (SELECT 0::BIGINT AS k, (v % 1000000)::HUGEINT AS limb, v // 1000000 AS carry FROM p WHERE k = 0 UNION ALL SELECT c.k + 1, (p.v + c.carry) % 1000000, (p.v + c.carry) // 1000000 FROM c JOIN p ON p.k = c.k + 1),
         x AS (SELECT list_prepend(0::HUGEINT, list(limb ORDER BY k DESC)) AS x FROM c)
         SELECT 's' AS num, ({_mod('x', SMALL_PRIME)})::VARCHAR AS r0, ({_mod('x', LARGE_PRIME)})::VARCHAR AS r1 FROM x""",
+    "product_band": f"""WITH RECURSIVE {_TWO}, p AS (SELECT a.idx + b.idx AS k, sum(a.limb::HUGEINT * b.limb)::HUGEINT AS v FROM a JOIN b ON (a.idx // 32 + b.idx // 32 + 2) * 32 > 64 AND (a.idx // 32 + b.idx // 32) * 32 < 160 AND a.idx + b.idx < 160 GROUP BY ALL),
+        c AS (SELECT 32::BIGINT AS k, (v % 1000000)::HUGEINT AS limb, v // 1000000 AS carry FROM p WHERE k = 32 UNION ALL SELECT c.k + 1, (p.v + c.carry) % 1000000, (p.v + c.carry) // 1000000 FROM c JOIN p ON p.k = c.k + 1),
+        x AS (SELECT list_prepend(0::HUGEINT, list_concat(list(limb ORDER BY k DESC), list_transform(range(32), lambda i: 0::HUGEINT))) AS x FROM c)
+        SELECT 's' AS num, ({_mod('x', SMALL_PRIME)})::VARCHAR AS r0, ({_mod('x', LARGE_PRIME)})::VARCHAR AS r1 FROM x""",
+    "modular_inverses": f"""WITH o AS (SELECT o_orderkey, round(o_totalprice * 100)::BIGINT - 1000000 AS v FROM orders)
+        SELECT o_orderkey, {_inverse_sql(SMALL_PRIME)} AS inv0, {_inverse_sql(LARGE_PRIME)} AS inv1 FROM o""",
     "product_cyclic": f"""WITH RECURSIVE {_TWO}, s AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS idx, abs(round(s_acctbal * 100)::BIGINT) % 1000000 AS limb FROM supplier),
         p AS (SELECT (b.idx + s.idx) % 50 AS k, sum(b.limb::HUGEINT * s.limb)::HUGEINT AS v FROM b, s GROUP BY ALL),
         l AS (SELECT list(v ORDER BY k) AS x FROM p),

@@ -58,6 +58,28 @@ def mulmod(a: Column, b: Column, q: int) -> Column:
     return ((a.cast(WIDE) * b.cast(WIDE)).cast(PRODUCT) % F.lit(q).cast(WIDE)).cast(WIDE)
 
 
+def canonical(a: Column, q: int) -> Column:
+    """The representative from 0 to q - 1 of an integer of any sign (up to 38 digits)."""
+    m = F.lit(q).cast(PRODUCT)
+    return F.pmod(a.cast(PRODUCT), m).cast(WIDE)
+
+
+def raisedmod(a: Column, e: int, q: int) -> Column:
+    """a^e mod q for 0 <= a < q < 2^63 and e >= 0, by squaring along the bits of e."""
+    if e < 0:
+        raise ValueError("a negative exponent; take the power of the inverse")
+    one = F.lit(1).cast(WIDE)
+    bits = F.array(*[F.lit(bit == "1") for bit in f"{e:b}"])
+    return F.aggregate(bits, one, lambda acc, bit: mulmod(mulmod(acc, acc, q), F.when(bit, a.cast(WIDE)).otherwise(one), q))
+
+
+def inversemod(a: Column, q: int) -> Column:
+    """The inverse of a modulo a prime below 2^63, from 1 to q - 1; null for 0."""
+    if not is_prime(q):
+        raise ValueError(f"{q} is no prime")
+    return F.when(a != 0, raisedmod(a, q - 2, q))
+
+
 def _horner(items: Column, weight: int, q: int) -> Column:
     """From the first element on: (acc * weight + x) mod q."""
     w = weight % q

@@ -1,10 +1,14 @@
 """Numbers over one word."""
 
 import random
+from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from numerail.operators import numbers as nb
+from numerail.operators import products as pr
+from numerail.operators import residues as rs
 from numerail.operators import words as wd
 
 R = random.Random(11)
@@ -37,3 +41,25 @@ def test_words_that_are_none(spark):
             wd.divided_by_word(nb.from_ints(spark, {"a": 5}), divisor)
     q, r = wd.divided_by_word(nb.from_ints(spark, {"a": 5}).where("false"), 7)
     assert q.count() == r.count() == 0
+
+
+@pytest.mark.parametrize("q", [2, 3, 998_244_353, rs.CHECK_PRIMES[0]])
+def test_powers_and_inverses_modulo_a_prime(spark, q):
+    values = [0, 1, -1, 2, 17, q - 1, q, -q, 3 * q + 2, 10**37, -(10**37)] + [R.randrange(-(10**30), 10**30) for _ in range(40)]
+    df = spark.createDataFrame([(i, Decimal(v)) for i, v in enumerate(values)], "i int, v decimal(38,0)").withColumn("c", rs.canonical(F.col("v"), q))
+    rows = df.select("i", "c", rs.inversemod(F.col("c"), q).alias("inv"), rs.raisedmod(F.col("c"), 0, q).alias("p0"), rs.raisedmod(F.col("c"), 12_345, q).alias("p"))
+    for r in rows.collect():
+        c = values[r["i"]] % q
+        assert (r["c"], r["p0"], r["p"]) == (c, 1, pow(c, 12_345, q)) and r["inv"] == (pow(c, -1, q) if c else None)
+    with pytest.raises(ValueError, match="prime"):
+        rs.inversemod(F.col("c"), 15)
+
+
+def test_bands_of_products(spark):
+    """What a cut leaves out is less than a unit at the cut for each pair of blocks left out."""
+    a, b = R.getrandbits(1500) | 1, R.getrandbits(1100) | 1
+    x, y = nb.from_ints(spark, {"n": a}), nb.from_ints(spark, {"n": b})
+    for low, high, size in ((40, None, 8), (24, 48, 8), (0, 30, 8), (33, 47, 4)):
+        got = nb.to_ints(pr.multiplied(x, y, low=low, high=high, size=size))["n"]
+        top = nb.BASE ** (high or 1000)
+        assert 0 <= (a * b - got) % top <= (low // size + 1) ** 2 * nb.BASE**low
