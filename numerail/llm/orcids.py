@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, hold, n_shuffle, small_batches, stored
+from .common import fresh_path, hold, n_shuffle, small_batches, stored, trim
 from .pieces import MARKS, START, Cutter, PartTable, gathered, groups_of, literal, special_tokens
 
 END_ID = 0
@@ -40,6 +40,8 @@ FILE_SCHEMA = "part int, place long, doc_id long, ids array<int>"
 CACHE_LIMIT, AT_ONCE = 600_000, 2000
 #: Documents of a block of running sums.
 BLOCK = 65_536
+#: Bytes of texts that are encoded at once, and rows that Spark's reader decodes at once: a row has a list of ids.
+GROUP_BYTES, READ_ROWS = 4 << 20, 256
 
 
 class ChunkEncoder:
@@ -110,7 +112,7 @@ def _encode(path: str):
         encoder, place = _LOADED[path], 0
         for batch in batches:
             texts = batch.column("text").fill_null("")
-            for at, to in groups_of(texts):
+            for at, to in groups_of(texts, GROUP_BYTES):
                 part = batch.slice(at, to - at)
                 offsets, ids = encoder.encode(texts.slice(at, to - at))
                 ids = np.insert(ids, offsets[1:], END_ID)
@@ -119,6 +121,7 @@ def _encode(path: str):
                 places = pa.array(np.arange(place, place + to - at))
                 place += to - at
                 yield pa.RecordBatch.from_arrays([part.column("part"), places, part.column("doc_id"), lists], ["part", "place", "doc_id", "ids"])
+        trim()
 
     return run
 
@@ -154,6 +157,10 @@ def write_ids(docs: DataFrame, tokenizer_path: str, path: str) -> str:
 
 
 def read_ids(spark, path: str) -> DataFrame:
+    """The files' rows. The reader's rows at once are lowered in the session: it keeps the lists of a batch in arrays of 8 bytes an id."""
+    name = "spark.sql.orc.columnarReaderBatchSize"
+    if int(spark.conf.get(name, "4096")) > READ_ROWS:
+        spark.conf.set(name, str(READ_ROWS))
     return spark.read.schema(FILE_SCHEMA).orc(path)
 
 

@@ -1228,3 +1228,16 @@ def test_words_that_share_a_hash_take_another_seed(spark, monkeypatch):
     monkeypatch.setattr(collocations, "SEEDS", 1)
     with pytest.raises(RuntimeError, match="share hashes"):
         collocations.collocations(docs, 2)
+
+
+def test_ids_are_made_and_read_in_small_groups(spark, tmp_path):
+    texts = pa.array(["a word " * 150_000] * 12)  # 12.6 MB in one batch
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * 12, pa.int32()), pa.array(range(12)), texts], ["part", "doc_id", "text"])
+    out = list(orcids._encode(BPE)(iter([batch])))
+    assert [d for b in out for d in b.column("doc_id").to_pylist()] == [p for b in out for p in b.column("place").to_pylist()] == list(range(12))
+    assert max(b.num_rows for b in out) <= 3
+    spark.conf.unset("spark.sql.orc.columnarReaderBatchSize")
+    docs = spark.createDataFrame([(i, "some words " * 400) for i in range(1000)], "doc_id long, text string")
+    ids = orcids.read_ids(spark, orcids.write_ids(docs, BPE, str(tmp_path / "ids")))
+    assert int(spark.conf.get("spark.sql.orc.columnarReaderBatchSize")) <= 256
+    assert orcids.id_index(ids).count() == 1000
