@@ -20,8 +20,8 @@ from .numbers import BASE, CHUNK
 from .residues import CHECK_PRIMES
 from .transforms import length_for
 
-#: Limbs up to which the driver divides by itself: 24,576 digits.
-SEED_LIMBS = 4096
+#: Limbs of the first reciprocal, which the driver makes by itself (196,608 digits), and of what it divides whole.
+SEED_LIMBS, WHOLE_LIMBS = 32_768, 4096
 #: Units by which an estimate may be off at most before it counts as wrong.
 MAX_CORRECTIONS = 8
 
@@ -86,11 +86,13 @@ def _low(a: DataFrame, count: int) -> DataFrame:
 
 
 def power_of_base(spark: SparkSession, num: str, k: int) -> DataFrame:
-    """base^k as PIECE."""
-    rows = [(num, k // CHUNK, k % CHUNK, CHUNK, 1, np.ones(1, dtype=np.int64).tobytes())]
+    """base^k as PACKED."""
+    one = np.zeros(CHUNK, dtype=np.int64)
+    one[k % CHUNK] = 1
+    rows = [ln._packed_row(num, k // CHUNK, one)]
     if k >= CHUNK:
-        rows.append((num, 0, 0, CHUNK, 1, np.zeros(1, dtype=np.int64).tobytes()))
-    return spark.createDataFrame(rows, ln.PIECE)
+        rows.append(ln._packed_row(num, 0, np.zeros(CHUNK, dtype=np.int64)))
+    return spark.createDataFrame(rows, ln.PACKED)
 
 
 def wrap_length(limbs: int) -> int:
@@ -102,7 +104,7 @@ def rest(a: DataFrame, x: DataFrame, q: DataFrame, limit: int, steps: Steps, nam
     """|a - x q| and its sign, where it is known to be below base^limit. ``a`` may be PIECE or PACKED."""
     spark, num = q.sparkSession, q.first()["num"]
     a = ln.carried(a) if "stride" in a.columns else a
-    p, whole = wrap_length(limit + 1), size(x) + size(q)
+    p, whole = wrap_length(limit + 1), sum(ln.sizes(x, q))
     steps.points[name] = min(p, length_for(whole, (1, 3))) if steps.wrap else length_for(whole, (1, 3))
     if steps.wrap and p < whole:
         per = p // CHUNK
@@ -194,12 +196,12 @@ def divided(a: DataFrame, q: DataFrame, seed: int = SEED_LIMBS, steps: Steps | N
     """
     steps = steps or Steps()
     spark, num = q.sparkSession, q.first()["num"]
-    na, n = size(a), size(q)
+    na, n = ln.sizes(a, q)
     if not head(q, n - 1):
         raise ZeroDivisionError("division by zero")
     if na < n:
         return from_int(spark, num, 0), a
-    if na <= seed:
+    if na <= min(seed, WHOLE_LIMBS):
         x, r = divmod(head(a, 0), head(q, 0))
         return from_int(spark, num, x), from_int(spark, num, r)
     k = na - n + 1

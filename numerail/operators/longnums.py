@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .numbers import BASE, CHUNK, incoming
@@ -40,6 +40,10 @@ BAND_POINTS, TILE_POINTS = 1 << 14, 256
 SPREAD = 5
 #: Chunks whose carries are scanned in one window, and broadcast; rows of 50 bytes.
 SCANNED = 1 << 17
+#: Chunks whose carries the driver scans itself, from a row of 50 bytes each.
+HEADS = 1 << 14
+#: Bytes of an Arrow batch to and from Python, and rows of it that are Python objects at once.
+BATCH_BYTES, AT_ONCE = 8 << 20, 256
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -48,7 +52,7 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], list(names))
 
 
-def _batches(rows: Iterator[tuple], schema: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _batches(rows: Iterator[tuple], schema: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Record batches of a bounded number of bytes."""
     held, size = [], 0
     for row in rows:
@@ -63,7 +67,9 @@ def _batches(rows: Iterator[tuple], schema: str, most: int = 8 << 20) -> Iterato
 
 def _rows(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple]:
     for b in batches:
-        yield from zip(*(b.column(c).to_pylist() for c in columns), strict=True)
+        for at in range(0, b.num_rows, AT_ONCE):
+            part = b.slice(at, AT_ONCE)
+            yield from zip(*(part.column(c).to_pylist() for c in columns), strict=True)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str], columns: list[str]) -> Iterator[tuple[tuple, list[tuple]]]:
@@ -80,7 +86,8 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str], columns: list[st
 
 
 def _dealt(df: DataFrame, *keys: str) -> DataFrame:
-    return df.repartition(partitions(df.sparkSession), *keys).sortWithinPartitions(*keys)
+    # no number of partitions: adaptive execution joins small ones, so short numbers take few tasks
+    return df.repartition(*keys).sortWithinPartitions(*keys)
 
 
 def _mapped(df: DataFrame, rows_of, schema: str) -> DataFrame:
@@ -89,9 +96,18 @@ def _mapped(df: DataFrame, rows_of, schema: str) -> DataFrame:
     def run(batches):
         yield from _batches(rows_of(batches), schema)
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's bytes per Arrow batch where they are above BATCH_BYTES: a row may have 32 KB."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, "64m")
+    if not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 # ---- rows and chunks
 
 
@@ -244,12 +260,15 @@ def carried(parts: DataFrame, difference: bool = False) -> DataFrame:
     between chunks are a scan over one small row per chunk. ``difference``: the
     sums are those of a - b with a >= b.
     """
-    done = stored(added_up(parts), "carrying")
+    counted = Observation()
+    done = stored(added_up(parts).observe(counted, F.count(F.lit(1)).alias("n")), "carrying")
+    if counted.get["n"] <= HEADS:
+        return _carried_by_heads(done, difference)
     heads = done.select("num", "chunk", "out", "low", "nines", "zeros")
     after = heads.select("num", (F.col("chunk") + 1).alias("chunk"), "out")
     every = heads.select("num", "chunk", F.lit(0).cast("long").alias("out"), "low", "nines", "zeros").unionByName(after, allowMissingColumns=True)
     # up to a number of chunks the scan is one window, beyond it goes by runs of chunks
-    tiers = 1 if done.count() <= SCANNED else 2
+    tiers = 1 if counted.get["n"] <= SCANNED else 2
     if tiers == 1:
         every = every.repartition(partitions(done.sparkSession), "num")
     every = every.groupBy("num", F.col("chunk").alias("idx")).agg(F.sum("out").alias("got"), F.max("low").alias("low"), F.max("nines").alias("nines"), F.max("zeros").alias("zeros"))
@@ -277,6 +296,44 @@ def carried(parts: DataFrame, difference: bool = False) -> DataFrame:
     return stored(_mapped(data.unionByName(fresh), rows_of, PACKED), "packed")
 
 
+def _carried_by_heads(done: DataFrame, difference: bool) -> DataFrame:
+    """CARRYING of a bounded number of chunks to PACKED: the scan runs over their heads on the driver."""
+    heads = {(r["num"], r["chunk"]): r for r in done.select("num", "chunk", "out", "low", "nines", "zeros").collect()}
+    got = {(num, chunk + 1): r["out"] for (num, chunk), r in heads.items() if r["out"]}
+    comes: dict[tuple[str, int], int] = {}
+    passed: dict[tuple[str, int], int] = {}
+    most = max((chunk for _, chunk in heads), default=0)
+    todo = sorted(heads.keys() | got.keys(), reverse=True)
+    while todo:
+        key = num, chunk = todo.pop()
+        come = got.get(key, 0) + passed.get(key, 0)
+        if come:
+            comes[key] = come
+        r = heads.get(key)
+        low, on = (r["low"], r["zeros"] if difference else r["nines"]) if r else (0, difference)
+        sends = (-1 if low + come < 0 else 0) if difference else (1 if low + come >= BASE**3 else 0)
+        if on and sends and not (difference and chunk >= most):
+            passed[num, chunk + 1] = sends
+            if (num, chunk + 1) not in heads and (num, chunk + 1) not in got:
+                todo.append((num, chunk + 1))
+    spark, schema = done.sparkSession, "num string, chunk long, data binary"
+    data = done.select("num", "chunk", "data")
+    fresh = [(*key, None) for key in comes if key not in heads]
+    if fresh:
+        data = data.unionByName(spark.createDataFrame(fresh, schema))
+
+    def rows_of(batches):
+        for num, chunk, limbs in _rows(batches, ["num", "chunk", "data"]):
+            s = np.zeros(CHUNK, dtype=np.int64) if limbs is None else np.frombuffer(limbs, dtype=np.uint32).astype(np.int64)
+            come = comes.get((num, chunk))
+            if come:
+                s[0] += come
+                _settled(s)  # what goes out has been counted
+            yield _packed_row(num, chunk, s)
+
+    return stored(_mapped(data, rows_of, PACKED), "packed")
+
+
 def sum_of(*numbers: DataFrame) -> DataFrame:
     out = as_pieces(numbers[0])
     for n in numbers[1:]:
@@ -384,19 +441,19 @@ def _pointwise(shape: Shape, only: frozenset | None = None):
         for (num, band), rows in _groups(batches, ["num", "band"], ["side", "piece", "other", "data"]):
             m: dict[tuple[int, int], np.ndarray] = {}
             for side, piece, other, data in rows:
-                x = m.setdefault((side, piece), np.zeros((count, c, h), dtype=np.uint64))
+                x = m.setdefault((side, piece), np.zeros((count, c, h), dtype=np.uint32))
                 x[:, other * k : (other + 1) * k] = np.frombuffer(data, dtype=np.uint32).reshape(count, k, h)
             sums: dict[int, np.ndarray] = {}
             for i, (p, w) in enumerate(zip(shape.primes, shape.roots, strict=True)):
                 q, root = np.uint64(p), pow(w, shape.rows, p)
-                done = {key: transform_columns(x[i], p, root) for key, x in m.items()}
+                done = {key: transform_columns(x[i].astype(np.uint64), p, root).astype(np.uint32) for key, x in m.items()}
                 for s in {a + b for (sa, a) in done if sa == 0 for (sb, b) in done if sb == 1}:
                     if only is not None and (num, s) not in only:
                         continue
                     total = np.zeros((c, h), dtype=np.uint64)
                     for (side, a), x in done.items():
                         if side == 0 and (1, s - a) in done:
-                            total = (total + x * done[1, s - a] % q) % q
+                            total = (total + x.astype(np.uint64) * done[1, s - a] % q) % q
                     back = transform_columns(total, p, pow(root, p - 2, p))
                     sums.setdefault(s, np.empty((count, c, h), dtype=np.uint32))[i] = back
             for s, x in sums.items():
@@ -471,14 +528,23 @@ def _backward(shape: Shape, piece: int, cycle: bool, apart: bool = False):
     return rows_of
 
 
+def sizes(*numbers: DataFrame) -> list[int]:
+    """Limbs of the longest of each of some tables of numbers, in one job."""
+    every = None
+    for i, n in enumerate(numbers):
+        n = n.select(F.lit(i).alias("i"), "top")
+        every = n if every is None else every.unionByName(n)
+    found = {r["i"]: r["top"] for r in every.groupBy("i").agg(F.max("top").alias("top")).collect()}
+    return [max(0, found.get(i) or 0) + 1 for i in range(len(numbers))]
+
+
 def _layout(a: DataFrame, b: DataFrame, most: int, cycle: int | None = None, columns: int | None = None) -> tuple[Shape, int]:
     """The shape of the transforms and the limbs of a piece."""
-    size = lambda df: (df.agg(F.max("top")).first()[0] or 0) + 1
-    na, nb = size(a), size(b)
     if cycle is not None:
         if cycle % CHUNK or length_for(cycle, (1, 3)) != cycle:
             raise ValueError(f"{cycle} is no length of a transform")
         return Shape(cycle, cycle), cycle
+    na, nb = sizes(a, b)
     if na + nb <= most:
         return Shape(na + nb, min(na, nb), columns), -(-max(na, nb, 1) // CHUNK) * CHUNK
     piece = max(CHUNK, most // 2 // CHUNK * CHUNK)
