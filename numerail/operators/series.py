@@ -17,6 +17,8 @@ from .storage import stored
 
 #: Terms that one leaf folds; children of a tree node.
 LEAF, FAN_IN = 4096, 2
+#: Leaves that are enough for a short series, and terms of a leaf at most, of a longer one.
+LEAVES, MOST_TERMS = 16, 65_536
 #: Primes of the residues in a saved level's header.
 HEADER_PRIMES = rs.CHECK_PRIMES[:2]
 
@@ -33,8 +35,19 @@ def terms_for(digits: int, guard: int = 50) -> int:
     return low
 
 
+def leaf_for(n_terms: int) -> int:
+    """Terms of a leaf: LEAF, doubled while there are more than LEAVES leaves, up to MOST_TERMS."""
+    leaf = LEAF
+    while leaf < MOST_TERMS and n_terms > LEAVES * leaf:
+        leaf *= 2
+    return leaf
+
+
 def leaf_fold(a: int, b: int) -> tuple[int, int]:
-    """(P, Q) of the terms a .. b - 1 of sum 1/k!, from the last to the first: P = Q + P, Q = k Q."""
+    """(P, Q) of the terms a .. b - 1 of sum 1/k!, from the last to the first: P = Q + P, Q = k Q; many terms by halves."""
+    if b - a > 64:
+        (p, q), (r, s) = leaf_fold(a, (a + b) // 2), leaf_fold((a + b) // 2, b)
+        return p * s + r, q * s
     p, q = 0, 1
     for k in range(b - 1, a - 1, -1):
         p, q = q + p, q * k
@@ -73,7 +86,7 @@ def joined(nodes: DataFrame, count: int) -> DataFrame:
     a = left.select(name(F.col("_k")), *columns)
     b = right.where("_k = 'q'").select(F.explode(F.array(name(F.lit("p")), name(F.lit("q")))).alias("num"), *columns)
     plus = right.where("_k = 'p'").select(up.alias("num"), *columns)
-    out = ln.product(stored(a, "left"), stored(b, "right"), plus)
+    out = ln.product(a, b, plus)
     if count % 2:
         out = stored(out.unionByName(n.where(F.col("_n") == last).select(name(F.col("_k")), *columns)), "level")
     return out
@@ -107,7 +120,7 @@ def saved_level(spark: SparkSession, path: str, n_terms: int, leaf: int) -> tupl
     return None
 
 
-def split_series(spark: SparkSession, n_terms: int, leaf: int = LEAF, save: str | None = None, seen: Callable[[int, DataFrame], None] | None = None) -> tuple[DataFrame, DataFrame]:
+def split_series(spark: SparkSession, n_terms: int, leaf: int | None = None, save: str | None = None, seen: Callable[[int, DataFrame], None] | None = None) -> tuple[DataFrame, DataFrame]:
     """P and Q with P/Q = 1/1! + ... + 1/n! as PACKED numbers named e.
 
     Each level is a table of its own in the shared folder, so a lost executor
@@ -115,6 +128,7 @@ def split_series(spark: SparkSession, n_terms: int, leaf: int = LEAF, save: str
     with a header, and a run goes on from the highest one that is whole.
     ``seen`` gets the number and the nodes of each level that is made.
     """
+    leaf = leaf or leaf_for(n_terms)
     found = saved_level(spark, save, n_terms, leaf) if save else None
     level, count, nodes = found or (0, -(-n_terms // leaf), None)
     if nodes is None:
