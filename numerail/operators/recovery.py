@@ -14,6 +14,8 @@ from .storage import stored
 
 #: Failed pieces that are made again one by one; if there are more, all are.
 MOST_FAILED = 10_000
+#: Places of a product at most: a task holds a band of each, and their products are as many as the square.
+MOST_PLACES = 256
 
 
 def piece_residues(a: DataFrame, piece: int, primes: list[int]) -> DataFrame:
@@ -50,13 +52,17 @@ def planned(a: DataFrame, b: DataFrame, primes: list[int]) -> DataFrame:
 def product_in_pieces(a: DataFrame, b: DataFrame, max_points: int, primes: tuple[int, ...] = CHECK_PRIMES[:2], attempts: int = 3, fault: Callable[[DataFrame, int], DataFrame] | None = None) -> tuple[DataFrame, list[int]]:
     """a * b (PACKED, stored), and how many places of it each attempt made.
 
-    The operands' pieces have their residues taken once and are compared with
+    ``max_points`` is doubled, up to MAX_POINTS, until there are no more than
+    MOST_PLACES places. The operands' pieces have their residues taken once and are compared with
     them again before each attempt. Every place of the product (the sum of the
     products of pieces i and j with i + j alike) is a number of its own, whose
     residues have to be those that the operands' give; the places that differ,
     and no others, are made again. ``fault`` is for tests: it gets the places
     (PACKED, named <num>|<place>) and the attempt and returns what is checked.
     """
+    limbs = sum(ln.sizes(a, b))
+    while max_points < ln.MAX_POINTS and limbs > MOST_PLACES * (max_points // 2):
+        max_points *= 2
     shape, piece = ln._layout(a, b, max_points)
     checks = list(primes)
     ra, rb = (stored(piece_residues(n, piece, checks), "pieces-at-rest") for n in (a, b))
